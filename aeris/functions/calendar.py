@@ -96,33 +96,33 @@ KINGS_DAY_FROM = 2014
 LIBERATION_EVERY = 5
 
 
-def easter_sunday(year) -> Column:
-    """Gregorian Easter Sunday (anonymous Gregorian computus) for an int year."""
-    y = _c(year).cast("int")
-
-    def idiv(a, b):
-        return (a - a % b) / b
-
-    a = y % 19
-    b = idiv(y, 100).cast("int")
-    c = y % 100
-    d = idiv(b, 4).cast("int")
-    e = b % 4
-    f = idiv(b + 8, 25).cast("int")
-    g = idiv(b - f + 1, 3).cast("int")
-    h = (19 * a + b - d - g + 15) % 30
-    i = idiv(c, 4).cast("int")
-    k = c % 4
-    l_ = (32 + 2 * e + 2 * i - h - k) % 7
-    m = idiv(a + 11 * h + 22 * l_, 451).cast("int")
-    n = h + l_ - 7 * m + 114
-    return F.make_date(y, idiv(n, 31).cast("int"), n % 31 + 1)
+# Anonymous Gregorian computus, one intermediate per projection step so that
+# no step re-inlines the previous ones (keeps generated code small).
+_EASTER_STEPS = [
+    ("_ea", "_ey % 19"), ("_eb", "_ey div 100"), ("_ec", "_ey % 100"),
+    ("_ed", "_eb div 4"), ("_ee", "_eb % 4"), ("_ef", "(_eb + 8) div 25"),
+    ("_eg", "(_eb - _ef + 1) div 3"), ("_ei", "_ec div 4"), ("_ek", "_ec % 4"),
+    ("_eh", "(19 * _ea + _eb - _ed - _eg + 15) % 30"),
+    ("_el", "(32 + 2 * _ee + 2 * _ei - _eh - _ek) % 7"),
+    ("_em", "(_ea + 11 * _eh + 22 * _el) div 451"),
+    ("_en", "_eh + _el - 7 * _em + 114"),
+]
+
+
+def with_easter(df: DataFrame, year, out: str = "easter") -> DataFrame:
+    """Append ``out`` = Easter Sunday of ``year`` (an int column)."""
+    tmp = df.withColumn("_ey", _c(year).cast("bigint"))
+    for name, expr in _EASTER_STEPS:
+        tmp = tmp.withColumn(name, F.expr(expr))
+    tmp = tmp.withColumn(out, F.expr("make_date(CAST(_ey AS INT), CAST(_en div 31 AS INT), "
+                                     "CAST(_en % 31 + 1 AS INT))"))
+    return tmp.drop("_ey", *[n for n, _ in _EASTER_STEPS])
 
 
 def holiday_calendar(years: DataFrame, year_col: str = "year") -> DataFrame:
     """(holiday_date, holiday_name) for each distinct year in ``years``."""
-    years = (years.select(F.col(year_col).cast("int").alias("_y")).distinct()
-             .select("_y", easter_sunday(F.col("_y")).alias("_easter")))
+    years = with_easter(years.select(F.col(year_col).cast("int").alias("_y")).distinct(),
+                        F.col("_y"), "_easter")
     y = F.col("_y")
     easter = F.col("_easter")
     royal_base = F.when(y >= KINGS_DAY_FROM, F.make_date(y, F.lit(4), F.lit(27))) \
@@ -149,7 +149,29 @@ MAX_HOLIDAY_ROWS = 10000 * (len(FIXED_HOLIDAYS) + len(EASTER_HOLIDAYS) + 2)
 
 def with_holiday_flag(df: DataFrame, date_col: str = "date",
                       out: str = "holiday") -> DataFrame:
-    """Boolean ``out`` = date is a public holiday (broadcast join to the calendar)."""
+    """Boolean ``out`` = date is a public holiday.
+
+    Every rule is evaluated for the row's own year, so the flag is a narrow
+    projection: no join and no second pass over the input.
+    """
+    d = F.col(date_col)
+    y = F.year(d)
+    tmp = with_easter(df, y, "_easter")
+    royal_base = F.when(y >= KINGS_DAY_FROM, F.make_date(y, F.lit(4), F.lit(27))) \
+                  .otherwise(F.make_date(y, F.lit(4), F.lit(30)))
+    royal = F.when(F.dayofweek(royal_base) == 1, F.date_sub(royal_base, 1)).otherwise(royal_base)
+    md = F.month(d) * 100 + F.dayofmonth(d)
+    fixed = md.isin([mo * 100 + dd for mo, dd, _ in FIXED_HOLIDAYS])
+    from_easter = F.datediff(d, F.col("_easter")).isin([off for off, _ in EASTER_HOLIDAYS])
+    liberation = (y % LIBERATION_EVERY == 0) & (md == 505)
+    flag = F.coalesce(fixed | from_easter | (d == royal) | liberation, F.lit(False))
+    return tmp.withColumn(out, flag).drop("_easter")
+
+
+def with_holiday_flag_join(df: DataFrame, date_col: str = "date",
+                           out: str = "holiday") -> DataFrame:
+    """Same flag through the calendar dimension: distinct years -> holiday
+    dates -> broadcast left join (the dimension is bounded by MAX_HOLIDAY_ROWS)."""
     cal = holiday_calendar(df.select(F.year(date_col).alias("year")))
     cal = cal.select(F.col("holiday_date").alias("_hd")).distinct()
     joined = df.join(bounded_broadcast(cal, MAX_HOLIDAY_ROWS),

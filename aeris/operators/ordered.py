@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from aeris.session import bounded_broadcast, ensure_checkpoint_dir
 
@@ -79,20 +80,42 @@ def blocked(df: DataFrame, halo: int, block_rows: int = DEFAULT_BLOCK_ROWS,
     return home.unionByName(copies)
 
 
+# Fills need an order, not positions: on a single date key the blocks are date
+# ranges of this many days (a date-unique table has at most that many rows per
+# block and entity), which saves the row index.
+DEFAULT_BLOCK_DAYS = 1 << 10
+
+
+def _date_order(df: DataFrame, order) -> str | None:
+    order = _cols(order)
+    if len(order) == 1 and isinstance(order[0], str) and \
+            isinstance(df.schema[order[0]].dataType, T.DateType):
+        return order[0]
+    return None
+
+
 def _fill(df: DataFrame, cols, order, partition_by, forward: bool,
           block_rows: int, id_col: str) -> DataFrame:
     pb = _cols(partition_by)
     cols = _cols(cols)
-    indexed = _ensure_index(df, order, pb, id_col)
-    b = blocked(indexed, 0, block_rows, id_col)
-    w = Window.partitionBy(*pb, _BLK).orderBy(id_col)
+    date_key = None if id_col in df.columns else _date_order(df, order)
+    if date_key is not None:
+        indexed = df
+        pos = date_key
+        b = df.withColumn(_BLK, F.floor(F.unix_date(F.col(date_key)) / DEFAULT_BLOCK_DAYS)
+                          .cast("long"))
+    else:
+        indexed = _ensure_index(df, order, pb, id_col)
+        pos = id_col
+        b = blocked(indexed, 0, block_rows, id_col)
+    w = Window.partitionBy(*pb, _BLK).orderBy(pos)
     w = w.rowsBetween(Window.unboundedPreceding, 0) if forward \
         else w.rowsBetween(0, Window.unboundedFollowing)
     pick = F.last if forward else F.first
     by_pos = F.max_by if forward else F.min_by
     # per (entity, block): the last (first) non-null value of each column
     summary = b.groupBy(*pb, _BLK).agg(*[
-        by_pos(F.col(c), F.when(F.col(c).isNotNull(), F.col(id_col))).alias(f"_e_{c}")
+        by_pos(F.col(c), F.when(F.col(c).isNotNull(), F.col(pos))).alias(f"_e_{c}")
         for c in cols])
     sw = Window.partitionBy(*pb).orderBy(_BLK)
     sw = sw.rowsBetween(Window.unboundedPreceding, -1) if forward \

@@ -148,7 +148,7 @@ def back_fill(spark, sf_dir):
 
 @register("row_index", q.with_(q.BASE + [q.S], "SELECT date, row_id FROM s"))
 def row_index(spark, sf_dir):
-    return pl.merged_daily(spark, sf_dir, keep_index=True).select("date", ordered.ROW_ID)
+    return ordered.row_index(pl.merged_daily(spark, sf_dir), "date").select("date", ordered.ROW_ID)
 
 
 @register("current_row", q.with_(q.BASE, "SELECT date, " + q.rnd(MERGED_DOUBLES) +
