@@ -217,3 +217,203 @@ def fourier(spark, sf_dir):
 def bool_to_int(spark, sf_dir):
     lab = pl.encoded(pl.labelled_daily(spark, sf_dir))
     return lab.select("date", "month", "holiday", "weekday", "high_o3_warm_months", "inverse_no2_o3")
+
+
+# --- statistics -----------------------------------------------------------------
+from aeris.operators import scale, split, stats  # noqa: E402
+
+FILLED_NUMERIC = MERGED_DOUBLES + ["n"]
+ENCODED_NUMERIC = FILLED_NUMERIC + ["month", "holiday", "weekday", "high_o3_warm_months",
+                                    "inverse_no2_o3", "relative_difference", "day_of_year",
+                                    "sin_1", "cos_1", "sin_2", "cos_2"]
+
+
+def _encoded(spark, sf_dir):
+    return pl.encoded(pl.labelled_daily(spark, sf_dir))
+
+
+def _describe_sql():
+    sels = [f"""SELECT '{c}' AS column, count({c}) AS count, {q.rd(f'avg(CAST({c} AS DOUBLE))')} AS mean,
+      {q.rd(f'stddev_samp(CAST({c} AS DOUBLE))')} AS std, {q.rd(f'min(CAST({c} AS DOUBLE))')} AS min,
+      {q.rd(f'quantile_cont(CAST({c} AS DOUBLE), 0.25)')} AS p25,
+      {q.rd(f'quantile_cont(CAST({c} AS DOUBLE), 0.5)')} AS p50,
+      {q.rd(f'quantile_cont(CAST({c} AS DOUBLE), 0.75)')} AS p75,
+      {q.rd(f'max(CAST({c} AS DOUBLE))')} AS max FROM f""" for c in FILLED_NUMERIC]
+    return q.with_(q.BASE, q.union_all(sels))
+
+
+@register("describe", _describe_sql())
+def describe(spark, sf_dir):
+    return r6(stats.describe(pl.merged_daily(spark, sf_dir), FILLED_NUMERIC))
+
+
+@register("missing_counts", q.with_(q.BASE, q.union_all(
+    [f"SELECT '{c}' AS column, count(*) - count({c}) AS n_missing FROM m"
+     for c in ["date"] + FILLED_NUMERIC])))
+def missing_counts(spark, sf_dir):
+    return stats.missing_counts(pl.merged_unfilled(spark, sf_dir), ["date"] + FILLED_NUMERIC)
+
+
+def _skew_sql_expr(c):
+    return f"CASE WHEN count({c}) > 2 THEN coalesce(skewness(CAST({c} AS DOUBLE)), 0.0) END"
+
+
+@register("skew_table", q.with_(q.ENCODED, q.union_all(
+    [f"SELECT '{c}' AS column, {q.rd(_skew_sql_expr(c))} AS skew, "
+     f"coalesce(abs({_skew_sql_expr(c)}) > 0.75, false) AS is_skewed FROM e" for c in ENCODED_NUMERIC])))
+def skew_table(spark, sf_dir):
+    return r6(stats.skew_table(_encoded(spark, sf_dir), ENCODED_NUMERIC))
+
+
+def _log1p_sql():
+    cols = []
+    for c in ENCODED_NUMERIC:
+        skewed = f"(SELECT coalesce(abs({_skew_sql_expr(c)}) > 0.75, false) FROM e)"
+        cols.append(q.rd(f"CASE WHEN {skewed} THEN (CASE WHEN {c} > -1 THEN ln(1 + {c}) END) "
+                         f"ELSE CAST({c} AS DOUBLE) END") + f" AS {c}")
+    return q.with_(q.ENCODED, "SELECT date, " + ", ".join(cols) + " FROM e")
+
+
+@register("log1p_skewed", _log1p_sql())
+def log1p_skewed(spark, sf_dir):
+    return r6(stats.log1p_skewed(_encoded(spark, sf_dir), ENCODED_NUMERIC))
+
+
+def _corr_sql(cols, src, fill_zero):
+    vals = ", ".join(f"coalesce(CAST({c} AS DOUBLE), 0.0) AS {c}" if fill_zero
+                     else f"CAST({c} AS DOUBLE) AS {c}" for c in cols)
+    idx = ", ".join(f"('{c}', {i})" for i, c in enumerate(cols))
+    return (f"""cv AS (SELECT date, {vals} FROM {src}),
+  lg AS (UNPIVOT cv ON {', '.join(cols)} INTO NAME col VALUE v),
+  ix AS (SELECT * FROM (VALUES {idx}) t(col, idx)),
+  cm AS (SELECT a.col AS col_a, b.col AS col_b, CAST(ia.idx AS INTEGER) AS idx_a,
+    CAST(ib.idx AS INTEGER) AS idx_b,
+    covar_pop(a.v, b.v) / nullif(stddev_pop(a.v) * stddev_pop(b.v), 0) AS r
+    FROM lg a JOIN lg b ON a.date = b.date JOIN ix ia ON ia.col = a.col JOIN ix ib ON ib.col = b.col
+    GROUP BY a.col, b.col, ia.idx, ib.idx)""")
+
+
+@register("corr_matrix", q.with_(q.ENCODED + [_corr_sql(ENCODED_NUMERIC, "e", True)],
+                                 "SELECT col_a, col_b, idx_a, idx_b, " + q.rnd(["r"]) + " FROM cm"))
+def corr_matrix(spark, sf_dir):
+    return r6(stats.corr_long(_encoded(spark, sf_dir), ENCODED_NUMERIC, fill_zero=True))
+
+
+@register("corr_lower", q.with_(q.ENCODED + [_corr_sql(ENCODED_NUMERIC, "e", True)],
+                                "SELECT col_a, col_b, idx_a, idx_b, " + q.rnd(["r"]) +
+                                " FROM cm WHERE idx_a > idx_b"))
+def corr_lower(spark, sf_dir):
+    return r6(stats.corr_lower(stats.corr_long(_encoded(spark, sf_dir), ENCODED_NUMERIC, True)))
+
+
+@register("corr_top_targets", q.with_(q.BASE + [_corr_sql(FILLED_NUMERIC, "f", False)], """
+  SELECT feature, """ + q.rnd(["avg_no2", "avg_o3", "max_abs_r"]) + """ FROM (
+    SELECT col_a AS feature, max(CASE WHEN col_b = 'avg_no2' THEN r END) AS avg_no2,
+      max(CASE WHEN col_b = 'avg_o3' THEN r END) AS avg_o3 FROM cm
+    WHERE col_a NOT IN ('avg_no2', 'avg_o3') GROUP BY col_a) t
+  CROSS JOIN LATERAL (SELECT greatest(abs(avg_no2), abs(avg_o3)) AS max_abs_r)
+  WHERE abs(avg_no2) > 0.5 OR abs(avg_o3) > 0.5"""))
+def corr_top_targets(spark, sf_dir):
+    c = stats.corr_long(pl.merged_daily(spark, sf_dir), FILLED_NUMERIC, fill_zero=False)
+    return r6(stats.corr_with_targets(c, pl.TARGETS, 0.5))
+
+
+@register("histogram20", """WITH st AS (SELECT min(value) AS lo, max(value) AS hi,
+  (max(value) - min(value)) / 20.0 AS w FROM events),
+  b AS (SELECT CAST(CASE WHEN w = 0 THEN 0 ELSE least(floor((value - lo) / w), 19) END AS INTEGER) AS bin,
+        lo, w FROM events, st WHERE value IS NOT NULL)
+  SELECT bin, """ + q.rd("any_value(lo) + bin * any_value(w)") + " AS lo, " +
+          q.rd("any_value(lo) + (bin + 1) * any_value(w)") + " AS hi, count(*) AS count FROM b GROUP BY bin")
+def histogram20(spark, sf_dir):
+    return r6(stats.histogram(tables.table(spark, sf_dir, "events"), "value", 20))
+
+
+@register("quadrants", q.with_(q.BASE, """SELECT
+  CASE WHEN avg_no2 > 50 THEN 'high_no2' ELSE 'low_no2' END || '/' ||
+  CASE WHEN avg_o3 > 80 THEN 'high_o3' ELSE 'low_o3' END AS quadrant, count(*) AS n
+  FROM f WHERE avg_no2 IS NOT NULL AND avg_o3 IS NOT NULL GROUP BY 1"""))
+def quadrants(spark, sf_dir):
+    return stats.quadrants(pl.merged_daily(spark, sf_dir))
+
+
+# --- splits, leakage, folds, scaling ----------------------------------------------
+
+@register("split_70_15_15", q.with_(q.BASE + [q.S, q.SP], "SELECT date, row_id, split FROM sp"))
+def split_70_15_15(spark, sf_dir):
+    return split.chronological_split(pl.merged_daily(spark, sf_dir), "date").select(
+        "date", ordered.ROW_ID, "split")
+
+
+@register("resplit_gap", q.with_(q.BASE + [q.S, q.RS], "SELECT date, row_id, split, unseen FROM rs"))
+def resplit_gap(spark, sf_dir):
+    return split.resplit_with_gap(pl.merged_daily(spark, sf_dir), "date").select(
+        "date", ordered.ROW_ID, "split", "unseen")
+
+
+DUP_COLS = ["month", "weekday", "holiday", "inverse_no2_o3"]
+_DUP_SQL = """ex AS (SELECT e.*, s.row_id FROM e JOIN s USING (date)),
+  rsx AS (SELECT ex.*, CASE WHEN row_id < t THEN 'train' WHEN row_id >= t + g AND row_id < v THEN 'val'
+    WHEN row_id >= v + g THEN 'test' ELSE 'gap' END AS split FROM ex,
+    (SELECT CAST(floor(count(*) * 0.6) AS BIGINT) AS t, CAST(floor(count(*) * 0.8) AS BIGINT) AS v,
+            CAST(floor(count(*) * 0.02) AS BIGINT) AS g FROM f)),
+  gr AS (SELECT split, month, weekday, holiday, inverse_no2_o3, count(*) AS c,
+    CASE split WHEN 'train' THEN 0 WHEN 'val' THEN 1 ELSE 2 END AS rk
+    FROM rsx WHERE split IN ('train', 'val', 'test') GROUP BY ALL),
+  dp AS (SELECT a.split || '_' || b.split AS pair, sum(a.c * b.c) AS n_dup FROM gr a JOIN gr b
+    ON a.month IS NOT DISTINCT FROM b.month AND a.weekday IS NOT DISTINCT FROM b.weekday
+    AND a.holiday IS NOT DISTINCT FROM b.holiday AND a.inverse_no2_o3 IS NOT DISTINCT FROM b.inverse_no2_o3
+    AND a.rk < b.rk GROUP BY 1),
+  dups AS (SELECT p.pair, CAST(coalesce(dp.n_dup, 0) AS BIGINT) AS n_dup
+    FROM (VALUES ('train_val'), ('train_test'), ('val_test')) p(pair) LEFT JOIN dp USING (pair))"""
+
+
+def _resplit_encoded(spark, sf_dir):
+    return split.resplit_with_gap(_encoded(spark, sf_dir), "date")
+
+
+@register("dup_rows_between", q.with_(q.ENCODED + [q.S, _DUP_SQL], "SELECT pair, n_dup FROM dups"))
+def dup_rows_between(spark, sf_dir):
+    return split.duplicate_rows_between(_resplit_encoded(spark, sf_dir), DUP_COLS)
+
+
+@register("leak_report", q.with_(q.ENCODED + [q.S, _DUP_SQL], """
+  SELECT 'date_overlap' AS "check", 'train_val' AS pair,
+    CAST((SELECT min(date) FROM rsx WHERE split = 'val') <= (SELECT max(date) FROM rsx WHERE split = 'train') AS BIGINT) AS value
+  UNION ALL SELECT 'date_overlap', 'val_test',
+    CAST((SELECT min(date) FROM rsx WHERE split = 'test') <= (SELECT max(date) FROM rsx WHERE split = 'val') AS BIGINT)
+  UNION ALL SELECT 'duplicate_rows', pair, n_dup FROM dups"""))
+def leak_report(spark, sf_dir):
+    return split.leakage_report(_resplit_encoded(spark, sf_dir), DUP_COLS)
+
+
+@register("kfold_sizes", q.with_(q.BASE, """SELECT CAST(('0x' || substr(md5('42:' || CAST(date AS VARCHAR)), 1, 8))::BIGINT % 5 AS INTEGER) AS fold,
+  count(*) AS n FROM f GROUP BY 1"""))
+def kfold_sizes(spark, sf_dir):
+    f = split.with_folds(pl.merged_daily(spark, sf_dir), "date", 5, 42)
+    return f.groupBy("fold").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _mm_sql():
+    cols = []
+    for c in FILLED_NUMERIC:
+        lo, hi = f"min(CAST({c} AS DOUBLE)) OVER (PARTITION BY split)", f"max(CAST({c} AS DOUBLE)) OVER (PARTITION BY split)"
+        cols.append(q.rd(f"(CAST({c} AS DOUBLE) - {lo}) / coalesce(nullif({hi} - {lo}, 0.0), 1.0)") + f" AS {c}")
+    return q.with_(q.BASE + [q.S, q.SP], "SELECT date, split, " + ", ".join(cols) + " FROM sp")
+
+
+@register("minmax_by_split", _mm_sql())
+def minmax_by_split(spark, sf_dir):
+    sp = split.chronological_split(pl.merged_daily(spark, sf_dir), "date")
+    return r6(scale.minmax_by_split(sp, FILLED_NUMERIC, "split").select("date", "split", *FILLED_NUMERIC))
+
+
+def _z_sql():
+    cols = [q.rd(f"(CAST({c} AS DOUBLE) - (SELECT avg(CAST({c} AS DOUBLE)) FROM f)) / "
+                 f"coalesce(nullif((SELECT stddev_pop(CAST({c} AS DOUBLE)) FROM f), 0.0), 1.0)") + f" AS {c}"
+            for c in FILLED_NUMERIC]
+    return q.with_(q.BASE, "SELECT date, " + ", ".join(cols) + " FROM f")
+
+
+@register("zscore", _z_sql())
+def zscore(spark, sf_dir):
+    return r6(scale.zscore(pl.merged_daily(spark, sf_dir), FILLED_NUMERIC))

@@ -86,3 +86,20 @@ def rd(expr: str) -> str:
 
 def rnd(cols) -> str:
     return ", ".join(f"{rd(c)} AS {c}" for c in cols)
+
+# encoded labels: names -> numbers, booleans -> 0/1
+E = """e AS (SELECT date, avg_no, avg_no2, avg_o3, avg_nox, temp, humidity, windspeed, n,
+  CAST(month(date) AS INTEGER) AS month, CAST(holiday AS INTEGER) AS holiday,
+  CAST(isodow(date) AS INTEGER) AS weekday, CAST(high_o3_warm_months AS INTEGER) AS high_o3_warm_months,
+  inverse_no2_o3, relative_difference, day_of_year, sin_1, cos_1, sin_2, cos_2 FROM l)"""
+ENCODED = LABELLED + [E]
+# 60/20/20 re-split with a 2 % gap and the unseen tail
+RS = """rs AS (SELECT * EXCLUDE (t, v, g, u, n_rows), CASE WHEN row_id < t THEN 'train'
+  WHEN row_id >= t + g AND row_id < v THEN 'val' WHEN row_id >= v + g THEN 'test' ELSE 'gap' END AS split,
+  row_id >= u AS unseen FROM (SELECT *, CAST(floor(n_rows * 0.6) AS BIGINT) AS t,
+  CAST(floor(n_rows * 0.8) AS BIGINT) AS v, CAST(floor(n_rows * 0.02) AS BIGINT) AS g,
+  CAST(floor(n_rows * 0.95) AS BIGINT) AS u FROM s))"""
+
+
+def union_all(selects) -> str:
+    return "\nUNION ALL ".join(selects)
