@@ -417,3 +417,262 @@ def _z_sql():
 @register("zscore", _z_sql())
 def zscore(spark, sf_dir):
     return r6(scale.zscore(pl.merged_daily(spark, sf_dir), FILLED_NUMERIC))
+
+
+# --- ingest, unions, dedup --------------------------------------------------------
+from aeris.sources import ingest  # noqa: E402
+
+# The high-water mark of the already-ingested event readings.
+EVENT_MARK = "2024-01-20 00:00:00"
+
+
+def _event_parts(spark, sf_dir):
+    ev = tables.event_readings(spark, sf_dir)
+    existing = ev.where(F.col("ts") <= F.lit(EVENT_MARK).cast("timestamp_ntz"))
+    return ev, existing
+
+
+@register("high_water_append", q.with_([q.EV], """
+  SELECT event_id, station, pollutant, concentration, ts, true AS is_new FROM ev
+    WHERE ts > (SELECT max(ts) FROM ev WHERE ts <= TIMESTAMP '""" + EVENT_MARK + """')
+  UNION ALL SELECT event_id, station, pollutant, concentration, ts, false FROM ev
+    WHERE ts <= TIMESTAMP '""" + EVENT_MARK + "'"))
+def high_water_append(spark, sf_dir):
+    """Existing = readings up to the mark; the batch re-sends everything."""
+    batch, existing = _event_parts(spark, sf_dir)
+    return ingest.append_after_mark(existing, batch, "ts")
+
+
+@register("delta_rows", q.with_([q.EV], """SELECT event_id, station, pollutant, concentration, ts FROM ev
+  WHERE ts > (SELECT max(ts) FROM ev WHERE ts <= TIMESTAMP '""" + EVENT_MARK + "')"))
+def delta_rows(spark, sf_dir):
+    batch, existing = _event_parts(spark, sf_dir)
+    return ingest.new_rows(batch, ingest.high_water_mark(existing, "ts"), "ts")
+
+
+@register("last_date", "SELECT strftime(max(ts), '%Y-%m-%d') AS last_date FROM events")
+def last_date(spark, sf_dir):
+    return ingest.last_available_date(tables.table(spark, sf_dir, "events"), "ts")
+
+
+# old weather: dates before the cut, without windspeed; new weather: from a month
+# earlier, without humidity. The overlap month resolves keep-first (old wins).
+OLD_BEFORE, NEW_FROM = "1998-01-01", "1997-12-01"
+_UF_SQL = [q.W, """u AS (SELECT date, temp, humidity, CAST(NULL AS DOUBLE) AS windspeed, n, 0 AS source_rank
+    FROM w WHERE date < DATE '""" + OLD_BEFORE + """'
+  UNION ALL SELECT date, temp, CAST(NULL AS DOUBLE), windspeed, n, 1 FROM w WHERE date >= DATE '""" + NEW_FROM + """'),
+  kf AS (SELECT date, temp, humidity, windspeed, n FROM (SELECT *, row_number() OVER
+    (PARTITION BY date ORDER BY source_rank, temp, humidity, windspeed, n) AS rn FROM u) WHERE rn = 1)"""]
+
+
+def _weather_union(spark, sf_dir):
+    w = tables.weather(spark, sf_dir)
+    old = w.where(F.col("date") < F.lit(OLD_BEFORE).cast("date")).drop("windspeed")
+    new = w.where(F.col("date") >= F.lit(NEW_FROM).cast("date")).drop("humidity")
+    return ingest.union_sources(old, new)
+
+
+@register("dedup_first", q.with_(_UF_SQL, "SELECT date, " + q.rnd(["temp", "humidity", "windspeed"]) + ", n FROM kf"))
+def dedup_first(spark, sf_dir):
+    u = _weather_union(spark, sf_dir)
+    kept = ingest.keep_first(u, "date", ["source_rank", "temp", "humidity", "windspeed", "n"],
+                             drop_cols=["source_rank"])
+    return r6(kept.select("date", "temp", "humidity", "windspeed", "n"))
+
+
+@register("union_fill", q.with_(_UF_SQL, "SELECT date, " + ", ".join(
+    q.rd(f"last_value({c} IGNORE NULLS) OVER (ORDER BY date {q._FF})") + f" AS {c}"
+    for c in ["temp", "humidity", "windspeed"]) + f", last_value(n IGNORE NULLS) OVER (ORDER BY date {q._FF}) AS n FROM kf"))
+def union_fill(spark, sf_dir):
+    u = _weather_union(spark, sf_dir)
+    kept = ingest.keep_first(u, "date", ["source_rank", "temp", "humidity", "windspeed", "n"],
+                             drop_cols=["source_rank"]).select("date", "temp", "humidity", "windspeed", "n")
+    return r6(ordered.forward_fill(kept, ["temp", "humidity", "windspeed", "n"], "date"))
+
+
+# --- rolling and sequence windows ---------------------------------------------------
+
+_W7 = "ROWS BETWEEN 6 PRECEDING AND CURRENT ROW"
+_ROLL_SQL = """ro AS (SELECT date, split, row_id, CASE WHEN count(avg_no2) OVER (PARTITION BY split ORDER BY row_id """ + _W7 + """) = 7
+    THEN avg(avg_no2) OVER (PARTITION BY split ORDER BY row_id """ + _W7 + """) END AS no2_week,
+  CASE WHEN count(avg_o3) OVER (PARTITION BY split ORDER BY row_id """ + _W7 + """) = 7
+    THEN avg(avg_o3) OVER (PARTITION BY split ORDER BY row_id """ + _W7 + """) END AS o3_week FROM sp),
+  rb AS (SELECT date, split, row_id,
+    first_value(no2_week IGNORE NULLS) OVER (PARTITION BY split ORDER BY row_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS no2_week,
+    first_value(o3_week IGNORE NULLS) OVER (PARTITION BY split ORDER BY row_id ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS o3_week FROM ro)"""
+
+
+def _rolled(spark, sf_dir):
+    sp = split.chronological_split(pl.merged_daily(spark, sf_dir), "date")
+    r = ordered.rolling_mean(sp, ["avg_no2", "avg_o3"], 7, "date", partition_by=["split"], suffix="_week")
+    return r.withColumnRenamed("avg_no2_week", "no2_week").withColumnRenamed("avg_o3_week", "o3_week")
+
+
+@register("rolling_mean7", q.with_(q.BASE + [q.S, q.SP, _ROLL_SQL],
+                                   "SELECT date, split, " + q.rnd(["no2_week", "o3_week"]) + " FROM rb"))
+def rolling_mean7(spark, sf_dir):
+    return r6(_rolled(spark, sf_dir).select("date", "split", "no2_week", "o3_week"))
+
+
+SEQ_LEN = 14
+SEQ_FEATURES = FILLED_NUMERIC  # numeric columns except the two label columns
+
+
+@register("sequence_windows", q.with_(q.BASE + [q.S, q.SP, _ROLL_SQL], """
+  SELECT date, split, n_steps, first_date, """ + q.rnd(["x_sum", "y_no2", "y_o3"]) + """ FROM (
+    SELECT b.date, b.split, count(*) OVER wq AS n_steps,
+      min(b.date) OVER wq AS first_date,
+      sum(""" + " + ".join(f"coalesce(CAST(b.{c} AS DOUBLE), 0)" for c in SEQ_FEATURES) + """) OVER wq AS x_sum,
+      r.no2_week AS y_no2, r.o3_week AS y_o3
+    FROM sp b JOIN rb r USING (date)
+    WINDOW wq AS (PARTITION BY b.split ORDER BY b.row_id ROWS BETWEEN 14 PRECEDING AND 1 PRECEDING))
+  WHERE n_steps = 14"""))
+def sequence_windows(spark, sf_dir):
+    """Windows of 14 previous days per split; label = the day's 7-day means.
+    Reported per sample: window length, first day, sum of all window cells."""
+    r = _rolled(spark, sf_dir)
+    seq = ordered.sequence_windows(r, SEQ_FEATURES, SEQ_LEN, "date", partition_by=["split"])
+    cells = F.aggregate(F.flatten("x"), F.lit(0.0), lambda acc, v: acc + F.coalesce(v, F.lit(0.0)))
+    first_day = F.date_sub(F.col("date"), 0)
+    return r6(seq.select("date", "split", F.size("x").cast("bigint").alias("n_steps"),
+                         F.lit(None).cast("date").alias("first_date"), cells.alias("x_sum"),
+                         F.col("no2_week").alias("y_no2"), F.col("o3_week").alias("y_o3"))
+              .drop("first_date").join(
+                  r.select("date", ordered.ROW_ID, "split"), ["date", "split"])
+              .withColumn("_first", F.col(ordered.ROW_ID) - SEQ_LEN)
+              .join(r.select(F.col(ordered.ROW_ID).alias("_first"), F.col("date").alias("first_date")), "_first")
+              .select("date", "split", "n_steps", "first_date", "x_sum", "y_no2", "y_o3"))
+
+
+# --- advisory -----------------------------------------------------------------------
+from aeris.functions import advisory  # noqa: E402
+from aeris.operators import linear, metrics  # noqa: E402
+
+
+def _advice_sql():
+    no2, o3, safe = (advisory.NO2_ADVICE.replace("'", "''"), advisory.O3_ADVICE.replace("'", "''"),
+                     advisory.SAFE_ADVICE.replace("'", "''"))
+    return q.with_(q.BASE, f"""SELECT date, CASE WHEN coalesce(avg_no2 > 20, false) OR coalesce(avg_o3 > 60, false)
+      THEN concat_ws(' | ', CASE WHEN avg_no2 > 20 THEN '{no2}' END, CASE WHEN avg_o3 > 60 THEN '{o3}' END)
+      ELSE '{safe}' END AS advice,
+      CAST(CASE WHEN coalesce(avg_no2 > 20, false) OR coalesce(avg_o3 > 60, false)
+      THEN (CASE WHEN avg_no2 > 20 THEN 1 ELSE 0 END) + (CASE WHEN avg_o3 > 60 THEN 1 ELSE 0 END)
+      ELSE 1 END AS INTEGER) AS n_advice FROM f""")
+
+
+@register("health_advice", _advice_sql())
+def health_advice(spark, sf_dir):
+    f = pl.merged_daily(spark, sf_dir).select("date", advisory.health_advice("avg_no2", "avg_o3").alias("a"))
+    return f.select("date", F.array_join("a", " | ").alias("advice"), F.size("a").alias("n_advice"))
+
+
+def _aqi_sql():
+    cases = " ".join(f"WHEN ceil(avg_no2) BETWEEN {lo} AND {hi} THEN '{name}'" for lo, hi, name, _ in advisory.AQI_BANDS)
+    adv = " ".join(f"WHEN ceil(avg_no2) BETWEEN {lo} AND {hi} THEN '{text}'" for lo, hi, _, text in advisory.AQI_BANDS)
+    return q.with_(q.BASE, f"""SELECT band, advisory, count(*) AS n FROM (
+      SELECT CASE {cases} END AS band, CASE {adv} END AS advisory FROM f) GROUP BY band, advisory""")
+
+
+@register("aqi_band", _aqi_sql())
+def aqi_band(spark, sf_dir):
+    f = pl.merged_daily(spark, sf_dir)
+    return (f.groupBy(advisory.aqi_band("avg_no2").alias("band"), advisory.aqi_advisory("avg_no2").alias("advisory"))
+             .agg(F.count(F.lit(1)).alias("n")))
+
+
+# --- models ---------------------------------------------------------------------------
+
+@register("ols_univariate", q.with_(q.BASE, "SELECT " + ", ".join([
+    q.rd("regr_slope(avg_o3, avg_no2)") + " AS slope", q.rd("regr_intercept(avg_o3, avg_no2)") + " AS intercept",
+    q.rd("regr_r2(avg_o3, avg_no2)") + " AS r2", "regr_count(avg_o3, avg_no2) AS n"]) + " FROM f"))
+def ols_univariate(spark, sf_dir):
+    f = pl.merged_daily(spark, sf_dir)
+    return r6(f.agg(F.regr_slope("avg_o3", "avg_no2").alias("slope"),
+                    F.regr_intercept("avg_o3", "avg_no2").alias("intercept"),
+                    F.regr_r2("avg_o3", "avg_no2").alias("r2"),
+                    F.regr_count("avg_o3", "avg_no2").alias("n")))
+
+
+RIDGE_ALPHA = 1.0
+
+
+@register("ridge_two_feature", q.with_(q.BASE + ["""cc AS (SELECT avg_no2 AS x1, temp AS x2, avg_o3 AS y FROM f
+    WHERE avg_no2 IS NOT NULL AND temp IS NOT NULL AND avg_o3 IS NOT NULL)""",
+    """st AS (SELECT count(*) * var_pop(x1) + """ + str(RIDGE_ALPHA) + """ AS a11,
+      count(*) * covar_pop(x1, x2) AS a12, count(*) * var_pop(x2) + """ + str(RIDGE_ALPHA) + """ AS a22,
+      count(*) * covar_pop(x1, y) AS b1, count(*) * covar_pop(x2, y) AS b2,
+      avg(x1) AS m1, avg(x2) AS m2, avg(y) AS my FROM cc)""",
+    """co AS (SELECT (a22 * b1 - a12 * b2) / (a11 * a22 - a12 * a12) AS c1,
+      (a11 * b2 - a12 * b1) / (a11 * a22 - a12 * a12) AS c2, m1, m2, my FROM st)"""],
+    "SELECT 'intercept' AS term, 'avg_o3' AS target, " + q.rd("my - c1 * m1 - c2 * m2") + """ AS coef FROM co
+    UNION ALL SELECT 'avg_no2', 'avg_o3', """ + q.rd("c1") + """ FROM co
+    UNION ALL SELECT 'temp', 'avg_o3', """ + q.rd("c2") + " FROM co"))
+def ridge_two_feature(spark, sf_dir):
+    f = pl.merged_daily(spark, sf_dir)
+    model = linear.fit_linear(f, ["avg_no2", "temp"], ["avg_o3"], alpha=RIDGE_ALPHA)
+    return r6(model.coefficients(spark))
+
+
+_SCORE = """SELECT split, {mse} AS mse, {rmse} AS rmse, {r2} AS r2, count(*) AS n FROM (
+  SELECT sp.split, sp.avg_no2 AS y1, sp.avg_o3 AS y2, {p1} AS p1, {p2} AS p2 FROM sp JOIN {src} USING (date)
+  WHERE sp.avg_no2 IS NOT NULL AND sp.avg_o3 IS NOT NULL AND {p1} IS NOT NULL AND {p2} IS NOT NULL) GROUP BY split"""
+
+
+def _r2_sql(y, p):
+    return (f"CASE WHEN count({y}) * var_pop({y}) > 0 THEN 1 - sum(({y} - {p}) * ({y} - {p})) / (count({y}) * var_pop({y})) "
+            f"WHEN sum(({y} - {p}) * ({y} - {p})) = 0 THEN 1.0 ELSE 0.0 END")
+
+
+def _score_sql(src, p1, p2):
+    mse = "avg((y1 - p1) * (y1 - p1) + (y2 - p2) * (y2 - p2)) / 2.0"
+    return _SCORE.format(mse=q.rd(mse), rmse=q.rd(f"sqrt({mse})"),
+                         r2=q.rd(f"({_r2_sql('y1', 'p1')} + {_r2_sql('y2', 'p2')}) / 2.0"),
+                         p1=p1, p2=p2, src=src)
+
+
+def _scored(spark, sf_dir, backfilled=True):
+    sp = split.chronological_split(pl.merged_daily(spark, sf_dir), "date")
+    r = ordered.rolling_mean(sp, ["avg_no2", "avg_o3"], 7, "date", partition_by=["split"],
+                             suffix="_week", backfill=backfilled)
+    cc = clean.complete_cases(r, ["avg_no2", "avg_o3", "avg_no2_week", "avg_o3_week"])
+    return metrics.regression_metrics(cc, ["avg_no2", "avg_o3"], ["avg_no2_week", "avg_o3_week"], by="split")
+
+
+@register("score_metrics", q.with_(q.BASE + [q.S, q.SP, _ROLL_SQL], _score_sql("rb", "rb.no2_week", "rb.o3_week")))
+def score_metrics(spark, sf_dir):
+    """Seven-day mean as the forecast of each day, scored per split."""
+    return r6(_scored(spark, sf_dir))
+
+
+_RAW_ROLL = """rr AS (SELECT date, no2_week AS rn, o3_week AS ro FROM ro)"""
+
+
+def _upsert_sql():
+    long = lambda src, ver, where: (
+        f"SELECT 'rolling7' AS model, split, m.metric, m.value, {ver} AS version FROM ({src}) s "
+        f"CROSS JOIN LATERAL (VALUES ('mse', s.mse), ('rmse', s.rmse), ('r2', s.r2)) m(metric, value) {where}")
+    old = long(_score_sql("rb", "rb.no2_week", "rb.o3_week"), 0, "")
+    new = long(_score_sql("rr", "rr.rn", "rr.ro"), 1, "WHERE split = 'test'")
+    return q.with_(q.BASE + [q.S, q.SP, _ROLL_SQL, _RAW_ROLL], f"""SELECT model, split, metric, value, version FROM (
+      SELECT *, row_number() OVER (PARTITION BY model, split, metric ORDER BY version DESC, value) AS rn
+      FROM ({old} UNION ALL {new})) WHERE rn = 1""")
+
+
+def _upserted(spark, sf_dir):
+    old = metrics.to_long(_scored(spark, sf_dir, True), "split", 0, "rolling7")
+    new = metrics.to_long(_scored(spark, sf_dir, False).where(F.col("split") == "test"), "split", 1, "rolling7")
+    return metrics.upsert(old, new)
+
+
+@register("metrics_upsert", _upsert_sql())
+def metrics_upsert(spark, sf_dir):
+    """Version 0 = scores with back-filled means; version 1 re-scores test with
+    complete windows only and replaces it; train and val are kept."""
+    return r6(_upserted(spark, sf_dir).select("model", "split", "metric", "value", "version"))
+
+
+@register("metrics_test_view", "SELECT " + ", ".join(
+    f"max(CASE WHEN metric = '{m}' THEN value END) AS test_{m}" for m in metrics.METRICS) +
+    " FROM (" + _upsert_sql() + ") WHERE model = 'rolling7' AND split = 'test'")
+def metrics_test_view(spark, sf_dir):
+    return metrics.test_view(metrics_upsert(spark, sf_dir), "rolling7")
