@@ -676,3 +676,45 @@ def metrics_upsert(spark, sf_dir):
     " FROM (" + _upsert_sql() + ") WHERE model = 'rolling7' AND split = 'test'")
 def metrics_test_view(spark, sf_dir):
     return metrics.test_view(metrics_upsert(spark, sf_dir), "rolling7")
+
+
+# --- streaming ------------------------------------------------------------------------
+from aeris.streaming import stream  # noqa: E402
+
+
+@register("stream_ingest", "SELECT event_id, user_id AS station, event_type AS pollutant, value AS concentration, ts FROM events")
+def stream_ingest(spark, sf_dir):
+    ev = stream.table_stream(spark, sf_dir, "events").select(
+        "event_id", F.col("user_id").alias("station"), F.col("event_type").alias("pollutant"),
+        F.col("value").alias("concentration"), "ts")
+    return stream.run_to_table(spark, stream.dedup_stream(ev), "ingest")
+
+
+_SD_SQL = ["""sd AS (SELECT CAST(ts AS DATE) AS date,
+  avg(CASE WHEN pollutant = 'NO' THEN concentration END) AS avg_no,
+  avg(CASE WHEN pollutant = 'NO2' THEN concentration END) AS avg_no2,
+  avg(CASE WHEN pollutant = 'O3' THEN concentration END) AS avg_o3,
+  coalesce(avg(CASE WHEN pollutant = 'NOX as NO2' THEN concentration END), 0.0) AS avg_nox,
+  count(*) AS n_readings
+  FROM (SELECT CAST(l_suppkey % 10 AS BIGINT) AS station, CASE l_returnflag || l_linestatus
+          WHEN 'AF' THEN 'NO' WHEN 'AO' THEN 'NO2' WHEN 'NF' THEN 'O3' WHEN 'RO' THEN 'NOX as NO2'
+          ELSE 'other' END AS pollutant, 2 * l_quantity AS concentration, l_shipdate AS ts FROM lineitem) x
+  WHERE station IN (1, 2, 3) GROUP BY CAST(ts AS DATE)
+  HAVING CAST(ts AS DATE) + INTERVAL 1 DAY <= (SELECT max(l_shipdate) FROM lineitem) - INTERVAL 1 DAY)"""]
+
+
+@register("stream_daily_avg", q.with_(_SD_SQL, "SELECT date, " + q.rnd(["avg_no", "avg_no2", "avg_o3", "avg_nox"]) +
+                                      ", n_readings FROM sd"))
+def stream_daily_avg(spark, sf_dir):
+    """Days whose window closed under the watermark (the last open day is not emitted)."""
+    return r6(stream.run_to_table(spark, stream.daily_stream(stream.readings_stream(spark, sf_dir)), "daily"))
+
+
+@register("stream_advice", q.with_(_SD_SQL, f"""SELECT date, {q.rd('avg_no2')} AS avg_no2, {q.rd('avg_o3')} AS avg_o3,
+  CASE WHEN coalesce(avg_no2 > 20, false) OR coalesce(avg_o3 > 60, false)
+    THEN concat_ws(' | ', CASE WHEN avg_no2 > 20 THEN '{advisory.NO2_ADVICE}' END,
+                   CASE WHEN avg_o3 > 60 THEN '{advisory.O3_ADVICE}' END)
+    ELSE '{advisory.SAFE_ADVICE}' END AS advice FROM sd"""))
+def stream_advice(spark, sf_dir):
+    daily = stream.daily_stream(stream.readings_stream(spark, sf_dir))
+    return r6(stream.run_to_table(spark, stream.advice_stream(daily), "advice"))
