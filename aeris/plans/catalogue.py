@@ -718,3 +718,92 @@ def stream_daily_avg(spark, sf_dir):
 def stream_advice(spark, sf_dir):
     daily = stream.daily_stream(stream.readings_stream(spark, sf_dir))
     return r6(stream.run_to_table(spark, stream.advice_stream(daily), "advice"))
+
+
+# --- model queries without an SQL oracle (rows-only check) -----------------------------
+from aeris.operators import forecast, forest  # noqa: E402
+
+MODEL_TARGETS = pl.TARGETS
+MODEL_FEATURES = [c for c in ENCODED_NUMERIC if c not in MODEL_TARGETS]
+
+
+def _model_table(spark, sf_dir):
+    """Encoded labels, 70/15/15 split, min-max fitted per split, md5 folds."""
+    sp = split.chronological_split(_encoded(spark, sf_dir), "date")
+    scaled = scale.minmax_by_split(sp, ENCODED_NUMERIC, "split")
+    # iterative fits read this many times: cut the lineage once (reliable
+    # checkpoint in the shared checkpoint directory)
+    return split.with_folds(scaled, "date", 5, 42).checkpoint(eager=True)
+
+
+@register("cv_ridge")
+def cv_ridge(spark, sf_dir):
+    """5-fold ridge (alpha 1) on train: per-fold metrics from fold statistics."""
+    t = _model_table(spark, sf_dir).where(F.col("split") == "train")
+    fold_metrics, _, _ = linear.cross_validate(t, MODEL_FEATURES, MODEL_TARGETS, "fold", 5, RIDGE_ALPHA)
+    return fold_metrics
+
+
+@register("lasso_fit")
+def lasso_fit(spark, sf_dir):
+    t = _model_table(spark, sf_dir).where(F.col("split") == "train")
+    rows = []
+    for y in MODEL_TARGETS:
+        m = linear.fit_lasso(t, MODEL_FEATURES, y, 0.001)
+        rows.append(("intercept", y, float(m.intercept)))
+        rows += [(f, y, float(c)) for f, c in zip(MODEL_FEATURES, m.coefficients.toArray())]
+    return spark.createDataFrame(rows, "term string, target string, coef double")
+
+
+@register("overfit_loop")
+def overfit_loop(spark, sf_dir):
+    m = _model_table(spark, sf_dir)
+    hist = linear.overfit_search(m.where(F.col("split") == "train"), m.where(F.col("split") == "test"),
+                                 MODEL_FEATURES, MODEL_TARGETS, "fold", 5, RIDGE_ALPHA, 0.1, 6)
+    return spark.createDataFrame(hist, "round int, alpha double, cv_r2 double, test_r2 double")
+
+
+def _forests(spark, sf_dir):
+    m = _model_table(spark, sf_dir)
+    models = forest.fit_forests(m.where(F.col("split") == "train"), MODEL_FEATURES, MODEL_TARGETS)
+    return m, models
+
+
+@register("forest_fit")
+def forest_fit(spark, sf_dir):
+    """Test-split predictions of the two forests (stored best parameters)."""
+    m, models = _forests(spark, sf_dir)
+    return forest.predict_forests(models, m.where(F.col("split") == "test"), MODEL_FEATURES)
+
+
+@register("forest_importance")
+def forest_importance(spark, sf_dir):
+    _, models = _forests(spark, sf_dir)
+    return forest.importances(models, MODEL_FEATURES, spark)
+
+
+@register("grid_search")
+def grid_search(spark, sf_dir):
+    t = split.with_folds(_model_table(spark, sf_dir).drop("fold").where(F.col("split") == "train"),
+                         "date", 3, 42)
+    return forest.grid_search(t, MODEL_FEATURES, "avg_o3", "fold")
+
+
+def _seq_predictions(spark, sf_dir):
+    r = _rolled(spark, sf_dir)
+    seq = ordered.sequence_windows(r, SEQ_FEATURES, SEQ_LEN, "date", partition_by=["split"])
+    seq = seq.checkpoint(eager=True)
+    models = forecast.fit_sequence_models(seq.where(F.col("split") == "train"), ["no2_week", "o3_week"])
+    return forecast.predict_sequences(models, seq.where(F.col("split") == "test"), ("date", "no2_week", "o3_week"))
+
+
+@register("seq_forecast")
+def seq_forecast(spark, sf_dir):
+    """Test-split forecasts of the 7-day means from 14-day windows."""
+    return _seq_predictions(spark, sf_dir)
+
+
+@register("next_forecast")
+def next_forecast(spark, sf_dir):
+    """The first three forecast days of the test split."""
+    return forecast.next_days(_seq_predictions(spark, sf_dir), 3)
