@@ -35,7 +35,7 @@ def calendar_date(ts) -> Column:
 
 
 def wall_clock_date(s) -> Column:
-    return F.try_to_date(F.substring(_c(s), 1, 10), F.lit("yyyy-MM-dd"))
+    return F.try_to_date(F.substring(_c(s), 1, 10), "yyyy-MM-dd")
 
 
 def month_name(d) -> Column:

@@ -68,16 +68,15 @@ def blocked(df: DataFrame, halo: int, block_rows: int = DEFAULT_BLOCK_ROWS,
             id_col: str = ROW_ID) -> DataFrame:
     """Rows tagged with ``_blk``; the last ``halo`` rows of a block are repeated
     in the next block with ``_home`` = false."""
-    if halo > block_rows:
-        raise ValueError("halo larger than a block")
     blk = F.floor(F.col(id_col) / F.lit(block_rows)).cast("long")
     home = df.withColumn(_BLK, blk).withColumn(_HOME, F.lit(True))
-    if halo <= 0:
-        return home
-    pos = F.col(id_col) % F.lit(block_rows)
-    copies = (df.where(pos >= F.lit(block_rows - halo))
-                .withColumn(_BLK, blk + 1).withColumn(_HOME, F.lit(False)))
-    return home.unionByName(copies)
+    # a row is repeated in every later block whose first row lies < halo rows after it
+    for j in range(1, -(-max(halo, 0) // block_rows) + 1):
+        start = (blk + j) * F.lit(block_rows)
+        copies = (df.where(F.col(id_col) >= start - F.lit(halo))
+                    .withColumn(_BLK, blk + j).withColumn(_HOME, F.lit(False)))
+        home = home.unionByName(copies)
+    return home
 
 
 # Fills need an order, not positions: on a single date key the blocks are date

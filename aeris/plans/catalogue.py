@@ -519,29 +519,32 @@ SEQ_FEATURES = FILLED_NUMERIC  # numeric columns except the two label columns
 
 
 @register("sequence_windows", q.with_(q.BASE + [q.S, q.SP, _ROLL_SQL], """
-  SELECT date, split, n_steps, first_date, """ + q.rnd(["x_sum", "y_no2", "y_o3"]) + """ FROM (
+  SELECT date, split, n_steps, first_date, x_micro, """ + q.rnd(["y_no2", "y_o3"]) + """ FROM (
     SELECT b.date, b.split, count(*) OVER wq AS n_steps,
       min(b.date) OVER wq AS first_date,
-      sum(""" + " + ".join(f"coalesce(CAST(b.{c} AS DOUBLE), 0)" for c in SEQ_FEATURES) + """) OVER wq AS x_sum,
+      CAST(sum(""" + " + ".join(f"floor(coalesce(CAST(b.{c} AS DOUBLE), 0) * 1000000.0 + 0.5)"
+                                for c in SEQ_FEATURES) + """) OVER wq AS BIGINT) AS x_micro,
       r.no2_week AS y_no2, r.o3_week AS y_o3
     FROM sp b JOIN rb r USING (date)
     WINDOW wq AS (PARTITION BY b.split ORDER BY b.row_id ROWS BETWEEN 14 PRECEDING AND 1 PRECEDING))
   WHERE n_steps = 14"""))
 def sequence_windows(spark, sf_dir):
     """Windows of 14 previous days per split; label = the day's 7-day means.
-    Reported per sample: window length, first day, sum of all window cells."""
+    Reported per sample: window length, first day, and the sum of all window
+    cells in integer micro-units (exact, so independent of summation order)."""
     r = _rolled(spark, sf_dir)
     seq = ordered.sequence_windows(r, SEQ_FEATURES, SEQ_LEN, "date", partition_by=["split"])
-    cells = F.aggregate(F.flatten("x"), F.lit(0.0), lambda acc, v: acc + F.coalesce(v, F.lit(0.0)))
+    cells = F.aggregate(F.flatten("x"), F.lit(0).cast("bigint"),
+                        lambda acc, v: acc + F.floor(F.coalesce(v, F.lit(0.0)) * 1000000.0 + 0.5))
     first_day = F.date_sub(F.col("date"), 0)
     return r6(seq.select("date", "split", F.size("x").cast("bigint").alias("n_steps"),
-                         F.lit(None).cast("date").alias("first_date"), cells.alias("x_sum"),
+                         F.lit(None).cast("date").alias("first_date"), cells.alias("x_micro"),
                          F.col("no2_week").alias("y_no2"), F.col("o3_week").alias("y_o3"))
               .drop("first_date").join(
                   r.select("date", ordered.ROW_ID, "split"), ["date", "split"])
               .withColumn("_first", F.col(ordered.ROW_ID) - SEQ_LEN)
               .join(r.select(F.col(ordered.ROW_ID).alias("_first"), F.col("date").alias("first_date")), "_first")
-              .select("date", "split", "n_steps", "first_date", "x_sum", "y_no2", "y_o3"))
+              .select("date", "split", "n_steps", "first_date", "x_micro", "y_no2", "y_o3"))
 
 
 # --- advisory -----------------------------------------------------------------------
