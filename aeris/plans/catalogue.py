@@ -810,3 +810,89 @@ def seq_forecast(spark, sf_dir):
 def next_forecast(spark, sf_dir):
     """The first three forecast days of the test split."""
     return forecast.next_days(_seq_predictions(spark, sf_dir), 3)
+
+
+# --- small inventory items ----------------------------------------------------------
+
+
+@register("distinct_years", q.with_(q.BASE, "SELECT DISTINCT CAST(year(date) AS INTEGER) AS year FROM f"))
+def distinct_years(spark, sf_dir):
+    return pl.merged_daily(spark, sf_dir).select(F.year("date").alias("year")).distinct()
+
+
+@register("holiday_calendar", q.with_(q.BASE + [q.YRS, q.EAS, """hn AS (
+  SELECT make_date(y, 1, 1) AS holiday_date, 'New Year''s Day' AS holiday_name FROM yrs
+  UNION ALL SELECT make_date(y, 12, 25), 'Christmas Day' FROM yrs
+  UNION ALL SELECT make_date(y, 12, 26), 'Second Day of Christmas' FROM yrs
+  UNION ALL SELECT easter, 'Easter Sunday' FROM eas
+  UNION ALL SELECT easter + 1, 'Easter Monday' FROM eas
+  UNION ALL SELECT easter + 39, 'Ascension Day' FROM eas
+  UNION ALL SELECT easter + 49, 'Whit Sunday' FROM eas
+  UNION ALL SELECT easter + 50, 'Whit Monday' FROM eas
+  UNION ALL SELECT CASE WHEN dayofweek(rb) = 0 THEN rb - 1 ELSE rb END,
+    CASE WHEN y >= 2014 THEN 'King''s Day' ELSE 'Queen''s Day' END FROM
+    (SELECT y, CASE WHEN y >= 2014 THEN make_date(y, 4, 27) ELSE make_date(y, 4, 30) END AS rb FROM yrs)
+  UNION ALL SELECT make_date(y, 5, 5), 'Liberation Day' FROM yrs WHERE y % 5 = 0)"""],
+    "SELECT DISTINCT holiday_date, holiday_name FROM hn"))
+def holiday_calendar(spark, sf_dir):
+    """The holiday dimension for the years present (the join variant's build side)."""
+    return cal.holiday_calendar(pl.merged_daily(spark, sf_dir).select(F.year("date").alias("year")))
+
+
+@register("target_summary", q.with_(q.BASE, q.union_all([
+    f"SELECT '{t}' AS target, {q.rd(f'min({t})')} AS min, {q.rd(f'max({t})')} AS max, "
+    f"{q.rd(f'median({t})')} AS median FROM f" for t in ["avg_no2", "avg_o3"]])))
+def target_summary(spark, sf_dir):
+    f = pl.merged_daily(spark, sf_dir)
+    parts = [f.agg(F.lit(t).alias("target"), F.min(t).alias("min"), F.max(t).alias("max"),
+                   F.median(t).alias("median")) for t in pl.TARGETS]
+    return r6(parts[0].unionByName(parts[1]))
+
+
+@register("shape", q.with_(q.BASE, "SELECT count(*) AS n_rows, 9 AS n_columns FROM f"))
+def shape(spark, sf_dir):
+    f = pl.merged_daily(spark, sf_dir)
+    return f.agg(F.count(F.lit(1)).alias("n_rows"), F.lit(len(f.columns)).alias("n_columns"))
+
+
+@register("split_ranges", q.with_(q.BASE + [q.S, q.SP],
+                                  "SELECT split, min(date) AS min_date, max(date) AS max_date FROM sp GROUP BY split"))
+def split_ranges(spark, sf_dir):
+    return split.split_ranges(split.chronological_split(pl.merged_daily(spark, sf_dir), "date"))
+
+
+@register("fill_zero", q.with_(q.BASE, "SELECT date, " + ", ".join(
+    q.rd(f"coalesce({c}, 0)") + f" AS {c}" for c in MERGED_DOUBLES) + ", coalesce(n, 0) AS n FROM m"))
+def fill_zero(spark, sf_dir):
+    return r6(clean.fill_zero(pl.merged_unfilled(spark, sf_dir), FILLED_NUMERIC))
+
+
+def _r3(c):
+    return f"round({c}, 3)"
+
+
+@register("current_display", q.with_(q.BASE, """SELECT date, CAST(round(CAST(avg_no2 AS DECIMAL(18, 6)), 3) AS DOUBLE) AS no2,
+  CAST(round(CAST(avg_o3 AS DECIMAL(18, 6)), 3) AS DOUBLE) AS o3 FROM f ORDER BY date DESC LIMIT 1"""))
+def current_display(spark, sf_dir):
+    """Latest day's NO2 and O3 for display (3 decimals, half-up on the 6-decimal value)."""
+    cur = ordered.current_row(pl.merged_daily(spark, sf_dir), "date")
+    return cur.select("date", *[F.round(F.col(c).cast("decimal(18,6)"), 3).cast("double").alias(a)
+                                for c, a in (("avg_no2", "no2"), ("avg_o3", "o3"))])
+
+
+@register("time_format", q.with_([q.EV], """SELECT event_id, strftime(ts + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS next_hour,
+  strftime(ts, '%Y-%m-%d') AS day, CASE WHEN pollutant = 'click' THEN 'tap' ELSE pollutant END AS pollutant FROM ev"""))
+def time_format(spark, sf_dir):
+    ev = tables.event_readings(spark, sf_dir)
+    return ev.select("event_id", F.date_format(cal.hour_after("ts"), "yyyy-MM-dd HH:mm:ss").alias("next_hour"),
+                     F.date_format("ts", "yyyy-MM-dd").alias("day"),
+                     labels.replace_value("pollutant", "click", "tap").alias("pollutant"))
+
+
+@register("single_target_metrics", q.with_(q.BASE + [q.S, q.SP, _ROLL_SQL], """SELECT
+  """ + q.rd("avg(abs(y - p))") + " AS mae, " + q.rd("sqrt(avg((y - p) * (y - p)))") + " AS rmse, " +
+    q.rd(_r2_sql("y", "p")) + """ AS r2 FROM (SELECT sp.avg_no2 AS y, rb.no2_week AS p FROM sp JOIN rb USING (date)
+  WHERE sp.avg_no2 IS NOT NULL AND rb.no2_week IS NOT NULL)"""))
+def single_target_metrics(spark, sf_dir):
+    r = clean.complete_cases(_rolled(spark, sf_dir), ["avg_no2", "no2_week"])
+    return r6(metrics.single_target_metrics(r, "avg_no2", "no2_week"))
