@@ -27,8 +27,17 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def event_time(col: str = "ts"):
-    """Watermarks need TIMESTAMP (not NTZ); the session time zone is UTC."""
-    return F.col(col).cast("timestamp")
+    """Watermarks need TIMESTAMP (not NTZ). The wall clock is read as UTC
+    seconds, so windows align to wall-clock days whatever the session zone."""
+    c = F.col(col)
+    secs = (F.unix_date(F.to_date(c)).cast("long") * 86400 + F.hour(c) * 3600
+            + F.minute(c) * 60 + F.second(c))
+    return F.timestamp_seconds(secs)
+
+
+def window_date(col: str = "window.start"):
+    """Wall-clock date of a window bound produced from ``event_time``."""
+    return F.date_from_unix_date(F.floor(F.unix_seconds(F.col(col)) / 86400).cast("int"))
 
 
 def dedup_stream(events: DataFrame, key: str = "event_id", ts: str = "ts",
@@ -49,7 +58,7 @@ def daily_stream(readings: DataFrame, ts: str = "ts", delay: str = "1 day") -> D
         aggs.append(a.alias(DAILY_COLUMNS[p]))
     return (readings.withColumn("_et", event_time(ts)).withWatermark("_et", delay)
                     .groupBy(F.window("_et", "1 day")).agg(*aggs, F.count(F.lit(1)).alias("n_readings"))
-                    .select(F.to_date(F.col("window.start")).alias("date"), *[DAILY_COLUMNS[p] for p in POLLUTANTS],
+                    .select(window_date("window.start").alias("date"), *[DAILY_COLUMNS[p] for p in POLLUTANTS],
                             "n_readings"))
 
 
