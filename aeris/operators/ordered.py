@@ -162,19 +162,23 @@ def rolling_mean(df: DataFrame, cols, window: int, order, partition_by=None,
 
 def sequence_windows(df: DataFrame, features, length: int, order, partition_by=None,
                      out: str = "x", block_rows: int = DEFAULT_BLOCK_ROWS,
-                     id_col: str = ROW_ID) -> DataFrame:
+                     id_col: str = ROW_ID, first_of: str | None = None) -> DataFrame:
     """Append ``out`` = array of the ``length`` previous rows' ``features``
     (oldest first); rows with fewer than ``length`` predecessors are dropped.
-    The current row carries the label columns."""
+    The current row carries the label columns. ``first_of`` adds
+    ``first_<col>`` = that column's value on the window's oldest row."""
     pb = _cols(partition_by)
     features = _cols(features)
     indexed = _ensure_index(df, order, pb, id_col)
     b = blocked(indexed, length, block_rows, id_col)
     w = Window.partitionBy(*pb, _BLK).orderBy(id_col).rowsBetween(-length, -1)
+    extra = [F.col(first_of).alias("_k")] if first_of else []
     step = F.struct(F.col(id_col).alias("_pos"),
-                    F.array(*[F.col(c).cast("double") for c in features]).alias("_v"))
+                    F.array(*[F.col(c).cast("double") for c in features]).alias("_v"), *extra)
     seq = F.array_sort(F.collect_list(step).over(w))
     windowed = b.select("*", seq.alias("_seq")).where(F.col(_HOME) & (F.size("_seq") == length))
+    if first_of:
+        windowed = windowed.withColumn(f"first_{first_of}", F.col("_seq")[0]["_k"])
     return (windowed.withColumn(out, F.transform("_seq", lambda s: s["_v"]))
                     .drop("_seq", _BLK, _HOME))
 

@@ -533,18 +533,13 @@ def sequence_windows(spark, sf_dir):
     Reported per sample: window length, first day, and the sum of all window
     cells in integer micro-units (exact, so independent of summation order)."""
     r = _rolled(spark, sf_dir)
-    seq = ordered.sequence_windows(r, SEQ_FEATURES, SEQ_LEN, "date", partition_by=["split"])
+    seq = ordered.sequence_windows(r, SEQ_FEATURES, SEQ_LEN, "date", partition_by=["split"],
+                                   first_of="date")
     cells = F.aggregate(F.flatten("x"), F.lit(0).cast("bigint"),
                         lambda acc, v: acc + F.floor(F.coalesce(v, F.lit(0.0)) * 1000000.0 + 0.5))
-    first_day = F.date_sub(F.col("date"), 0)
     return r6(seq.select("date", "split", F.size("x").cast("bigint").alias("n_steps"),
-                         F.lit(None).cast("date").alias("first_date"), cells.alias("x_micro"),
-                         F.col("no2_week").alias("y_no2"), F.col("o3_week").alias("y_o3"))
-              .drop("first_date").join(
-                  r.select("date", ordered.ROW_ID, "split"), ["date", "split"])
-              .withColumn("_first", F.col(ordered.ROW_ID) - SEQ_LEN)
-              .join(r.select(F.col(ordered.ROW_ID).alias("_first"), F.col("date").alias("first_date")), "_first")
-              .select("date", "split", "n_steps", "first_date", "x_micro", "y_no2", "y_o3"))
+                         F.col("first_date"), cells.alias("x_micro"),
+                         F.col("no2_week").alias("y_no2"), F.col("o3_week").alias("y_o3")))
 
 
 # --- advisory -----------------------------------------------------------------------
