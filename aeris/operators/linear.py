@@ -136,6 +136,19 @@ def cross_validate(df: DataFrame, features, targets, fold_col: str = "fold", k:
     return fold_metrics, means, models
 
 
+def fit_with_cv(df: DataFrame, features, targets, fold_col: str = "fold", k: int = 5,
+                alpha: float = 0.0, refit: str = "all"):
+    """Cross-validate, then return (model, cv means, fold metrics).
+
+    ``refit='all'`` fits once more on every row (from the same statistics:
+    the sum of the fold statistics); ``'last_fold'`` keeps the last fold's
+    model, as the reference's linear script does."""
+    fold_metrics, means, models = cross_validate(df, features, targets, fold_col, k, alpha)
+    if refit == "last_fold":
+        return models[max(models)], means, fold_metrics
+    return fit_linear(df, features, targets, alpha), means, fold_metrics
+
+
 def overfit_search(train: DataFrame, test: DataFrame, features, targets, fold_col: str = "fold",
                    k: int = 5, alpha: float = 1.0, gap: float = 0.1, max_rounds: int = 8):
     """While |R2_cv - R2_test| > gap, double alpha and refit (bounded rounds).

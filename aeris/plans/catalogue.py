@@ -891,3 +891,56 @@ def time_format(spark, sf_dir):
 def single_target_metrics(spark, sf_dir):
     r = clean.complete_cases(_rolled(spark, sf_dir), ["avg_no2", "no2_week"])
     return r6(metrics.single_target_metrics(r, "avg_no2", "no2_week"))
+
+
+def _resplit_model_table(spark, sf_dir):
+    """Re-split 60/20/20 (2 % gaps, unseen = last 5 %) of the scaled model table."""
+    m = _model_table(spark, sf_dir).drop(ordered.ROW_ID, "split")
+    return split.resplit_with_gap(m, "date").checkpoint(eager=True)
+
+
+def _linear_eval(spark, sf_dir):
+    rs = _resplit_model_table(spark, sf_dir)
+    train = rs.where(F.col("split") == "train")
+    model, cv, _ = linear.fit_with_cv(train, MODEL_FEATURES, MODEL_TARGETS, "fold", 5, RIDGE_ALPHA,
+                                      refit="last_fold")
+    return rs, model, cv
+
+
+@register("linear_eval")
+def linear_eval(spark, sf_dir):
+    """The metrics document: cross-validation means, test and unseen scores of
+    the ridge model (alpha 1, last-fold model), as (split, mse, rmse, r2)."""
+    rs, model, cv = _linear_eval(spark, sf_dir)
+    preds = [f"pred_{t}" for t in MODEL_TARGETS]
+    out = spark.createDataFrame([("cross_validation", float(cv["mse"]), float(cv["rmse"]), float(cv["r2"]))],
+                                "split string, mse double, rmse double, r2 double")
+    for name, cond in (("test", F.col("split") == "test"), ("unseen", F.col("unseen"))):
+        part = clean.complete_cases(rs.where(cond), MODEL_FEATURES + MODEL_TARGETS)
+        m = metrics.regression_metrics(model.predict(part), MODEL_TARGETS, preds)
+        out = out.unionByName(m.select(F.lit(name).alias("split"), "mse", "rmse", "r2"))
+    return out
+
+
+@register("linear_predictions")
+def linear_predictions(spark, sf_dir):
+    """(date, pred_avg_no2, pred_avg_o3) for the test rows of the re-split."""
+    rs, model, _ = _linear_eval(spark, sf_dir)
+    test = clean.complete_cases(rs.where(F.col("split") == "test"), MODEL_FEATURES)
+    return model.predict(test).select("date", *[f"pred_{t}" for t in MODEL_TARGETS])
+
+
+@register("forest_fold_mse")
+def forest_fold_mse(spark, sf_dir):
+    """Train and validation MSE of each target's forest per fold (3 md5 folds of train)."""
+    t = split.with_folds(_model_table(spark, sf_dir).drop("fold").where(F.col("split") == "train"),
+                         "date", 3, 42).checkpoint(eager=True)
+    rows = []
+    for f in range(3):
+        fit_part, val_part = t.where(F.col("fold") != f), t.where(F.col("fold") == f)
+        models = forest.fit_forests(fit_part, MODEL_FEATURES, MODEL_TARGETS)
+        for name, part in (("train", fit_part), ("val", val_part)):
+            scored = forest.predict_forests(models, part, MODEL_FEATURES, keep=MODEL_TARGETS)
+            m = metrics.regression_metrics(scored, MODEL_TARGETS, [f"pred_{x}" for x in MODEL_TARGETS]).first()
+            rows.append((f, name, float(m["mse"])))
+    return spark.createDataFrame(rows, "fold int, part string, mse double")

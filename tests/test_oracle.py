@@ -41,4 +41,5 @@ def test_entry_smoke(spark):
 def test_every_query_has_oracle_or_is_model():
     rows_only = set(entry.queries()) - set(SQL)
     assert rows_only <= {"cv_ridge", "lasso_fit", "overfit_loop", "forest_fit", "forest_importance",
-                         "grid_search", "seq_forecast", "next_forecast"}
+                         "grid_search", "seq_forecast", "next_forecast", "linear_eval",
+                         "linear_predictions", "forest_fold_mse"}
