@@ -96,27 +96,29 @@ KINGS_DAY_FROM = 2014
 LIBERATION_EVERY = 5
 
 
-# Anonymous Gregorian computus, one intermediate per projection step so that
-# no step re-inlines the previous ones (keeps generated code small).
+# Anonymous Gregorian computus. Each step only uses columns of earlier steps,
+# so no step re-inlines the previous ones (keeps generated code small); the
+# independent intermediates of a step share one projection.
 _EASTER_STEPS = [
-    ("_ea", "_ey % 19"), ("_eb", "_ey div 100"), ("_ec", "_ey % 100"),
-    ("_ed", "_eb div 4"), ("_ee", "_eb % 4"), ("_ef", "(_eb + 8) div 25"),
-    ("_eg", "(_eb - _ef + 1) div 3"), ("_ei", "_ec div 4"), ("_ek", "_ec % 4"),
-    ("_eh", "(19 * _ea + _eb - _ed - _eg + 15) % 30"),
-    ("_el", "(32 + 2 * _ee + 2 * _ei - _eh - _ek) % 7"),
-    ("_em", "(_ea + 11 * _eh + 22 * _el) div 451"),
-    ("_en", "_eh + _el - 7 * _em + 114"),
+    {"_ea": "_ey % 19", "_eb": "_ey div 100", "_ec": "_ey % 100"},
+    {"_ed": "_eb div 4", "_ee": "_eb % 4", "_ef": "(_eb + 8) div 25", "_ei": "_ec div 4",
+     "_ek": "_ec % 4"},
+    {"_eg": "(_eb - _ef + 1) div 3"},
+    {"_eh": "(19 * _ea + _eb - _ed - _eg + 15) % 30"},
+    {"_el": "(32 + 2 * _ee + 2 * _ei - _eh - _ek) % 7"},
+    {"_em": "(_ea + 11 * _eh + 22 * _el) div 451"},
+    {"_en": "_eh + _el - 7 * _em + 114"},
 ]
 
 
 def with_easter(df: DataFrame, year, out: str = "easter") -> DataFrame:
     """Append ``out`` = Easter Sunday of ``year`` (an int column)."""
     tmp = df.withColumn("_ey", _c(year).cast("bigint"))
-    for name, expr in _EASTER_STEPS:
-        tmp = tmp.withColumn(name, F.expr(expr))
+    for step in _EASTER_STEPS:
+        tmp = tmp.withColumns({name: F.expr(e) for name, e in step.items()})
     tmp = tmp.withColumn(out, F.expr("make_date(CAST(_ey AS INT), CAST(_en div 31 AS INT), "
                                      "CAST(_en % 31 + 1 AS INT))"))
-    return tmp.drop("_ey", *[n for n, _ in _EASTER_STEPS])
+    return tmp.drop("_ey", *[n for step in _EASTER_STEPS for n in step])
 
 
 def holiday_calendar(years: DataFrame, year_col: str = "year") -> DataFrame:

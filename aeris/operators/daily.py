@@ -32,6 +32,42 @@ def daily_pivot_avg(readings: DataFrame, ts: str = "ts", pollutant: str = "pollu
             .groupBy(*keys, date.alias("date")).agg(*aggs))
 
 
+def daily_pivot_avg_imputed(readings: DataFrame, ts: str = "ts", pollutant: str = "pollutant",
+                            value: str = "concentration", keys=(), pollutants=POLLUTANTS) -> DataFrame:
+    """``daily_pivot_avg`` of readings whose NULL values are first replaced by
+    the mean over all rows - in one scan.
+
+    Per group the aggregate keeps, for every pollutant, the sum and count of
+    present values and the count of missing ones; the global mean comes from
+    per-day totals. The per-day aggregate (days x pollutants numbers) is
+    checkpointed once, so the readings are scanned exactly once and the mean
+    and the final projection both read the small table. A day's mean is
+    (sum + missing * mean) / (present + missing), the mean of the imputed rows.
+    """
+    from aeris.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(readings.sparkSession)
+    date = F.to_date(F.col(ts))
+    v, p = F.col(value), F.col(pollutant)
+    aggs = [F.sum(v).alias("_s_all"), F.count(v).alias("_k_all")]
+    for i, name in enumerate(pollutants):
+        aggs += [F.sum(F.when(p == name, v)).alias(f"_s{i}"),
+                 F.count(F.when(p == name, v)).alias(f"_k{i}"),
+                 F.count_if((p == name) & v.isNull()).alias(f"_z{i}")]
+    # the NULL-date group is kept here: its rows count towards the mean
+    g = readings.groupBy(*keys, date.alias("date")).agg(*aggs).checkpoint(eager=True)
+    mean = g.select(F.sum("_s_all") / F.sum("_k_all")).scalar()
+    out = []
+    for i, name in enumerate(pollutants):
+        z = F.col(f"_z{i}")
+        filled = F.coalesce(F.col(f"_s{i}"), F.lit(0.0)) + F.when(z > 0, z * mean).otherwise(F.lit(0.0))
+        n = F.col(f"_k{i}") + z
+        a = F.when(n > 0, filled / n)
+        if name in ZERO_WHEN_ABSENT:
+            a = F.coalesce(a, F.lit(0.0))
+        out.append(a.alias(DAILY_COLUMNS.get(name, f"avg_{name}")))
+    return g.where(F.col("date").isNotNull()).select(*keys, "date", *out)
+
+
 def pivot_mean(df: DataFrame, index: str, columns: str, values: str,
                column_values=None) -> DataFrame:
     """pivot_table(mean): one row per ``index``, one column per ``columns`` value.
