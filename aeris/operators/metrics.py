@@ -54,3 +54,18 @@ def test_view(metrics: DataFrame, model: str) -> DataFrame:
     t = metrics.where((F.col("model") == model) & (F.col("split") == "test"))
     return t.agg(*[F.max(F.when(F.col("metric") == m, F.col("value"))).alias(f"test_{m}")
                    for m in METRICS])
+
+
+def write_metrics_json(metrics_long: DataFrame, path: str) -> None:
+    """Persist the long metrics table as JSON lines (overwrite of the whole table)."""
+    metrics_long.write.mode("overwrite").json(path)
+
+
+def read_metrics_json(spark, path: str) -> DataFrame:
+    """Read a metrics table written by ``write_metrics_json``; a missing or
+    unreadable location gives an empty table (start fresh)."""
+    schema = "model string, split string, metric string, value double, version int"
+    try:
+        return spark.read.schema(schema).json(path)
+    except Exception:  # noqa: BLE001 - corrupt or absent -> empty
+        return spark.createDataFrame([], schema)

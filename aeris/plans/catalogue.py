@@ -944,3 +944,21 @@ def forest_fold_mse(spark, sf_dir):
             m = metrics.regression_metrics(scored, MODEL_TARGETS, [f"pred_{x}" for x in MODEL_TARGETS]).first()
             rows.append((f, name, float(m["mse"])))
     return spark.createDataFrame(rows, "fold int, part string, mse double")
+
+
+@register("describe_events", q.union_all([
+    f"""SELECT '{c}' AS column, count({c}) AS count, {q.rd(f'avg(CAST({c} AS DOUBLE))')} AS mean,
+      {q.rd(f'stddev_samp(CAST({c} AS DOUBLE))')} AS std, {q.rd(f'min(CAST({c} AS DOUBLE))')} AS min,
+      {q.rd(f'quantile_cont(CAST({c} AS DOUBLE), 0.25)')} AS p25,
+      {q.rd(f'quantile_cont(CAST({c} AS DOUBLE), 0.5)')} AS p50,
+      {q.rd(f'quantile_cont(CAST({c} AS DOUBLE), 0.75)')} AS p75,
+      {q.rd(f'max(CAST({c} AS DOUBLE))')} AS max FROM events""" for c in ["value", "user_id"]]))
+def describe_events(spark, sf_dir):
+    return r6(stats.describe(tables.table(spark, sf_dir, "events"), ["value", "user_id"]))
+
+
+@register("event_skew", q.union_all([
+    f"SELECT '{c}' AS column, {q.rd(_skew_sql_expr(c))} AS skew, "
+    f"coalesce(abs({_skew_sql_expr(c)}) > 0.75, false) AS is_skewed FROM events" for c in ["value", "user_id"]]))
+def event_skew(spark, sf_dir):
+    return r6(stats.skew_table(tables.table(spark, sf_dir, "events"), ["value", "user_id"]))

@@ -73,3 +73,17 @@ def test_station_filter_semi_join_for_long_lists(spark):
     assert kept.count() == 1500
     assert "BroadcastHashJoin" in kept._jdf.queryExecution().executedPlan().toString() or \
         "LeftSemi" in kept._jdf.queryExecution().executedPlan().toString()
+
+
+def test_metrics_json_roundtrip_and_upsert(spark, tmp_path):
+    from aeris.operators import metrics
+    path = str(tmp_path / "metrics")
+    assert metrics.read_metrics_json(spark, path).count() == 0
+    old = spark.createDataFrame([("lin", "test", "mse", 1.0, 0), ("lin", "cv", "mse", 2.0, 0)],
+                                "model string, split string, metric string, value double, version int")
+    metrics.write_metrics_json(old, path)
+    new = spark.createDataFrame([("lin", "test", "mse", 0.5, 1)],
+                                "model string, split string, metric string, value double, version int")
+    merged = metrics.upsert(metrics.read_metrics_json(spark, path), new)
+    got = {(r["split"], r["value"]) for r in merged.collect()}
+    assert got == {("test", 0.5), ("cv", 2.0)}
