@@ -16,23 +16,59 @@ def _d(c: str) -> Column:
     return F.col(c).cast("double")
 
 
-def describe(df: DataFrame, cols=None, exact: bool = True) -> DataFrame:
+def exact_quantiles(df: DataFrame, col: str, probs) -> DataFrame:
+    """Exact linearly interpolated quantiles of ``col`` without holding the
+    values in one task: the non-null values get a dense sorted position (P1,
+    a range shuffle), then one aggregate picks the two order statistics around
+    each position (n-1)*p and interpolates. One row with q0, q1, ... columns."""
+    from aeris.operators.ordered import row_index
+    vals = df.select(_d(col).alias("_v")).where(F.col("_v").isNotNull())
+    idx = row_index(vals, "_v", "_pos")
+    n = idx.select(F.count(F.lit(1))).scalar()
+    aggs = []
+    for i, p in enumerate(probs):
+        pos = (n - 1).cast("double") * F.lit(float(p))
+        lo, hi = F.floor(pos), F.ceil(pos)
+        v_lo = F.max(F.when(F.col("_pos") == lo, F.col("_v")))
+        v_hi = F.max(F.when(F.col("_pos") == hi, F.col("_v")))
+        aggs.append((v_lo + (v_hi - v_lo) * (pos - lo)).alias(f"q{i}"))
+    return idx.agg(*aggs)
+
+
+def describe(df: DataFrame, cols=None, method: str = "memory") -> DataFrame:
     """Long-form describe: (column, count, mean, std, min, p25, p50, p75, max).
 
-    ``exact`` uses Spark's exact interpolated percentile (equal to pandas and
-    DuckDB); at scale pass ``exact=False`` for the bounded-memory sketch.
+    Percentiles are exact and interpolated like pandas and DuckDB.
+    ``method='memory'`` uses Spark's exact ``percentile`` aggregate, whose final
+    merge holds the distinct values in one task: only for inputs with a bound
+    (e.g. one row per day). ``'sort'`` is exact at any size (``exact_quantiles``).
+    ``'approx'`` uses the bounded-memory ``percentile_approx`` sketch.
     """
     cols = cols or numeric_columns(df)
+    probs = (0.25, 0.5, 0.75)
 
     def q(c, p):
-        return F.percentile(_d(c), p) if exact else F.percentile_approx(_d(c), p, 10000).cast("double")
+        if method == "memory":
+            return F.percentile(_d(c), p)
+        return F.percentile_approx(_d(c), p, 10000).cast("double")
 
+    with_q = method != "sort"
     stats = df.agg(*[F.struct(
         F.lit(c).alias("column"), F.count(c).alias("count"), F.avg(_d(c)).alias("mean"),
         F.stddev_samp(_d(c)).alias("std"), F.min(_d(c)).alias("min"),
-        q(c, 0.25).alias("p25"), q(c, 0.5).alias("p50"), q(c, 0.75).alias("p75"),
+        *([q(c, p).alias(f"p{int(p * 100)}") for p in probs] if with_q else []),
         F.max(_d(c)).alias("max")).alias(f"_s{i}") for i, c in enumerate(cols)])
-    return stats.select(F.inline(F.array(*[F.col(f"_s{i}") for i in range(len(cols))])))
+    base = stats.select(F.inline(F.array(*[F.col(f"_s{i}") for i in range(len(cols))])))
+    if with_q:
+        return base
+    qs = None
+    for c in cols:
+        one = exact_quantiles(df, c, probs).select(
+            F.lit(c).alias("column"), *[F.col(f"q{i}").alias(f"p{int(p * 100)}") for i, p in enumerate(probs)])
+        qs = one if qs is None else qs.unionByName(one)
+    # one row per described column on both sides
+    return base.join(F.broadcast(qs), "column").select(
+        "column", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def missing_counts(df: DataFrame, cols=None) -> DataFrame:

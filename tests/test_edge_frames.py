@@ -221,3 +221,13 @@ def test_cv_by_subtraction_equals_refit(spark):
     _, _, models = linear.cross_validate(df, ["a", "b"], ["y"], "fold", 3, 0.5)
     direct = linear.fit_linear(df.where("fold != 1"), ["a", "b"], ["y"], alpha=0.5)
     assert np.allclose(models[1].coef, direct.coef) and np.allclose(models[1].intercept, direct.intercept)
+
+
+def test_exact_quantiles_with_heavy_ties(spark):
+    import numpy as np
+    vals = [5.0] * 100 + [float(i) for i in range(200)]  # one value holds a third of the rows
+    df = spark.createDataFrame([(v,) for v in vals] + [(None,)], "x double")
+    got = stats.exact_quantiles(df, "x", (0.25, 0.5, 0.75)).first()
+    assert [got["q0"], got["q1"], got["q2"]] == pytest.approx(list(np.quantile(vals, [0.25, 0.5, 0.75])))
+    d = stats.describe(df, ["x"], method="sort").first()
+    assert d["count"] == 300 and d["p50"] == pytest.approx(float(np.median(vals)))
