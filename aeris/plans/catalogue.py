@@ -964,3 +964,12 @@ def describe_events(spark, sf_dir):
     f"coalesce(abs({_skew_sql_expr(c)}) > 0.75, false) AS is_skewed FROM events" for c in ["value", "user_id"]]))
 def event_skew(spark, sf_dir):
     return r6(stats.skew_table(tables.table(spark, sf_dir, "events"), ["value", "user_id"]))
+
+
+@register("reunion_resplit", q.with_(q.BASE + [q.S, q.RS], "SELECT date, row_id, split, unseen FROM rs"))
+def reunion_resplit(spark, sf_dir):
+    """The three 70/15/15 frames re-unioned (E3), re-sorted and re-split 60/20/20 with gaps."""
+    sp = split.chronological_split(pl.merged_daily(spark, sf_dir), "date").drop(ordered.ROW_ID)
+    parts = [sp.where(F.col("split") == s).drop("split") for s in ("train", "val", "test")]
+    return split.resplit_with_gap(split.reunion(*parts), "date").select(
+        "date", ordered.ROW_ID, "split", "unseen")
