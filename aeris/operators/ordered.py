@@ -112,8 +112,12 @@ def _fill(df: DataFrame, cols, order, partition_by, forward: bool,
         else w.rowsBetween(0, Window.unboundedFollowing)
     pick = F.last if forward else F.first
     by_pos = F.max_by if forward else F.min_by
-    # per (entity, block): the last (first) non-null value of each column
-    summary = b.groupBy(*pb, _BLK).agg(*[
+    filled = b.select(*[F.coalesce(pick(F.col(c), ignorenulls=True).over(w), F.col(c)).alias(c)
+                        if c in cols else F.col(c) for c in b.columns])
+    # per (entity, block): the last (first) non-null value of each column. Taken
+    # from the window output, which is already partitioned by (entity, block):
+    # no extra shuffle, and both branches share the window's exchange.
+    summary = filled.groupBy(*pb, _BLK).agg(*[
         by_pos(F.col(c), F.when(F.col(c).isNotNull(), F.col(pos))).alias(f"_e_{c}")
         for c in cols])
     sw = Window.partitionBy(*pb).orderBy(_BLK)
@@ -121,8 +125,6 @@ def _fill(df: DataFrame, cols, order, partition_by, forward: bool,
         else sw.rowsBetween(1, Window.unboundedFollowing)
     carry = summary.select(*pb, _BLK, *[pick(F.col(f"_e_{c}"), ignorenulls=True).over(sw)
                                          .alias(f"_carry_{c}") for c in cols])
-    filled = b.select(*[F.coalesce(pick(F.col(c), ignorenulls=True).over(w), F.col(c)).alias(c)
-                        if c in cols else F.col(c) for c in b.columns])
     out = filled.join(carry, [*pb, _BLK], "left")
     return out.select(*[F.coalesce(F.col(c), F.col(f"_carry_{c}")).alias(c) if c in cols
                         else F.col(c) for c in indexed.columns])
