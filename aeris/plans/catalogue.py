@@ -973,3 +973,20 @@ def reunion_resplit(spark, sf_dir):
     parts = [sp.where(F.col("split") == s).drop("split") for s in ("train", "val", "test")]
     return split.resplit_with_gap(split.reunion(*parts), "date").select(
         "date", ordered.ROW_ID, "split", "unseen")
+
+
+def _mm_train_sql():
+    cols = []
+    for c in FILLED_NUMERIC:
+        lo = f"(SELECT min(CAST({c} AS DOUBLE)) FROM sp WHERE split = 'train')"
+        hi = f"(SELECT max(CAST({c} AS DOUBLE)) FROM sp WHERE split = 'train')"
+        cols.append(q.rd(f"(CAST({c} AS DOUBLE) - {lo}) / coalesce(nullif({hi} - {lo}, 0.0), 1.0)") + f" AS {c}")
+    return q.with_(q.BASE + [q.S, q.SP], "SELECT date, split, " + ", ".join(cols) + " FROM sp")
+
+
+@register("minmax_fit_train", _mm_train_sql())
+def minmax_fit_train(spark, sf_dir):
+    """Min-max parameters fitted on the train split only, applied to every split."""
+    sp = split.chronological_split(pl.merged_daily(spark, sf_dir), "date")
+    return r6(scale.minmax_by_split(sp, FILLED_NUMERIC, "split", fit_on="train")
+              .select("date", "split", *FILLED_NUMERIC))
