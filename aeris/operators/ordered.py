@@ -42,9 +42,12 @@ def row_index(df: DataFrame, order, id_col: str = ROW_ID,
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     order = _cols(order)
+    # without an explicit count AQE may coalesce neighbouring ranges (they stay
+    # contiguous and ordered); the count is bounded by the shuffle partitions
     n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (df.repartitionByRange(n_parts, *order)
-                .sortWithinPartitions(*order)
+    ranged = (df.repartitionByRange(partitions, *order) if partitions
+              else df.repartitionByRange(*order))
+    ranged = (ranged.sortWithinPartitions(*order)
                 .select("*", F.spark_partition_id().alias("_pid"),
                         F.monotonically_increasing_id().alias("_mid")))
     ranged = ranged.checkpoint(eager=True)
