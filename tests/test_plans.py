@@ -34,3 +34,18 @@ def test_pushed_filter(spark):
     from pyspark.sql import functions as F
     df = tables.table(spark, SMOKE_DIR, "events").where(F.col("value") > 10).select("value")
     assert "PushedFilters: [IsNotNull(value), GreaterThan(value,10.0)]" in _plan(df)
+
+
+def _windows(plan: str):
+    return [line for line in plan.splitlines() if "Window [" in line]
+
+
+def test_ordered_query_windows_are_blocked(spark):
+    """Windows over data rows are partitioned by the block column; the only
+    other windows run over per-partition offsets or per-block summaries."""
+    from aeris.plans import catalogue
+    for name in ("rolling_mean7", "sequence_windows", "split_70_15_15"):
+        df = catalogue.QUERIES[name](spark, SMOKE_DIR)
+        df.collect()
+        for line in _windows(df._jdf.queryExecution().executedPlan().toString()):
+            assert "_blk" in line or "_pid" in line, (name, line[:200])
