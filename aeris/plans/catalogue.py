@@ -990,3 +990,15 @@ def minmax_fit_train(spark, sf_dir):
     sp = split.chronological_split(pl.merged_daily(spark, sf_dir), "date")
     return r6(scale.minmax_by_split(sp, FILLED_NUMERIC, "split", fit_on="train")
               .select("date", "split", *FILLED_NUMERIC))
+
+
+@register("current_advice", q.with_(q.BASE, f"""SELECT date, {q.rd('avg_no2')} AS avg_no2, {q.rd('avg_o3')} AS avg_o3,
+  CASE WHEN coalesce(avg_no2 > 20, false) OR coalesce(avg_o3 > 60, false)
+    THEN concat_ws(' | ', CASE WHEN avg_no2 > 20 THEN '{advisory.NO2_ADVICE}' END,
+                   CASE WHEN avg_o3 > 60 THEN '{advisory.O3_ADVICE}' END)
+    ELSE '{advisory.SAFE_ADVICE}' END AS advice FROM f WHERE date = (SELECT max(date) FROM f)"""))
+def current_advice(spark, sf_dir):
+    """The dashboard's panel: the latest day's NO2, O3 and advice."""
+    cur = ordered.current_row(pl.merged_daily(spark, sf_dir), "date")
+    return r6(cur.select("date", "avg_no2", "avg_o3",
+                         F.array_join(advisory.health_advice("avg_no2", "avg_o3"), " | ").alias("advice")))
