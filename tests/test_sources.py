@@ -12,7 +12,7 @@ from aeris.sources import files
 def test_csv_roundtrip_with_schema_and_inference(spark, tmp_path):
     df = spark.createDataFrame([(dt.date(2024, 1, 1), 1.5, "a"), (dt.date(2024, 1, 2), None, "b")],
                                "datetime date, temp double, name string")
-    path = str(tmp_path / "meteo")
+    path = str(tmp_path / "weather")
     files.write_table(df, path, fmt="csv")
     inferred = files.read_csv(spark, path)
     assert sorted(inferred.columns) == ["datetime", "name", "temp"]
@@ -22,10 +22,10 @@ def test_csv_roundtrip_with_schema_and_inference(spark, tmp_path):
 
 
 def test_promote_header_and_rename(spark):
-    raw = spark.createDataFrame([("name", "temp"), ("Utrecht", "1.0"), ("x", "2.0")], "_c0 string, _c1 string")
-    out = files.promote_header(raw, {"Utrecht": "utrecht"}, "name")
+    raw = spark.createDataFrame([("name", "temp"), ("Station A", "1.0"), ("x", "2.0")], "_c0 string, _c1 string")
+    out = files.promote_header(raw, {"Station A": "station_a"}, "name")
     assert out.columns == ["name", "temp"]
-    assert sorted(r["name"] for r in out.collect()) == ["utrecht", "x"]
+    assert sorted(r["name"] for r in out.collect()) == ["station_a", "x"]
 
 
 def test_backup_and_predictions(spark, tmp_path):
