@@ -629,8 +629,12 @@ def _score_sql(src, p1, p2):
                          p1=p1, p2=p2, src=src)
 
 
-def _scored(spark, sf_dir, backfilled=True):
-    sp = split.chronological_split(pl.merged_daily(spark, sf_dir), "date")
+def _split_daily(spark, sf_dir):
+    return split.chronological_split(pl.merged_daily(spark, sf_dir), "date")
+
+
+def _scored(spark, sf_dir, backfilled=True, sp=None):
+    sp = _split_daily(spark, sf_dir) if sp is None else sp
     r = ordered.rolling_mean(sp, ["avg_no2", "avg_o3"], 7, "date", partition_by=["split"],
                              suffix="_week", backfill=backfilled)
     cc = clean.complete_cases(r, ["avg_no2", "avg_o3", "avg_no2_week", "avg_o3_week"])
@@ -658,8 +662,10 @@ def _upsert_sql():
 
 
 def _upserted(spark, sf_dir):
-    old = metrics.to_long(_scored(spark, sf_dir, True), "split", 0, "rolling7")
-    new = metrics.to_long(_scored(spark, sf_dir, False).where(F.col("split") == "test"), "split", 1, "rolling7")
+    sp = _split_daily(spark, sf_dir)  # one split (and row index) for both versions
+    old = metrics.to_long(_scored(spark, sf_dir, True, sp), "split", 0, "rolling7")
+    new = metrics.to_long(_scored(spark, sf_dir, False, sp).where(F.col("split") == "test"), "split", 1,
+                          "rolling7")
     return metrics.upsert(old, new)
 
 
