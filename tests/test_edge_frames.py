@@ -231,3 +231,21 @@ def test_exact_quantiles_with_heavy_ties(spark):
     assert [got["q0"], got["q1"], got["q2"]] == pytest.approx(list(np.quantile(vals, [0.25, 0.5, 0.75])))
     d = stats.describe(df, ["x"], method="sort").first()
     assert d["count"] == 300 and d["p50"] == pytest.approx(float(np.median(vals)))
+
+
+def test_invariants_scaled_range_and_fold_sizes(spark):
+    from tests.conftest import SMOKE_DIR
+    from aeris.plans import pipeline as pl
+    f = pl.merged_daily(spark, SMOKE_DIR)
+    n = f.count()
+    sp = split.chronological_split(f, "date")
+    cols = ["avg_no2", "avg_o3", "temp", "n"]
+    scaled = scale.minmax_by_split(sp, cols, "split")
+    bounds = scaled.agg(*[F.min(c).alias(f"lo_{c}") for c in cols], *[F.max(c).alias(f"hi_{c}") for c in cols]).first()
+    for c in cols:
+        assert bounds[f"lo_{c}"] is None or bounds[f"lo_{c}"] >= 0.0
+        assert bounds[f"hi_{c}"] is None or bounds[f"hi_{c}"] <= 1.0
+    folds = split.with_folds(f, "date", 5, 42).groupBy("fold").count().collect()
+    assert sum(r["count"] for r in folds) == n and {r["fold"] for r in folds} <= set(range(5))
+    ids = sorted(r[0] for r in ordered.row_index(f, "date").select("row_id").collect())
+    assert ids == list(range(n))
