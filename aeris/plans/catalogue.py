@@ -113,7 +113,9 @@ EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
     + " FROM ev GROUP BY 1"))
 def pivot_all(spark, sf_dir):
     """Mean of every pollutant per hour (pivot with the value list given)."""
-    ev = tables.event_readings(spark, sf_dir).withColumn("hour", F.date_trunc("hour", "ts"))
+    # date_trunc yields a zoned timestamp: cast back to the NTZ wall clock
+    ev = tables.event_readings(spark, sf_dir).withColumn(
+        "hour", F.date_trunc("hour", "ts").cast("timestamp_ntz"))
     return r6(daily.pivot_mean(ev, "hour", "pollutant", "concentration", EVENT_TYPES))
 
 
@@ -583,7 +585,7 @@ def aqi_band(spark, sf_dir):
 
 @register("ols_univariate", q.with_(q.BASE, "SELECT " + ", ".join([
     q.rd("regr_slope(avg_o3, avg_no2)") + " AS slope", q.rd("regr_intercept(avg_o3, avg_no2)") + " AS intercept",
-    q.rd("regr_r2(avg_o3, avg_no2)") + " AS r2", "regr_count(avg_o3, avg_no2) AS n"]) + " FROM f"))
+    q.rd("regr_r2(avg_o3, avg_no2)") + " AS r2", "CAST(regr_count(avg_o3, avg_no2) AS BIGINT) AS n"]) + " FROM f"))
 def ols_univariate(spark, sf_dir):
     f = pl.merged_daily(spark, sf_dir)
     return r6(f.agg(F.regr_slope("avg_o3", "avg_no2").alias("slope"),
