@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from aeris.llm.packing import op4_concat_and_cut
+from aeris.llm.simhash import op1_simhash_anchors
 
 QUERIES = {
+    "op1_simhash_anchors": op1_simhash_anchors,
     "op4_concat_and_cut": op4_concat_and_cut,
 }
 
