@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from aeris.llm.packing import op4_concat_and_cut
-from aeris.llm.simhash import op1_simhash_anchors
+from aeris.llm import ann, packing, simhash, urls
 
 QUERIES = {
-    "op1_simhash_anchors": op1_simhash_anchors,
-    "op4_concat_and_cut": op4_concat_and_cut,
+    "op1_simhash_anchors": simhash.op1_simhash_anchors,
+    "op2_rotated_bits": ann.op2_rotated_bits,
+    "op4_concat_and_cut": packing.op4_concat_and_cut,
+    "op6_url_vocabulary": urls.op6_url_vocabulary,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op6_url_vocabulary": urls.ORACLE_SQL,
+}
