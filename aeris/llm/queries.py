@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from aeris.llm import ann, packing, sharding, simhash, toxicity, urls
+from aeris.llm import ann, decontamination, packing, sharding, simhash, toxicity, urls
 
 QUERIES = {
     "op1_simhash_anchors": simhash.op1_simhash_anchors,
@@ -10,9 +10,11 @@ QUERIES = {
     "op3_minimax_cuts": sharding.op3_minimax_cuts,
     "op4_concat_and_cut": packing.op4_concat_and_cut,
     "op6_url_vocabulary": urls.op6_url_vocabulary,
+    "op7_winnowing": decontamination.op7_winnowing,
     "op9_noisy_channel": toxicity.op9_noisy_channel,
 }
 
 ORACLE: dict[str, str] = {
     "op6_url_vocabulary": urls.ORACLE_SQL,
+    "op7_winnowing": decontamination.ORACLE_SQL,
 }
