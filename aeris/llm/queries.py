@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from aeris.llm import ann, decontamination, packing, sharding, simhash, toxicity, urls
+from aeris.llm import ann, decontamination, licenses, packing, sharding, simhash, toxicity, urls
 
 QUERIES = {
     "op1_simhash_anchors": simhash.op1_simhash_anchors,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_url_vocabulary": urls.op6_url_vocabulary,
     "op7_winnowing": decontamination.op7_winnowing,
     "op9_noisy_channel": toxicity.op9_noisy_channel,
+    "op10_minhash_windows": licenses.op10_minhash_windows,
 }
 
 ORACLE: dict[str, str] = {
