@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from aeris.llm import ann, decontamination, licenses, packing, sharding, simhash, toxicity, urls
+from aeris.llm import ann, decontamination, licenses, packing, pii, sharding, simhash, toxicity, urls
 
 QUERIES = {
     "op1_simhash_anchors": simhash.op1_simhash_anchors,
     "op2_rotated_bits": ann.op2_rotated_bits,
     "op3_minimax_cuts": sharding.op3_minimax_cuts,
     "op4_concat_and_cut": packing.op4_concat_and_cut,
+    "op5_disclosure": pii.op5_disclosure,
     "op6_url_vocabulary": urls.op6_url_vocabulary,
     "op7_winnowing": decontamination.op7_winnowing,
     "op9_noisy_channel": toxicity.op9_noisy_channel,
