@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from aeris.llm import ann, decontamination, licenses, packing, pii, sharding, simhash, toxicity, urls
+from aeris.llm import ann, decontamination, licenses, packing, pii, sharding, simhash, substrings, toxicity, urls
 
 QUERIES = {
     "op1_simhash_anchors": simhash.op1_simhash_anchors,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_disclosure": pii.op5_disclosure,
     "op6_url_vocabulary": urls.op6_url_vocabulary,
     "op7_winnowing": decontamination.op7_winnowing,
+    "op8_count_min": substrings.op8_count_min,
     "op9_noisy_channel": toxicity.op9_noisy_channel,
     "op10_minhash_windows": licenses.op10_minhash_windows,
 }
@@ -19,4 +20,5 @@ QUERIES = {
 ORACLE: dict[str, str] = {
     "op6_url_vocabulary": urls.ORACLE_SQL,
     "op7_winnowing": decontamination.ORACLE_SQL,
+    "op8_count_min": substrings.ORACLE_SQL,
 }
