@@ -7,7 +7,6 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aeris.session import bounded_broadcast
 
 # Month and weekday names and their numbers (Monday = 1).
 MONTHS = ["January", "February", "March", "April", "May", "June", "July",
@@ -176,6 +175,6 @@ def with_holiday_flag_join(df: DataFrame, date_col: str = "date",
     dates -> broadcast left join (the dimension is bounded by MAX_HOLIDAY_ROWS)."""
     cal = holiday_calendar(df.select(F.year(date_col).alias("year")))
     cal = cal.select(F.col("holiday_date").alias("_hd")).distinct()
-    joined = df.join(bounded_broadcast(cal, MAX_HOLIDAY_ROWS),
+    joined = df.join(F.broadcast(cal),
                      F.col(date_col) == F.col("_hd"), "left")
     return joined.withColumn(out, F.col("_hd").isNotNull()).drop("_hd")

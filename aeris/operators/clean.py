@@ -2,24 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Lists longer than this are applied as a semi join instead of an IN list.
-IN_LIST_LIMIT = 1000
-
 
 def station_filter(df: DataFrame, stations, col: str = "station") -> DataFrame:
     """Keep rows whose ``col`` is in ``stations`` (a list or a one-column DataFrame)."""
     if isinstance(stations, DataFrame):
         keys = stations.select(F.col(stations.columns[0]).alias(col)).distinct()
         return df.join(keys, col, "left_semi")
-    stations = list(stations)
-    if len(stations) > IN_LIST_LIMIT:
-        keys = df.sparkSession.createDataFrame([(s,) for s in stations], [col])
-        return df.join(F.broadcast(keys), col, "left_semi")
-    return df.where(F.col(col).isin(stations))
+    return df.where(F.col(col).isin(list(stations)))
+
+
+def one_row(df: DataFrame, **aggregates) -> Column:
+    """A struct of aggregates of ``df`` as one scalar subquery: however many of its
+    fields a plan uses, ``df`` is read once for them."""
+    return df.agg(F.struct(*[a.alias(name) for name, a in aggregates.items()]).alias("_row")).scalar()
 
 
 def drop_columns(df: DataFrame, columns) -> DataFrame:

@@ -19,9 +19,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from aeris.session import bounded_broadcast, ensure_checkpoint_dir
+from aeris.session import ensure_checkpoint_dir
 
 ROW_ID = "row_id"
 DEFAULT_BLOCK_ROWS = 1 << 20
@@ -38,13 +37,15 @@ def _cols(cols) -> list:
 
 def row_index(df: DataFrame, order, id_col: str = ROW_ID,
               partitions: int | None = None) -> DataFrame:
-    """Append ``id_col`` = position of the row in ``order`` (0-based, dense)."""
+    """Append ``id_col`` = position of the row in ``order`` (0-based, dense).
+
+    Rows that tie on all of ``order`` cannot be told apart and stay in one
+    range: ``order`` should end in a key that makes it total."""
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     order = _cols(order)
     # without an explicit count AQE may coalesce neighbouring ranges (they stay
-    # contiguous and ordered); the count is bounded by the shuffle partitions
-    n_parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # contiguous and ordered)
     ranged = (df.repartitionByRange(partitions, *order) if partitions
               else df.repartitionByRange(*order))
     ranged = (ranged.sortWithinPartitions(*order)
@@ -55,12 +56,28 @@ def row_index(df: DataFrame, order, id_col: str = ROW_ID,
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     local = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)
-    # one row per range partition: bounded by n_parts
-    return (ranged.join(bounded_broadcast(offsets, n_parts), "_pid")
+    # one row per range partition: at most the number of shuffle partitions
+    return (ranged.join(F.broadcast(offsets), "_pid")
                   .withColumn(id_col, (F.col("_off") + local).cast("long"))
                   .drop("_pid", "_mid", "_off"))
 
 
+def running_weight(df: DataFrame, order, weight: str, out: str) -> DataFrame:
+    """Append ``out`` = sum of ``weight`` over the rows up to and including this
+    one in ``order`` (a total order): sums per range partition, then within."""
+    ensure_checkpoint_dir(df.sparkSession)
+    order = _cols(order)
+    ranged = (df.repartitionByRange(*order).select("*", F.spark_partition_id().alias("_pid"))
+                .checkpoint(eager=True))
+    totals = ranged.groupBy("_pid").agg(F.sum(weight).alias("_n"))
+    before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    upto = Window.partitionBy("_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    # one row per range partition
+    return (ranged.join(F.broadcast(offsets), "_pid")
+                  .withColumn(out, F.col("_off") + F.sum(weight).over(upto)).drop("_pid", "_off"))
+
+
 def _ensure_index(df: DataFrame, order, partition_by, id_col: str) -> DataFrame:
     if id_col in df.columns:
         return df
@@ -82,29 +99,20 @@ def blocked(df: DataFrame, halo: int, block_rows: int = DEFAULT_BLOCK_ROWS,
     return home
 
 
-# Fills need an order, not positions: on a single date key the blocks are date
-# ranges of this many days (a date-unique table has at most that many rows per
-# block and entity), which saves the row index.
+# Fills need an order, not positions. A caller whose table has one row per date
+# (and entity) may ask for date blocks of this many days, which saves the row
+# index.
 DEFAULT_BLOCK_DAYS = 1 << 10
 
 
-def _date_order(df: DataFrame, order) -> str | None:
-    order = _cols(order)
-    if len(order) == 1 and isinstance(order[0], str) and \
-            isinstance(df.schema[order[0]].dataType, T.DateType):
-        return order[0]
-    return None
-
-
 def _fill(df: DataFrame, cols, order, partition_by, forward: bool,
-          block_rows: int, id_col: str) -> DataFrame:
+          block_rows: int, id_col: str, one_row_per_date: bool) -> DataFrame:
     pb = _cols(partition_by)
     cols = _cols(cols)
-    date_key = None if id_col in df.columns else _date_order(df, order)
-    if date_key is not None:
+    if one_row_per_date:
+        (pos,) = _cols(order)
         indexed = df
-        pos = date_key
-        b = df.withColumn(_BLK, F.floor(F.unix_date(F.col(date_key)) / DEFAULT_BLOCK_DAYS)
+        b = df.withColumn(_BLK, F.floor(F.unix_date(F.col(pos)) / DEFAULT_BLOCK_DAYS)
                           .cast("long"))
     else:
         indexed = _ensure_index(df, order, pb, id_col)
@@ -134,15 +142,23 @@ def _fill(df: DataFrame, cols, order, partition_by, forward: bool,
 
 
 def forward_fill(df: DataFrame, cols, order, partition_by=None,
-                 block_rows: int = DEFAULT_BLOCK_ROWS, id_col: str = ROW_ID) -> DataFrame:
-    """Each NULL in ``cols`` takes the last non-null value before it in ``order``."""
-    return _fill(df, cols, order, partition_by, True, block_rows, id_col)
+                 block_rows: int = DEFAULT_BLOCK_ROWS, id_col: str = ROW_ID,
+                 one_row_per_date: bool = False) -> DataFrame:
+    """Each NULL in ``cols`` takes the last non-null value before it in ``order``.
+
+    ``one_row_per_date`` states that ``order`` is one date column without repeats
+    per entity (e.g. a group key): blocks are then date ranges."""
+    return _fill(df, cols, order, partition_by, True, block_rows, id_col, one_row_per_date)
 
 
 def back_fill(df: DataFrame, cols, order, partition_by=None,
-              block_rows: int = DEFAULT_BLOCK_ROWS, id_col: str = ROW_ID) -> DataFrame:
-    """Each NULL in ``cols`` takes the next non-null value after it in ``order``."""
-    return _fill(df, cols, order, partition_by, False, block_rows, id_col)
+              block_rows: int = DEFAULT_BLOCK_ROWS, id_col: str = ROW_ID,
+              one_row_per_date: bool = False) -> DataFrame:
+    """Each NULL in ``cols`` takes the next non-null value after it in ``order``.
+
+    ``one_row_per_date`` states that ``order`` is one date column without repeats
+    per entity (e.g. a group key): blocks are then date ranges."""
+    return _fill(df, cols, order, partition_by, False, block_rows, id_col, one_row_per_date)
 
 
 def rolling_mean(df: DataFrame, cols, window: int, order, partition_by=None,
@@ -178,9 +194,8 @@ def sequence_windows(df: DataFrame, features, length: int, order, partition_by=N
     b = blocked(indexed, length, block_rows, id_col)
     w = Window.partitionBy(*pb, _BLK).orderBy(id_col).rowsBetween(-length, -1)
     extra = [F.col(first_of).alias("_k")] if first_of else []
-    step = F.struct(F.col(id_col).alias("_pos"),
-                    F.array(*[F.col(c).cast("double") for c in features]).alias("_v"), *extra)
-    seq = F.array_sort(F.collect_list(step).over(w))
+    step = F.struct(F.array(*[F.col(c).cast("double") for c in features]).alias("_v"), *extra)
+    seq = F.collect_list(step).over(w)  # the frame is ordered
     windowed = b.select("*", seq.alias("_seq")).where(F.col(_HOME) & (F.size("_seq") == length))
     if first_of:
         windowed = windowed.withColumn(f"first_{first_of}", F.col("_seq")[0]["_k"])

@@ -38,7 +38,8 @@ def merged_unfilled(spark: SparkSession, sf_dir: str) -> DataFrame:
 def merged_daily(spark: SparkSession, sf_dir: str, keep_index: bool = False) -> DataFrame:
     """One row per date, pollutant and weather columns forward-filled by date."""
     m = merged_unfilled(spark, sf_dir)
-    filled = forward_fill(m, POLLUTANT_COLS + WEATHER_COLS, "date")
+    # both sides of the merge are grouped by date
+    filled = forward_fill(m, POLLUTANT_COLS + WEATHER_COLS, "date", one_row_per_date=True)
     return filled if keep_index else filled.drop(ROW_ID)
 
 

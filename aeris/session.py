@@ -2,43 +2,40 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# Rows below which an explicitly hinted broadcast is allowed. Every caller
-# states *why* its side is bounded; this is the ceiling for that bound.
-BROADCAST_ROW_LIMIT = 1_000_000
+from pyspark.sql import SparkSession
 
 
 def build_session(master: str | None = None, app: str = "aeris",
-                  shuffle_partitions: int | None = None) -> SparkSession:
+                  conf: dict[str, str] | None = None) -> SparkSession:
     """Session for local runs, tests and the bench.
 
-    On a cluster the submitter's configuration wins; we only fill in defaults.
+    Only ``conf`` and what the library relies on (UTC, AQE, no web page) is set:
+    parallelism and memory are the submitter's.
     """
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    cpus = int(os.environ.get("BENCH_CPUS", "8"))
-    builder = (builder
-               .config("spark.ui.enabled", "false")
-               .config("spark.ui.showConsoleProgress", "false")
-               .config("spark.sql.session.timeZone", "UTC")
-               .config("spark.sql.adaptive.enabled", "true")
-               .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
-               .config("spark.sql.adaptive.skewJoin.enabled", "true")
-               .config("spark.sql.shuffle.partitions",
-                       str(shuffle_partitions or cpus))
-               .config("spark.driver.memory", "16g"))
+    settings = {"spark.ui.enabled": "false",
+                "spark.ui.showConsoleProgress": "false",
+                "spark.sql.session.timeZone": "UTC",
+                "spark.sql.adaptive.enabled": "true",
+                # checkpoints go when nothing refers to them any more
+                "spark.cleaner.referenceTracking.cleanCheckpoints": "true"} | (conf or {})
+    for key, value in settings.items():
+        builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
     return spark
 
 
+def local_conf(cpus: int, memory: str = "16g") -> dict[str, str]:
+    """Settings of a single-machine run with ``cpus`` threads."""
+    return {"spark.sql.shuffle.partitions": str(cpus), "spark.driver.memory": memory}
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the reliable checkpoint directory, setting one only for local runs.
 
@@ -54,22 +51,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if configured:
         sc.setCheckpointDir(configured)
         return sc.getCheckpointDir()
-    if not sc.master.startswith("local"):
+    if not (sc.master == "local" or sc.master.startswith("local[")):
         raise RuntimeError(
             "spark.checkpoint.dir is not set; ordered operators need a shared "
             "checkpoint directory on a cluster")
     path = tempfile.mkdtemp(prefix="aeris-ckpt-")
     sc.setCheckpointDir(path)
     return sc.getCheckpointDir()
-
-
-def bounded_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
-    """Broadcast-hint ``df`` whose row count is bounded by ``max_rows``.
-
-    The bound is structural (number of splits, folds, partitions, years ...),
-    stated by the caller. Above the limit we leave the choice to the planner
-    (sort-merge join, or AQE's runtime conversion after measuring the side).
-    """
-    if max_rows <= BROADCAST_ROW_LIMIT:
-        return F.broadcast(df)
-    return df
