@@ -1,7 +1,7 @@
 """Linear models from sufficient statistics (M1-M8).
 
-One Spark aggregate yields n, sums, X'X and X'y; only these p x p numbers
-reach the driver, where the (ridge) normal equations are solved. K-fold
+One Spark aggregate yields n, sums, X'X and X'y of the distances from the column
+means; only these p x p numbers reach the driver, where the (ridge) normal equations are solved. K-fold
 cross-validation takes one grouped aggregate (statistics per fold); the
 training statistics of fold f are total minus fold f, so all k fits come from
 the same pass, and one more pass scores every fold.
@@ -43,57 +43,85 @@ class LinearModel:
         return spark.createDataFrame(rows, "term string, target string, coef double")
 
 
-def _stat_aggs(features, targets) -> list:
-    cols = list(features) + list(targets)
+@dataclass
+class Moments:
+    """n, sums and cross-products of the distances from ``centre``."""
+
+    n: float
+    s: np.ndarray
+    m: np.ndarray
+    centre: np.ndarray
+
+    def minus(self, other: "Moments") -> "Moments":
+        return Moments(self.n - other.n, self.s - other.s, self.m - other.m, self.centre)
+
+
+def _stat_aggs(cols, centre) -> list:
+    far = [F.col(c).cast("double") - F.lit(float(x)) for c, x in zip(cols, centre)]
     p = len(cols)
     aggs = [F.count(F.lit(1)).alias("n")]
-    aggs += [F.sum(F.col(c).cast("double")).alias(f"s_{i}") for i, c in enumerate(cols)]
-    aggs += [F.sum(F.col(cols[i]).cast("double") * F.col(cols[j]).cast("double")).alias(f"p_{i}_{j}")
-             for i in range(p) for j in range(i, p)]
+    aggs += [F.sum(x).alias(f"s_{i}") for i, x in enumerate(far)]
+    aggs += [F.sum(far[i] * far[j]).alias(f"p_{i}_{j}") for i in range(p) for j in range(i, p)]
     return aggs
 
 
-def _to_moments(row, p: int):
-    n = float(row["n"])
+def _to_moments(row, centre: np.ndarray) -> Moments:
+    p = len(centre)
     s = np.array([row[f"s_{i}"] or 0.0 for i in range(p)])
     m = np.zeros((p, p))
     for i in range(p):
         for j in range(i, p):
             m[i, j] = m[j, i] = row[f"p_{i}_{j}"] or 0.0
-    return n, s, m
+    return Moments(float(row["n"]), s, m, centre)
 
 
 def sufficient_stats(df: DataFrame, features, targets, by: str | None = None):
-    """(n, sums, cross-products) over complete cases; per ``by`` group if given."""
-    cc = complete_cases(df, list(features) + list(targets))
-    p = len(features) + len(targets)
+    """Moments over complete cases; {group: Moments} with ``by``.
+
+    A first small aggregate gives the means; products of distances from them keep
+    their digits however far the columns lie from zero, and groups that share this
+    centre can be added and subtracted."""
+    cols = list(features) + list(targets)
+    cc = complete_cases(df, cols)
+    means = cc.agg(*[F.avg(F.col(c).cast("double")).alias(f"m_{i}") for i, c in enumerate(cols)]).first()
+    centre = np.array([means[f"m_{i}"] or 0.0 for i in range(len(cols))])
     if by is None:
-        return _to_moments(cc.agg(*_stat_aggs(features, targets)).first(), p)
-    rows = cc.groupBy(by).agg(*_stat_aggs(features, targets)).collect()  # one row per group (k folds)
-    return {r[by]: _to_moments(r, p) for r in rows}
+        return _to_moments(cc.agg(*_stat_aggs(cols, centre)).first(), centre)
+    rows = cc.groupBy(by).agg(*_stat_aggs(cols, centre)).collect()  # one row per group (k folds)
+    return {r[by]: _to_moments(r, centre) for r in rows}
+
 
+def total(per_group: dict) -> Moments:
+    """Sum of the moments of groups with one centre."""
+    parts = list(per_group.values())
+    return Moments(sum(x.n for x in parts), sum(x.s for x in parts), sum(x.m for x in parts),
+                   parts[0].centre)
 
-def solve(n, s, m, n_features: int, alpha: float = 0.0, fit_intercept: bool = True):
+
+def solve(x: Moments, n_features: int, alpha: float = 0.0, fit_intercept: bool = True):
     """Ridge (alpha > 0) or OLS normal equations; intercept not penalised."""
     p = n_features
     if fit_intercept:
-        mean = s / n
-        c = m - n * np.outer(mean, mean)
+        mean = x.s / x.n
+        c = x.m - x.n * np.outer(mean, mean)
+        mean = mean + x.centre
     else:
-        mean = np.zeros_like(s)
-        c = m
+        mean = np.zeros_like(x.s)
+        c = (x.m + np.outer(x.centre, x.s) + np.outer(x.s, x.centre)
+             + x.n * np.outer(x.centre, x.centre))
     sxx, sxy = c[:p, :p], c[:p, p:]
-    a = sxx + alpha * np.eye(p)
-    coef = np.linalg.lstsq(a, sxy, rcond=None)[0]
-    intercept = mean[p:] - mean[:p] @ coef
-    return coef, intercept
+    coef = np.linalg.lstsq(sxx + alpha * np.eye(p), sxy, rcond=None)[0]
+    return coef, mean[p:] - mean[:p] @ coef
+
+
+def _model(x: Moments, features, targets, alpha: float, fit_intercept: bool = True) -> LinearModel:
+    coef, b = solve(x, len(features), alpha, fit_intercept)
+    return LinearModel(list(features), list(targets), coef, b, alpha)
 
 
 def fit_linear(df: DataFrame, features, targets, alpha: float = 0.0,
                fit_intercept: bool = True) -> LinearModel:
-    n, s, m = sufficient_stats(df, features, targets)
-    coef, b = solve(n, s, m, len(features), alpha, fit_intercept)
-    return LinearModel(list(features), list(targets), coef, b, alpha)
+    return _model(sufficient_stats(df, features, targets), features, targets, alpha, fit_intercept)
 
 
 def fit_lasso(df: DataFrame, features, target: str, alpha: float):
@@ -107,21 +135,15 @@ def fit_lasso(df: DataFrame, features, target: str, alpha: float):
     return lr.fit(vec)
 
 
-def cross_validate(df: DataFrame, features, targets, fold_col: str = "fold", k: int = 5,
-                   alpha: float = 0.0):
-    """k fits from one grouped aggregate; scores from one pass.
+def fold_models(per_fold: dict, features, targets, alpha: float) -> dict:
+    """Per fold the model of all other folds (total minus the fold)."""
+    whole = total(per_fold)
+    return {f: _model(whole.minus(x), features, targets, alpha) for f, x in per_fold.items()}
 
-    Returns (per-fold metrics DataFrame, mean metrics dict, models by fold).
-    """
+
+def fold_scores(df: DataFrame, models: dict, features, targets, fold_col: str) -> DataFrame:
+    """Metrics per fold, each row predicted by the model that did not see it: one pass."""
     from aeris.operators.metrics import regression_metrics
-    per_fold = sufficient_stats(df, features, targets, by=fold_col)
-    tot_n = sum(v[0] for v in per_fold.values())
-    tot_s = sum(v[1] for v in per_fold.values())
-    tot_m = sum(v[2] for v in per_fold.values())
-    models = {}
-    for f, (n, s, m) in per_fold.items():
-        coef, b = solve(tot_n - n, tot_s - s, tot_m - m, len(features), alpha)
-        models[f] = LinearModel(list(features), list(targets), coef, b, alpha)
     cc = complete_cases(df, list(features) + list(targets))
     preds = []
     for t in targets:
@@ -131,38 +153,62 @@ def cross_validate(df: DataFrame, features, targets, fold_col: str = "fold", k:
                 else expr.when(F.col(fold_col) == f, mdl.prediction(t))
         preds.append(expr.alias(f"pred_{t}"))
     scored = cc.select(fold_col, *targets, *preds)
-    fold_metrics = regression_metrics(scored, targets, [f"pred_{t}" for t in targets], by=fold_col)
-    means = fold_metrics.agg(*[F.avg(c).alias(c) for c in ("mse", "rmse", "r2")]).first().asDict()
-    return fold_metrics, means, models
+    return regression_metrics(scored, targets, [f"pred_{t}" for t in targets], by=fold_col)
 
 
-def fit_with_cv(df: DataFrame, features, targets, fold_col: str = "fold", k: int = 5,
-                alpha: float = 0.0, refit: str = "all"):
-    """Cross-validate, then return (model, cv means, fold metrics).
+def fold_means(fold_metrics: DataFrame) -> DataFrame:
+    """Mean mse, rmse and r2 over the folds, as one row."""
+    return fold_metrics.agg(*[F.avg(c).alias(c) for c in ("mse", "rmse", "r2")])
 
-    ``refit='all'`` fits once more on every row (from the same statistics:
-    the sum of the fold statistics); ``'last_fold'`` keeps the last fold's
-    model, as the reference's linear script does."""
-    fold_metrics, means, models = cross_validate(df, features, targets, fold_col, k, alpha)
-    if refit == "last_fold":
-        return models[max(models)], means, fold_metrics
-    return fit_linear(df, features, targets, alpha), means, fold_metrics
 
+def cross_validate(df: DataFrame, features, targets, fold_col: str = "fold", alpha: float = 0.0):
+    """k fits from one grouped aggregate; (per-fold metrics, still lazy, and models)."""
+    models = fold_models(sufficient_stats(df, features, targets, by=fold_col), features, targets, alpha)
+    return fold_scores(df, models, features, targets, fold_col), models
 
-def overfit_search(train: DataFrame, test: DataFrame, features, targets, fold_col: str = "fold",
-                   k: int = 5, alpha: float = 1.0, gap: float = 0.1, max_rounds: int = 8):
-    """While |R2_cv - R2_test| > gap, double alpha and refit (bounded rounds).
 
-    Returns a list of (round, alpha, cv_r2, test_r2)."""
-    from aeris.operators.metrics import regression_metrics
-    history = []
-    for rnd in range(max_rounds):
-        _, cv, models = cross_validate(train, features, targets, fold_col, k, alpha)
-        last = models[max(models)]
-        scored = last.predict(complete_cases(test, list(features) + list(targets)))
-        tm = regression_metrics(scored, targets, [f"pred_{t}" for t in targets]).first()
-        history.append((rnd, float(alpha), float(cv["r2"]), float(tm["r2"])))
-        if abs(cv["r2"] - tm["r2"]) <= gap:
-            break
-        alpha *= 2
-    return history
+def fit_with_cv(df: DataFrame, features, targets, fold_col: str = "fold", alpha: float = 0.0,
+                refit: str = "all"):
+    """Cross-validate, then return (model, fold metrics).
+
+    ``refit='all'`` takes the model of every row, from the sum of the fold
+    statistics; ``'last_fold'`` keeps the last fold's model, as the reference's
+    linear script does."""
+    per_fold = sufficient_stats(df, features, targets, by=fold_col)
+    models = fold_models(per_fold, features, targets, alpha)
+    chosen = models[max(models)] if refit == "last_fold" else _model(total(per_fold), features, targets, alpha)
+    return chosen, fold_scores(df, models, features, targets, fold_col)
+
+
+def _residual_r2(x: Moments, model: LinearModel) -> np.ndarray:
+    """R2 of a model per target, from moments alone (1 or 0 for a constant target)."""
+    p, out = len(model.features), []
+    for k in range(len(model.targets)):
+        w = np.concatenate([-model.coef[:, k], np.eye(len(model.targets))[k]])
+        shift = w @ x.centre - model.intercept[k]  # residual at the centre
+        rss = w @ x.m @ w + 2 * shift * (w @ x.s) + x.n * shift * shift
+        tss = x.m[p + k, p + k] - x.s[p + k] ** 2 / x.n
+        out.append(1 - rss / tss if tss > 0 else float(abs(rss) < 1e-12))
+    return np.array(out)
+
+
+def overfit_search(train: DataFrame, test: DataFrame, features, targets, fold_col: str = "fold",
+                   alpha: float = 1.0, gap: float = 0.1, settled: float = 1e-4):
+    """While |R2_cv - R2_test| > gap, double alpha and refit.
+
+    Only alpha changes, so the statistics are taken once and every round is
+    arithmetic on them. Doubling ends when the gap is met, or when a round moves the
+    difference by less than ``settled`` (all coefficients have shrunk away and no
+    alpha can meet it). Returns a list of (round, alpha, cv_r2, test_r2, converged)."""
+    per_fold = sufficient_stats(train, features, targets, by=fold_col)
+    unseen = sufficient_stats(test, features, targets)
+    history, before = [], None
+    while True:
+        models = fold_models(per_fold, features, targets, alpha)
+        cv = float(np.mean([_residual_r2(per_fold[f], m).mean() for f, m in models.items()]))
+        held = float(_residual_r2(unseen, models[max(models)]).mean())
+        difference = abs(cv - held)
+        history.append((len(history), float(alpha), cv, held, difference <= gap))
+        if difference <= gap or (before is not None and abs(before - difference) < settled):
+            return history
+        before, alpha = difference, alpha * 2

@@ -9,30 +9,43 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aeris.operators.clean import numeric_columns
+from aeris.operators.clean import numeric_columns, one_row
 
 
 def _d(c: str) -> Column:
     return F.col(c).cast("double")
 
 
-def exact_quantiles(df: DataFrame, col: str, probs) -> DataFrame:
-    """Exact linearly interpolated quantiles of ``col`` without holding the
-    values in one task: the non-null values get a dense sorted position (P1,
-    a range shuffle), then one aggregate picks the two order statistics around
-    each position (n-1)*p and interpolates. One row with q0, q1, ... columns."""
-    from aeris.operators.ordered import row_index
-    vals = df.select(_d(col).alias("_v")).where(F.col("_v").isNotNull())
-    idx = row_index(vals, "_v", "_pos")
-    n = idx.select(F.count(F.lit(1))).scalar()
-    aggs = []
+def exact_quantiles(df: DataFrame, cols, probs) -> DataFrame:
+    """Exact linearly interpolated quantiles: one row (column, q0, q1, ...) per
+    column, NULL without values.
+
+    Values are counted first (combined before the shuffle, so a value that a third
+    of the rows share is one row), a running count over the sorted distinct values
+    gives every value its last position, and one aggregate picks the two order
+    statistics around (n - 1) * p. All columns go through together."""
+    from aeris.operators.ordered import running_weight
+    cols = [cols] if isinstance(cols, str) else list(cols)
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(i).alias("_c"), _d(c).alias("_v"))
+                                        for i, c in enumerate(cols)])))
+    counted = long.where(F.col("_v").isNotNull()).groupBy("_c", "_v").agg(F.count(F.lit(1)).alias("_w"))
+    placed = running_weight(counted, ["_c", "_v"], "_w", "_upto")
+    # one row per column
+    sizes = placed.groupBy("_c").agg(F.sum("_w").alias("_n"), F.max("_upto").alias("_end"))
+    placed = placed.join(F.broadcast(sizes), "_c")
+    last = F.col("_upto") - (F.col("_end") - F.col("_n")) - 1
+    first = last - F.col("_w") + 1
+    picks = []
     for i, p in enumerate(probs):
-        pos = (n - 1).cast("double") * F.lit(float(p))
-        lo, hi = F.floor(pos), F.ceil(pos)
-        v_lo = F.max(F.when(F.col("_pos") == lo, F.col("_v")))
-        v_hi = F.max(F.when(F.col("_pos") == hi, F.col("_v")))
-        aggs.append((v_lo + (v_hi - v_lo) * (pos - lo)).alias(f"q{i}"))
-    return idx.agg(*aggs)
+        at = (F.col("_n") - 1).cast("double") * F.lit(float(p))
+        picks += [F.max(F.when((first <= edge(at)) & (edge(at) <= last), F.col("_v"))).alias(f"_{name}{i}")
+                  for name, edge in (("lo", F.floor), ("hi", F.ceil))]
+        picks.append(F.max(at - F.floor(at)).alias(f"_part{i}"))
+    found = placed.groupBy("_c").agg(*picks)
+    names = F.array(*[F.lit(c) for c in cols])
+    return found.select(F.get(names, F.col("_c")).alias("column"), *[
+        (F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * F.col(f"_part{i}")).alias(f"q{i}")
+        for i in range(len(probs))])
 
 
 def describe(df: DataFrame, cols=None, method: str = "memory") -> DataFrame:
@@ -61,13 +74,10 @@ def describe(df: DataFrame, cols=None, method: str = "memory") -> DataFrame:
     base = stats.select(F.inline(F.array(*[F.col(f"_s{i}") for i in range(len(cols))])))
     if with_q:
         return base
-    qs = None
-    for c in cols:
-        one = exact_quantiles(df, c, probs).select(
-            F.lit(c).alias("column"), *[F.col(f"q{i}").alias(f"p{int(p * 100)}") for i, p in enumerate(probs)])
-        qs = one if qs is None else qs.unionByName(one)
+    qs = exact_quantiles(df, cols, probs).select(
+        "column", *[F.col(f"q{i}").alias(f"p{int(p * 100)}") for i, p in enumerate(probs)])
     # one row per described column on both sides
-    return base.join(F.broadcast(qs), "column").select(
+    return base.join(F.broadcast(qs), "column", "left").select(
         "column", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
@@ -99,20 +109,6 @@ def skew_table(df: DataFrame, cols=None, threshold: float = 0.75) -> DataFrame:
     return long.withColumn("is_skewed", F.coalesce(F.abs("skew") > threshold, F.lit(False)))
 
 
-def skewed_columns(df: DataFrame, cols=None, threshold: float = 0.75) -> list[str]:
-    """Names of columns with |adjusted skew| > threshold (one aggregate row to the driver)."""
-    cols = cols or numeric_columns(df)
-    row = df.agg(*[adjusted_skewness(c).alias(f"_k{i}") for i, c in enumerate(cols)]).first()
-    return [c for i, c in enumerate(cols) if row[i] is not None and abs(row[i]) > threshold]
-
-
-def log1p_columns(df: DataFrame, cols) -> DataFrame:
-    from aeris.functions.labels import safe_log1p
-    cols = set(cols)
-    return df.select(*[safe_log1p(F.col(c)).alias(c) if c in cols else F.col(c)
-                       for c in df.columns])
-
-
 def _pearson(a: str, b: str) -> Column:
     x, y = _d(a), _d(b)
     both = x.isNotNull() & y.isNotNull()
@@ -124,11 +120,11 @@ def _pearson(a: str, b: str) -> Column:
 def corr_long(df: DataFrame, cols=None, fill_zero: bool = True) -> DataFrame:
     """Pearson matrix as (col_a, col_b, idx_a, idx_b, r) for all ordered pairs.
 
-    ``fill_zero`` mirrors "nulls as 0": the matrix then comes from sufficient
-    statistics in one pass (n, sums, p(p+1)/2 sums of products; plain sums are
-    the cheapest aggregate and combine exactly across partitions). Otherwise
-    pairwise-complete rows are used per pair. Constant columns give NULL.
-    The aggregate returns arrays; the long form is one exploded index sequence.
+    ``fill_zero`` mirrors "nulls as 0": a first aggregate row holds the means, a
+    second pass sums the products of the distances from them, so columns far from
+    zero lose no digits. Otherwise pairwise-complete rows are used per pair.
+    Constant columns give NULL. The aggregate returns arrays; the long form is one
+    exploded index sequence.
     """
     cols = cols or numeric_columns(df)
     p = len(cols)
@@ -140,6 +136,8 @@ def corr_long(df: DataFrame, cols=None, fill_zero: bool = True) -> DataFrame:
     tri = (lo * p - (lo * (lo - 1) / 2).cast("int") + (hi - lo) + 1).cast("int")
     if fill_zero:
         src = df.select(*[F.coalesce(_d(c), F.lit(0.0)).alias(c) for c in cols])
+        row = one_row(src, **{f"m{i}": F.avg(c) for i, c in enumerate(cols)})
+        src = src.select(*[(F.col(c) - row.getField(f"m{i}")).alias(c) for i, c in enumerate(cols)])
         wide = src.agg(F.count(F.lit(1)).cast("double").alias("_n"),
                        F.array(*[F.sum(c) for c in cols]).alias("_s"),
                        F.array(*[F.min(c) == F.max(c) for c in cols]).alias("_k"),
@@ -181,18 +179,24 @@ def corr_with_targets(corr: DataFrame, targets, threshold: float = 0.5) -> DataF
                .withColumn("max_abs_r", strongest).orderBy(F.desc("max_abs_r"), "feature"))
 
 
-def histogram(df: DataFrame, col: str, bins: int = 20) -> DataFrame:
-    """Equal-width histogram over [min, max]: (bin, lo, hi, count); the last bin
-    is closed on the right. Bounds are scalar subqueries (one small aggregate)."""
-    x = _d(col)
-    stats = df.select(F.min(x).alias("_lo"), F.max(x).alias("_hi"))
-    lo, hi = stats.select("_lo").scalar(), stats.select("_hi").scalar()
-    width = (hi - lo) / F.lit(float(bins))
-    b = F.when(width == 0, F.lit(0)).otherwise(
-        F.least(F.floor((x - lo) / width), F.lit(bins - 1))).cast("int")
-    counted = df.where(x.isNotNull()).groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("count"))
-    return counted.select("bin", (lo + F.col("bin") * width).alias("lo"),
-                          (lo + (F.col("bin") + 1) * width).alias("hi"), "count")
+def histogram(df: DataFrame, cols=None, bins: int = 20) -> DataFrame:
+    """Equal-width histograms over [min, max] of every numeric column (or ``cols``):
+    (column, bin, lo, hi, count); the last bin is closed on the right. All bounds
+    come from one aggregate row, all counts from one pass."""
+    cols = [cols] if isinstance(cols, str) else list(cols or numeric_columns(df))
+    row = one_row(df, **{f"lo{i}": F.min(_d(c)) for i, c in enumerate(cols)},
+                  **{f"hi{i}": F.max(_d(c)) for i, c in enumerate(cols)})
+    long = df.select(F.inline(F.array(*[F.struct(
+        F.lit(c).alias("column"), _d(c).alias("_x"), row.getField(f"lo{i}").alias("_lo"),
+        ((row.getField(f"hi{i}") - row.getField(f"lo{i}")) / float(bins)).alias("_w"))
+        for i, c in enumerate(cols)])))
+    b = F.when(F.col("_w") == 0, F.lit(0)).otherwise(
+        F.least(F.floor((F.col("_x") - F.col("_lo")) / F.nullif(F.col("_w"), F.lit(0.0))), F.lit(bins - 1))).cast("int")
+    counted = (long.where(F.col("_x").isNotNull()).groupBy("column", b.alias("bin"))
+                   .agg(F.any_value("_lo").alias("_lo"), F.any_value("_w").alias("_w"),
+                        F.count(F.lit(1)).alias("count")))
+    return counted.select("column", "bin", (F.col("_lo") + F.col("bin") * F.col("_w")).alias("lo"),
+                          (F.col("_lo") + (F.col("bin") + 1) * F.col("_w")).alias("hi"), "count")
 
 
 def quadrants(df: DataFrame, no2: str = "avg_no2", o3: str = "avg_o3",
@@ -208,18 +212,12 @@ def quadrants(df: DataFrame, no2: str = "avg_no2", o3: str = "avg_o3",
 def log1p_skewed(df: DataFrame, cols=None, threshold: float = 0.75) -> DataFrame:
     """log1p on every column whose |adjusted skew| exceeds ``threshold``.
 
-    The decision is a scalar subquery per column (merged into one aggregate),
-    so the plan stays lazy; every listed column comes out as double.
+    All decisions come from one aggregate row in a scalar subquery, so the plan
+    stays lazy; every listed column comes out as double.
     """
     from aeris.functions.labels import safe_log1p
     cols = cols or numeric_columns(df)
-    out = []
-    for c in df.columns:
-        if c in cols:
-            skewed = df.select(F.coalesce(F.abs(adjusted_skewness(c)) > threshold,
-                                          F.lit(False))).scalar()
-            x = F.col(c).cast("double")
-            out.append(F.when(skewed, safe_log1p(x)).otherwise(x).alias(c))
-        else:
-            out.append(F.col(c))
-    return df.select(*out)
+    row = one_row(df, **{c: F.coalesce(F.abs(adjusted_skewness(c)) > threshold, F.lit(False)) for c in cols})
+    return df.select(*[
+        F.when(row.getField(c), safe_log1p(_d(c))).otherwise(_d(c)).alias(c) if c in cols else F.col(c)
+        for c in df.columns])
