@@ -10,6 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+# The columns of the readings and weather files.
+READINGS_SCHEMA = "station_number string, pollutant string, value double, begin timestamp_ntz, end timestamp_ntz"
+WEATHER_SCHEMA = ("name string, datetime date, temp double, humidity double, precip double, "
+                  "windspeed double, winddir double, visibility double, solarradiation double")
+
+
 def read_csv(spark: SparkSession, path: str, schema=None, header: bool = True) -> DataFrame:
     """CSV scan; with ``schema`` None the types are inferred (one extra pass)."""
     r = spark.read.option("header", header)
@@ -22,16 +28,14 @@ def read_table(spark: SparkSession, path: str, fmt: str = "parquet", schema=None
     return (r.schema(schema) if schema is not None else r).load(path)
 
 
-def promote_header(df: DataFrame, rename_values: dict | None = None, column: str | None = None) -> DataFrame:
-    """Headerless frame whose first data row holds the names: read it with
-    ``header=True`` instead; this variant renames generic ``_c<i>`` columns
-    after the fact from one small row and optionally rewrites values."""
-    first = df.first()
-    out = df.toDF(*[str(v) for v in first]).where(
-        ~F.coalesce(*[F.col(str(v)) == F.lit(v) for v in first[:1]], F.lit(False)))
-    if rename_values and column:
-        for old, new in rename_values.items():
-            out = out.withColumn(column, F.when(F.col(column) == old, F.lit(new)).otherwise(F.col(column)))
+def promote_header(spark: SparkSession, path: str, rename_values: dict | None = None,
+                   column: str | None = None) -> DataFrame:
+    """CSV whose first line holds the names, every column as text; values of ``column``
+    are optionally rewritten. The reader skips the first line of each file; data rows
+    that look like it stay."""
+    out = spark.read.option("header", True).csv(path)
+    for old, new in (rename_values or {}).items():
+        out = out.withColumn(column, F.when(F.col(column) == old, F.lit(new)).otherwise(F.col(column)))
     return out
 
 

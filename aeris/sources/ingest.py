@@ -6,7 +6,7 @@ and is appended; the mark is the maximum end timestamp of the target.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -16,8 +16,10 @@ def high_water_mark(df: DataFrame, ts: str = "ts"):
 
 
 def new_rows(batch: DataFrame, mark, ts: str = "ts") -> DataFrame:
-    """Rows of ``batch`` strictly after ``mark`` (a literal or a scalar column)."""
-    return batch.where(F.col(ts) > mark)
+    """Rows of ``batch`` strictly after ``mark`` (a literal or a scalar column);
+    without a mark (NULL, an empty target) every row is new."""
+    mark = mark if isinstance(mark, Column) else F.lit(mark)
+    return batch.where(mark.isNull() | (F.col(ts) > mark))
 
 
 def append_after_mark(existing: DataFrame, batch: DataFrame, ts: str = "ts",

@@ -32,10 +32,9 @@ def _pollutant(flags: Column) -> Column:
     return expr.otherwise(F.lit("other"))
 
 
-def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long-form hourly readings: (station, pollutant, concentration, ts)."""
-    li = table(spark, sf_dir, "lineitem")
-    return li.select(
+def as_readings(lineitem: DataFrame) -> DataFrame:
+    """The fixture mapping of line items to readings, for batch and stream alike."""
+    return lineitem.select(
         (F.col("l_suppkey") % 10).cast("bigint").alias("station"),
         _pollutant(F.concat(F.col("l_returnflag"), F.col("l_linestatus"))).alias("pollutant"),
         F.when(F.col("l_orderkey") % NULL_EVERY == 0, F.lit(None).cast("double"))
@@ -44,6 +43,11 @@ def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def readings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Long-form hourly readings: (station, pollutant, concentration, ts)."""
+    return as_readings(table(spark, sf_dir, "lineitem"))
+
+
 def weather(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Daily weather: one row per order date (partial + final hash aggregate)."""
     o = table(spark, sf_dir, "orders")
@@ -57,11 +61,12 @@ def weather(spark: SparkSession, sf_dir: str) -> DataFrame:
                   F.count(F.lit(1)).alias("n")))
 
 
+def as_event_readings(events: DataFrame) -> DataFrame:
+    """The ``events`` table read as readings: (event_id, station, pollutant, concentration, ts)."""
+    return events.select("event_id", F.col("user_id").alias("station"),
+                         F.col("event_type").alias("pollutant"),
+                         F.col("value").alias("concentration"), "ts")
+
+
 def event_readings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ``events`` stream read as readings: (event_id, station, pollutant, concentration, ts)."""
-    e = table(spark, sf_dir, "events")
-    return e.select("event_id",
-                    F.col("user_id").alias("station"),
-                    F.col("event_type").alias("pollutant"),
-                    F.col("value").alias("concentration"),
-                    "ts")
+    return as_event_readings(table(spark, sf_dir, "events"))

@@ -1,8 +1,14 @@
 """Streaming versions of ingest, daily rollup and advice.
 
-Sources are file streams with an explicit schema; sinks are append-mode file
-sinks whose data and checkpoint live under the cluster's shared checkpoint
-directory, so a restarted query resumes exactly once.
+Sources are file streams with an explicit schema over a table's path (one file or
+a directory). State lives under a root folder that the caller names: a run with
+the same root goes on where the last one ended. Without a name a fresh root under
+the shared checkpoint directory is used.
+
+Daily statistics add up, so the rollup keeps no state: every micro-batch writes its
+own per-day sums and counts under its batch id (a batch that is run again replaces
+them), and the table is their sum. Every day is there, the last one included, and a
+late reading is never lost.
 """
 
 from __future__ import annotations
@@ -12,18 +18,25 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aeris.functions.advisory import health_advice
-from aeris.operators.daily import DAILY_COLUMNS, ZERO_WHEN_ABSENT
+from aeris.functions.advisory import aqi_band, health_advice
+from aeris.operators.clean import station_filter
+from aeris.operators.daily import added_stats, daily_stats, imputed_means
 from aeris.session import ensure_checkpoint_dir
-from aeris.sources.tables import KEPT_STATIONS, POLLUTANTS, _pollutant
+from aeris.sources.tables import KEPT_STATIONS, as_readings
 
 
-def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """File stream over the table files ``<name>.parquet`` of a directory."""
+def table_stream(spark: SparkSession, sf_dir: str, name: str, max_files: int | None = None) -> DataFrame:
+    """File stream over the table ``<name>.parquet``, a file or a directory of files.
+
+    A missing table raises. ``max_files`` bounds a micro-batch; files come in the
+    order of their modification time."""
     path = f"{sf_dir}/{name}.parquet"
     schema = spark.read.parquet(path).schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet")
-                 .parquet(sf_dir))
+    reader = spark.readStream.schema(schema)
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
+    # a pattern, as a stream's plain path must be a directory
+    return reader.parquet(f"{sf_dir}/{name}.parque[t]")
 
 
 def event_time(col: str = "ts"):
@@ -35,53 +48,50 @@ def event_time(col: str = "ts"):
     return F.timestamp_seconds(secs)
 
 
-def window_date(col: str = "window.start"):
-    """Wall-clock date of a window bound produced from ``event_time``."""
-    return F.date_from_unix_date(F.floor(F.unix_seconds(F.col(col)) / 86400).cast("int"))
-
-
 def dedup_stream(events: DataFrame, key: str = "event_id", ts: str = "ts",
                  delay: str = "1 hour") -> DataFrame:
-    """Drop re-sent rows (same key) within the watermark."""
+    """Drop re-sent rows (same key) within the watermark. Rows older than the
+    newest by more than ``delay`` are dropped as late: ``delay`` must cover how far
+    the files' time ranges lie out of order."""
     return (events.withColumn("_et", event_time(ts)).withWatermark("_et", delay)
                   .dropDuplicatesWithinWatermark([key]).drop("_et"))
 
 
-def daily_stream(readings: DataFrame, ts: str = "ts", delay: str = "1 day") -> DataFrame:
-    """Per-day conditional means over an event-time window; a day is
-    emitted once the watermark passes its end (append mode)."""
-    aggs = []
-    for p in POLLUTANTS:
-        a = F.avg(F.when(F.col("pollutant") == p, F.col("concentration")))
-        if p in ZERO_WHEN_ABSENT:
-            a = F.coalesce(a, F.lit(0.0))
-        aggs.append(a.alias(DAILY_COLUMNS[p]))
-    return (readings.withColumn("_et", event_time(ts)).withWatermark("_et", delay)
-                    .groupBy(F.window("_et", "1 day")).agg(*aggs, F.count(F.lit(1)).alias("n_readings"))
-                    .select(window_date("window.start").alias("date"), *[DAILY_COLUMNS[p] for p in POLLUTANTS],
-                            "n_readings"))
-
-
-def advice_stream(daily: DataFrame) -> DataFrame:
-    """S3: advice per emitted day."""
-    return daily.select("date", "avg_no2", "avg_o3",
-                        F.array_join(health_advice("avg_no2", "avg_o3"), " | ").alias("advice"))
+def readings_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return station_filter(as_readings(table_stream(spark, sf_dir, "lineitem")), KEPT_STATIONS)
 
 
-def readings_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    li = table_stream(spark, sf_dir, "lineitem")
-    r = li.select((F.col("l_suppkey") % 10).cast("bigint").alias("station"),
-                  _pollutant(F.concat("l_returnflag", "l_linestatus")).alias("pollutant"),
-                  (2 * F.col("l_quantity")).alias("concentration"), F.col("l_shipdate").alias("ts"))
-    return r.where(F.col("station").isin(KEPT_STATIONS))
+def stream_root(spark: SparkSession, name: str) -> str:
+    """A fresh folder under the shared checkpoint directory."""
+    return ensure_checkpoint_dir(spark).rstrip("/") + f"/streams/{name}-{uuid.uuid4().hex}"
 
 
-def run_to_table(spark: SparkSession, stream: DataFrame, name: str) -> DataFrame:
-    """Drain the available input (availableNow) into an append-mode parquet
-    sink under the shared checkpoint directory; return the sink as a table."""
-    root = ensure_checkpoint_dir(spark).rstrip("/") + f"/streams/{name}-{uuid.uuid4().hex}"
+def run_to_table(stream: DataFrame, root: str) -> DataFrame:
+    """Drain the available input (availableNow) into an append-mode parquet sink
+    under ``root``; return the sink as a table."""
     q = (stream.writeStream.format("parquet").outputMode("append")
                .option("path", f"{root}/data").option("checkpointLocation", f"{root}/checkpoint")
                .trigger(availableNow=True).start())
     q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{root}/data")
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{root}/data")
+
+
+def drain_daily(readings: DataFrame, root: str) -> DataFrame:
+    """Drain the available readings; the daily means of all readings so far, as
+    the batch rollup gives them, with the number of readings."""
+    def add(batch: DataFrame, batch_id: int) -> None:
+        daily_stats(batch).write.mode("overwrite").parquet(f"{root}/stats/batch={batch_id}")
+
+    q = (readings.writeStream.foreachBatch(add).option("checkpointLocation", f"{root}/checkpoint")
+                 .trigger(availableNow=True).start())
+    q.awaitTermination()
+    spark = readings.sparkSession
+    schema = daily_stats(spark.createDataFrame([], readings.schema)).schema
+    return imputed_means(added_stats(spark.read.schema(schema).parquet(f"{root}/stats")), counts=True)
+
+
+def advice_daily(daily: DataFrame) -> DataFrame:
+    """S3: advice and air-quality band of each day."""
+    return daily.select("date", "avg_no2", "avg_o3",
+                        F.array_join(health_advice("avg_no2", "avg_o3"), " | ").alias("advice"),
+                        aqi_band("avg_no2").alias("band"))
