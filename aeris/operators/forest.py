@@ -51,22 +51,34 @@ def importances(models: dict, features, spark) -> DataFrame:
     return df.orderBy("target", F.desc("importance"), "feature")
 
 
-def grid_search(train: DataFrame, features, target: str, fold_col: str = "fold",
+# The grid that is searched by default (the minimum split size has no
+# Spark ML counterpart). A subset size beyond the number of features means all.
+FULL_GRID = {"maxDepth": [3, 5, 7, 10], "numTrees": [100, 200, 300, 400, 500],
+             "featureSubsetStrategy": ["10", "20", "30", "40", "sqrt"],
+             "minInstancesPerNode": [1, 2, 4], "seed": [0, 42]}
+
+
+def grid_search(train: DataFrame, features, targets, fold_col: str = "fold",
                 grid=None, parallelism: int = 4) -> DataFrame:
-    """CrossValidator over ``grid`` with the given fold column; returns
-    (maxDepth, numTrees, mse) per grid point."""
-    grid = grid or {"maxDepth": [5, 7], "numTrees": [20, 50]}
-    rf = RandomForestRegressor(featuresCol=FEATURES_COL, labelCol=target, seed=42,
-                               featureSubsetStrategy=BEST_PARAMS["featureSubsetStrategy"])
-    builder = ParamGridBuilder()
-    for name, values in grid.items():
-        builder = builder.addGrid(rf.getParam(name), values)
-    maps = builder.build()
-    data = assemble(complete_cases(train, list(features) + [target]), features)
-    cv = CrossValidator(estimator=rf, estimatorParamMaps=maps, foldCol=fold_col,
-                        evaluator=RegressionEvaluator(labelCol=target, metricName="mse"),
-                        parallelism=parallelism)
-    model = cv.fit(data)
-    rows = [tuple(int(pm[rf.getParam(k)]) for k in grid) + (float(mse),)
-            for pm, mse in zip(maps, model.avgMetrics)]
-    return train.sparkSession.createDataFrame(rows, ", ".join(f"{k} int" for k in grid) + ", mse double")
+    """CrossValidator over ``grid`` (default ``FULL_GRID``) with the given fold column,
+    per target; returns (target, one text column per parameter, mse)."""
+    grid = grid or FULL_GRID
+    targets = [targets] if isinstance(targets, str) else list(targets)
+    data = assemble(complete_cases(train, list(features) + targets), features)
+    folds = data.agg(F.max(fold_col)).first()[0] + 1
+    rows = []
+    for target in targets:
+        rf = RandomForestRegressor(featuresCol=FEATURES_COL, labelCol=target, seed=BEST_PARAMS["seed"],
+                                   featureSubsetStrategy=BEST_PARAMS["featureSubsetStrategy"])
+        builder = ParamGridBuilder()
+        for name, values in grid.items():
+            builder = builder.addGrid(rf.getParam(name), values)
+        maps = builder.build()
+        cv = CrossValidator(estimator=rf, estimatorParamMaps=maps, foldCol=fold_col, numFolds=folds,
+                            evaluator=RegressionEvaluator(labelCol=target, metricName="mse"),
+                            parallelism=parallelism)
+        model = cv.fit(data)
+        rows += [(target, *(str(pm[rf.getParam(k)]) for k in grid), float(mse))
+                 for pm, mse in zip(maps, model.avgMetrics)]
+    return train.sparkSession.createDataFrame(
+        rows, "target string, " + ", ".join(f"{k} string" for k in grid) + ", mse double")

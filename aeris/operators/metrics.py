@@ -62,10 +62,16 @@ def write_metrics_json(metrics_long: DataFrame, path: str) -> None:
 
 
 def read_metrics_json(spark, path: str) -> DataFrame:
-    """Read a metrics table written by ``write_metrics_json``; a missing or
-    unreadable location gives an empty table (start fresh)."""
+    """Read a metrics table written by ``write_metrics_json``. A missing location
+    gives an empty table, and lines that are no metrics records are left out (a
+    corrupt file starts empty); any other error, such as a forbidden read, is raised."""
+    from pyspark.errors import AnalysisException
     schema = "model string, split string, metric string, value double, version int"
     try:
-        return spark.read.schema(schema).json(path)
-    except Exception:  # noqa: BLE001 - corrupt or absent -> empty
+        rows = spark.read.schema(schema + ", _bad string").option(
+            "columnNameOfCorruptRecord", "_bad").json(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
+    return rows.where("_bad is null and model is not null and metric is not null").drop("_bad")

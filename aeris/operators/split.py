@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aeris.operators.ordered import ROW_ID, row_index
-from aeris.session import bounded_broadcast
 
 SPLIT_RANK = {"train": 0, "val": 1, "test": 2}
 PAIRS = [("train", "val"), ("train", "test"), ("val", "test")]
@@ -40,11 +39,13 @@ def resplit_with_gap(df: DataFrame, order, train: float = 0.6, val: float = 0.8,
                      gap: float = 0.02, unseen: float = 0.95, id_col: str = ROW_ID,
                      out: str = "split") -> DataFrame:
     """train [0,.6n), val [.6n+g,.8n), test [.8n+g,n), rows in a gap -> 'gap';
-    ``unseen`` flags [.95n, n) (it overlaps test)."""
+    ``unseen`` flags [.95n, n) (it overlaps test). An empty validation or test
+    part fails the job."""
     indexed, n = _indexed(df, order, id_col)
     t, v, g, u = _cut(n, train), _cut(n, val), _cut(n, gap), _cut(n, unseen)
     rid = F.col(id_col)
-    label = (F.when(rid < t, "train").when((rid >= t + g) & (rid < v), "val")
+    empty = F.raise_error(F.lit("Validation or test set is empty: too few rows for the gap"))
+    label = (F.when((t + g >= v) | (v + g >= n), empty.cast("string")).when(rid < t, "train").when((rid >= t + g) & (rid < v), "val")
               .when(rid >= v + g, "test").otherwise("gap"))
     return indexed.withColumn(out, label).withColumn("unseen", rid >= u)
 
@@ -71,15 +72,19 @@ def duplicate_rows_between(df: DataFrame, cols, split: str = "split") -> DataFra
     cond.append(F.col("a._rank") < F.col("b._rank"))
     pairs = (a.join(b, cond)
                .groupBy(F.concat_ws("_", F.col(f"a.{split}"), F.col(f"b.{split}")).alias("pair"))
-               .agg(F.sum(F.col("a._c") * F.col("b._c")).alias("n_dup")))
+               .agg(F.sum(F.col("a._c").cast("decimal(19,0)") * F.col("b._c")).alias("n_dup")))
     all_pairs = df.sparkSession.createDataFrame([(f"{x}_{y}",) for x, y in PAIRS], "pair string")
     return (all_pairs.join(pairs, "pair", "left")
                      .select("pair", F.coalesce("n_dup", F.lit(0)).cast("bigint").alias("n_dup")))
 
 
-def leakage_report(df: DataFrame, cols, date: str = "date", split: str = "split") -> DataFrame:
+def leakage_report(df: DataFrame, cols=None, date: str = "date", split: str = "split",
+                   features=(), targets=()) -> DataFrame:
     """(check, pair, value): date overlap flags (val.min <= train.max,
-    test.min <= val.max) and duplicate-row counts for the three split pairs."""
+    test.min <= val.max), duplicate-row counts for the three split pairs over
+    ``cols`` (all columns but the split's own by default) and the number of
+    targets that are also features."""
+    cols = [c for c in df.columns if c not in (split, ROW_ID, "unseen")] if cols is None else cols
     r = split_ranges(df.where(F.col(split).isin(list(SPLIT_RANK))), date, split)
     wide = r.agg(*[F.max(F.when(F.col(split) == s, F.col(c))).alias(f"{s}_{c}")
                    for s in SPLIT_RANK for c in ("min_date", "max_date")])
@@ -90,7 +95,10 @@ def leakage_report(df: DataFrame, cols, date: str = "date", split: str = "split"
                  (F.col("test_min_date") <= F.col("val_max_date")).cast("bigint").alias("value")))))
     dups = duplicate_rows_between(df, cols, split).select(
         F.lit("duplicate_rows").alias("check"), "pair", F.col("n_dup").alias("value"))
-    return overlaps.unionByName(dups)
+    shared = F.lit(len(target_in_features(features, targets))).cast("bigint")
+    inside = wide.select(F.lit("target_in_features").alias("check"), F.lit("all").alias("pair"),
+                         shared.alias("value"))
+    return overlaps.unionByName(dups).unionByName(inside)
 
 
 def target_in_features(features, targets) -> list[str]:
@@ -115,8 +123,3 @@ def reunion(*splits: DataFrame) -> DataFrame:
     for s in splits[1:]:
         out = out.unionByName(s, allowMissingColumns=True)
     return out
-
-
-def split_stats_broadcast(stats: DataFrame, n_splits: int = 4) -> DataFrame:
-    """Per-split statistics have one row per split label: bounded, broadcast."""
-    return bounded_broadcast(stats, n_splits)

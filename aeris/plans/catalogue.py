@@ -105,18 +105,16 @@ def daily_pivot_avg(spark, sf_dir):
     return r6(pl.daily_pollutants(spark, sf_dir))
 
 
-EVENT_TYPES = ["click", "error", "purchase", "signup", "view"]
-
-
 @register("pivot_all", q.with_([q.EV], "SELECT date_trunc('hour', ts) AS hour, " + ", ".join(
-    q.rd(f"avg(CASE WHEN pollutant = '{p}' THEN concentration END)") + f" AS {p}" for p in EVENT_TYPES)
+    q.rd(f"avg(CASE WHEN pollutant = '{p}' THEN concentration END)") + f" AS {p}"
+    for p in ["click", "error", "purchase", "signup", "view"])
     + " FROM ev GROUP BY 1"))
 def pivot_all(spark, sf_dir):
-    """Mean of every pollutant per hour (pivot with the value list given)."""
+    """Mean of every pollutant per hour; the pivot finds the pollutants itself."""
     # date_trunc yields a zoned timestamp: cast back to the NTZ wall clock
     ev = tables.event_readings(spark, sf_dir).withColumn(
         "hour", F.date_trunc("hour", "ts").cast("timestamp_ntz"))
-    return r6(daily.pivot_mean(ev, "hour", "pollutant", "concentration", EVENT_TYPES))
+    return r6(daily.pivot_mean(ev, "hour", "pollutant", "concentration"))
 
 
 @register("outer_merge", q.with_(q.BASE, "SELECT date, " + q.rnd(MERGED_DOUBLES) + ", n FROM m"))
@@ -145,7 +143,7 @@ _BF = "ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING"
     + f", first_value(n IGNORE NULLS) OVER (ORDER BY date {_BF}) AS n FROM m"))
 def back_fill(spark, sf_dir):
     m = pl.merged_unfilled(spark, sf_dir)
-    return r6(ordered.back_fill(m, pl.POLLUTANT_COLS + pl.WEATHER_COLS, "date").drop(ordered.ROW_ID))
+    return r6(ordered.back_fill(m, pl.POLLUTANT_COLS + pl.WEATHER_COLS, "date", one_row_per_date=True))
 
 
 @register("row_index", q.with_(q.BASE + [q.S], "SELECT date, row_id FROM s"))
@@ -309,7 +307,14 @@ def corr_lower(spark, sf_dir):
     return r6(stats.corr_lower(stats.corr_long(_encoded(spark, sf_dir), ENCODED_NUMERIC, True)))
 
 
-@register("corr_top_targets", q.with_(q.BASE + [_corr_sql(FILLED_NUMERIC, "f", False)], """
+@register("corr_pairwise", q.with_(q.ENCODED + [_corr_sql(ENCODED_NUMERIC, "e", False)],
+                                   "SELECT col_a, col_b, idx_a, idx_b, " + q.rnd(["r"]) + " FROM cm"))
+def corr_pairwise(spark, sf_dir):
+    """Correlation over the rows complete for each pair."""
+    return r6(stats.corr_long(_encoded(spark, sf_dir), ENCODED_NUMERIC, fill_zero=False))
+
+
+@register("corr_top_targets", q.with_(q.ENCODED + [_corr_sql(ENCODED_NUMERIC, "e", False)], """
   SELECT feature, """ + q.rnd(["avg_no2", "avg_o3", "max_abs_r"]) + """ FROM (
     SELECT col_a AS feature, max(CASE WHEN col_b = 'avg_no2' THEN r END) AS avg_no2,
       max(CASE WHEN col_b = 'avg_o3' THEN r END) AS avg_o3 FROM cm
@@ -317,18 +322,29 @@ def corr_lower(spark, sf_dir):
   CROSS JOIN LATERAL (SELECT greatest(abs(avg_no2), abs(avg_o3)) AS max_abs_r)
   WHERE abs(avg_no2) > 0.5 OR abs(avg_o3) > 0.5"""))
 def corr_top_targets(spark, sf_dir):
-    c = stats.corr_long(pl.merged_daily(spark, sf_dir), FILLED_NUMERIC, fill_zero=False)
+    c = stats.corr_long(_encoded(spark, sf_dir), ENCODED_NUMERIC, fill_zero=False)
     return r6(stats.corr_with_targets(c, pl.TARGETS, 0.5))
 
 
-@register("histogram20", """WITH st AS (SELECT min(value) AS lo, max(value) AS hi,
-  (max(value) - min(value)) / 20.0 AS w FROM events),
-  b AS (SELECT CAST(CASE WHEN w = 0 THEN 0 ELSE least(floor((value - lo) / w), 19) END AS INTEGER) AS bin,
-        lo, w FROM events, st WHERE value IS NOT NULL)
-  SELECT bin, """ + q.rd("any_value(lo) + bin * any_value(w)") + " AS lo, " +
-          q.rd("any_value(lo) + (bin + 1) * any_value(w)") + " AS hi, count(*) AS count FROM b GROUP BY bin")
+def _histogram_sql(table, cols):
+    parts = [f"""SELECT '{c}' AS "column", CAST(CASE WHEN w = 0 THEN 0 ELSE least(floor((x - lo) / w), 19) END AS INTEGER) AS bin,
+      lo, w FROM (SELECT CAST({c} AS DOUBLE) AS x FROM {table} WHERE {c} IS NOT NULL),
+      (SELECT min(CAST({c} AS DOUBLE)) AS lo, (max(CAST({c} AS DOUBLE)) - min(CAST({c} AS DOUBLE))) / 20.0 AS w FROM {table})"""
+             for c in cols]
+    return ("SELECT \"column\", bin, " + q.rd("any_value(lo) + bin * any_value(w)") + " AS lo, "
+            + q.rd("any_value(lo) + (bin + 1) * any_value(w)") + " AS hi, count(*) AS count FROM ("
+            + q.union_all(parts) + ") GROUP BY \"column\", bin")
+
+
+@register("histogram20", _histogram_sql("events", ["event_id", "user_id", "value"]))
 def histogram20(spark, sf_dir):
-    return r6(stats.histogram(tables.table(spark, sf_dir, "events"), "value", 20))
+    """Every numeric column of the raw table."""
+    return r6(stats.histogram(tables.table(spark, sf_dir, "events")))
+
+
+@register("histogram_daily", q.with_(q.ENCODED, _histogram_sql("e", FILLED_NUMERIC)))
+def histogram_daily(spark, sf_dir):
+    return r6(stats.histogram(_encoded(spark, sf_dir), FILLED_NUMERIC))
 
 
 @register("quadrants", q.with_(q.BASE, """SELECT
@@ -353,40 +369,49 @@ def resplit_gap(spark, sf_dir):
         "date", ordered.ROW_ID, "split", "unseen")
 
 
-DUP_COLS = ["month", "weekday", "holiday", "inverse_no2_o3"]
+_DUP_KEYS = ENCODED_NUMERIC
 _DUP_SQL = """ex AS (SELECT e.*, s.row_id FROM e JOIN s USING (date)),
   rsx AS (SELECT ex.*, CASE WHEN row_id < t THEN 'train' WHEN row_id >= t + g AND row_id < v THEN 'val'
     WHEN row_id >= v + g THEN 'test' ELSE 'gap' END AS split FROM ex,
     (SELECT CAST(floor(count(*) * 0.6) AS BIGINT) AS t, CAST(floor(count(*) * 0.8) AS BIGINT) AS v,
             CAST(floor(count(*) * 0.02) AS BIGINT) AS g FROM f)),
-  gr AS (SELECT split, month, weekday, holiday, inverse_no2_o3, count(*) AS c,
+  gr AS (SELECT split, {keys}, count(*) AS c,
     CASE split WHEN 'train' THEN 0 WHEN 'val' THEN 1 ELSE 2 END AS rk
     FROM rsx WHERE split IN ('train', 'val', 'test') GROUP BY ALL),
   dp AS (SELECT a.split || '_' || b.split AS pair, sum(a.c * b.c) AS n_dup FROM gr a JOIN gr b
-    ON a.month IS NOT DISTINCT FROM b.month AND a.weekday IS NOT DISTINCT FROM b.weekday
-    AND a.holiday IS NOT DISTINCT FROM b.holiday AND a.inverse_no2_o3 IS NOT DISTINCT FROM b.inverse_no2_o3
-    AND a.rk < b.rk GROUP BY 1),
+    ON a.rk < b.rk AND {same} GROUP BY 1),
   dups AS (SELECT p.pair, CAST(coalesce(dp.n_dup, 0) AS BIGINT) AS n_dup
     FROM (VALUES ('train_val'), ('train_test'), ('val_test')) p(pair) LEFT JOIN dp USING (pair))"""
 
 
+def _dup_sql(keys):
+    return _DUP_SQL.format(keys=", ".join(keys), same=" AND ".join(
+        f"a.{c} IS NOT DISTINCT FROM b.{c}" for c in keys))
+
+
 def _resplit_encoded(spark, sf_dir):
     return split.resplit_with_gap(_encoded(spark, sf_dir), "date")
 
 
-@register("dup_rows_between", q.with_(q.ENCODED + [q.S, _DUP_SQL], "SELECT pair, n_dup FROM dups"))
+@register("dup_rows_between", q.with_(q.ENCODED + [q.S, _dup_sql(["month", "weekday", "holiday", "inverse_no2_o3"])],
+                                      "SELECT pair, n_dup FROM dups"))
 def dup_rows_between(spark, sf_dir):
-    return split.duplicate_rows_between(_resplit_encoded(spark, sf_dir), DUP_COLS)
+    """Rows that agree on four calendar and label columns: such rows exist."""
+    return split.duplicate_rows_between(_resplit_encoded(spark, sf_dir),
+                                        ["month", "weekday", "holiday", "inverse_no2_o3"])
 
 
-@register("leak_report", q.with_(q.ENCODED + [q.S, _DUP_SQL], """
+@register("leak_report", q.with_(q.ENCODED + [q.S, _dup_sql(_DUP_KEYS)], """
   SELECT 'date_overlap' AS "check", 'train_val' AS pair,
     CAST((SELECT min(date) FROM rsx WHERE split = 'val') <= (SELECT max(date) FROM rsx WHERE split = 'train') AS BIGINT) AS value
   UNION ALL SELECT 'date_overlap', 'val_test',
     CAST((SELECT min(date) FROM rsx WHERE split = 'test') <= (SELECT max(date) FROM rsx WHERE split = 'val') AS BIGINT)
-  UNION ALL SELECT 'duplicate_rows', pair, n_dup FROM dups"""))
+  UNION ALL SELECT 'duplicate_rows', pair, n_dup FROM dups
+  UNION ALL SELECT 'target_in_features', 'all', CAST(2 AS BIGINT)"""))
 def leak_report(spark, sf_dir):
-    return split.leakage_report(_resplit_encoded(spark, sf_dir), DUP_COLS)
+    """All shared columns; the raw columns still hold both targets."""
+    return split.leakage_report(_resplit_encoded(spark, sf_dir), _DUP_KEYS,
+                                features=ENCODED_NUMERIC, targets=pl.TARGETS)
 
 
 @register("kfold_sizes", q.with_(q.BASE, """SELECT CAST(('0x' || substr(md5('42:' || CAST(date AS VARCHAR)), 1, 8))::BIGINT % 5 AS INTEGER) AS fold,
@@ -446,6 +471,14 @@ def high_water_append(spark, sf_dir):
     return ingest.append_after_mark(existing, batch, "ts")
 
 
+@register("initial_load", q.with_([q.EV],
+          "SELECT event_id, station, pollutant, concentration, ts, true AS is_new FROM ev"))
+def initial_load(spark, sf_dir):
+    """An empty target takes the whole batch."""
+    batch = tables.event_readings(spark, sf_dir)
+    return ingest.append_after_mark(batch.where(F.lit(False)), batch, "ts")
+
+
 @register("delta_rows", q.with_([q.EV], """SELECT event_id, station, pollutant, concentration, ts FROM ev
   WHERE ts > (SELECT max(ts) FROM ev WHERE ts <= TIMESTAMP '""" + EVENT_MARK + "')"))
 def delta_rows(spark, sf_dir):
@@ -483,6 +516,11 @@ def dedup_first(spark, sf_dir):
     return r6(kept.select("date", "temp", "humidity", "windspeed", "n"))
 
 
+@register("dedup_count", q.with_(_UF_SQL, "SELECT CAST(count(*) - count(DISTINCT date) AS BIGINT) AS duplicates FROM u"))
+def dedup_count(spark, sf_dir):
+    return ingest.duplicate_count(_weather_union(spark, sf_dir), "date")
+
+
 @register("union_fill", q.with_(_UF_SQL, "SELECT date, " + ", ".join(
     q.rd(f"last_value({c} IGNORE NULLS) OVER (ORDER BY date {q._FF})") + f" AS {c}"
     for c in ["temp", "humidity", "windspeed"]) + f", last_value(n IGNORE NULLS) OVER (ORDER BY date {q._FF}) AS n FROM kf"))
@@ -490,7 +528,8 @@ def union_fill(spark, sf_dir):
     u = _weather_union(spark, sf_dir)
     kept = ingest.keep_first(u, "date", ["source_rank", "temp", "humidity", "windspeed", "n"],
                              drop_cols=["source_rank"]).select("date", "temp", "humidity", "windspeed", "n")
-    return r6(ordered.forward_fill(kept, ["temp", "humidity", "windspeed", "n"], "date"))
+    # one row per date after keep-first
+    return r6(ordered.forward_fill(kept, ["temp", "humidity", "windspeed", "n"], "date", one_row_per_date=True))
 
 
 # --- rolling and sequence windows ---------------------------------------------------
@@ -550,9 +589,14 @@ from aeris.functions import advisory  # noqa: E402
 from aeris.operators import linear, metrics  # noqa: E402
 
 
+# Fixed values, written out: the oracle must not follow an error in the library.
+NO2_TEXT = "NO2 levels are above the guideline. People with respiratory conditions should take precautions."
+O3_TEXT = "Ozone levels are high. Reduce outdoor activities, especially during midday hours."
+SAFE_TEXT = "Pollutant levels are within safe limits. Enjoy your outdoor activities."
+
+
 def _advice_sql():
-    no2, o3, safe = (advisory.NO2_ADVICE.replace("'", "''"), advisory.O3_ADVICE.replace("'", "''"),
-                     advisory.SAFE_ADVICE.replace("'", "''"))
+    no2, o3, safe = (x.replace("'", "''") for x in (NO2_TEXT, O3_TEXT, SAFE_TEXT))
     return q.with_(q.BASE, f"""SELECT date, CASE WHEN coalesce(avg_no2 > 20, false) OR coalesce(avg_o3 > 60, false)
       THEN concat_ws(' | ', CASE WHEN avg_no2 > 20 THEN '{no2}' END, CASE WHEN avg_o3 > 60 THEN '{o3}' END)
       ELSE '{safe}' END AS advice,
@@ -567,11 +611,22 @@ def health_advice(spark, sf_dir):
     return f.select("date", F.array_join("a", " | ").alias("advice"), F.size("a").alias("n_advice"))
 
 
+AQI_TEXT = [
+    (0, 50, 'Good', 'None'),
+    (51, 100, 'Moderate', 'Usually sensitive individuals should consider limiting prolonged outdoor exertion.'),
+    (101, 150, 'Unhealthy for Sensitive Groups', 'Children, active adults, and people with respiratory disease, such as asthma, should limit prolonged outdoor exertion.'),
+    (151, 200, 'Unhealthy', 'Children, active adults, and people with respiratory disease, such as asthma, should avoid outdoor exertion; everyone else should limit prolonged outdoor exertion.'),
+    (201, 300, 'Very Unhealthy', 'Children, active adults, and people with respiratory disease, such as asthma, should avoid outdoor exertion; everyone else should limit outdoor exertion.'),
+    (301, 500, 'Hazardous', 'Everyone should avoid all physical activity outdoors.'),
+]
+
+
 def _aqi_sql():
-    cases = " ".join(f"WHEN ceil(avg_no2) BETWEEN {lo} AND {hi} THEN '{name}'" for lo, hi, name, _ in advisory.AQI_BANDS)
-    adv = " ".join(f"WHEN ceil(avg_no2) BETWEEN {lo} AND {hi} THEN '{text}'" for lo, hi, _, text in advisory.AQI_BANDS)
+    def case(k):
+        rows = " ".join(f"WHEN ceil(avg_no2) BETWEEN {x[0]} AND {x[1]} THEN '{x[k]}'" for x in AQI_TEXT)
+        return f"CASE {rows} END"
     return q.with_(q.BASE, f"""SELECT band, advisory, count(*) AS n FROM (
-      SELECT CASE {cases} END AS band, CASE {adv} END AS advisory FROM f) GROUP BY band, advisory""")
+      SELECT {case(2)} AS band, {case(3)} AS advisory FROM f) GROUP BY band, advisory""")
 
 
 @register("aqi_band", _aqi_sql())
@@ -587,11 +642,11 @@ def aqi_band(spark, sf_dir):
     q.rd("regr_slope(avg_o3, avg_no2)") + " AS slope", q.rd("regr_intercept(avg_o3, avg_no2)") + " AS intercept",
     q.rd("regr_r2(avg_o3, avg_no2)") + " AS r2", "CAST(regr_count(avg_o3, avg_no2) AS BIGINT) AS n"]) + " FROM f"))
 def ols_univariate(spark, sf_dir):
-    f = pl.merged_daily(spark, sf_dir)
-    return r6(f.agg(F.regr_slope("avg_o3", "avg_no2").alias("slope"),
-                    F.regr_intercept("avg_o3", "avg_no2").alias("intercept"),
-                    F.regr_r2("avg_o3", "avg_no2").alias("r2"),
-                    F.regr_count("avg_o3", "avg_no2").alias("n")))
+    f = clean.complete_cases(pl.merged_daily(spark, sf_dir), ["avg_no2", "avg_o3"]).select("avg_no2", "avg_o3")
+    model = linear.fit_linear(f, ["avg_no2"], ["avg_o3"])
+    scores = metrics.regression_metrics(model.predict(f), ["avg_o3"], ["pred_avg_o3"])
+    return r6(scores.select(F.lit(float(model.coef[0, 0])).alias("slope"),
+                            F.lit(float(model.intercept[0])).alias("intercept"), "r2", "n"))
 
 
 RIDGE_ALPHA = 1.0
@@ -691,40 +746,42 @@ from aeris.streaming import stream  # noqa: E402
 
 @register("stream_ingest", "SELECT event_id, user_id AS station, event_type AS pollutant, value AS concentration, ts FROM events")
 def stream_ingest(spark, sf_dir):
-    ev = stream.table_stream(spark, sf_dir, "events").select(
-        "event_id", F.col("user_id").alias("station"), F.col("event_type").alias("pollutant"),
-        F.col("value").alias("concentration"), "ts")
-    return stream.run_to_table(spark, stream.dedup_stream(ev), "ingest")
+    """Two deliveries and a restart: the events up to the mark, then all of them
+    again. The second run goes on from the first one's state, so every event is
+    there once."""
+    root = stream.stream_root(spark, "ingest")
+    events = tables.table(spark, sf_dir, "events")
+    part = events.where(F.col("ts") <= F.lit(EVENT_MARK).cast("timestamp_ntz"))
+    for delivery in (part, events.unionAll(part)):
+        delivery.write.mode("append").parquet(f"{root}/inbox/events.parquet")
+        arrived = tables.as_event_readings(stream.table_stream(spark, f"{root}/inbox", "events"))
+        kept = stream.run_to_table(stream.dedup_stream(arrived), root)
+    return kept
 
 
-_SD_SQL = ["""sd AS (SELECT CAST(ts AS DATE) AS date,
-  avg(CASE WHEN pollutant = 'NO' THEN concentration END) AS avg_no,
-  avg(CASE WHEN pollutant = 'NO2' THEN concentration END) AS avg_no2,
-  avg(CASE WHEN pollutant = 'O3' THEN concentration END) AS avg_o3,
-  coalesce(avg(CASE WHEN pollutant = 'NOX as NO2' THEN concentration END), 0.0) AS avg_nox,
-  count(*) AS n_readings
-  FROM (SELECT CAST(l_suppkey % 10 AS BIGINT) AS station, CASE l_returnflag || l_linestatus
-          WHEN 'AF' THEN 'NO' WHEN 'AO' THEN 'NO2' WHEN 'NF' THEN 'O3' WHEN 'RO' THEN 'NOX as NO2'
-          ELSE 'other' END AS pollutant, 2 * l_quantity AS concentration, l_shipdate AS ts FROM lineitem) x
-  WHERE station IN (1, 2, 3) GROUP BY CAST(ts AS DATE)
-  HAVING CAST(ts AS DATE) + INTERVAL 1 DAY <= (SELECT max(l_shipdate) FROM lineitem) - INTERVAL 1 DAY)"""]
+_SD_SQL = [q.R, q.K, q.IMP, q.D, """sd AS (SELECT d.*, n_readings FROM d JOIN
+  (SELECT CAST(ts AS DATE) AS date, count(*) AS n_readings FROM k GROUP BY 1) USING (date))"""]
+
+
+def _stream_daily(spark, sf_dir, name):
+    return stream.drain_daily(stream.readings_stream(spark, sf_dir), stream.stream_root(spark, name))
 
 
 @register("stream_daily_avg", q.with_(_SD_SQL, "SELECT date, " + q.rnd(["avg_no", "avg_no2", "avg_o3", "avg_nox"]) +
                                       ", n_readings FROM sd"))
 def stream_daily_avg(spark, sf_dir):
-    """Days whose window closed under the watermark (the last open day is not emitted)."""
-    return r6(stream.run_to_table(spark, stream.daily_stream(stream.readings_stream(spark, sf_dir)), "daily"))
+    """Every day of the stream, imputed as in the batch rollup."""
+    return r6(_stream_daily(spark, sf_dir, "daily"))
 
 
 @register("stream_advice", q.with_(_SD_SQL, f"""SELECT date, {q.rd('avg_no2')} AS avg_no2, {q.rd('avg_o3')} AS avg_o3,
   CASE WHEN coalesce(avg_no2 > 20, false) OR coalesce(avg_o3 > 60, false)
-    THEN concat_ws(' | ', CASE WHEN avg_no2 > 20 THEN '{advisory.NO2_ADVICE}' END,
-                   CASE WHEN avg_o3 > 60 THEN '{advisory.O3_ADVICE}' END)
-    ELSE '{advisory.SAFE_ADVICE}' END AS advice FROM sd"""))
+    THEN concat_ws(' | ', CASE WHEN avg_no2 > 20 THEN '{NO2_TEXT}' END,
+                   CASE WHEN avg_o3 > 60 THEN '{O3_TEXT}' END)
+    ELSE '{SAFE_TEXT}' END AS advice, CASE """ + " ".join(
+    f"WHEN ceil(avg_no2) BETWEEN {x[0]} AND {x[1]} THEN '{x[2]}'" for x in AQI_TEXT) + " END AS band FROM sd"))
 def stream_advice(spark, sf_dir):
-    daily = stream.daily_stream(stream.readings_stream(spark, sf_dir))
-    return r6(stream.run_to_table(spark, stream.advice_stream(daily), "advice"))
+    return r6(stream.advice_daily(_stream_daily(spark, sf_dir, "advice")))
 
 
 # --- model queries without an SQL oracle (rows-only check) -----------------------------
@@ -734,21 +791,110 @@ MODEL_TARGETS = pl.TARGETS
 MODEL_FEATURES = [c for c in ENCODED_NUMERIC if c not in MODEL_TARGETS]
 
 
+def _model_columns(spark, sf_dir):
+    """Encode -> log1p of skewed columns -> 70/15/15 split -> min-max fitted on train."""
+    logged = stats.log1p_skewed(_encoded(spark, sf_dir), ENCODED_NUMERIC)
+    sp = split.chronological_split(logged, "date")
+    return scale.minmax_by_split(sp, ENCODED_NUMERIC, "split", fit_on="train")
+
+
 def _model_table(spark, sf_dir):
-    """Encoded labels, 70/15/15 split, min-max fitted per split, md5 folds."""
-    sp = split.chronological_split(_encoded(spark, sf_dir), "date")
-    scaled = scale.minmax_by_split(sp, ENCODED_NUMERIC, "split")
     # iterative fits read this many times: cut the lineage once (reliable
     # checkpoint in the shared checkpoint directory)
-    return split.with_folds(scaled, "date", 5, 42).checkpoint(eager=True)
+    return split.with_folds(_model_columns(spark, sf_dir), "date", 5, 42).checkpoint(eager=True)
+
+
+def _model_ctes():
+    logged, scaled = [], []
+    for c in ENCODED_NUMERIC:
+        skewed = f"(SELECT coalesce(abs({_skew_sql_expr(c)}) > 0.75, false) FROM e)"
+        logged.append(f"CASE WHEN {skewed} THEN (CASE WHEN {c} > -1 THEN ln(1 + {c}) END) "
+                      f"ELSE CAST({c} AS DOUBLE) END AS {c}")
+        lo, hi = (f"(SELECT {agg}({c}) FROM ms WHERE split = 'train')" for agg in ("min", "max"))
+        scaled.append(f"({c} - {lo}) / coalesce(nullif({hi} - {lo}, 0.0), 1.0) AS {c}")
+    return q.ENCODED + [
+        "lg1 AS MATERIALIZED (SELECT date, " + ", ".join(logged) + " FROM e)",
+        "mi AS (SELECT *, row_number() OVER (ORDER BY date) - 1 AS row_id, count(*) OVER () AS n_rows FROM lg1)",
+        """ms AS MATERIALIZED (SELECT *, CASE WHEN row_id < floor(n_rows * 0.7) THEN 'train'
+          WHEN row_id < floor(n_rows * 0.7) + floor(n_rows * 0.15) THEN 'val' ELSE 'test' END AS split FROM mi)""",
+        """mt AS MATERIALIZED (SELECT date, split, row_id, n_rows, """ + ", ".join(scaled) + """,
+          CAST(('0x' || substr(md5('42:' || CAST(date AS VARCHAR)), 1, 8))::BIGINT % 5 AS INTEGER) AS fold FROM ms)"""]
+
+
+@register("model_table", q.with_(_model_ctes(), "SELECT date, split, fold, " + q.rnd(ENCODED_NUMERIC) + " FROM mt"))
+def model_table(spark, sf_dir):
+    """The table that every model below is fitted on."""
+    m = split.with_folds(_model_columns(spark, sf_dir), "date", 5, 42)
+    return r6(m.select("date", "split", "fold", *ENCODED_NUMERIC))
 
 
 @register("cv_ridge")
 def cv_ridge(spark, sf_dir):
     """5-fold ridge (alpha 1) on train: per-fold metrics from fold statistics."""
     t = _model_table(spark, sf_dir).where(F.col("split") == "train")
-    fold_metrics, _, _ = linear.cross_validate(t, MODEL_FEATURES, MODEL_TARGETS, "fold", 5, RIDGE_ALPHA)
-    return fold_metrics
+    return linear.cross_validate(t, MODEL_FEATURES, MODEL_TARGETS, "fold", RIDGE_ALPHA)[0]
+
+
+# Two features and one target have a closed form that SQL can write down.
+TWO = ["temp", "sin_1"]
+
+
+def _two_ctes():
+    """Per fold f the ridge of all train rows of other folds, as c1, c2, b0."""
+    return _model_ctes() + [
+        f"t2 AS (SELECT fold, {TWO[0]} AS x1, {TWO[1]} AS x2, avg_o3 AS y FROM mt WHERE split = 'train' "
+        f"AND {TWO[0]} IS NOT NULL AND {TWO[1]} IS NOT NULL AND avg_o3 IS NOT NULL)",
+        f"""st2 AS (SELECT g.fold, count(*) * var_pop(x1) + {RIDGE_ALPHA} AS a11, count(*) * covar_pop(x1, x2) AS a12,
+          count(*) * var_pop(x2) + {RIDGE_ALPHA} AS a22, count(*) * covar_pop(x1, y) AS b1,
+          count(*) * covar_pop(x2, y) AS b2, avg(x1) AS m1, avg(x2) AS m2, avg(y) AS my
+          FROM (SELECT DISTINCT fold FROM t2) g JOIN t2 ON t2.fold <> g.fold GROUP BY g.fold)""",
+        """co2 AS (SELECT fold, c1, c2, my - c1 * m1 - c2 * m2 AS b0 FROM (SELECT *,
+          (a22 * b1 - a12 * b2) / (a11 * a22 - a12 * a12) AS c1,
+          (a11 * b2 - a12 * b1) / (a11 * a22 - a12 * a12) AS c2 FROM st2))"""]
+
+
+_TWO_SCORES = ("avg((y - p) * (y - p)) AS mse, sqrt(avg((y - p) * (y - p))) AS rmse, " + _r2_sql("y", "p") + " AS r2")
+_CV2 = f"""cv2 AS (SELECT fold, {_TWO_SCORES}, count(*) AS n FROM (
+    SELECT t2.fold, y, b0 + c1 * x1 + c2 * x2 AS p FROM t2 JOIN co2 USING (fold)) GROUP BY fold)"""
+
+
+@register("cv_ridge_two", q.with_(_two_ctes() + [_CV2], "SELECT fold, " + q.rnd(["mse", "rmse", "r2"]) + ", n FROM cv2"))
+def cv_ridge_two(spark, sf_dir):
+    t = _model_table(spark, sf_dir).where(F.col("split") == "train")
+    return r6(linear.cross_validate(t, TWO, ["avg_o3"], "fold", RIDGE_ALPHA)[0])
+
+
+def _two_model(spark, sf_dir):
+    m = _model_table(spark, sf_dir)
+    model, folds = linear.fit_with_cv(m.where(F.col("split") == "train"), TWO, ["avg_o3"], "fold",
+                                      RIDGE_ALPHA, refit="last_fold")
+    return m, model, folds
+
+
+_PRED2 = f"""p2 AS (SELECT date, avg_o3 AS y, b0 + c1 * {TWO[0]} + c2 * {TWO[1]} AS p FROM mt,
+    (SELECT * FROM co2 WHERE fold = (SELECT max(fold) FROM co2)) WHERE split = 'test'
+    AND {TWO[0]} IS NOT NULL AND {TWO[1]} IS NOT NULL)"""
+
+
+@register("linear_predictions_two", q.with_(_two_ctes() + [_PRED2],
+                                            "SELECT date, " + q.rd("p") + " AS pred_avg_o3 FROM p2"))
+def linear_predictions_two(spark, sf_dir):
+    """Test predictions of the last fold's two-feature model."""
+    m, model, _ = _two_model(spark, sf_dir)
+    test = clean.complete_cases(m.where(F.col("split") == "test"), TWO)
+    return r6(model.predict(test).select("date", "pred_avg_o3"))
+
+
+@register("linear_eval_two", q.with_(_two_ctes() + [_CV2, _PRED2], "SELECT 'cross_validation' AS split, "
+          + ", ".join(q.rd(f"avg({c})") + f" AS {c}" for c in ("mse", "rmse", "r2")) + " FROM cv2 UNION ALL SELECT 'test', "
+          + q.rnd(["mse", "rmse", "r2"]) + f" FROM (SELECT {_TWO_SCORES} FROM p2 WHERE y IS NOT NULL)"))
+def linear_eval_two(spark, sf_dir):
+    """Cross-validation means and test scores of the two-feature ridge."""
+    m, model, folds = _two_model(spark, sf_dir)
+    test = clean.complete_cases(m.where(F.col("split") == "test"), TWO + ["avg_o3"])
+    scores = metrics.regression_metrics(model.predict(test), ["avg_o3"], ["pred_avg_o3"])
+    cv = linear.fold_means(folds).select(F.lit("cross_validation").alias("split"), "mse", "rmse", "r2")
+    return r6(cv.unionByName(scores.select(F.lit("test").alias("split"), "mse", "rmse", "r2")))
 
 
 @register("lasso_fit")
@@ -766,8 +912,8 @@ def lasso_fit(spark, sf_dir):
 def overfit_loop(spark, sf_dir):
     m = _model_table(spark, sf_dir)
     hist = linear.overfit_search(m.where(F.col("split") == "train"), m.where(F.col("split") == "test"),
-                                 MODEL_FEATURES, MODEL_TARGETS, "fold", 5, RIDGE_ALPHA, 0.1, 6)
-    return spark.createDataFrame(hist, "round int, alpha double, cv_r2 double, test_r2 double")
+                                 MODEL_FEATURES, MODEL_TARGETS, "fold", RIDGE_ALPHA, 0.1)
+    return spark.createDataFrame(hist, "round int, alpha double, cv_r2 double, test_r2 double, converged boolean")
 
 
 def _forests(spark, sf_dir):
@@ -789,11 +935,15 @@ def forest_importance(spark, sf_dir):
     return forest.importances(models, MODEL_FEATURES, spark)
 
 
+# The query's own grid (a parameter; the operator's default is the full one).
+QUERY_GRID = {"maxDepth": [5, 7], "numTrees": [20, 50]}
+
+
 @register("grid_search")
 def grid_search(spark, sf_dir):
     t = split.with_folds(_model_table(spark, sf_dir).drop("fold").where(F.col("split") == "train"),
                          "date", 3, 42)
-    return forest.grid_search(t, MODEL_FEATURES, "avg_o3", "fold")
+    return forest.grid_search(t, MODEL_FEATURES, MODEL_TARGETS, "fold", QUERY_GRID)
 
 
 def _seq_predictions(spark, sf_dir):
@@ -848,9 +998,17 @@ def holiday_calendar(spark, sf_dir):
     f"{q.rd(f'median({t})')} AS median FROM f" for t in ["avg_no2", "avg_o3"]])))
 def target_summary(spark, sf_dir):
     f = pl.merged_daily(spark, sf_dir)
-    parts = [f.agg(F.lit(t).alias("target"), F.min(t).alias("min"), F.max(t).alias("max"),
-                   F.median(t).alias("median")) for t in pl.TARGETS]
-    return r6(parts[0].unionByName(parts[1]))
+    wide = f.agg(F.array(*[F.struct(F.lit(t).alias("target"), F.min(t).alias("min"), F.max(t).alias("max"),
+                                    F.median(t).alias("median")) for t in pl.TARGETS]).alias("s"))
+    return r6(wide.select(F.inline("s")))
+
+
+@register("dtypes", """SELECT * FROM (VALUES ('date', 'date'), ('avg_no', 'double'), ('avg_no2', 'double'),
+  ('avg_o3', 'double'), ('avg_nox', 'double'), ('temp', 'double'), ('humidity', 'double'),
+  ('windspeed', 'double'), ('n', 'bigint')) t("column", dtype)""")
+def dtypes(spark, sf_dir):
+    """Column types of the merged daily table."""
+    return spark.createDataFrame(pl.merged_daily(spark, sf_dir).dtypes, "column string, dtype string")
 
 
 @register("shape", q.with_(q.BASE, "SELECT count(*) AS n_rows, 9 AS n_columns FROM f"))
@@ -905,25 +1063,24 @@ def single_target_metrics(spark, sf_dir):
 def _resplit_model_table(spark, sf_dir):
     """Re-split 60/20/20 (2 % gaps, unseen = last 5 %) of the scaled model table."""
     m = _model_table(spark, sf_dir).drop(ordered.ROW_ID, "split")
-    return split.resplit_with_gap(m, "date").checkpoint(eager=True)
+    return split.resplit_with_gap(m, "date")
 
 
 def _linear_eval(spark, sf_dir):
     rs = _resplit_model_table(spark, sf_dir)
     train = rs.where(F.col("split") == "train")
-    model, cv, _ = linear.fit_with_cv(train, MODEL_FEATURES, MODEL_TARGETS, "fold", 5, RIDGE_ALPHA,
+    model, folds = linear.fit_with_cv(train, MODEL_FEATURES, MODEL_TARGETS, "fold", RIDGE_ALPHA,
                                       refit="last_fold")
-    return rs, model, cv
+    return rs, model, folds
 
 
 @register("linear_eval")
 def linear_eval(spark, sf_dir):
     """The metrics document: cross-validation means, test and unseen scores of
     the ridge model (alpha 1, last-fold model), as (split, mse, rmse, r2)."""
-    rs, model, cv = _linear_eval(spark, sf_dir)
+    rs, model, folds = _linear_eval(spark, sf_dir)
     preds = [f"pred_{t}" for t in MODEL_TARGETS]
-    out = spark.createDataFrame([("cross_validation", float(cv["mse"]), float(cv["rmse"]), float(cv["r2"]))],
-                                "split string, mse double, rmse double, r2 double")
+    out = linear.fold_means(folds).select(F.lit("cross_validation").alias("split"), "mse", "rmse", "r2")
     for name, cond in (("test", F.col("split") == "test"), ("unseen", F.col("unseen"))):
         part = clean.complete_cases(rs.where(cond), MODEL_FEATURES + MODEL_TARGETS)
         m = metrics.regression_metrics(model.predict(part), MODEL_TARGETS, preds)
@@ -1002,11 +1159,99 @@ def minmax_fit_train(spark, sf_dir):
 
 @register("current_advice", q.with_(q.BASE, f"""SELECT date, {q.rd('avg_no2')} AS avg_no2, {q.rd('avg_o3')} AS avg_o3,
   CASE WHEN coalesce(avg_no2 > 20, false) OR coalesce(avg_o3 > 60, false)
-    THEN concat_ws(' | ', CASE WHEN avg_no2 > 20 THEN '{advisory.NO2_ADVICE}' END,
-                   CASE WHEN avg_o3 > 60 THEN '{advisory.O3_ADVICE}' END)
-    ELSE '{advisory.SAFE_ADVICE}' END AS advice FROM f WHERE date = (SELECT max(date) FROM f)"""))
+    THEN concat_ws(' | ', CASE WHEN avg_no2 > 20 THEN '{NO2_TEXT}' END,
+                   CASE WHEN avg_o3 > 60 THEN '{O3_TEXT}' END)
+    ELSE '{SAFE_TEXT}' END AS advice FROM f WHERE date = (SELECT max(date) FROM f)"""))
 def current_advice(spark, sf_dir):
     """The dashboard's panel: the latest day's NO2, O3 and advice."""
     cur = ordered.current_row(pl.merged_daily(spark, sf_dir), "date")
     return r6(cur.select("date", "avg_no2", "avg_o3",
                          F.array_join(advisory.health_advice("avg_no2", "avg_o3"), " | ").alias("advice")))
+
+
+# --- file round trips and schema operators -----------------------------------------
+from aeris.sources import files  # noqa: E402
+
+
+def _folder(spark, name):
+    return stream.stream_root(spark, f"files-{name}")
+
+
+@register("csv_roundtrip", "SELECT event_id, user_id, event_type, value FROM events")
+def csv_roundtrip(spark, sf_dir):
+    """Headed CSV written and scanned again with an explicit schema (A1, A3)."""
+    path = _folder(spark, "csv")
+    files.write_table(tables.table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value"),
+                      path, "csv")
+    return files.read_csv(spark, path, "event_id bigint, user_id bigint, event_type string, value double")
+
+
+@register("promoted_header", """SELECT CAST(event_id AS VARCHAR) AS event_id,
+  CASE WHEN event_type = 'click' THEN 'tap' ELSE event_type END AS event_type FROM events""")
+def promoted_header(spark, sf_dir):
+    """The first line names the columns; a value is rewritten (A2)."""
+    path = _folder(spark, "header")
+    files.write_table(tables.table(spark, sf_dir, "events").select("event_id", "event_type"), path, "csv")
+    return files.promote_header(spark, path, {"click": "tap"}, "event_type")
+
+
+@register("backup_copy", q.with_(q.BASE, "SELECT date, " + q.rnd(MERGED_DOUBLES) + ", n FROM f"))
+def backup_copy(spark, sf_dir):
+    """A stage's backup, read again (A4)."""
+    path = files.backup(pl.merged_daily(spark, sf_dir), _folder(spark, "backup"), "merged")
+    return r6(files.read_table(spark, path))
+
+
+@register("predictions_csv", q.with_(_two_ctes() + [_PRED2], "SELECT date, " + q.rd("p") + " AS pred_avg_o3 FROM p2"))
+def predictions_csv(spark, sf_dir):
+    """Predictions as headerless CSV, read again."""
+    path = _folder(spark, "predictions")
+    files.write_predictions(linear_predictions_two(spark, sf_dir), path, ["pred_avg_o3"])
+    return r6(files.read_csv(spark, path, "date date, pred_avg_o3 double", header=False))
+
+
+@register("metrics_json", _upsert_sql())
+def metrics_json(spark, sf_dir):
+    """The metrics table written as JSON, damaged by a foreign line, and read again:
+    the foreign line is left out (A10)."""
+    path = _folder(spark, "metrics")
+    metrics.write_metrics_json(_upserted(spark, sf_dir).select("model", "split", "metric", "value", "version"), path)
+    spark.range(1).select(F.lit("{not json").alias("value")).write.mode("append").text(path)
+    return r6(metrics.read_metrics_json(spark, path))
+
+
+@register("dropped_columns", q.with_(q.BASE, "SELECT date, " + q.rnd(["avg_no2", "avg_o3"]) + " FROM f"))
+def dropped_columns(spark, sf_dir):
+    """Unwanted columns dropped, absent names ignored (B2)."""
+    f = clean.drop_columns(pl.merged_daily(spark, sf_dir),
+                           ["avg_no", "avg_nox", "temp", "humidity", "windspeed", "n", "absent"])
+    return r6(f)
+
+
+@register("null_keys_dropped", q.with_(q.BASE, "SELECT date, " + q.rnd(["avg_no2", "temp"]) +
+                                       " FROM m WHERE date IS NOT NULL AND temp IS NOT NULL"))
+def null_keys_dropped(spark, sf_dir):
+    m = clean.drop_null_keys(pl.merged_unfilled(spark, sf_dir), ["date", "temp"])
+    return r6(m.select("date", "avg_no2", "temp"))
+
+
+@register("column_order", q.with_(q.BASE, "SELECT n, " + q.rnd(["avg_o3", "avg_no2"]) + ", date FROM f"))
+def column_order(spark, sf_dir):
+    return r6(clean.reorder_columns(pl.merged_daily(spark, sf_dir), ["n", "avg_o3", "avg_no2", "date"]))
+
+
+@register("columns_by_type", q.with_(q.LABELLED, "SELECT date, month, weekday, holiday, high_o3_warm_months, n, day_of_year FROM l"))
+def columns_by_type(spark, sf_dir):
+    """Boolean and non-numeric columns, and the whole-numbered ones."""
+    lab = pl.labelled_daily(spark, sf_dir)
+    other = [c for c in clean.non_numeric_columns(lab) if c not in clean.boolean_columns(lab)]
+    return lab.select(*other, *clean.boolean_columns(lab),
+                      *[c for c in clean.numeric_columns(lab) if dict(lab.dtypes)[c] in ("int", "bigint")
+                        and c != "inverse_no2_o3"])
+
+
+@register("date_key", "SELECT event_id, CAST(ts AS DATE) AS date FROM events")
+def date_key(spark, sf_dir):
+    """The date key derived from a text timestamp."""
+    ev = tables.table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("string").alias("begin"))
+    return clean.derive_date_key(ev, "begin").select("event_id", "date")

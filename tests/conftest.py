@@ -10,7 +10,7 @@ SMOKE_DIR = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark():
-    from aeris.session import build_session
-    s = build_session("local[*]", "aeris-tests", shuffle_partitions=8)
+    from aeris.session import build_session, local_conf
+    s = build_session("local[*]", "aeris-tests", local_conf(8, "8g"))
     yield s
     s.stop()

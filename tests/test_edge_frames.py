@@ -218,7 +218,7 @@ def test_cv_by_subtraction_equals_refit(spark):
     rows = [(float(a), float(b), float(2 * a - b + rng.normal(scale=0.01)), int(i % 3))
             for i, (a, b) in enumerate(rng.normal(size=(60, 2)))]
     df = spark.createDataFrame(rows, "a double, b double, y double, fold int")
-    _, _, models = linear.cross_validate(df, ["a", "b"], ["y"], "fold", 3, 0.5)
+    _, models = linear.cross_validate(df, ["a", "b"], ["y"], "fold", 0.5)
     direct = linear.fit_linear(df.where("fold != 1"), ["a", "b"], ["y"], alpha=0.5)
     assert np.allclose(models[1].coef, direct.coef) and np.allclose(models[1].intercept, direct.intercept)
 
@@ -227,7 +227,7 @@ def test_exact_quantiles_with_heavy_ties(spark):
     import numpy as np
     vals = [5.0] * 100 + [float(i) for i in range(200)]  # one value holds a third of the rows
     df = spark.createDataFrame([(v,) for v in vals] + [(None,)], "x double")
-    got = stats.exact_quantiles(df, "x", (0.25, 0.5, 0.75)).first()
+    got = stats.exact_quantiles(df, ["x"], (0.25, 0.5, 0.75)).first()
     assert [got["q0"], got["q1"], got["q2"]] == pytest.approx(list(np.quantile(vals, [0.25, 0.5, 0.75])))
     d = stats.describe(df, ["x"], method="sort").first()
     assert d["count"] == 300 and d["p50"] == pytest.approx(float(np.median(vals)))
@@ -249,3 +249,96 @@ def test_invariants_scaled_range_and_fold_sizes(spark):
     assert sum(r["count"] for r in folds) == n and {r["fold"] for r in folds} <= set(range(5))
     ids = sorted(r[0] for r in ordered.row_index(f, "date").select("row_id").collect())
     assert ids == list(range(n))
+
+
+def test_large_mean_columns_keep_their_digits(spark):
+    import numpy as np
+    from aeris.operators import linear
+    rng = np.random.default_rng(3)
+    a = 1.7e9 + rng.normal(size=400)
+    b = a + rng.normal(scale=0.1, size=400)
+    df = spark.createDataFrame([(float(x), float(y)) for x, y in zip(a, b)], "a double, b double")
+    r = {(x["col_a"], x["col_b"]): x["r"] for x in stats.corr_long(df, ["a", "b"], fill_zero=True).collect()}
+    assert r["a", "b"] == pytest.approx(df.corr("a", "b"), abs=1e-6)
+    assert r["a", "a"] == pytest.approx(1.0) and r["b", "b"] == pytest.approx(1.0)
+    m = linear.fit_linear(df, ["a"], ["b"])
+    slope = np.cov(a, b)[0, 1] / np.var(a, ddof=1)
+    assert m.coef[0, 0] == pytest.approx(slope, abs=1e-6)
+
+
+def test_hot_value_is_one_row_of_the_quantile_sort(spark):
+    df = spark.range(0, 30000).select(F.when(F.col("id") % 3 == 0, 7.0).otherwise(F.col("id").cast("double")).alias("x"))
+    counted = df.groupBy("x").count()
+    placed = ordered.running_weight(counted, ["x"], "count", "upto")
+    sizes = [r["n"] for r in placed.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert max(sizes) <= 2 * sum(sizes) / len(sizes) + 100
+    assert placed.agg(F.max("upto")).first()[0] == 30000
+
+
+def test_fill_with_several_rows_per_date(spark):
+    rows = [(dt.date(2024, 1, 1 + i // 3), i, None if i % 4 else float(i)) for i in range(30)]
+    df = spark.createDataFrame(rows, "date date, k int, v double")
+    out = ordered.forward_fill(df, "v", ["date", "k"], block_rows=4).orderBy("k").collect()
+    assert [r["v"] for r in out] == [float(i - i % 4) for i in range(30)]
+
+
+def test_append_to_an_empty_target(spark):
+    batch = spark.createDataFrame([(1, dt.datetime(2024, 1, 1)), (2, None)], "id int, ts timestamp_ntz")
+    out = ingest.append_after_mark(batch.where(F.lit(False)), batch).collect()
+    assert sorted((r["id"], r["is_new"]) for r in out) == [(1, True), (2, True)]
+
+
+def test_leak_report_finds_a_planted_copy(spark):
+    rows = [("train", dt.date(2024, 1, i + 1), float(i), 0.5) for i in range(6)]
+    rows += [("val", dt.date(2024, 2, i + 1), float(10 + i), 0.5) for i in range(3)]
+    rows += [("test", dt.date(2024, 3, 1), 2.0, 0.5), ("test", dt.date(2024, 3, 2), 30.0, 0.5)]
+    df = spark.createDataFrame(rows, "split string, date date, x double, y double")
+    got = {(r["check"], r["pair"]): r["value"] for r in split.leakage_report(
+        df, ["x", "y"], features=["x", "y"], targets=["y"]).collect()}
+    assert got["duplicate_rows", "train_test"] == 1 and got["duplicate_rows", "train_val"] == 0
+    assert got["date_overlap", "train_val"] == 0 and got["target_in_features", "all"] == 1
+
+
+def test_empty_part_of_a_resplit_raises(spark):
+    with pytest.raises(Exception, match="Validation or test set is empty"):
+        split.resplit_with_gap(spark.range(0, 2).withColumnRenamed("id", "k"), "k").collect()
+
+
+def test_overfit_search_ends_and_says_so(spark):
+    import numpy as np
+    from aeris.operators import linear
+    rng = np.random.default_rng(5)
+
+    def frame(n, noise, sign):
+        x = rng.normal(size=n)
+        return spark.createDataFrame([(float(a), float(sign * a + rng.normal(scale=noise)), int(i % 3))
+                                      for i, a in enumerate(x)], "x double, y double, fold int")
+    good = linear.overfit_search(frame(90, 0.1, 1), frame(60, 0.1, 1), ["x"], ["y"])
+    assert good[-1][4] is True
+    bad = linear.overfit_search(frame(90, 0.1, 1), frame(60, 0.1, -1), ["x"], ["y"], gap=1e-9)
+    assert bad[-1][4] is False and len(bad) > 3
+
+
+def test_overfit_scores_equal_metrics(spark):
+    import numpy as np
+    from aeris.operators import linear
+    rng = np.random.default_rng(7)
+    rows = [(float(a), float(b), float(a - 2 * b + rng.normal()), int(i % 3)) for i, (a, b) in
+            enumerate(rng.normal(loc=100, size=(80, 2)))]
+    df = spark.createDataFrame(rows, "a double, b double, y double, fold int")
+    folds, models = linear.cross_validate(df, ["a", "b"], ["y"], "fold", 1.0)
+    wanted = folds.agg(F.avg("r2")).first()[0]
+    found = linear.overfit_search(df, df, ["a", "b"], ["y"], alpha=1.0)[0]
+    scored = models[max(models)].predict(df)
+    assert found[2] == pytest.approx(wanted, abs=1e-9)
+    assert found[3] == pytest.approx(metrics.regression_metrics(scored, ["y"], ["pred_y"]).first()["r2"], abs=1e-9)
+
+
+def test_grid_search_takes_any_number_of_folds(spark):
+    import numpy as np
+    from aeris.operators import forest
+    rng = np.random.default_rng(9)
+    rows = [(float(a), float(b), float(a + b), int(i % 5)) for i, (a, b) in enumerate(rng.normal(size=(60, 2)))]
+    df = spark.createDataFrame(rows, "a double, b double, y double, fold int")
+    out = forest.grid_search(df, ["a", "b"], "y", "fold", {"maxDepth": [2], "numTrees": [3, 5]}).collect()
+    assert len(out) == 2 and all(r["mse"] >= 0 for r in out)

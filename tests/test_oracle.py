@@ -10,7 +10,9 @@ from tools.oracle_check import TABLES, canon
 
 import __spark_entry__ as entry
 
-SQL = entry.oracle_sql()
+from aeris.plans import catalogue
+
+SQL = catalogue.ORACLE
 SKIP = {"stream_ingest", "stream_daily_avg", "stream_advice"}  # covered in test_streaming
 
 
@@ -39,7 +41,8 @@ def test_entry_smoke(spark):
 
 
 def test_every_query_has_oracle_or_is_model():
-    rows_only = set(entry.queries()) - set(SQL)
+    from aeris.plans import catalogue
+    rows_only = set(catalogue.QUERIES) - set(catalogue.ORACLE)
     assert rows_only <= {"cv_ridge", "lasso_fit", "overfit_loop", "forest_fit", "forest_importance",
                          "grid_search", "seq_forecast", "next_forecast", "linear_eval",
                          "linear_predictions", "forest_fold_mse"}
