@@ -137,3 +137,43 @@ def scanned(docs: DataFrame, templates: dict[str, str] | None = None, shingle: i
 
 def op10_minhash_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scanned(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL = r"""
+WITH templates(name, size, stride, body) AS (VALUES
+  ('Apache-2.0', 4, 1, 'licensed under the apache license version 2 0'),
+  ('Apache-2.0-header', 48, 6, 'licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0'),
+  ('BSD-3-Clause', 16, 2, 'use of this source code is governed by a bsd style license that can be found in the license file'),
+  ('CC-BY-4.0', 12, 1, 'this work is licensed under a creative commons attribution 4 0 international license'),
+  ('CC-BY-NC-4.0', 3, 1, 'licensed under cc by nc 4 0'),
+  ('GPL-3.0', 8, 1, 'this work is licensed under the gnu general public license version 3'),
+  ('GPL-3.0-header', 48, 6, 'this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version'),
+  ('MIT', 1, 1, 'released under the mit license'),
+  ('MIT-grant', 32, 4, 'permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction'),
+  ('MPL-2.0', 16, 2, 'this source code form is subject to the terms of the mozilla public license v 2 0')),
+tw AS (SELECT name, size, stride, string_split(body, ' ') AS w FROM templates),
+ts AS (SELECT DISTINCT name, array_to_string(w[s:s + 4], ' ') AS g
+       FROM (SELECT name, w, unnest(range(1, len(w) - 3)) AS s FROM tw)),
+tn AS (SELECT name, count(*) AS m FROM ts GROUP BY name),
+d AS (
+  SELECT row_number() OVER () AS n, doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
+  FROM documents),
+dg AS (
+  SELECT n, s - 1 AS p, len(w) - 4 AS shingles, array_to_string(w[s:s + 4], ' ') AS g
+  FROM (SELECT n, w, unnest(range(1, len(w) - 3)) AS s FROM d WHERE len(w) >= 5)),
+hit AS (SELECT n, p, shingles, name, g FROM dg JOIN ts USING (g)),
+near AS (
+  SELECT n, name, g, i FROM (
+    SELECT n, name, g, p, size, stride, shingles,
+      unnest(range(greatest(0, (p - size - stride) // stride), (p + stride) // stride + 1)) AS i
+    FROM hit JOIN tw USING (name))
+  WHERE i * stride - stride <= p AND p < i * stride + size + stride
+    AND i <= greatest(shingles - size + stride - 1, 0) // stride),
+found AS (
+  SELECT DISTINCT n, name FROM (
+    SELECT n, name, i, count(DISTINCT g) AS c FROM near GROUP BY ALL) JOIN tn USING (name) WHERE c >= 0.8 * m)
+SELECT doc_id, coalesce(string_agg(name, ',' ORDER BY name), '') AS licenses, count(name) AS n_licenses
+FROM d LEFT JOIN found USING (n) GROUP BY n, doc_id
+"""

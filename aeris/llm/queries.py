@@ -18,7 +18,9 @@ QUERIES = {
 }
 
 ORACLE: dict[str, str] = {
+    "op3_minimax_cuts": sharding.ORACLE_SQL,
     "op6_url_vocabulary": urls.ORACLE_SQL,
     "op7_winnowing": decontamination.ORACLE_SQL,
     "op8_count_min": substrings.ORACLE_SQL,
+    "op10_minhash_windows": licenses.ORACLE_SQL,
 }

@@ -97,3 +97,45 @@ def op3_minimax_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded(table(spark, sf_dir, "documents")).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
         F.lit(None).cast("int").alias("grown_shard"))
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS n, doc_id, coalesce(text, '') AS t FROM documents),
+bits AS (
+  SELECT list(c ORDER BY i) AS crc_of FROM (
+    SELECT i, list_reduce(list_prepend(CAST(i AS BIGINT), list_transform(range(8), lambda x: CAST(0 AS BIGINT))),
+      lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c
+    FROM (SELECT unnest(range(256)) AS i))),
+octets AS (
+  SELECT n, doc_id, t, list_transform(list_filter(string_split(regexp_replace(hex(encode(t)), '(..)', '\1,', 'g'), ','),
+    lambda x: x <> ''), lambda x: CAST('0x' || x AS BIGINT)) AS o FROM d),
+sized AS (
+  SELECT n, doc_id, len(o) + 1 AS size, CAST('0x' || substr(md5(t), 1, 4) AS INTEGER) AS atom,
+    xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), o),
+      lambda c, b: xor(c >> 8, crc_of[(xor(c, b) & 255) + 1])), 4294967295) AS crc
+  FROM octets, bits),
+atoms AS (SELECT atom, sum(size) AS size FROM sized GROUP BY atom),
+sums AS (SELECT atom, size, CAST(sum(size) OVER (ORDER BY atom) AS BIGINT) AS upto FROM atoms),
+ends AS (SELECT list(upto ORDER BY upto) AS p, max(upto) AS total,
+    CAST(greatest(max(size), ceil(max(upto) / 16.0)) AS BIGINT) AS least FROM sums),
+search AS (
+  SELECT least AS lo, total AS hi, CAST(0 AS BIGINT) AS at, 0 AS k FROM ends
+  UNION ALL
+  SELECT CASE WHEN stop < total AND k >= 15 THEN (lo + hi) // 2 + 1 ELSE lo END,
+         CASE WHEN stop = total THEN (lo + hi) // 2 ELSE hi END,
+         CASE WHEN stop = total OR k >= 15 THEN 0 ELSE stop END,
+         CASE WHEN stop = total OR k >= 15 THEN 0 ELSE k + 1 END
+  FROM (SELECT s.*, total, list_max(list_filter(p, lambda x: x <= s.at + (s.lo + s.hi) // 2)) AS stop
+        FROM search s, ends WHERE s.lo < s.hi)),
+capacity AS (SELECT min(hi) AS c FROM search),
+cuts AS (
+  SELECT list_max(list_filter(p, lambda x: x <= c)) AS cut, 1 AS k FROM ends, capacity
+  UNION ALL
+  SELECT list_max(list_filter(p, lambda x: x <= cut + c)), k + 1 FROM cuts, ends, capacity WHERE cut < total AND k < 15),
+placed AS (
+  SELECT n, doc_id, sized.size, crc, (SELECT count(*) FROM cuts WHERE cut < upto) AS shard
+  FROM sized JOIN sums USING (atom))
+SELECT doc_id, size, crc AS text_crc32, 'bytes' AS law, CAST(shard AS INTEGER) AS shard,
+  row_number() OVER (PARTITION BY shard ORDER BY doc_id, crc, n) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
+FROM placed
+"""
