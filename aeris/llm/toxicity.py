@@ -57,7 +57,7 @@ SUBSTITUTE, BREAK, SHORTEN, SHORTEN_PAIR, JOIN, SEPARATE = 1.5, 3.0, 0.5, 4.0, 0
 _LETTER = "[^\\W\\d_]"
 _MARK = "[0-9@$!|+]"
 DISGUISED = re.compile(
-    rf"(?<!\S)(?:(?:{_LETTER}|{_MARK})[ .\-_*]){{3,}}(?:{_LETTER}|{_MARK})(?!\S)"
+    rf"(?<!\S)(?:(?:{_LETTER}|{_MARK})[ .\-_*]){{3,}}(?:{_LETTER}|{_MARK})(?=[.,!?;:)\"']*(?!\S))"
     rf"|(?<!\S)\S*?(?:{_LETTER}{_MARK}+{_LETTER}|({_LETTER})\1\1)\S*"
     rf"|(?<!\S){_MARK}+{_LETTER}\S*")
 _SPACED = re.compile(rf"(?:(?:{_LETTER}|{_MARK})[ .\-_*])+(?:{_LETTER}|{_MARK})")
