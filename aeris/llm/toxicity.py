@@ -9,9 +9,11 @@
    two, a gap between single letters for nothing or for a break. The Viterbi path
    of least channel cost plus language-model cost is the restored text. All other
    tokens have one path, themselves.
-3. Score. Words of the restored text are looked up by their beginnings (3 to 8
-   letters) and as a whole in a lexicon of log-odds learnt from labels; three
-   sums per document go through a logistic regression.
+3. Score. Words of the restored text are looked up by their beginnings (4 to 6
+   letters) and as a whole in a lexicon of log-odds learnt from labels, each less
+   ``MARGIN`` standard errors, so that chance companions weigh little. A document's
+   three strongest words, its total and its share go through a logistic regression
+   that is fitted on weights learnt from other documents than the one measured.
 
 Labels are learnt from a bounded sample: ``TRAIN_ROWS`` labelled documents of
 least id hash, of which texts that share a shingle minimum (copies, near copies)
@@ -30,6 +32,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -41,10 +44,11 @@ from aeris.llm.common import scratch_table, table
 
 TRAIN_ROWS = 40_000
 THRESHOLD = 0.7
-FEATURE_BITS = 20
+FEATURE_BITS = 22
 LEAST_Z = 3.0
 LEAST_DOCS = 3
-BEGINNINGS = range(3, 9)
+MARGIN = 2.0
+BEGINNINGS = range(4, 7)
 
 SYMBOLS = 28
 OTHER = SYMBOLS - 1
@@ -233,24 +237,31 @@ def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             counts[fold, toxic, np.fromiter(ids, dtype=np.int64, count=len(ids))] += 1
     for fold in range(2):
         found = np.flatnonzero(counts[fold].any(axis=0))
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.full(len(found), fold, dtype=np.int32)), pa.array(found.astype(np.int32)),
-             pa.array(counts[fold, 1, found].astype(np.int64)),
-             pa.array(counts[fold, 0, found].astype(np.int64))], ["fold", "feature", "ones", "zeros"])
+        for lo in range(0, len(found), 1 << 18):
+            part = found[lo:lo + (1 << 18)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(part), fold, dtype=np.int32)), pa.array(part.astype(np.int32)),
+                 pa.array(counts[fold, 1, part]), pa.array(counts[fold, 0, part])],
+                ["fold", "feature", "ones", "zeros"])
 
 
 def lexicon(ones: np.ndarray, zeros: np.ndarray, n1: int, n0: int) -> np.ndarray:
-    """Log-odds of the features that are clearly commoner under label 1, else 0."""
+    """Log-odds less a margin of the features that are clearly commoner under label 1, else 0."""
     odds = np.log((ones + 0.5) / (n1 + 1)) - np.log((zeros + 0.5) / (n0 + 1))
-    z = odds / np.sqrt(1 / (ones + 0.5) + 1 / (zeros + 0.5))
-    return np.where((z >= LEAST_Z) & (ones >= LEAST_DOCS), odds, 0.0).astype(np.float32)
+    error = np.sqrt(1 / (ones + 0.5) + 1 / (zeros + 0.5))
+    clear = (odds >= LEAST_Z * error) & (ones >= LEAST_DOCS)
+    return np.where(clear, odds - MARGIN * error, 0.0).astype(np.float32)
 
 
 class Evidence:
-    """Three sums over the words of a text: all weight, different words, share."""
+    """What the words of a text say: the three largest weights (every occurrence of a
+    word is one), the log of the total, and the total by length."""
+
+    SIZE = 5
 
-    def __init__(self, weights: np.ndarray):
-        self.weights = weights
+    def __init__(self, features: np.ndarray, weights: np.ndarray):
+        self.weights = np.zeros(1 << FEATURE_BITS, dtype=np.float32)
+        self.weights[features] = weights
         self.known: dict[str, float] = {}
 
     def _weight(self, word: str) -> float:
@@ -259,20 +270,22 @@ class Evidence:
         found = self.known[word] = max(float(self.weights[i]) for i in feature_ids(word))
         return found
 
-    def of(self, words: list[str]) -> tuple[float, float, float]:
-        known, total, hits, different = self.known, 0.0, 0, set()
+    def of(self, words: list[str]) -> tuple[float, ...]:
+        known, found = self.known, []
         for word in words:
             weight = known[word] if word in known else self._weight(word)
             if weight:
-                total += weight
-                hits += 1
-                different.add(word)
-        return float(np.log1p(total)), float(np.log1p(len(different))), hits / (len(words) + 20.0)
+                found.append(weight)
+        found.sort(reverse=True)
+        total = sum(found)
+        first, second, third = (*found[:3], 0.0, 0.0, 0.0)[:3]
+        return first, second, third, float(np.log1p(total)), total / (len(words) + 20.0)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
-    """Newton steps on a design of a few columns; the intercept comes first."""
-    design = np.column_stack([np.ones(len(x)), x])
+    """Newton steps on a design of a few columns, scaled; the intercept comes first."""
+    mean, deviation = x.mean(axis=0), x.std(axis=0) + 1e-9
+    design = np.column_stack([np.ones(len(x)), (x - mean) / deviation])
     theta = np.zeros(design.shape[1])
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(design @ theta, -30, 30)))
@@ -282,7 +295,8 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarra
         theta -= step
         if np.abs(step).max() < 1e-8:
             break
-    return theta
+    slopes = theta[1:] / deviation
+    return np.r_[theta[0] - slopes @ mean, slopes]
 
 
 def held_out(doc_id: Column) -> Column:
@@ -290,22 +304,29 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def _measure(weights: list[np.ndarray]):
-    """(doc_id, fold, toxic, sums) with the lexicon of the other fold."""
+def _measure(features: np.ndarray, weights: list[np.ndarray]):
+    """(toxic, evidence) of sampled documents, by the lexicon of the other fold."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        evidence = [Evidence(w) for w in weights]
+        evidence = [Evidence(features, w) for w in weights]
         for batch in batches:
-            rows = [evidence[1 - fold].of(words.split()) for fold, words in
+            rows = [list(evidence[1 - fold].of(words.split())) for fold, words in
                     zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(1), *[pa.array([r[i] for r in rows], pa.float64()) for i in range(3)]],
-                ["toxic", "total", "different", "share"])
+                [batch.column(1), pa.array(rows, pa.list_(pa.float64()))], ["toxic", "x"])
     return run
 
 
-def learn(docs: DataFrame, labels: DataFrame, model: np.ndarray,
-          rows: int = TRAIN_ROWS) -> tuple[np.ndarray, np.ndarray]:
-    """(lexicon, logistic coefficients) from at most ``rows`` labelled documents."""
+@dataclass
+class Learnt:
+    """A lexicon (features with a weight) and logistic coefficients."""
+
+    features: np.ndarray
+    weights: np.ndarray
+    theta: np.ndarray
+
+
+def learn(docs: DataFrame, labels: DataFrame, model: np.ndarray, rows: int = TRAIN_ROWS) -> Learnt:
+    """Lexicon and coefficients from at most ``rows`` labelled documents."""
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)
                           & ~held_out(F.col("doc_id")))
     picked = (usable.groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").cast("int").alias("toxic"))
@@ -324,47 +345,41 @@ def learn(docs: DataFrame, labels: DataFrame, model: np.ndarray,
     n = np.asarray([[sizes.get((f, t), 0) for t in range(2)] for f in range(2)])
     if not n.sum(axis=0).all():  # one class or none
         share = (n[:, 1].sum() + 0.5) / (n.sum() + 1)
-        return np.zeros(1 << FEATURE_BITS, dtype=np.float32), np.r_[np.log(share / (1 - share)), 0, 0, 0]
-    # at most 2 x 2^FEATURE_BITS rows
-    counted = (sample.mapInArrow(_count_features, "fold int, feature int, ones long, zeros long")
-                     .groupBy("fold", "feature").agg(F.sum("ones").alias("ones"), F.sum("zeros").alias("zeros"))
-                     .where("ones > 0").toArrow())
-    counts = np.zeros((2, 2, 1 << FEATURE_BITS))
-    fold, feature = (counted.column(c).to_numpy() for c in ("fold", "feature"))
-    counts[fold, feature * 0 + 1, feature] = counted.column("ones").to_numpy()
-    counts[fold, feature * 0, feature] = counted.column("zeros").to_numpy()
-    by_fold = [lexicon(counts[f, 1], counts[f, 0], n[f, 1], n[f, 0]) for f in range(2)]
-    measured = sample.mapInArrow(
-        _measure(by_fold), "toxic int, total double, different double, share double").toArrow()
-    x = np.column_stack([measured.column(c).to_numpy() for c in ("total", "different", "share")])
+        return Learnt(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.float32),
+                      np.r_[np.log(share / (1 - share)), np.zeros(Evidence.SIZE)])
+    sums = [F.sum(F.when(F.col("fold") == f, F.col(c)).otherwise(0)).alias(f"{c}{f}")
+            for c in ("ones", "zeros") for f in range(2)]
+    # at most 2^FEATURE_BITS rows, and no more than the sample has features
+    counted = (sample.mapInArrow(_count_features, "fold int, feature int, ones int, zeros int")
+                     .groupBy("feature").agg(*sums).where(F.col("ones0") + F.col("ones1") >= LEAST_DOCS)
+                     .toArrow())
+    features = counted.column("feature").to_numpy().astype(np.int64)
+    ones, zeros = (np.asarray([counted.column(f"{c}{f}").to_numpy() for f in range(2)], dtype=np.float64)
+                   for c in ("ones", "zeros"))
+    by_fold = [lexicon(ones[f], zeros[f], n[f, 1], n[f, 0]) for f in range(2)]
+    measured = sample.mapInArrow(_measure(features, by_fold), "toxic int, x array<double>").toArrow()
+    x = np.asarray(measured.column("x").to_pylist(), dtype=np.float64).reshape(-1, Evidence.SIZE)
     theta = fit_logistic(x, measured.column("toxic").to_numpy().astype(float))
-    both = counts.sum(axis=0)
-    return lexicon(both[1], both[0], *n.sum(axis=0)[::-1]), theta
+    weights = lexicon(ones.sum(axis=0), zeros.sum(axis=0), *n.sum(axis=0)[::-1])
+    return Learnt(features[weights > 0], weights[weights > 0], theta)
 
 
-def score_of(text: Column, model: np.ndarray, weights: np.ndarray, theta: np.ndarray) -> Column:
+def score_of(text: Column, model: np.ndarray, learnt: Learnt) -> Column:
     """The probability of label 1 for a text column."""
-    found = np.flatnonzero(weights)
-    values = weights[found]
-
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        full = np.zeros(1 << FEATURE_BITS, dtype=np.float32)
-        full[found] = values
-        restorer, evidence = Restorer(model), Evidence(full)
+        restorer, evidence = Restorer(model), Evidence(learnt.features, learnt.weights)
         for texts in batches:
-            sums = [evidence.of(restorer.words(t)) for t in texts]
-            x = np.asarray(sums, dtype=np.float64).reshape(-1, 3)
-            yield pd.Series(1 / (1 + np.exp(-np.clip(theta[0] + x @ theta[1:], -30, 30))))
+            x = np.asarray([evidence.of(restorer.words(t)) for t in texts]).reshape(-1, Evidence.SIZE)
+            yield pd.Series(1 / (1 + np.exp(-np.clip(learnt.theta[0] + x @ learnt.theta[1:], -30, 30))))
     return score(text)
 
 
 def scored(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
     model = language_model(docs)
-    weights, theta = learn(docs, labels, model, rows)
-    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"),
-                      score_of(F.col("text"), model, weights, theta).alias("score"))
+    out = docs.select(F.col("doc_id").cast("long").alias("doc_id"), score_of(
+        F.col("text"), model, learn(docs, labels, model, rows)).alias("score"))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
                       (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
@@ -372,8 +387,7 @@ def scored(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFr
 def toxic_removed(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     """The rows of ``docs`` that score below the threshold."""
     model = language_model(docs)
-    weights, theta = learn(docs, labels, model, rows)
-    return docs.where(score_of(F.col("text"), model, weights, theta) < THRESHOLD)
+    return docs.where(score_of(F.col("text"), model, learn(docs, labels, model, rows)) < THRESHOLD)
 
 
 def op9_noisy_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
