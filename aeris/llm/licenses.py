@@ -90,10 +90,17 @@ def _signatures(spark: SparkSession, templates: dict[str, str], shingle: int, ba
     return out
 
 
-def _retrieved(words: Column, hashes: Column, k: int, size: int, stride: int, bands: int, group) -> Column:
+def _retrieved(words: Column, hashes: Column, marks: Column, k: int, size: int, stride: int,
+               bands: int, group) -> Column:
     """Names of the templates of one class that a text holds; ``hashes`` are the
-    text's shingles of ``k`` words."""
+    text's shingles of ``k`` words, ``marks`` the places of those that are a band of
+    some template. A window without a mark cannot share a band and is passed over."""
     wanted = sorted({b for t in group for b in t["bands"]})
+    last = F.floor(F.greatest(F.size(hashes) - size + stride - 1, F.lit(0)) / stride).cast("int")
+
+    def around(p: Column) -> Column:
+        first = F.ceil(F.greatest(p - size + 1, F.lit(0)) / stride).cast("int")
+        return F.sequence(F.least(first, last), F.least(F.floor(p / stride).cast("int"), last))
 
     def near(i: Column) -> Column:
         window = F.slice(hashes, i * stride + 1, size)
@@ -109,10 +116,8 @@ def _retrieved(words: Column, hashes: Column, k: int, size: int, stride: int, ba
             F.when(F.size(F.array_intersect(s, F.array(*map(F.lit, t["grams"]))))
                    >= SIMILARITY * len(t["grams"]), F.lit(t["name"])) for t in group]),
             lambda name: name.isNotNull()))
-    last = F.floor(F.greatest(F.size(hashes) - size + stride - 1, F.lit(0)) / stride).cast("int")
-    at = F.filter(F.sequence(F.lit(0), last), near)
-    return F.when(F.size(hashes) > 0, F.flatten(F.transform(at, verified))).otherwise(
-        F.array().cast("array<string>"))
+    at = F.filter(F.array_distinct(F.flatten(F.transform(marks, around))), near)
+    return F.flatten(F.transform(at, verified))
 
 
 def scanned(docs: DataFrame, templates: dict[str, str] | None = None, shingle: int = SHINGLE,
@@ -125,9 +130,17 @@ def scanned(docs: DataFrame, templates: dict[str, str] | None = None, shingle: i
 
     def names(w: Column) -> Column:
         def of_gram(k: int) -> Column:
-            return let(kgram_hashes(w, k), lambda h: F.flatten(F.array(
-                *[_retrieved(w, h, k, size, max(1, size // 8), bands, group)
-                  for (gram, size), group in sorted(groups.items()) if gram == k])))
+            own = [(size, group) for (gram, size), group in sorted(groups.items()) if gram == k]
+            wanted = sorted({b for _, group in own for t in group for b in t["bands"]})
+
+            def classes(h: Column, marks: Column) -> Column:
+                found = [_retrieved(w, h, marks, k, size, max(1, size // 8), bands, group)
+                         for size, group in own]
+                return F.when(F.size(marks) > 0, F.flatten(F.array(*found))).otherwise(
+                    F.array().cast("array<string>"))
+            return let(kgram_hashes(w, k), lambda h: let(F.filter(
+                F.sequence(F.lit(0), F.greatest(F.size(h) - 1, F.lit(0))),
+                lambda p: F.coalesce(F.get(h, p).isin(wanted), F.lit(False))), lambda m: classes(h, m)))
         parts = [of_gram(k) for k in sorted({gram for gram, _ in groups})]
         return F.sort_array(F.array_distinct(F.flatten(F.array(*parts))))
     found = let(folded_words(F.col("text")), names) if groups else F.array().cast("array<string>")
