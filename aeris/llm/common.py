@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import uuid
+import zipfile
 
+from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,6 +19,25 @@ LOWER = "abcdefghijklmnopqrstuvwxyz"
 DELIMITERS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
+def ship_code(spark: SparkSession) -> None:
+    """Give the executors' Python workers this package, once per application: they
+    need not have it installed."""
+    context = spark.sparkContext
+    if getattr(context, "_aeris_shipped", False):
+        return
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    # the driver serves the file from here; the folder goes with the application
+    folder = os.path.join(SparkFiles.getRootDirectory(), f"code-{uuid.uuid4().hex}")
+    os.makedirs(folder)
+    with zipfile.ZipFile(f"{folder}/aeris-code.zip", "w") as code:
+        for at, _, names in os.walk(f"{root}/aeris"):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    code.write(f"{at}/{name}", os.path.relpath(f"{at}/{name}", root))
+    context.addPyFile(f"{folder}/aeris-code.zip")
+    context._aeris_shipped = True
+
+
 def scratch_table(df: DataFrame, name: str) -> DataFrame:
     """``df`` written once under the shared checkpoint folder and read back.
 

@@ -2,9 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
+from pyspark.sql import DataFrame, SparkSession
+
 from aeris.llm import ann, decontamination, licenses, packing, pii, sharding, simhash, substrings, toxicity, urls
+from aeris.llm.common import ship_code
+
 
-QUERIES = {
+def _shipped(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_code(spark)
+        return query(spark, sf_dir)
+    return run
+
+
+QUERIES = {name: _shipped(query) for name, query in {
     "op1_simhash_anchors": simhash.op1_simhash_anchors,
     "op2_rotated_bits": ann.op2_rotated_bits,
     "op3_minimax_cuts": sharding.op3_minimax_cuts,
@@ -15,7 +30,7 @@ QUERIES = {
     "op8_count_min": substrings.op8_count_min,
     "op9_noisy_channel": toxicity.op9_noisy_channel,
     "op10_minhash_windows": licenses.op10_minhash_windows,
-}
+}.items()}
 
 ORACLE: dict[str, str] = {
     "op3_minimax_cuts": sharding.ORACLE_SQL,

@@ -12,7 +12,7 @@ import uuid
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from aeris.llm.common import table
+from aeris.llm.common import ship_code, table
 from aeris.llm.decontamination import contaminated_removed
 from aeris.llm.packing import TOKENIZER, pack
 from aeris.llm.pii import redacted
@@ -26,26 +26,31 @@ ORACLE_SQL = None
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below the threshold."""
+    ship_code(spark)
     return toxic_removed(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
+    ship_code(spark)
     return near_duplicates_removed(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share no window with the benchmark."""
+    ship_code(spark)
     return contaminated_removed(docs, table(spark, sf_dir, "benchmark"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced in their texts."""
+    ship_code(spark)
     return redacted(docs)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of tokens."""
+    ship_code(spark)
     return pack(docs, public_tokenizers.path(TOKENIZER))
 
 
