@@ -9,8 +9,10 @@ a word t that stands near it,
 with N documents, n(.) of them holding e or t, and n(t, e) with t within
 ``CONTEXT_WORDS`` words of e: 1 if t never appears without e, 0 if t tells
 nothing. Words of at least ``GENERALISE`` are replaced by their class wherever
-they stand, words of at least ``REMOVE`` go. A word needs ``SUPPORT`` different
-contexts with one entity, so that copies of a passage do not count as evidence.
+they stand, words of at least ``REMOVE`` go. Copies of a passage are no evidence: the
+contexts of a word and an entity are grouped by the least hash of their other words
+(copies and most near copies agree in it), and the effective number of groups, the
+inverse of the chance that two contexts fall into one, must reach ``SUPPORT``.
 
 All counts are over all documents and combined before the shuffle. Only words
 with support are counted in the corpus; they are a written table, so the planner
@@ -38,7 +40,7 @@ from aeris.llm.common import fold_case, folded_words, let, scratch_table, table
 
 CONTEXT_WORDS = 5
 CONTEXT_CHARS = 120
-SUPPORT = 3
+SUPPORT = 3.0
 GENERALISE = 0.75
 REMOVE = 0.9
 
@@ -156,7 +158,14 @@ def _with_spans(docs: DataFrame) -> DataFrame:
     return scratch_table(rows.select("doc_id", "key", "found.*"), "base-spans")
 
 
-def disclosing_terms(docs: DataFrame, base: DataFrame, support: int = SUPPORT,
+def _disclosure(n_term: str) -> Column:
+    """PMI over IC from the columns n_all, n_entity, n_both and the word's count."""
+    information = F.log2(F.col("n_all") / F.col("n_entity"))
+    share = F.least(F.lit(1.0), F.col("n_both") / F.col(n_term))
+    return F.when(information > 0, 1 + F.log2(share) / information)
+
+
+def disclosing_terms(docs: DataFrame, base: DataFrame, support: float = SUPPORT,
                      least: float = GENERALISE) -> tuple[DataFrame, DataFrame]:
     """((term, disclosure) of at least ``least``, (key, term) of the texts that hold them)."""
     each = base.where("contexts is not null").select(F.explode("contexts").alias("c")).select(
@@ -164,24 +173,29 @@ def disclosing_terms(docs: DataFrame, base: DataFrame, support: int = SUPPORT,
     entities = base.where("contexts is not null").select(
         F.explode(F.array_distinct(F.transform("contexts", lambda c: c["entity"]))).alias("entity")
     ).groupBy("entity").agg(F.count("*").alias("n_entity"))
-    pairs = each.select("entity", F.xxhash64("words").alias("context"),
-                        F.explode(F.array_distinct("words")).alias("term"))
-    pairs = (pairs.groupBy("entity", "term", "context").agg(F.count("*").alias("n"))
-                  .groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("support"))
+    pairs = each.select("entity", "words", F.explode(F.array_distinct("words")).alias("term"))
+    others = F.filter("words", lambda w: w != F.col("term"))
+    context = F.array_min(F.transform(others, lambda w: F.xxhash64(w)))
+    n = F.col("n").cast("double")
+    pairs = (pairs.groupBy("entity", "term", context.alias("context")).agg(F.count("*").alias("n"))
+                  .groupBy("entity", "term").agg(F.sum("n").alias("n_both"),
+                                                 (F.sum(n) * F.sum(n) / F.sum(n * n)).alias("support"))
                   .where(F.col("support") >= support))
-    pairs = scratch_table(pairs, "pairs")
+    total = base.agg(F.count("*").alias("n_all"))
+    # documents with the word near any entity: at most n(t), so what fails with
+    # this count fails with n(t) and need not be counted in the corpus
+    near = base.where("contexts is not null").select(F.explode(F.array_distinct(F.flatten(
+        F.transform("contexts", lambda c: c["words"])))).alias("term")).groupBy("term").agg(
+        F.count("*").alias("n_near"))
+    pairs = pairs.join(entities, "entity").withColumn("n_all", total.scalar())
+    pairs = scratch_table(pairs.join(near, "term").where(_disclosure("n_near") >= least), "pairs")
     terms = scratch_table(pairs.select("term").distinct(), "terms")
     text = F.coalesce(F.col("text"), F.lit(""))
     held = docs.select(F.xxhash64(text).alias("key"),
                        F.explode(F.array_distinct(folded_words(F.col("text")))).alias("term"))
     held = scratch_table(held.join(terms, "term").groupBy("key", "term").agg(F.count("*").alias("n")), "held")
     counts = held.groupBy("term").agg(F.sum("n").alias("n_term"))
-    total = base.agg(F.count("*").alias("n_all"))
-    scored = pairs.join(counts, "term").join(entities, "entity").select(
-        "term", "n_both", "n_term", "n_entity", total.scalar().alias("n_all"))
-    information = F.log2(F.col("n_all") / F.col("n_entity"))
-    share = F.least(F.lit(1.0), F.col("n_both") / F.col("n_term"))
-    scored = scored.withColumn("disclosure", F.when(information > 0, 1 + F.log2(share) / information))
+    scored = pairs.join(counts, "term").withColumn("disclosure", _disclosure("n_term"))
     chosen = (scored.groupBy("term").agg(F.max("disclosure").alias("disclosure"))
                     .where(F.col("disclosure") >= least))
     chosen = scratch_table(chosen, "disclosing")
