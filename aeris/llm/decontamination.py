@@ -88,7 +88,9 @@ def hits(docs: DataFrame, benchmark: DataFrame, span: int = SPAN,
         "key", "key2", F.col("p.hash").alias("hash"), F.col("p.span").alias("span"))
     found = found.join(prints, ["hash", "span"], "left_semi").groupBy("key", "key2").agg(
         F.collect_set(F.struct("hash", "span")).alias("found"))
-    found = scratch_table(found, "hit-texts")
+    # of a text's copies one is read again: the join keys differ between the others
+    one = base.groupBy("key", "key2").agg(F.min("doc_id").alias("one"))
+    found = scratch_table(found.join(one, ["key", "key2"]), "hit-texts")
 
     # extension: all windows around a hit k-gram, compared with the benchmark's
     def around(n: int) -> Column:
@@ -103,7 +105,9 @@ def hits(docs: DataFrame, benchmark: DataFrame, span: int = SPAN,
                 F.greatest(p - (width - 1), F.lit(0)), F.least(p, F.size(w) - n))))
             return F.array_distinct(near)
         return F.when(F.size(wanted) > 0, let(F.col("words"), lambda w: _windows(w, starts(w), n)))
-    texts = docs.select(*_key(text), "text").join(found, ["key", "key2"])
+    texts = docs.select(*_key(text), F.col("doc_id").alias("_id"), "text").join(
+        found.withColumnsRenamed({"key": "_key", "key2": "_key2"}),
+        (F.col("key") == F.col("_key")) & (F.col("key2") == F.col("_key2")) & F.col("_id").eqNullSafe(F.col("one")))
     texts = texts.select("key", "key2", "found", folded_words(text).alias("words"))
     empty = F.array().cast("array<struct<start:int,span:int,window:string>>")
     near = texts.select("key", "key2", F.explode(F.flatten(F.array(
