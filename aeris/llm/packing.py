@@ -29,7 +29,7 @@ END_ID = 2
 TOKENIZER = "word_bpe_49k.json"
 # Entries in each generation of a worker's two caches (chunks and words): what a
 # full generation did not use again is forgotten with the next one.
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 120_000
 
 TOKEN_SCHEMA = "part int, before long, doc_id long, n long, ids binary"
 PIECE_SCHEMA = ("doc_id long, start long, length long, ids_crc32 long, doc_tokens long, "

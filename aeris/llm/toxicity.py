@@ -45,6 +45,8 @@ from aeris.llm.common import scratch_table, table
 TRAIN_ROWS = 40_000
 THRESHOLD = 0.7
 FEATURE_BITS = 22
+# Words or tokens that a worker remembers at a time.
+MEMORY = 100_000
 LEAST_Z = 3.0
 LEAST_DOCS = 3
 MARGIN = 2.0
@@ -182,7 +184,7 @@ class Restorer:
     def _replace(self, match: re.Match) -> str:
         token = match.group()
         if token not in self.known:
-            if len(self.known) > 100_000:
+            if len(self.known) > MEMORY:
                 self.known.clear()
             self.known[token] = f" {restore(token, self.model)} "
         return self.known[token]
@@ -223,14 +225,14 @@ def _sample_words(model: np.ndarray):
 
 def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(fold, feature, documents of label 1, of label 0) of a task's documents."""
-    counts = np.zeros((2, 2, 1 << FEATURE_BITS), dtype=np.int32)
+    counts = np.zeros((2, 2, 1 << FEATURE_BITS), dtype=np.uint16)  # a sample has fewer rows
     known: dict[str, list[int]] = {}
     for batch in batches:
         for fold, toxic, words in zip(*(batch.column(i).to_pylist() for i in range(3))):
             ids: set[int] = set()
             for word in set(words.split()):
                 if word not in known:
-                    if len(known) > 300_000:
+                    if len(known) > MEMORY:
                         known.clear()
                     known[word] = feature_ids(word)
                 ids.update(known[word])
@@ -241,7 +243,8 @@ def _count_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             part = found[lo:lo + (1 << 18)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(np.full(len(part), fold, dtype=np.int32)), pa.array(part.astype(np.int32)),
-                 pa.array(counts[fold, 1, part]), pa.array(counts[fold, 0, part])],
+                 pa.array(counts[fold, 1, part].astype(np.int32)),
+                 pa.array(counts[fold, 0, part].astype(np.int32))],
                 ["fold", "feature", "ones", "zeros"])
 
 
@@ -265,7 +268,7 @@ class Evidence:
         self.known: dict[str, float] = {}
 
     def _weight(self, word: str) -> float:
-        if len(self.known) > 300_000:
+        if len(self.known) > MEMORY:
             self.known.clear()
         found = self.known[word] = max(float(self.weights[i]) for i in feature_ids(word))
         return found
@@ -327,6 +330,8 @@ class Learnt:
 
 def learn(docs: DataFrame, labels: DataFrame, model: np.ndarray, rows: int = TRAIN_ROWS) -> Learnt:
     """Lexicon and coefficients from at most ``rows`` labelled documents."""
+    if not 0 < rows < 1 << 16:
+        raise ValueError("rows must be between 1 and 65535")
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1)
                           & ~held_out(F.col("doc_id")))
     picked = (usable.groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").cast("int").alias("toxic"))
