@@ -9,10 +9,10 @@ a word t that stands near it,
 with N documents, n(.) of them holding e or t, and n(t, e) with t within
 ``CONTEXT_WORDS`` words of e: 1 if t never appears without e, 0 if t tells
 nothing. Words of at least ``GENERALISE`` are replaced by their class wherever
-they stand, words of at least ``REMOVE`` go. Copies of a passage are no evidence: the
-contexts of a word and an entity are grouped by the least hash of their other words
-(copies and most near copies agree in it), and the effective number of groups, the
-inverse of the chance that two contexts fall into one, must reach ``SUPPORT``.
+they stand, words of at least ``REMOVE`` go. Copies of a passage are no evidence, nor
+do they take any away: a word and an entity must have ``SUPPORT`` contexts of which no
+two are copies or near copies (``ALIKE`` of their other words shared), however often
+each occurs and whatever stands in the others.
 
 All counts are over all documents and combined before the shuffle. Only words
 with support are counted in the corpus; they are a written table, so the planner
@@ -40,7 +40,8 @@ from aeris.llm.common import fold_case, folded_words, let, scratch_table, table
 
 CONTEXT_WORDS = 5
 CONTEXT_CHARS = 120
-SUPPORT = 3.0
+SUPPORT = 3
+ALIKE = 2 / 3
 GENERALISE = 0.75
 REMOVE = 0.9
 
@@ -165,7 +166,21 @@ def _disclosure(n_term: str) -> Column:
     return F.when(information > 0, 1 + F.log2(share) / information)
 
 
-def disclosing_terms(docs: DataFrame, base: DataFrame, support: float = SUPPORT,
+def _independent(contexts: DataFrame, support: int) -> DataFrame:
+    """(entity, term) of (entity, term, words) with ``support`` contexts of which no
+    two are alike: each round sets one context aside and drops those like it."""
+    key = ["entity", "term"]
+    left = scratch_table(contexts.select(*key, F.array_sort(F.array_distinct(F.array_remove(
+        F.col("words"), F.col("term")))).alias("words")).distinct(), "contexts")
+    for _ in range(support - 1):
+        first = scratch_table(left.groupBy(key).agg(F.min("words").alias("first")), "first-contexts")
+        shared = F.size(F.array_intersect("words", "first"))
+        alike = shared >= ALIKE * F.greatest(F.size("words"), F.size("first"))
+        left = scratch_table(left.join(first, key).where(~alike).drop("first"), "contexts")
+    return left.select(*key).distinct()
+
+
+def disclosing_terms(docs: DataFrame, base: DataFrame, support: int = SUPPORT,
                      least: float = GENERALISE) -> tuple[DataFrame, DataFrame]:
     """((term, disclosure) of at least ``least``, (key, term) of the texts that hold them)."""
     each = base.where("contexts is not null").select(F.explode("contexts").alias("c")).select(
@@ -173,13 +188,10 @@ def disclosing_terms(docs: DataFrame, base: DataFrame, support: float = SUPPORT,
     entities = base.where("contexts is not null").select(
         F.explode(F.array_distinct(F.transform("contexts", lambda c: c["entity"]))).alias("entity")
     ).groupBy("entity").agg(F.count("*").alias("n_entity"))
-    pairs = each.select("entity", "words", F.explode(F.array_distinct("words")).alias("term"))
-    others = F.filter("words", lambda w: w != F.col("term"))
-    context = F.array_min(F.transform(others, lambda w: F.xxhash64(w)))
-    n = F.col("n").cast("double")
-    pairs = (pairs.groupBy("entity", "term", context.alias("context")).agg(F.count("*").alias("n"))
-                  .groupBy("entity", "term").agg(F.sum("n").alias("n_both"),
-                                                 (F.sum(n) * F.sum(n) / F.sum(n * n)).alias("support"))
+    pairs = each.select("entity", F.xxhash64("words").alias("context"),
+                        F.explode(F.array_distinct("words")).alias("term"))
+    pairs = (pairs.groupBy("entity", "term", "context").agg(F.count("*").alias("n"))
+                  .groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("support"))
                   .where(F.col("support") >= support))
     total = base.agg(F.count("*").alias("n_all"))
     # documents with the word near any entity: at most n(t), so what fails with
@@ -189,6 +201,9 @@ def disclosing_terms(docs: DataFrame, base: DataFrame, support: float = SUPPORT,
         F.count("*").alias("n_near"))
     pairs = pairs.join(entities, "entity").withColumn("n_all", total.scalar())
     pairs = scratch_table(pairs.join(near, "term").where(_disclosure("n_near") >= least), "pairs")
+    contexts = each.select("entity", "words", F.explode(F.array_distinct("words")).alias("term")).join(
+        pairs.select("entity", "term"), ["entity", "term"])
+    pairs = scratch_table(pairs.join(_independent(contexts, support), ["entity", "term"]), "supported")
     terms = scratch_table(pairs.select("term").distinct(), "terms")
     text = F.coalesce(F.col("text"), F.lit(""))
     held = docs.select(F.xxhash64(text).alias("key"),

@@ -87,6 +87,41 @@ def test_words_that_give_an_entity_away(spark):
     assert got[301] == ""
 
 
+def test_copies_add_no_evidence_and_take_none_away(spark):
+    rng = random.Random(2)
+    copied = f"{frames.sentence(rng, 8)} zorblat k@x.org {frames.sentence(rng, 8)}"
+    rows = [(i, f"{frames.sentence(rng, 8)} zorblat k@x.org {frames.sentence(rng, 8)}") for i in range(9)]
+    rows += [(1000 + i, copied) for i in range(200)]  # nine contexts and a copied one: ten
+    twice = [f"{frames.sentence(rng, 8)} quuxly z@y.org {frames.sentence(rng, 8)}" for _ in range(2)]
+    rows += [(2000 + i, twice[i % 2]) for i in range(100)]  # two contexts, copied
+    rows += [(3000 + i, frames.sentence(rng, 40)) for i in range(2500)] + [(9000, "zorblat alone, quuxly alone")]
+    got = {r["doc_id"]: r["spans"] for r in pii.digested(frames.documents(spark, rows)).collect()}
+    assert got[9000] == "term:0:7"
+    assert all("term:" in got[i] for i in [*range(9), 1000, 1199])
+    assert not any("term:" in got[2000 + i] for i in range(100))
+
+
+def test_near_copies_are_one_context(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(60):
+        words = "one two three four quuxly five z@y.org six seven eight nine ten".split()
+        words[rng.choice([1, 2, 3, 5, 7, 8, 9, 10])] = f"changed{i}"
+        rows.append((i, " ".join(words)))
+    rows += [(100 + i, frames.sentence(rng, 40)) for i in range(600)]
+    terms, _ = pii.disclosing_terms(df := frames.documents(spark, rows), pii._with_spans(df))
+    assert terms.count() == 0
+
+
+def test_a_fixed_neighbour_does_not_merge_contexts(spark):
+    rng = random.Random(3)
+    for neighbour in ("at", "email", "contact", "write", "ask", "mail"):
+        rows = [(i, f"{frames.sentence(rng, 8)} zorblat {' '.join([neighbour] * 3)} k@x.org") for i in range(12)]
+        rows += [(100 + i, frames.sentence(rng, 40) + f" {neighbour}") for i in range(100)]
+        terms, _ = pii.disclosing_terms(df := frames.documents(spark, rows), pii._with_spans(df))
+        assert [r["term"] for r in terms.collect()] == ["zorblat"]
+
+
 def test_redaction(spark):
     df = frames.documents(spark, disclosing_rows() + [(400, "pay 4111 1111 1111 1111, ask +1 (017) 555-7713"),
                                                       (401, "1.2.3.4 a@b.c 1.1.1.1")])
