@@ -90,7 +90,8 @@ class _Encoder:
     ids are those of its white-space chunks in a row. Chunks of plain Latin
     letters and ASCII are cut further by the tokenizer's own split pattern and
     their words merged by ``merge_ranks``; any other chunk is given to the whole
-    tokenizer.
+    tokenizer, and so is every text that holds an added token such as the end
+    mark, which the tokenizer finds before it splits.
     """
 
     def __init__(self, path: str, ranks: dict[bytes, int] | None):
@@ -101,9 +102,10 @@ class _Encoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
-            pattern = json.load(f)["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+            given = json.load(f)
+        pattern = given["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.added = [t["content"].encode() for t in given.get("added_tokens") or []]
         self.split = regex.compile(pattern + "|\n").findall
         # U+0130 and U+0149 change their length when folded; all others here are stable.
         self.simple = regex.compile("[\n\x21-\x7eÀ-ÖØ-öø-įı-ňŊ-ž]*").fullmatch
@@ -173,7 +175,8 @@ class _Encoder:
             self.chunks, self.old_chunks = {}, self.chunks
         if len(self.words) > CACHE_ENTRIES:
             self.words, self.old_words = {}, self.words
-        split = [t.split() if t else [] for t in texts]
+        special = {i for i, t in enumerate(texts) if t and any(a in t for a in self.added)}
+        split = [t.split() if t and i not in special else [] for i, t in enumerate(texts)]
         known, old = self.chunks, self.old_chunks
         fresh = set().union(*split).difference(known)
         again = {c: old[c] for c in fresh if c in old}
@@ -181,7 +184,8 @@ class _Encoder:
         if len(again) < len(fresh):
             self._learn_chunks(list(fresh.difference(again)))
         end = np.asarray([END_ID], dtype=self.dtype).tobytes()
-        return [b"".join(map(known.__getitem__, chunks)) + end for chunks in split]
+        return [(self._whole_ids(texts[i].decode("utf-8", "replace")) if i in special
+                 else b"".join(map(known.__getitem__, chunks))) + end for i, chunks in enumerate(split)]
 
 
 _ENCODERS: dict[str, _Encoder] = {}

@@ -74,3 +74,13 @@ def test_without_ranks_the_tokenizer_does_the_work():
     plain = packing._Encoder(PATH, None)
     texts = ["It's a test, isn't it?", "<|endoftext|> l'été 123 $$$", "", "İstanbul ŉx"]
     assert plain.encode_batch([t.encode() for t in texts]) == ENCODER.encode_batch([t.encode() for t in texts])
+
+
+def test_texts_with_added_tokens_equal_the_plain_tokenizer():
+    plain = Tokenizer.from_file(PATH)
+    texts = ["x <|endoftext|> y", "a<|startoftext|>b  c", "<|endoftext|>", " <|endoftext|>\n\n<|endoftext|> ",
+             "l'été <|endoftext|> 中文", "<|ENDOFTEXT|> <|endof text|> <|", "no such token"]
+    got = ENCODER.encode_batch([t.encode() for t in texts])
+    assert [np.frombuffer(x, ENCODER.dtype).tolist() for x in got] == [
+        plain.encode(t, add_special_tokens=False).ids + [2] for t in texts]
+    assert 49407 in np.frombuffer(got[0], ENCODER.dtype)
