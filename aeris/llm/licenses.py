@@ -18,7 +18,10 @@ Verification is exact: the share of the template's different shingles, as text,
 that stand in the window and the stride beside it must reach ``SIMILARITY``.
 
 Templates are a parameter of bounded size and become constants of the plan, so
-nothing is joined or shuffled: one row in, one row out, at any size.
+nothing is joined or shuffled: one row in, one row out, at any size. The default
+table is ``TEMPLATES``, the notice wordings of ``notices`` and the whole license
+texts in ``license_texts/``. Of the last two a template is left out where another
+template that holds it explains the text better (BSD-2-Clause inside BSD-3-Clause).
 
 Defined results: null, empty and short texts match nothing; a template of fewer
 words than a shingle is its whole word sequence as one shingle and only
@@ -29,6 +32,7 @@ gives no rows; further columns are ignored.
 from __future__ import annotations
 
 import re
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,11 +62,70 @@ TEMPLATES = {
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
 
+# Titles as notices name them, each with every one of ``WORDINGS``.
+TITLES = {
+    "AGPL-3.0": ["GNU Affero General Public License version 3", "GNU Affero General Public License v3.0",
+                 "GNU AGPL v3", "AGPL-3.0 License"],
+    "Apache-2.0": ["Apache License 2.0", "Apache 2.0 License", "Apache License, Version 2.0", "Apache-2.0 License"],
+    "Artistic-2.0": ["Artistic License 2.0"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "2-Clause BSD License", "Simplified BSD License"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "3-Clause BSD License", "New BSD License", "Modified BSD License"],
+    "BSL-1.0": ["Boost Software License"],
+    "CC-BY-4.0": ["Creative Commons Attribution 4.0 International License", "CC BY 4.0"],
+    "CC-BY-NC-4.0": ["Creative Commons Attribution-NonCommercial 4.0 International License", "CC BY-NC 4.0"],
+    "CC-BY-SA-3.0": ["Creative Commons Attribution-ShareAlike 3.0 License", "CC BY-SA 3.0"],
+    "CC-BY-SA-4.0": ["Creative Commons Attribution-ShareAlike 4.0 International License", "CC BY-SA 4.0"],
+    "CC0-1.0": ["CC0 1.0 Universal", "Creative Commons Zero v1.0 Universal", "CC0 1.0"],
+    "EPL-2.0": ["Eclipse Public License 2.0", "Eclipse Public License v2.0"],
+    "GPL-2.0": ["GNU General Public License version 2", "GNU General Public License v2.0", "GNU GPL v2", "GPLv2 License"],
+    "GPL-3.0": ["GNU General Public License version 3", "GNU General Public License v3.0", "GNU GPL v3", "GPLv3 License"],
+    "ISC": ["ISC License"],
+    "LGPL-2.1": ["GNU Lesser General Public License version 2.1", "GNU Lesser General Public License v2.1"],
+    "LGPL-3.0": ["GNU Lesser General Public License version 3", "GNU Lesser General Public License v3.0"],
+    "MIT": ["MIT License"],
+    "MPL-2.0": ["Mozilla Public License 2.0", "Mozilla Public License, Version 2.0", "Mozilla Public License, v. 2.0"],
+    "Unlicense": ["The Unlicense"],
+}
+WORDINGS = ("licensed under", "released under", "distributed under", "available under", "under the terms of")
+HEADER = ("This {0} is free software{1} you can redistribute it and/or modify it under the terms of the GNU {2}General "
+          "Public License as published by the Free Software Foundation, either version {3} of the License, or (at "
+          "your option) any later version.")
+HEADERS = {
+    "AGPL-3.0-header": HEADER.format("program", ":", "Affero ", "3"),
+    "GPL-2.0-header": HEADER.format("program", ";", "", "2"),
+    "LGPL-2.1-header": HEADER.format("library", ";", "Lesser ", "2.1"),
+    "LGPL-3.0-header": HEADER.format("library", ":", "Lesser ", "3"),
+}
+
 
 def _folded(text: str) -> list[str]:
     return re.findall("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(str.maketrans(UPPER, LOWER)))
 
 
+def notices() -> dict[str, str]:
+    """Usual wordings by name; of the same words once, and none that ``TEMPLATES`` has."""
+    out, seen = dict(HEADERS), {" ".join(_folded(body)) for body in TEMPLATES.values()}
+    for license_id, titles in TITLES.items():
+        k = 0
+        for title in titles:
+            for wording in WORDINGS:
+                for article in ("", "the ") if not title.startswith("The ") else ("",):
+                    body = f"{wording} {article}{title}"
+                    words = _folded(body)
+                    if len(words) >= SHINGLE and " ".join(words) not in seen:
+                        seen.add(" ".join(words))
+                        k += 1
+                        out[f"{license_id}-notice{k}"] = body
+    return out
+
+
+def default_templates() -> dict[str, str]:
+    """The whole template table; its texts are read on the driver."""
+    texts = {p.stem: p.read_text(encoding="utf-8") for p in
+             sorted((Path(__file__).parent / "license_texts").glob("*.txt"))}
+    return {**notices(), **texts, **TEMPLATES}
+
+
 def window_class(shingles: int) -> int:
     """The least of 1, 2, 3, 4, 6, 8, 12, 16, ... that is not below ``shingles``."""
     n = 1
@@ -90,9 +153,61 @@ def _signatures(spark: SparkSession, templates: dict[str, str], shingle: int, ba
     return out
 
 
+FOUND = "array<struct<name:string,share:double>>"
+
+
+def _literal(grams) -> Column:
+    """An array constant: folded from one string, however many shingles there are."""
+    return F.split(F.lit("\n".join(grams)), "\n")
+
+
+def _license_of(name: str) -> str:
+    return re.sub("-(?:text|header|grant|notice[0-9]+)$", "", name)
+
+
+def _yielding(signed) -> tuple[list[str], list[str]]:
+    """Pairs "a>b": notices and whole texts a of which b holds ``SIMILARITY``. The
+    first list yields to a greater share of b, the second (one license) to the same."""
+    own = {t["name"]: set(t["grams"]) for t in signed}
+    where: dict[str, list[str]] = {}
+    for name, grams in own.items():
+        for gram in grams:
+            where.setdefault(gram, []).append(name)
+    greater, same = [], []
+    for name, grams in own.items():
+        if re.search("-(?:text|notice[0-9]+)$", name) or name in HEADERS:
+            shared: dict[str, int] = {}
+            for gram in grams:
+                for other in where[gram]:
+                    shared[other] = shared.get(other, 0) + 1
+            for other, n in shared.items():
+                if other != name and n >= SIMILARITY * len(grams):
+                    greater.append(f"{name}>{other}")
+                    larger = (len(own[other]), other) > (len(grams), name)
+                    if larger and _license_of(other) == _license_of(name):
+                        same.append(f"{name}>{other}")
+    return greater, same
+
+
+def _names(found: Column, greater: list[str], same: list[str]) -> Column:
+    """The names of what was found, less what another one explains better."""
+    if not greater:
+        return F.transform(found, lambda x: x["name"])
+
+    def yields(x: Column) -> Column:
+        def to(y: Column) -> Column:
+            pair = F.concat_ws(">", x["name"], y["name"])
+            out = (y["share"] > x["share"]) & F.array_contains(_literal(greater), pair)
+            if same:
+                out = out | ((y["share"] == x["share"]) & F.array_contains(_literal(same), pair))
+            return out
+        return F.exists(found, to)
+    return F.transform(F.filter(found, lambda x: ~yields(x)), lambda x: x["name"])
+
+
 def _retrieved(words: Column, hashes: Column, marks: Column, k: int, size: int, stride: int,
                bands: int, group) -> Column:
-    """Names of the templates of one class that a text holds; ``hashes`` are the
+    """(name, share) of the templates of one class that a text holds; ``hashes`` are the
     text's shingles of ``k`` words, ``marks`` the places of those that are a band of
     some template. A window without a mark cannot share a band and is passed over."""
     wanted = sorted({b for t in group for b in t["bands"]})
@@ -112,10 +227,17 @@ def _retrieved(words: Column, hashes: Column, marks: Column, k: int, size: int,
         lo = F.greatest(i * stride - stride, F.lit(0))
         hi = F.least(i * stride + size + stride, F.size(hashes))
         text = F.transform(F.sequence(lo, hi - 1), lambda j: F.concat_ws(" ", F.slice(words, j + 1, k)))
-        return let(text, lambda s: F.filter(F.array(*[
-            F.when(F.size(F.array_intersect(s, F.array(*map(F.lit, t["grams"]))))
-                   >= SIMILARITY * len(t["grams"]), F.lit(t["name"])) for t in group]),
-            lambda name: name.isNotNull()))
+        # first what any template of the class has, which is little, then each template
+        any_gram = _literal({g: None for t in group for g in t["grams"]})
+        least = min(SIMILARITY * len(t["grams"]) for t in group)
+
+        def named(held: Column) -> Column:
+            each = [let(F.size(F.array_intersect(held, _literal(t["grams"]))) / len(t["grams"]),  # noqa: B023
+                        lambda share: F.when(share >= SIMILARITY, F.struct(  # noqa: B023
+                            F.lit(t["name"]).alias("name"), share.alias("share")))) for t in group]  # noqa: B023
+            return F.when(F.size(held) >= least, F.filter(F.array(*each), lambda x: x.isNotNull())).otherwise(
+                F.array().cast(FOUND))
+        return let(F.array_intersect(text, any_gram), named)
     at = F.filter(F.array_distinct(F.flatten(F.transform(marks, around))), near)
     return F.flatten(F.transform(at, verified))
 
@@ -123,7 +245,9 @@ def _retrieved(words: Column, hashes: Column, marks: Column, k: int, size: int,
 def scanned(docs: DataFrame, templates: dict[str, str] | None = None, shingle: int = SHINGLE,
             bands: int = BANDS) -> DataFrame:
     """doc_id, licenses (sorted names) and n_licenses of every document."""
-    signed = _signatures(docs.sparkSession, TEMPLATES if templates is None else templates, shingle, bands)
+    signed = _signatures(docs.sparkSession, default_templates() if templates is None else templates, shingle,
+                         bands)
+    pairs = _yielding(signed)
     groups: dict[tuple[int, int], list] = {}
     for t in signed:
         groups.setdefault((t["k"], t["class"]), []).append(t)
@@ -137,12 +261,12 @@ def scanned(docs: DataFrame, templates: dict[str, str] | None = None, shingle: i
                 found = [_retrieved(w, h, marks, k, size, max(1, size // 8), bands, group)
                          for size, group in own]
                 return F.when(F.size(marks) > 0, F.flatten(F.array(*found))).otherwise(
-                    F.array().cast("array<string>"))
+                    F.array().cast(FOUND))
             return let(kgram_hashes(w, k), lambda h: let(F.filter(
                 F.sequence(F.lit(0), F.greatest(F.size(h) - 1, F.lit(0))),
                 lambda p: F.coalesce(F.get(h, p).isin(wanted), F.lit(False))), lambda m: classes(h, m)))
         parts = [of_gram(k) for k in sorted({gram for gram, _ in groups})]
-        return F.sort_array(F.array_distinct(F.flatten(F.array(*parts))))
+        return let(F.flatten(F.array(*parts)), lambda f: F.sort_array(F.array_distinct(_names(f, *pairs))))
     found = let(folded_words(F.col("text")), names) if groups else F.array().cast("array<string>")
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), found.alias("names")).select(
         "doc_id", F.array_join("names", ",").alias("licenses"), F.size("names").cast("long").alias("n_licenses"))

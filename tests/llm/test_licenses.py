@@ -67,6 +67,32 @@ def test_templates_of_other_sizes(spark):
     assert dict(names(spark, [(1, "x")], {})) == {1: []}
 
 
+def test_whole_license_texts_and_usual_wordings(spark):
+    rng = random.Random(2)
+    table = licenses.default_templates()
+    texts = [n for n in table if n.endswith("-text")]
+    assert {"MIT-text", "BSD-2-Clause-text", "BSD-3-Clause-text", "ISC-text", "Unlicense-text", "GPL-3.0-text"} <= set(texts)
+    rows = []
+    for k, name in enumerate(texts):
+        words = table[name].split()
+        rows.append((10 * k, f"{frames.sentence(rng, 50)} {table[name]} {frames.sentence(rng, 50)}"))
+        words[len(words) // 2] = "changed"
+        rows.append((10 * k + 1, f"{frames.sentence(rng, 7)} {' '.join(words)}"))
+    rows += [(900, "This project is licensed under the MIT License, see there."), (901, "under the terms of the ISC license"),
+             (902, "Distributed under the GNU Affero General Public License version 3"), (903, "released under CC BY-SA 4.0"),
+             (904, table["LGPL-2.1-header"]), (905, table["BSD-2-Clause-text"] + table["BSD-3-Clause-text"]),
+             (906, "This work is licensed under the GNU General Public License, version 3."), (907, "the MIT campus")]
+    got = dict(names(spark, rows))
+    for k, name in enumerate(texts):
+        assert name in got[10 * k] and name in got[10 * k + 1]
+        assert {n for n in got[10 * k] if n.endswith("-text")} == {name}
+    kinds = {i: {licenses._license_of(n) for n in got[i]} for i in range(900, 908)}
+    assert kinds[900] == {"MIT"} and kinds[901] == {"ISC"} and kinds[902] == {"AGPL-3.0"}
+    assert kinds[903] == {"CC-BY-SA-4.0"} and "LGPL-2.1-header" in got[904]
+    assert got[905] == ["BSD-2-Clause-text", "BSD-3-Clause-text"]
+    assert got[906] == ["GPL-3.0"] and got[907] == []
+
+
 @pytest.mark.parametrize("n,size", [(1, 1), (2, 2), (3, 3), (5, 6), (7, 8), (9, 12), (13, 16), (25, 32), (33, 48)])
 def test_window_classes(n, size):
     assert licenses.window_class(n) == size
