@@ -3,10 +3,10 @@
 1. Language model. Character trigrams are counted over all documents (28
    symbols: word break, a-z, any other letter), so at most 28^3 sums reach the
    driver, whatever the corpus.
-2. Noisy channel. Tokens that look disguised (letters mixed with digits or
-   symbols, a letter three times in a row, letters spaced out) become a lattice:
+2. Noisy channel. Tokens that look disguised (a letter beside a digit or symbol, a
+   letter twice in a row, letters spaced out, masked by stars) become a lattice:
    a symbol may stand for a letter or for a break, a run of one letter for one or
-   two, a gap between single letters for nothing or for a break. The Viterbi path
+   two, a gap between single letters for nothing or for a break, a star for any. The Viterbi path
    of least channel cost plus language-model cost is the restored text. All other
    tokens have one path, themselves.
 3. Score. Words of the restored text are looked up by their beginnings (4 to 6
@@ -58,16 +58,23 @@ OTHER = SYMBOLS - 1
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b",
         "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t"}
 # Channel costs in nats.
-SUBSTITUTE, BREAK, SHORTEN, SHORTEN_PAIR, JOIN, SEPARATE = 1.5, 3.0, 0.5, 4.0, 0.2, 2.0
+SUBSTITUTE, BREAK, SHORTEN, SHORTEN_PAIR, JOIN, SEPARATE, MASK = 1.5, 3.0, 0.5, 4.0, 0.2, 2.0, 1.5
 
 _LETTER = "[^\\W\\d_]"
 _MARK = "[0-9@$!|+]"
+# One to three of what is no letter, digit or line end, between spaced letters.
+_GAP = "(?:[^\\w\\n]|_){1,3}"
+_ONE = f"(?:{_LETTER}|{_MARK})"
 DISGUISED = re.compile(
-    rf"(?<!\S)(?:(?:{_LETTER}|{_MARK})[ .\-_*]){{3,}}(?:{_LETTER}|{_MARK})(?=[.,!?;:)\"']*(?!\S))"
-    rf"|(?<!\S)\S*?(?:{_LETTER}{_MARK}+{_LETTER}|({_LETTER})\1\1)\S*"
-    rf"|(?<!\S){_MARK}+{_LETTER}\S*")
-_SPACED = re.compile(rf"(?:(?:{_LETTER}|{_MARK})[ .\-_*])+(?:{_LETTER}|{_MARK})")
+    rf"(?<![^\W_])(?=(?:{_MARK}{_GAP}){{0,2}}{_LETTER})(?:{_ONE}{_GAP}){{2,}}{_ONE}(?![^\W_])"
+    rf"|(?<!\S)\S*?(?:{_LETTER}(?:{_MARK}|\*+{_LETTER})|{_MARK}{_LETTER}|({_LETTER})\1)\S*")
+_SPACED = re.compile(rf"(?:{_ONE}{_GAP})+{_ONE}")
 _WORD = re.compile(rf"{_LETTER}+")
+# Tokens that only a pair of equal letters brings into the lattice.
+_PAIRED = re.compile(rf"(?!.*{_MARK}{_LETTER}|.*{_LETTER}(?:{_MARK}|\*)|.*({_LETTER})\1\1)\S+")
+# Nats a symbol above which the model finds a word unlikely, and the share of them
+# at most that a word without the pairs must have.
+UNLIKELY, LIKELIER = 2.5, 0.65
 
 
 def _symbol_table() -> np.ndarray:
@@ -119,6 +126,11 @@ def _symbol(c: str) -> int:
     return ord(c) - 96 if "a" <= c <= "z" else OTHER
 
 
+def masked(token: str, i: int) -> bool:
+    """True for a star with letters on both sides of its run."""
+    return token[:i].rstrip("*")[-1:].isalpha() and token[i:].lstrip("*")[:1].isalpha()
+
+
 def lattice(token: str) -> list[list[tuple[str, float]]]:
     """Slots of (emitted text, channel cost) for a disguised token."""
     spaced = _SPACED.fullmatch(token) is not None
@@ -138,8 +150,12 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
                 slots.append([(c, SHORTEN), (c * 2, SHORTEN)])
         elif c in LEET:
             slots.append([(letter, SUBSTITUTE) for letter in LEET[c]] + [(" ", BREAK)])
-        elif spaced and c in " .-_*":
+        elif spaced:
+            while not (token[j].isalpha() or token[j] in LEET):
+                j += 1
             slots.append([("", JOIN), (" ", SEPARATE)])
+        elif c == "*" and 0 < i and masked(token, i):
+            slots.append([(chr(k), MASK) for k in range(97, 123)] + [(" ", BREAK)])
         else:
             slots.append([(" ", 0.0)])
         i = j
@@ -172,6 +188,17 @@ def restore(token: str, model: np.ndarray) -> str:
     return "".join(reversed(pieces))
 
 
+def mean_cost(text: str, model) -> float:
+    """The model's mean cost of a symbol of a text's words and their ends."""
+    a = b = 0
+    total, words = 0.0, " ".join(_WORD.findall(text)) + " "
+    for c in words:
+        symbol = _symbol(c)
+        total += model[a, b, symbol]
+        a, b = b, symbol
+    return total / len(words)
+
+
 class Restorer:
     """Restored words of texts, with a bounded memory of tokens."""
 
@@ -181,12 +208,21 @@ class Restorer:
                       for b in range(SYMBOLS) for c in range(SYMBOLS)}
         self.known: dict[str, str] = {}
 
+    def _restored(self, token: str) -> str:
+        if not _PAIRED.fullmatch(token):
+            return f" {restore(token, self.model)} "
+        cost = mean_cost(token, self.model)
+        if cost <= UNLIKELY:
+            return token
+        out = restore(token, self.model)
+        return f" {out} " if mean_cost(out, self.model) <= LIKELIER * cost else token
+
     def _replace(self, match: re.Match) -> str:
         token = match.group()
         if token not in self.known:
             if len(self.known) > MEMORY:
                 self.known.clear()
-            self.known[token] = f" {restore(token, self.model)} "
+            self.known[token] = self._restored(token)
         return self.known[token]
 
     def words(self, text: str | None) -> list[str]:

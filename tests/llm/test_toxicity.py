@@ -82,6 +82,19 @@ def test_restored_words(spark):
     assert restorer.words("a" * 50_000 + " x") and restorer.words(None) == []
 
 
+def test_other_disguises_are_restored(spark):
+    words = "this stupid idiot is an ass and the clown said nothing at all to the stupid idiot but good".split()
+    model = toxicity.language_model(frames.documents(spark, [(1, " ".join(words * 40))]))
+    restorer = toxicity.Restorer(model)
+    for text in ["id10+", "i  d  i  o  t", "i/d/i/o/t", "iiddiioott", "(i d i o t)", "'i.d.i.o.t'", "id*ot"]:
+        assert restorer.words(text) == ["idiot"], text
+    for text in ["(5tupid)", '"5tupid', "sstupidd", "(s t u p i d)", "st*pid"]:
+        assert restorer.words(text) == ["stupid"], text
+    for text in ["a$$", "as5", "a s s", "[a-s-s]"]:
+        assert restorer.words(text) == ["ass"], text
+    assert restorer.words("all good but the clown!") == ["all", "good", "but", "the", "clown"]
+
+
 def test_trigrams_grow_with_the_corpus(spark):
     one = toxicity.trigram_counts([b"ab c"])
     assert one.sum() > 0 and toxicity.trigram_counts([b"ab c"] * 3).sum() > 2 * one.sum()
