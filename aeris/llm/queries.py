@@ -7,7 +7,8 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from aeris.llm import ann, decontamination, licenses, packing, pii, sharding, simhash, substrings, toxicity, urls
+from aeris.llm import (ann, byte_bpe, decontamination, licenses, negatives, packing, periodic, pii, sharding, simhash,
+                       substrings, toxicity, urls)
 from aeris.llm.common import ship_code
 
 
@@ -30,6 +31,9 @@ QUERIES = {name: _shipped(query) for name, query in {
     "op8_count_min": substrings.op8_count_min,
     "op9_noisy_channel": toxicity.op9_noisy_channel,
     "op10_minhash_windows": licenses.op10_minhash_windows,
+    "op11_merge_replay": byte_bpe.op11_merge_replay,
+    "op12_four_russians": negatives.op12_four_russians,
+    "op13_block_convolution": periodic.op13_block_convolution,
 }.items()}
 
 ORACLE: dict[str, str] = {
@@ -38,4 +42,5 @@ ORACLE: dict[str, str] = {
     "op7_winnowing": decontamination.ORACLE_SQL,
     "op8_count_min": substrings.ORACLE_SQL,
     "op10_minhash_windows": licenses.ORACLE_SQL,
+    "op12_four_russians": negatives.ORACLE_SQL,
 }
