@@ -69,6 +69,24 @@ def test_only_long_items(spark):
     assert 0 < sum(r[5] for r in found) < len(found)
 
 
+def test_a_table_of_few_bits_loses_nothing(spark):
+    rng = random.Random(4)
+    items = [(i, frames.sentence(rng, 30, 60)) for i in range(20)]
+    docs = [(i, frames.sentence(rng, 40, 60) + " " + " ".join(items[i % 20][1].split()[:12 * (i % 2)])) for i in range(30)]
+    wanted = {r[0] for r in plain(docs, items) if r[5]}
+    for bits in (64, 1 << 10, 1 << 22):
+        base, found = dc.hits(frames.documents(spark, docs), frame(spark, items), bits=bits)
+        got = base.join(found, ["key", "key2"]).select("doc.doc_id", "suspect").collect()
+        assert {repr(r["doc_id"]) for r in got} == wanted and all(r["suspect"] for r in got)
+        if bits == 1 << 22:  # and a wide one lets hardly any clean text through
+            assert base.where("suspect").count() == len(wanted)
+
+
+def test_texts_that_are_not_suspect_are_not_carried(spark):
+    base, _ = dc.hits(frames.smoke(spark), frames.smoke(spark, "benchmark"), carried=["doc_id"])
+    assert [f.name for f in base.schema["doc"].dataType] == ["doc_id"] and "text" not in base.columns
+
+
 def test_empty_tables(spark):
     check(spark, frames.edge_rows(), [])
     check(spark, [], [(1, "a b c")])
