@@ -7,7 +7,8 @@ from the rank of a mergeable token pair to the positions in these words where
 the pair stands. The ranks are replayed in order: a rank is applied at all its
 positions at once, and only the two neighbours of a merged position get new
 index entries. So a word costs its merges once a block, however often it stands
-in it, and the documents are put together from the words' ids.
+in it, and the documents are put together from the words' ids. Ranks that are
+not those of merges in order (``merges`` checks it) are applied pair by pair.
 
 A block is the documents of one task up to ``BLOCK_BYTES`` of text or
 ``BLOCK_WORDS`` new words, whichever comes first; a longer text is a block by
@@ -25,6 +26,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+import re
 from array import array
 from collections.abc import Iterator
 
@@ -40,7 +42,7 @@ BLOCK_BYTES = 16 << 20
 BLOCK_WORDS = 200_000
 MEMORY_WORDS = 600_000
 # Positions that are replayed together at most (one word may have more).
-REPLAY_POSITIONS = 1 << 20
+REPLAY_POSITIONS = 1 << 22
 
 ENCODED_SCHEMA = "doc_id long, ids array<int>"
 
@@ -52,8 +54,8 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 def unlike_characters() -> dict[str, str]:
-    """By class, the characters that the splitting library here counts in and the
-    tokenizer's own library does not (their Unicode versions differ)."""
+    """By class, the ranges of characters that the splitting library here counts in and
+    the tokenizer's own library does not (their Unicode versions differ)."""
     import regex
     import tiktoken
 
@@ -67,7 +69,10 @@ def unlike_characters() -> dict[str, str]:
         for lo in range(0, len(found), 1 << 14):
             part = bytes(theirs.encode_ordinary("".join(found[lo:lo + (1 << 14)])))
             known.update(part.decode("utf-8"))
-        out[name] = "".join(c for c in found if c not in known)
+        unlike = [ord(c) for c in found if c not in known]
+        firsts = [c for c, before in zip(unlike, [None, *unlike]) if before != c - 1]
+        lasts = [c for c, after in zip(unlike, [*unlike[1:], None]) if after != c + 1]
+        out[name] = "".join(f"{chr(a)}-{chr(b)}" for a, b in zip(firsts, lasts))
     return out
 
 
@@ -80,7 +85,7 @@ class Splitter:
         self.plain = regex.compile(pattern).findall
         self.odd = self.exact = None
         if any(unlike.values()):
-            self.odd = regex.compile(f"[{''.join(unlike.values())}]").search
+            self.odd = re.compile(f"[{''.join(unlike.values())}]").search
             classes = {name: rf"[\p{{{name}}}--[{chars}]]" if chars else rf"\p{{{name}}}"
                        for name, chars in unlike.items()}
             wide = pattern.replace(r"[^\s\p{L}\p{N}]", rf"[^\s{classes['L']}{classes['N']}]")
@@ -94,77 +99,182 @@ class Splitter:
         return self.plain(text)
 
 
-class MergeReplay:
-    """Ids of many words at once."""
+class LeastPairFirst:
+    """Ids of words by the defining rule: merge the pair whose bytes have the least
+    rank, the leftmost first, until no pair is a token. For any table of ranks."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
         size = max(ranks.values(), default=0) + 1
         # what separates two words, and what a merge leaves behind: in no pair
         self.gap, self.gone = size, size + 1
         self.shift = (size + 1).bit_length()
         self.single = [ranks.get(bytes([b]), self.gap) for b in range(256)]
-        self.rank_of = {}
+        self.rank_of: dict[int, int] = {}
         for token, rank in ranks.items():
             for cut in range(1, len(token)):
                 left, right = ranks.get(token[:cut]), ranks.get(token[cut:])
                 if left is not None and right is not None:
                     self.rank_of[left << self.shift | right] = rank
+        # the pairs that have been merged, by rank
+        self.used: dict[int, set[tuple[int, int]]] = {}
 
-    def ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all words in a row, number of ids of each)."""
+    def tokens(self, words: list[bytes]) -> np.ndarray:
+        """All words' tokens in a row, with gaps around the words."""
         token = [self.gap]
         for word in words:
             token.extend([self.single[b] for b in word])
             token.append(self.gap)
-        n, shift, gone, rank_of = len(token), self.shift, self.gone, self.rank_of
+        n, shift, rank_of = len(token), self.shift, self.rank_of.get
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        # the inverted index: rank of a pair -> positions of its left token
         index: dict[int, list[int]] = {}
         for at in range(n - 1):
-            rank = rank_of.get(token[at] << shift | token[at + 1])
+            rank = rank_of(token[at] << shift | token[at + 1])
             if rank is not None:
                 index.setdefault(rank, []).append(at)
         order = list(index)
         heapq.heapify(order)
         while order:
             rank = heapq.heappop(order)
-            places = index.pop(rank, None)
-            if places is None:
-                continue
-            places.sort()
-            for k, at in enumerate(places):
+            places = sorted(index.pop(rank, ()))
+            for at in places:
                 right = after[at]
-                if rank_of.get(token[at] << shift | token[right]) != rank:
+                if rank_of(token[at] << shift | token[right]) != rank:
                     continue  # one of the two has been merged otherwise
-                token[at], token[right] = rank, gone
+                self.used.setdefault(rank, set()).add((token[at], token[right]))
+                token[at], token[right] = rank, self.gone
                 beyond, left = after[right], before[at]
                 after[at], before[beyond] = beyond, at
                 least = rank
                 for place, pair in ((at, rank << shift | token[beyond]), (left, token[left] << shift | rank)):
-                    new = rank_of.get(pair)
+                    new = rank_of(pair)
                     if new is not None:
-                        if new in index:
-                            index[new].append(place)
-                        else:
-                            index[new] = [place]
+                        if new not in index:
                             heapq.heappush(order, new)
+                        index.setdefault(new, []).append(place)
                         least = min(least, new)
-                if least < rank:  # a pair that comes first: the rest waits
-                    index[rank] = places[k + 1:]
+                if least < rank:  # a pair that comes first: the rest of this rank waits
+                    index.setdefault(rank, []).extend(p for p in places if p > at)
                     heapq.heappush(order, rank)
                     break
-        tokens = np.asarray(token, dtype=np.int64)
-        word_of = np.cumsum(tokens == self.gap) - 1
-        kept = tokens < self.gap
-        return tokens[kept].astype(np.int32), np.bincount(word_of[kept], minlength=len(words))[:len(words)]
+        return np.asarray(token, dtype=np.int64)
+
+
+def merges(ranks: dict[bytes, int]) -> np.ndarray | None:
+    """Rows (left, right, rank), one for each token of two bytes or more; None if the
+    ranks are not those of merges in order.
+
+    They are if every token, spelled out and merged alone, becomes itself, each rank
+    is made of one pair only, and of tokens of lower rank. Two tokens that stand side
+    by side in a word and spell a third have then come from the very steps that make
+    the third alone, so they are its pair; and no merge can call for an earlier one.
+    """
+    rule, order = LeastPairFirst(ranks), sorted(ranks, key=ranks.__getitem__)
+    found = rule.tokens(order)
+    if any(len(t) == 1 for t in order) and found[found < rule.gap].tolist() != sorted(ranks.values()):
+        return None
+    rows = [(*pair, rank) for rank, pairs in rule.used.items() for pair in pairs]
+    regular = len(rows) == len(rule.used) and all(max(a, b) < r for a, b, r in rows)
+    return np.asarray(sorted(rows, key=lambda r: r[2]), dtype=np.int64).reshape(-1, 3) if regular else None
+
+
+class MergeReplay:
+    """Ids of many words at once, by replaying merges in rank order."""
+
+    def __init__(self, ranks: dict[bytes, int], rows: np.ndarray):
+        self.size = max(ranks.values(), default=0) + 3
+        self.gap, self.gone = self.size - 2, self.size - 1
+        self.single = np.asarray([*(ranks.get(bytes([b]), self.gap) for b in range(256)), self.gap])
+        self.pair_of = {r: (a, b) for a, b, r in rows.tolist()}
+        keys = rows[:, 0] * self.size + rows[:, 1]
+        by_key = np.argsort(keys)
+        self.keys, self.rank_of = keys[by_key], rows[by_key, 2]
+        # index entries are sorted by a range of ranks at a time: few ranks where most merges are
+        least = int(rows[0, 2]) if len(rows) else 0
+        self.ranges = [least + (64 << k) for k in range(40) if least + (32 << k) < self.size]
+
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Ranks of pairs of tokens, -1 for none."""
+        if not len(self.keys):
+            return np.full(len(left), -1)
+        key = left * self.size + right
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.rank_of[at], -1)
+
+    def tokens(self, words: list[bytes]) -> np.ndarray:
+        """All words' tokens in a row, with gaps around the words."""
+        ends = np.cumsum([len(w) + 1 for w in words], dtype=np.int64)
+        n = int(ends[-1]) + 1 if len(ends) else 1
+        octets = np.full(n, 256)
+        inside = np.ones(n, dtype=bool)
+        inside[0] = inside[ends] = False
+        octets[inside] = np.frombuffer(b"".join(words), dtype=np.uint8)
+        token = self.single[octets]
+        after, before = np.arange(1, n + 1), np.arange(-1, n - 1)
+        # the inverted index, still unsorted: ranks of pairs and places of their left tokens
+        ranks = self._rank(token[:-1], token[1:])
+        places = np.flatnonzero(ranks >= 0)
+        later = [(ranks[places], places)]
+        for bound in self.ranges:
+            ranks, places = (np.concatenate([x[i] for x in later]) for i in range(2))
+            near = ranks < bound
+            later = [(ranks[~near], places[~near])]
+            index: dict[int, list[np.ndarray]] = {}
+            order: list[int] = []
+            self._insert(index, order, ranks[near], places[near])
+            while order:
+                rank = heapq.heappop(order)
+                at = self._standing(token, after, np.unique(np.concatenate(index.pop(rank))), self.pair_of[rank])
+                if not len(at):
+                    continue
+                right = after[at]
+                token[at], token[right] = rank, self.gone
+                beyond = after[right]
+                after[at], before[beyond] = beyond, at
+                left = before[at]
+                # the neighbours that a merge has touched: two new pairs each
+                new = self._rank(np.concatenate([np.full(len(at), rank), token[left]]),
+                                 np.concatenate([token[beyond], np.full(len(at), rank)]))
+                where = np.concatenate([at, left])
+                soon = (new >= 0) & (new < bound)
+                if soon.any():
+                    self._insert(index, order, new[soon], where[soon])
+                rest = new >= bound
+                if rest.any():
+                    later.append((new[rest], where[rest]))
+        return token
+
+    @staticmethod
+    def _insert(index: dict[int, list[np.ndarray]], order: list[int], ranks: np.ndarray, places: np.ndarray) -> None:
+        by_rank = np.argsort(ranks, kind="stable")
+        ranks, places = ranks[by_rank], places[by_rank]
+        cuts = [0, *(np.flatnonzero(ranks[1:] != ranks[:-1]) + 1).tolist(), len(ranks)]
+        for lo, hi in zip(cuts, cuts[1:]):
+            if lo < hi:
+                rank = int(ranks[lo])
+                if rank not in index:
+                    index[rank] = []
+                    heapq.heappush(order, rank)
+                index[rank].append(places[lo:hi])
+
+    @staticmethod
+    def _standing(token: np.ndarray, after: np.ndarray, at: np.ndarray, pair: tuple[int, int]) -> np.ndarray:
+        """The places where the pair still stands; of places that overlap the leftmost."""
+        at = at[(token[at] == pair[0]) & (token[after[at]] == pair[1])]
+        if pair[0] != pair[1] or len(at) < 2:
+            return at
+        kept, taken = [], -1
+        for place, right in zip(at.tolist(), after[at].tolist()):
+            if place != taken:
+                kept.append(place)
+                taken = right
+        return np.asarray(kept)
 
 
 class Dictionary:
     """Codes of the words met so far, and the ids of every code."""
 
-    def __init__(self, replay: MergeReplay):
-        self.replay = replay
+    def __init__(self, ranks: dict[bytes, int], replay: MergeReplay | LeastPairFirst):
+        self.ranks, self.replay = ranks, replay
         self.forget()
 
     def forget(self) -> None:
@@ -173,27 +283,27 @@ class Dictionary:
         self.flat, self.starts = array("i"), array("q", [0])
 
     def code(self, words: list[str]) -> np.ndarray:
-        codes, known = array("i"), self.codes
-        for word in words:
-            if word not in known:
-                known[word] = len(known)
-                self.fresh.append(word)
-            codes.append(known[word])
-        return np.frombuffer(codes, dtype=np.int32)
+        known = self.codes
+        for word in set(words).difference(known):
+            known[word] = len(known)
+            self.fresh.append(word)
+        return np.fromiter(map(known.__getitem__, words), dtype=np.int32, count=len(words))
 
     def learn(self) -> None:
         """Ids of all words that came since the last call."""
         spelled = [w.encode("utf-8", "replace") for w in self.fresh]
-        own = [self.replay.ranks.get(w) for w in spelled]
+        own = [self.ranks.get(w) for w in spelled]
         counts = np.ones(len(own), dtype=np.int64)
         found: list[np.ndarray] = []
         part, size, where = [], 0, []
 
         def flush() -> None:
             if part:
-                ids, lengths = self.replay.ids(part)
-                counts[where] = lengths
-                found.append(ids)
+                tokens = self.replay.tokens(part)
+                kept = tokens < self.replay.gap
+                word_of = np.cumsum(tokens == self.replay.gap) - 1
+                counts[where] = np.bincount(word_of[kept], minlength=len(part))
+                found.append(tokens[kept])
                 part.clear(), where.clear()
         for k, (word, rank) in enumerate(zip(spelled, own)):
             if rank is None:
@@ -223,9 +333,11 @@ class Dictionary:
         return flat[np.repeat(starts[codes] - ends + lengths, lengths) + np.arange(total)]
 
 
-def _encode(ranks_path: str, pattern: str, unlike: dict[str, str]):
+def _encode(ranks_path: str, pattern: str, unlike: dict[str, str], rows: np.ndarray | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        split, words = Splitter(pattern, unlike), Dictionary(MergeReplay(read_ranks(ranks_path)))
+        ranks = read_ranks(ranks_path)
+        split = Splitter(pattern, unlike)
+        words = Dictionary(ranks, LeastPairFirst(ranks) if rows is None else MergeReplay(ranks, rows))
         doc_ids, coded, size = [], [], 0
 
         def block() -> Iterator[pa.RecordBatch]:
@@ -259,7 +371,8 @@ def encoded(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_i
     """(doc_id, ids) of every document, without special tokens. ``ranks_path`` is
     read by every task, so all machines must have it."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
-    return rows.mapInArrow(_encode(ranks_path, pattern, unlike_characters()), ENCODED_SCHEMA)
+    work = _encode(ranks_path, pattern, unlike_characters(), merges(read_ranks(ranks_path)))
+    return rows.mapInArrow(work, ENCODED_SCHEMA)
 
 
 def decoded(ids: Column, ranks_path: str) -> Column:

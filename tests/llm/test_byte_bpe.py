@@ -71,12 +71,36 @@ def test_ranks_in_any_order_give_the_least_pair_first():
         order = list(tokens)
         rng.shuffle(order)
         ranks = {t: i for i, t in enumerate(order)}
-        replay = byte_bpe.MergeReplay(ranks)
         words = [bytes(rng.choice(b"abc") for _ in range(rng.randrange(1, 30))) for _ in range(40)]
-        words = [w for w in words if w not in ranks]
-        ids, counts = replay.ids(words)
-        assert ids.tolist() == [i for w in words for i in plain_merges(w, ranks)]
-        assert counts.tolist() == [len(plain_merges(w, ranks)) for w in words]
+        assert encoded(words, ranks) == [plain_merges(w, ranks) for w in words]
+
+
+def encoded(words, ranks):
+    rows = byte_bpe.merges(ranks)
+    replay = byte_bpe.LeastPairFirst(ranks) if rows is None else byte_bpe.MergeReplay(ranks, rows)
+    known = byte_bpe.Dictionary(ranks, replay)
+    known.code([w.decode("latin-1") for w in words])
+    known.learn()
+    return [known.ids(known.code([w.decode("latin-1")])).tolist() for w in words]
+
+
+def test_ranks_of_merges_are_replayed():
+    """Vocabularies made by merging: the table of merges is found, and gives the least pair's ids."""
+    rng = random.Random(7)
+    regular = 0
+    for _ in range(40):
+        ranks = {bytes([b]): i for i, b in enumerate(b"abcd")}
+        while len(ranks) < 30:
+            a, b = rng.choice(list(ranks)), rng.choice(list(ranks))
+            ranks.setdefault(a + b, len(ranks))
+        words = [bytes(rng.choice(b"abcd") for _ in range(rng.randrange(1, 40))) for _ in range(60)]
+        words += [b"a" * 31, b"abab" * 9, b"aab" * 11]
+        regular += byte_bpe.merges(ranks) is not None
+        assert encoded(words, ranks) == [plain_merges(w, ranks) for w in words]
+    assert regular >= 3
+    ranks = byte_bpe.read_ranks(PATH)
+    rows = byte_bpe.merges(ranks)
+    assert rows is not None and len(rows) == len(ranks) - 256
 
 
 def test_small_blocks_change_nothing(monkeypatch, own):
@@ -87,7 +111,8 @@ def test_small_blocks_change_nothing(monkeypatch, own):
     texts = [frames.sentence(random.Random(i), 12, 30) for i in range(40)] + [None, ""]
     batch = pa.RecordBatch.from_arrays([pa.array(range(42), pa.int64()), pa.array(
         [t and t.encode() for t in texts], pa.binary())], ["doc_id", "text"])
-    run = byte_bpe._encode(PATH, public_tokenizers.PATTERN, byte_bpe.unlike_characters())
+    run = byte_bpe._encode(PATH, public_tokenizers.PATTERN, byte_bpe.unlike_characters(),
+                           byte_bpe.merges(byte_bpe.read_ranks(PATH)))
     got = [ids for out in run(iter([batch])) for ids in out.column(1).to_pylist()]
     assert got == [own.encode_ordinary(t or "") for t in texts]
 
