@@ -8,7 +8,10 @@
    a symbol may stand for a letter or for a break, a run of one letter for one or
    two, a gap between single letters for nothing or for a break, a star for any. The Viterbi path
    of least channel cost plus language-model cost is the restored text. All other
-   tokens have one path, themselves.
+   tokens have one path, themselves. Every distinct token is decided once (a bounded
+   memory); only texts with letters spaced over several tokens are read as a whole.
+   Stars in a row stand for as many letters if they are at most ``MASK_RUN``, and a
+   token has at most ``MASK_MOST`` masked letters: beyond that its stars are breaks.
 3. Score. Words of the restored text are looked up by their beginnings (4 to 6
    letters) and as a whole in a lexicon of log-odds learnt from labels, each less
    ``MARGIN`` standard errors, so that chance companions weigh little. A document's
@@ -45,8 +48,9 @@ from aeris.llm.common import scratch_table, table
 TRAIN_ROWS = 40_000
 THRESHOLD = 0.7
 FEATURE_BITS = 22
+MASK_BITS = (1 << FEATURE_BITS) - 1
 # Words or tokens that a worker remembers at a time.
-MEMORY = 100_000
+MEMORY = 200_000
 LEAST_Z = 3.0
 LEAST_DOCS = 3
 MARGIN = 2.0
@@ -65,11 +69,19 @@ _MARK = "[0-9@$!|+]"
 # One to three of what is no letter, digit or line end, between spaced letters.
 _GAP = "(?:[^\\w\\n]|_){1,3}"
 _ONE = f"(?:{_LETTER}|{_MARK})"
+_RUN = rf"(?<![^\W_])(?=(?:{_MARK}{_GAP}){{0,2}}{_LETTER})(?:{_ONE}{_GAP}){{2,}}{_ONE}(?![^\W_])"
+_SPACED_RUN = re.compile(_RUN)
 DISGUISED = re.compile(
-    rf"(?<![^\W_])(?=(?:{_MARK}{_GAP}){{0,2}}{_LETTER})(?:{_ONE}{_GAP}){{2,}}{_ONE}(?![^\W_])"
+    rf"{_RUN}"
     rf"|(?<!\S)\S*?(?:{_LETTER}(?:{_MARK}|\*+{_LETTER})|{_MARK}{_LETTER}|({_LETTER})\1)\S*")
 _SPACED = re.compile(rf"(?:{_ONE}{_GAP})+{_ONE}")
 _WORD = re.compile(rf"{_LETTER}+")
+_DISGUISED_TOKEN = re.compile(rf"{_LETTER}(?:{_MARK}|\*+{_LETTER})|{_MARK}{_LETTER}|({_LETTER})\1")
+# A letter or mark with neither beside it, as in letters spaced out.
+_ALONE = re.compile(rf"(?<![^\W_]){_ONE}(?![^\W_])")
+_MASKED_RUN = re.compile(rf"(?<={_LETTER})\*+(?={_LETTER})")
+MASK_RUN, MASK_MOST = 3, 6
+_PAIR = re.compile(rf"({_LETTER})\1")
 # Tokens that only a pair of equal letters brings into the lattice.
 _PAIRED = re.compile(rf"(?!.*{_MARK}{_LETTER}|.*{_LETTER}(?:{_MARK}|\*)|.*({_LETTER})\1\1)\S+")
 # Nats a symbol above which the model finds a word unlikely, and the share of them
@@ -120,20 +132,24 @@ def language_model(docs: DataFrame) -> np.ndarray:
     return -np.log(given_two)
 
 
-def _symbol(c: str) -> int:
-    if c == " ":
-        return 0
-    return ord(c) - 96 if "a" <= c <= "z" else OTHER
+_CODES = {" ": 0} | {chr(96 + k): k for k in range(1, 27)}
 
 
-def masked(token: str, i: int) -> bool:
-    """True for a star with letters on both sides of its run."""
-    return token[:i].rstrip("*")[-1:].isalpha() and token[i:].lstrip("*")[:1].isalpha()
+def masks(token: str) -> dict[int, int]:
+    """Start and length of the star runs that stand for letters."""
+    runs = {m.start(): len(m.group()) for m in _MASKED_RUN.finditer(token)} if "*" in token else {}
+    runs = {at: n for at, n in runs.items() if n <= MASK_RUN}
+    return runs if sum(runs.values()) <= MASK_MOST else {}
+
+
+# The slot of a star.
+ANY = [*((chr(k), MASK) for k in range(97, 123)), (" ", BREAK)]
 
 
 def lattice(token: str) -> list[list[tuple[str, float]]]:
     """Slots of (emitted text, channel cost) for a disguised token."""
     spaced = _SPACED.fullmatch(token) is not None
+    masked = masks(token)
     slots: list[list[tuple[str, float]]] = []
     i = 0
     while i < len(token):
@@ -154,28 +170,57 @@ def lattice(token: str) -> list[list[tuple[str, float]]]:
             while not (token[j].isalpha() or token[j] in LEET):
                 j += 1
             slots.append([("", JOIN), (" ", SEPARATE)])
-        elif c == "*" and 0 < i and masked(token, i):
-            slots.append([(chr(k), MASK) for k in range(97, 123)] + [(" ", BREAK)])
+        elif i in masked:
+            j = i + masked[i]
+            slots.extend([ANY] * masked[i])
         else:
+            while j < len(token) and not (token[j].isalpha() or token[j] in LEET or j in masked):
+                j += 1
             slots.append([(" ", 0.0)])
         i = j
     return slots
 
 
-def restore(token: str, model: np.ndarray) -> str:
-    """The emitted text of least total cost, breaks at both ends."""
+def _after_star(states: dict, model: np.ndarray) -> dict:
+    """The states after a star, from many states at once."""
+    cost = np.full((SYMBOLS, SYMBOLS), np.inf)
+    for (a, b), (total, _) in states.items():
+        cost[a, b] = total
+    step = cost[:, :, None] + model
+    step[:, :, 1:27] += MASK
+    step[:, :, 0] += BREAK
+    step[:, 0, 0] = cost[:, 0] + BREAK  # breaks in a row are one
+    step[:, :, OTHER] = np.inf
+    first = step.argmin(axis=0)
+    out = {}
+    for b, c in zip(*(x.tolist() for x in np.nonzero(np.isfinite(step.min(axis=0))))):
+        a = int(first[b, c])
+        piece = " " if c == 0 else chr(c + 96)
+        state = (a, 0) if b == c == 0 else (b, c)
+        total = float(step[a, b, c])
+        if state not in out or total < out[state][0]:
+            out[state] = (total, (piece, states[a, b][1]))
+    return out
+
+
+def restore(token: str, model: np.ndarray, flat: list[float]) -> str:
+    """The emitted text of least total cost, breaks at both ends. ``flat``: the model's
+    costs in one list."""
     # state: the last two symbols; value: cost and the emitted pieces as a linked list
     states: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     for options in [*lattice(token), [(" ", 0.0)]]:
+        if options is ANY and len(states) > SYMBOLS:
+            states = _after_star(states, model)
+            continue
         after: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for (a, b), (cost, path) in states.items():
             for piece, extra in options:
                 x, y, total = a, b, cost + extra
                 for c in piece:
-                    symbol = _symbol(c)
+                    symbol = _CODES.get(c, OTHER)
                     if symbol == 0 and y == 0:
                         continue  # breaks in a row are one
-                    total += model[x, y, symbol]
+                    total += flat[(x * SYMBOLS + y) * SYMBOLS + symbol]
                     x, y = y, symbol
                 if (x, y) not in after or total < after[x, y][0]:
                     after[x, y] = (total, (piece, path))
@@ -188,34 +233,61 @@ def restore(token: str, model: np.ndarray) -> str:
     return "".join(reversed(pieces))
 
 
-def mean_cost(text: str, model) -> float:
-    """The model's mean cost of a symbol of a text's words and their ends."""
+def total_cost(words: str, flat: list[float]) -> float:
+    """The model's cost of words in a row, breaks at both ends. ``flat``: its costs in one list."""
     a = b = 0
-    total, words = 0.0, " ".join(_WORD.findall(text)) + " "
+    total = 0.0
     for c in words:
-        symbol = _symbol(c)
-        total += model[a, b, symbol]
+        symbol = _CODES.get(c, OTHER)
+        total += flat[(a * SYMBOLS + b) * SYMBOLS + symbol]
         a, b = b, symbol
-    return total / len(words)
+    return total + flat[(a * SYMBOLS + b) * SYMBOLS]
+
+
+class Memory:
+    """What is known of tokens, forgotten in two generations of ``MEMORY`` entries."""
+
+    def __init__(self):
+        self.new: dict = {}
+        self.old: dict = {}
+
+    def turn(self) -> None:
+        if len(self.new) > MEMORY:
+            self.new, self.old = {}, self.new
+
+    def missing(self, tokens: list[str]) -> list[str]:
+        """The tokens that are not known, once each; those known go to the new generation."""
+        fresh = set(tokens).difference(self.new)
+        again = {t: self.old[t] for t in fresh if t in self.old}
+        self.new.update(again)
+        return list(fresh.difference(again))
 
 
 class Restorer:
-    """Restored words of texts, with a bounded memory of tokens."""
+    """Restored words of texts. Tokens are decided one by one and remembered; a text
+    in which letters may be spaced out over several tokens is read as a whole."""
 
     def __init__(self, model: np.ndarray):
-        self.model = model.tolist()
-        self.model = {(a, b, c): self.model[a][b][c] for a in range(SYMBOLS)
-                      for b in range(SYMBOLS) for c in range(SYMBOLS)}
+        self.model, self.flat = model, model.ravel().tolist()
         self.known: dict[str, str] = {}
+        self.told, self.spoken = Memory(), Memory()
 
     def _restored(self, token: str) -> str:
         if not _PAIRED.fullmatch(token):
-            return f" {restore(token, self.model)} "
-        cost = mean_cost(token, self.model)
-        if cost <= UNLIKELY:
+            return f" {restore(token, self.model, self.flat)} "
+        plain = " ".join(_WORD.findall(token))
+        total = total_cost(plain, self.flat)
+        if total <= UNLIKELY * (len(plain) + 1):
             return token
-        out = restore(token, self.model)
-        return f" {out} " if mean_cost(out, self.model) <= LIKELIER * cost else token
+        pairs = _PAIR.findall(plain)
+        if len(pairs) == 1:  # two paths: with both letters and with one
+            short = plain.replace(pairs[0] * 2, pairs[0])
+            less = total_cost(short, self.flat)
+            out = short if less + SHORTEN_PAIR < total else plain
+        else:
+            out = " ".join(_WORD.findall(restore(token, self.model, self.flat)))
+            less = total_cost(out, self.flat)
+        return f" {out} " if less / (len(out) + 1) <= LIKELIER * total / (len(plain) + 1) else token
 
     def _replace(self, match: re.Match) -> str:
         token = match.group()
@@ -225,15 +297,57 @@ class Restorer:
             self.known[token] = self._restored(token)
         return self.known[token]
 
+    def token_words(self, token: str) -> list[str]:
+        """The words of a token (lower case, no white space) that stands by itself."""
+        return _WORD.findall(self._restored(token) if _DISGUISED_TOKEN.search(token) else token)
+
+    @staticmethod
+    def tell(token: str, n_words: int) -> int:
+        """A token as one byte: its number of words (4 bits), of letters and marks that
+        stand alone (up to 3); 128 if it does not fit."""
+        if n_words > 15:
+            return 128
+        if len(token) > 2 and token[:-1].isalpha():
+            return n_words
+        return n_words | min(len(_ALONE.findall(token)), 3) << 4
+
+    @staticmethod
+    def spaced(told: np.ndarray, text: str) -> bool:
+        """True if the text must be read as a whole: a token says too little, or letters are
+        spaced out. These are searched for only if three letters or marks alone may follow
+        one another (tokens without word, letter or mark alone may stand between them)."""
+        if not (told > 15).any():
+            return False
+        if (told > 127).any():
+            return True
+        alone = told[told > 0] >> 4
+        two = (alone[1:] > 0) & (alone[:-1] > 0)
+        may = (alone > 2).any() or (two & (alone[1:] + alone[:-1] > 2)).any() or (two[1:] & two[:-1]).any()
+        return bool(may) and _SPACED_RUN.search(text) is not None
+
+    def whole_words(self, text: str) -> list[str]:
+        """The restored words of a text (lower case), read as a whole."""
+        return _WORD.findall(DISGUISED.sub(self._replace, text))
+
     def words(self, text: str | None) -> list[str]:
-        return _WORD.findall(DISGUISED.sub(self._replace, text.lower())) if text else []
+        """The restored words of a text, in order."""
+        text = text.lower() if text else ""
+        tokens = text.split()
+        for token in self.spoken.missing(tokens):
+            words = self.spoken.new[token] = self.token_words(token)
+            self.told.new[token] = self.tell(token, len(words))
+        spoken, told = self.spoken.new, self.told.new
+        told.update((t, self.tell(t, len(spoken[t]))) for t in set(tokens).difference(told))
+        codes = np.frombuffer(bytes(map(told.__getitem__, tokens)), dtype=np.uint8)
+        out = self.whole_words(text) if self.spaced(codes, text) else [w for t in tokens for w in spoken[t]]
+        self.spoken.turn(), self.told.turn()
+        return out
 
 
 def feature_ids(word: str) -> list[int]:
     """Hashed ids of a word's beginnings and of the whole word."""
-    mask = (1 << FEATURE_BITS) - 1
     parts = [word[:n] for n in BEGINNINGS if n < len(word)]
-    return [zlib.crc32(p.encode()) & mask for p in parts] + [zlib.crc32((word + "$").encode()) & mask]
+    return [zlib.crc32(p.encode()) & MASK_BITS for p in parts] + [zlib.crc32((word + "$").encode()) & MASK_BITS]
 
 
 def _shingle_minimum(words: list[str]) -> int:
@@ -299,26 +413,61 @@ class Evidence:
     SIZE = 5
 
     def __init__(self, features: np.ndarray, weights: np.ndarray):
-        self.weights = np.zeros(1 << FEATURE_BITS, dtype=np.float32)
-        self.weights[features] = weights
-        self.known: dict[str, float] = {}
-
-    def _weight(self, word: str) -> float:
-        if len(self.known) > MEMORY:
-            self.known.clear()
-        found = self.known[word] = max(float(self.weights[i]) for i in feature_ids(word))
-        return found
+        held = np.flatnonzero(weights)
+        self.weights = dict(zip(np.asarray(features)[held].tolist(), np.asarray(weights)[held].tolist()))
+        self.starts: dict[str, float] = {}
+
+    def weight(self, word: str) -> float:
+        """The largest weight of the word and of its beginnings."""
+        if len(word) < BEGINNINGS.stop:
+            return max([self.weights.get(i, 0.0) for i in feature_ids(word)])
+        start = word[:BEGINNINGS.stop - 1]
+        found = self.starts.get(start)
+        if found is None:
+            if len(self.starts) > MEMORY:
+                self.starts.clear()
+            # a longer word has all the beginnings
+            found = self.starts[start] = max([self.weights.get(i, 0.0) for i in feature_ids(start + "$")[:-1]])
+        return max(found, self.weights.get(zlib.crc32(word.encode() + b"$") & MASK_BITS, 0.0))
 
     def of(self, words: list[str]) -> tuple[float, ...]:
-        known, found = self.known, []
-        for word in words:
-            weight = known[word] if word in known else self._weight(word)
-            if weight:
-                found.append(weight)
+        return self.summed([w for w in map(self.weight, words) if w], len(words))
+
+    @staticmethod
+    def summed(found: list[float], n_words: int) -> tuple[float, ...]:
         found.sort(reverse=True)
         total = sum(found)
         first, second, third = (*found[:3], 0.0, 0.0, 0.0)[:3]
-        return first, second, third, float(np.log1p(total)), total / (len(words) + 20.0)
+        return first, second, third, float(np.log1p(total)), total / (n_words + 20.0)
+
+
+class Reader:
+    """Evidence of texts, from what is remembered of their tokens."""
+
+    def __init__(self, model: np.ndarray, features: np.ndarray, weights: np.ndarray):
+        self.restorer, self.evidence = Restorer(model), Evidence(features, weights)
+        self.weights: dict[str, list[float]] = {}
+
+    def of(self, text: str | None) -> tuple[float, ...]:
+        text = text.lower() if text else ""
+        tokens, told = text.split(), self.restorer.told
+        weight, weights = self.evidence.weight, self.weights
+        for token in told.missing(tokens):
+            words = self.restorer.token_words(token)
+            told.new[token] = self.restorer.tell(token, len(words))
+            found = [w for w in map(weight, words) if w]
+            if found:
+                weights[token] = found
+        codes = np.frombuffer(bytes(map(told.new.__getitem__, tokens)), dtype=np.uint8)
+        if self.restorer.spaced(codes, text):
+            out = self.evidence.of(self.restorer.whole_words(text))
+        else:
+            found = [w for t in tokens if t in weights for w in weights[t]]
+            out = self.evidence.summed(found, int((codes & 15).sum()))
+        if len(told.new) > MEMORY:
+            told.turn()
+            self.weights = {t: w for t, w in weights.items() if t in told.old}
+        return out
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
@@ -409,9 +558,9 @@ def score_of(text: Column, model: np.ndarray, learnt: Learnt) -> Column:
     """The probability of label 1 for a text column."""
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        restorer, evidence = Restorer(model), Evidence(learnt.features, learnt.weights)
+        reader = Reader(model, learnt.features, learnt.weights)
         for texts in batches:
-            x = np.asarray([evidence.of(restorer.words(t)) for t in texts]).reshape(-1, Evidence.SIZE)
+            x = np.asarray([reader.of(t) for t in texts]).reshape(-1, Evidence.SIZE)
             yield pd.Series(1 / (1 + np.exp(-np.clip(learnt.theta[0] + x @ learnt.theta[1:], -30, 30))))
     return score(text)
 

@@ -1,6 +1,9 @@
 """Toxicity (operator 9): held-out accuracy, restored words, edge frames."""
 
+import itertools
 import random
+import re
+import time
 import zlib
 
 import numpy as np
@@ -82,6 +85,95 @@ def test_restored_words(spark):
     assert restorer.words("a" * 50_000 + " x") and restorer.words(None) == []
 
 
+def random_model(seed):
+    rng = np.random.default_rng(seed)
+    return rng.random((28, 28, 28)) * 6
+
+
+def enumerated(token, model):
+    """The least total cost over all paths of the lattice."""
+    best = np.inf
+    for path in itertools.product(*toxicity.lattice(token), [(" ", 0.0)]):
+        a = b = 0
+        total = 0.0
+        for piece, cost in path:
+            total += cost
+            for c in piece:
+                k = 0 if c == " " else ord(c) - 96 if "a" <= c <= "z" else toxicity.OTHER
+                if k or b:
+                    total += model[a, b, k]
+                    a, b = b, k
+        best = min(best, total)
+    return best
+
+
+def path_cost(token, text, model):
+    """The least cost of the paths that emit ``text``."""
+    best = np.inf
+    for path in itertools.product(*toxicity.lattice(token), [(" ", 0.0)]):
+        if "".join(p for p, _ in path) == text:
+            best = min(best, sum(c for _, c in path))
+    plain = re.sub(" +", " ", text).lstrip(" ")
+    return best + sum(model[a, b, c] for a, b, c in _trigrams(plain))
+
+
+def _trigrams(plain):
+    codes = [0, 0] + [0 if c == " " else ord(c) - 96 if "a" <= c <= "z" else toxicity.OTHER for c in plain]
+    return zip(codes, codes[1:], codes[2:])
+
+
+@pytest.mark.parametrize("token", ["1d10t", "st**p1d", "a$$", "s-t-u", "b***h", "oo1!ee", "é1a", "x1ñ", "f*ck1ng", "!a.b5", "aabbcc"])
+def test_viterbi_equals_enumeration(token):
+    for seed in range(3):
+        model = random_model(seed)
+        found = toxicity.restore(token, model, model.ravel().tolist())
+        assert path_cost(token, found, model) == pytest.approx(enumerated(token, model))
+
+
+def test_long_and_odd_tokens_end_in_seconds():
+    rng = random.Random(0)
+    restorer = toxicity.Restorer(random_model(0))
+    texts = ["a" + "*" * 100_000 + "b", "a1" * 50_000, "aabb" * 25_000, "a*b" * 33_000, "a " * 50_000,
+             "".join(rng.choice("ab*1$!e") for _ in range(100_000)), "word**********word " * 5000,
+             " ".join(f"{''.join(rng.choices('abcdef', k=3))}***{''.join(rng.choices('abcdef', k=3))}" for _ in range(300))]
+    begun = time.time()
+    for text in texts:
+        assert restorer.words(text)
+    assert time.time() - begun < 60
+
+
+def test_long_star_runs_and_many_masks_are_breaks():
+    assert toxicity.masks("b***h") == {1: 3} and toxicity.masks("b****h") == {} and toxicity.masks("***b") == {}
+    assert toxicity.masks("a*b*c*d*e*f*g") and toxicity.masks("a*b*c*d*e*f*g*h") == {}
+    restorer = toxicity.Restorer(random_model(1))
+    assert restorer.words("word**********word") == ["word", "word"]
+
+
+def test_tokens_one_by_one_equal_the_whole_text():
+    """Remembered tokens give what the pattern over the whole text gives."""
+    rng = random.Random(5)
+    pieces = ["a", "b", "1", "$", "*", ".", "-", " ", "  ", "ss", "word", "5tup", "é", "!", "\n", "x9", "ee"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randrange(1, 40))) for _ in range(1500)]
+    model = random_model(2)
+    restorer, whole = toxicity.Restorer(model), toxicity.Restorer(model)
+    evidence = toxicity.Evidence(np.arange(1 << 12), np.random.default_rng(0).random(1 << 12))
+    reader = toxicity.Reader(model, np.arange(1 << 12), np.random.default_rng(0).random(1 << 12))
+    for text in texts:
+        words = whole.whole_words(text.lower())
+        assert restorer.words(text) == words, text
+        assert reader.of(text) == pytest.approx(evidence.of(words))
+
+
+def test_forgetting_tokens_changes_nothing(monkeypatch):
+    rng = random.Random(6)
+    texts = [" ".join("".join(rng.choices("ab1*s", k=rng.randrange(1, 6))) for _ in range(30)) for _ in range(60)]
+    reader = lambda: toxicity.Reader(random_model(3), np.arange(1 << 12), np.ones(1 << 12))
+    wanted = [reader().of(t) for t in texts]
+    monkeypatch.setattr(toxicity, "MEMORY", 20)
+    one = reader()
+    assert [one.of(t) for t in texts] == wanted
+
+
 def test_other_disguises_are_restored(spark):
     words = "this stupid idiot is an ass and the clown said nothing at all to the stupid idiot but good".split()
     model = toxicity.language_model(frames.documents(spark, [(1, " ".join(words * 40))]))
