@@ -190,7 +190,9 @@ class MergeReplay:
         self.keys, self.rank_of = keys[by_key], rows[by_key, 2]
         # index entries are sorted by a range of ranks at a time: few ranks where most merges are
         least = int(rows[0, 2]) if len(rows) else 0
-        self.ranges = [least + (64 << k) for k in range(40) if least + (32 << k) < self.size]
+        self.ranges = [least + 64]
+        while self.ranges[-1] < self.size:
+            self.ranges.append(2 * self.ranges[-1] - least)
 
     def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Ranks of pairs of tokens, -1 for none."""
