@@ -5,8 +5,11 @@ are sets of equal texts: an atom holds every text whose MD5 starts with the same
 ``ATOM_BITS`` bits. Their sizes, ordered by hash, are at most 2^16 numbers
 whatever the corpus. One expression over that list finds the least capacity for
 which filling shard after shard, each until the next atom would not fit, needs
-no more than the given number of shards (binary search, greedy check), and the
-cuts of that filling. The documents then look up their shard by atom.
+no more than the given number of shards (binary search, greedy check). Within that
+capacity a second search evens the shards out: the least load at which a shard may
+be closed early and the shards still suffice. So an atom that holds a third of all
+bytes sets the capacity, and the other shards share the rest. The documents then
+look up their shard by atom.
 
 The sums are combined before the shuffle, so a text that a third of the rows
 share is a few partial sums. Slots are positions in a distributed sort, offset
@@ -31,14 +34,15 @@ ATOM_BITS = 16
 SEARCH_STEPS = 64
 
 
-def greedy_cuts(sizes: Column, capacity: Column, shards: int) -> Column:
+def greedy_cuts(sizes: Column, capacity: Column, enough: Column, shards: int) -> Column:
     """struct(cuts, fits): the first atom index of every shard after the first when
-    each is filled up to ``capacity``; ``fits`` if ``shards`` are enough."""
+    each is filled until it holds ``enough`` or the next atom would exceed ``capacity``;
+    ``fits`` if ``shards`` suffice."""
     start = F.struct(F.lit(0).cast("long").alias("load"),
                      F.array().cast("array<int>").alias("cuts"), F.lit(0).alias("i"))
 
     def put(state: Column, size: Column) -> Column:
-        full = state["load"] + size > capacity
+        full = (state["load"] + size > capacity) | (state["load"] >= enough)
         room = F.size(state["cuts"]) < shards
         return F.struct(
             F.when(full, size).otherwise(state["load"] + size).alias("load"),
@@ -57,21 +61,28 @@ def minimax_cuts(atoms: DataFrame, shards: int) -> DataFrame:
                                    F.aggregate("atoms.size", F.lit(0).cast("long"), lambda a, x: a + x)
                                    .alias("hi")), "atoms")
 
-    def halve(state: Column, _: Column) -> Column:
-        middle = state["lo"] + F.floor((state["hi"] - state["lo"]) / 2).cast("long")
-        fits = greedy_cuts(F.col("size"), middle, shards)["fits"]
-        done = state["lo"] >= state["hi"]
-        narrowed = F.transform(F.array(F.struct(middle.alias("middle"), fits.alias("fits"))), lambda m: F.struct(
-            F.when(m["fits"], state["lo"]).otherwise(m["middle"] + 1).alias("lo"),
-            F.when(m["fits"], m["middle"]).otherwise(state["hi"]).alias("hi")))[0]
-        return F.when(done, state).otherwise(narrowed)
-    start = F.struct(F.greatest("lo", F.ceil(F.col("hi") / shards).cast("long")).alias("lo"), F.col("hi"))
-    found = one.select("atom", "size", F.aggregate(
-        F.sequence(F.lit(1), F.lit(SEARCH_STEPS)), start, halve, lambda s: s["hi"]).alias("capacity"))
-    found = scratch_table(found, "capacity")
+    def least(lo: Column, hi: Column, fits) -> Column:
+        """The least number of [lo, hi] that fits; ``hi`` does."""
+        def halve(state: Column, _: Column) -> Column:
+            middle = state["lo"] + F.floor((state["hi"] - state["lo"]) / 2).cast("long")
+            tried = F.array(F.struct(middle.alias("middle"), fits(middle).alias("fits")))
+            narrowed = F.transform(tried, lambda m: F.struct(
+                F.when(m["fits"], state["lo"]).otherwise(m["middle"] + 1).alias("lo"),
+                F.when(m["fits"], m["middle"]).otherwise(state["hi"]).alias("hi")))[0]
+            return F.when(state["lo"] >= state["hi"], state).otherwise(narrowed)
+        return F.aggregate(F.sequence(F.lit(1), F.lit(SEARCH_STEPS)), F.struct(lo.alias("lo"), hi.alias("hi")),
+                           halve, lambda s: s["hi"])
+
+    def cut(capacity: Column, enough: Column) -> Column:
+        return greedy_cuts(F.col("size"), capacity, enough, shards)
+    found = one.withColumn("capacity", least(
+        F.greatest("lo", F.ceil(F.col("hi") / shards).cast("long")), F.col("hi"),
+        lambda c: cut(c, c + 1)["fits"]))
+    found = scratch_table(found.select("atom", "size", "capacity"), "capacity")
+    found = scratch_table(found.withColumn("enough", least(
+        F.lit(1).cast("long"), F.col("capacity") + 1, lambda e: cut(F.col("capacity"), e)["fits"])), "enough")
     return found.select("capacity", F.transform(
-        greedy_cuts(F.col("size"), F.col("capacity"), shards)["cuts"],
-        lambda i: F.col("atom")[i]).alias("cuts"))
+        cut(F.col("capacity"), F.col("enough"))["cuts"], lambda i: F.col("atom")[i]).alias("cuts"))
 
 
 def sharded(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
@@ -128,10 +139,24 @@ search AS (
   FROM (SELECT s.*, total, list_max(list_filter(p, lambda x: x <= s.at + (s.lo + s.hi) // 2)) AS stop
         FROM search s, ends WHERE s.lo < s.hi)),
 capacity AS (SELECT min(hi) AS c FROM search),
+even AS (
+  SELECT CAST(1 AS BIGINT) AS lo, c + 1 AS hi, CAST(0 AS BIGINT) AS at, 0 AS k FROM capacity
+  UNION ALL
+  SELECT CASE WHEN stop < total AND k >= 15 THEN (lo + hi) // 2 + 1 ELSE lo END,
+         CASE WHEN stop = total THEN (lo + hi) // 2 ELSE hi END,
+         CASE WHEN stop = total OR k >= 15 THEN 0 ELSE stop END,
+         CASE WHEN stop = total OR k >= 15 THEN 0 ELSE k + 1 END
+  FROM (SELECT s.*, total, least(list_max(list_filter(p, lambda x: x <= s.at + c)),
+          coalesce(list_min(list_filter(p, lambda x: x >= s.at + (s.lo + s.hi) // 2)), total)) AS stop
+        FROM even s, ends, capacity WHERE s.lo < s.hi)),
+enough AS (SELECT min(hi) AS e FROM even),
 cuts AS (
-  SELECT list_max(list_filter(p, lambda x: x <= c)) AS cut, 1 AS k FROM ends, capacity
+  SELECT least(list_max(list_filter(p, lambda x: x <= c)), coalesce(list_min(list_filter(p, lambda x: x >= e)), total)) AS cut,
+         1 AS k FROM ends, capacity, enough
   UNION ALL
-  SELECT list_max(list_filter(p, lambda x: x <= cut + c)), k + 1 FROM cuts, ends, capacity WHERE cut < total AND k < 15),
+  SELECT least(list_max(list_filter(p, lambda x: x <= cut + c)),
+           coalesce(list_min(list_filter(p, lambda x: x >= cut + e)), total)), k + 1
+  FROM cuts, ends, capacity, enough WHERE cut < total AND k < 15),
 placed AS (
   SELECT n, doc_id, sized.size, crc, (SELECT count(*) FROM cuts WHERE cut < upto) AS shard
   FROM sized JOIN sums USING (atom))

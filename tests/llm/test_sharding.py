@@ -15,17 +15,24 @@ def plain(rows, shards):
         sizes[atom] = sizes.get(atom, 0) + len(data) + 1
     order = sorted(sizes)
 
-    def fill(capacity):
+    def fill(capacity, enough):
         out, shard, load = {}, 0, 0
         for a in order:
-            if load + sizes[a] > capacity:
+            if load + sizes[a] > capacity or load >= enough:
                 shard, load = shard + 1, 0
             out[a], load = shard, load + sizes[a]
         return out
     capacity = max(sizes.values(), default=0)
-    while max(fill(capacity).values(), default=0) >= shards:
+    while max(fill(capacity, capacity + 1).values(), default=0) >= shards:
         capacity += 1
-    return fill(capacity)
+    lo, hi = 1, capacity + 1
+    while lo < hi:
+        middle = (lo + hi) // 2
+        if max(fill(capacity, middle).values(), default=0) < shards:
+            hi = middle
+        else:
+            lo = middle + 1
+    return fill(capacity, hi)
 
 
 def check(spark, rows, shards):
@@ -48,6 +55,15 @@ def test_hot_text_and_many_texts(spark):
     check(spark, rows, 16)
 
 
+def test_a_hot_text_leaves_no_shard_empty(spark):
+    rows = [(i, "the same text " * 20) for i in range(700)] + [(1000 + i, f"text {i} " * 15) for i in range(3000)]
+    got = sharding.sharded(frames.documents(spark, rows), 16).collect()
+    loads = [sum(r["size"] for r in got if r["shard"] == s) for s in range(16)]
+    assert min(loads) > 0 and max(loads) < 1.1 * 700 * 281
+    rest = sorted(loads)[:-1]
+    assert rest[-1] < 1.2 * rest[1]  # one shard may end at the hot text
+
+
 def test_fewer_texts_than_shards_and_none(spark):
     check(spark, [(1, "a"), (2, "b")], 16)
     assert sharding.sharded(frames.empty(spark)).count() == 0
