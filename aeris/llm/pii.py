@@ -10,9 +10,9 @@ with N documents, n(.) of them holding e or t, and n(t, e) with t within
 ``CONTEXT_WORDS`` words of e: 1 if t never appears without e, 0 if t tells
 nothing. Words of at least ``GENERALISE`` are replaced by their class wherever
 they stand, words of at least ``REMOVE`` go. Copies of a passage are no evidence, nor
-do they take any away: a word and an entity must have ``SUPPORT`` contexts of which no
-two are copies or near copies (``ALIKE`` of their other words shared), however often
-each occurs and whatever stands in the others.
+do they take any away: a word and an entity must have contexts in ``SUPPORT`` different
+texts, no two of them copies or near copies (``ALIKE`` of their other words shared),
+however often each occurs and whatever stands in the others.
 
 All counts are over all documents and combined before the shuffle. Only words
 with support are counted in the corpus; they are a written table, so the planner
@@ -39,7 +39,8 @@ from pyspark.sql import functions as F
 from aeris.llm.common import fold_case, folded_words, let, scratch_table, table
 
 CONTEXT_WORDS = 5
-CONTEXT_CHARS = 120
+# Characters beside a span in which its words are looked for first; wider if they hold too few.
+CONTEXT_CHARS = (120, 2000)
 SUPPORT = 3
 ALIKE = 2 / 3
 GENERALISE = 0.75
@@ -134,18 +135,35 @@ def _written(spans: Column) -> Column:
         ":", s["kind"], s["start"].cast("string"), s["stop"].cast("string"))), ",")
 
 
+def _beside(text: Column, s: Column, after: bool) -> Column:
+    """The ``CONTEXT_WORDS`` whole words before or after a span: from the first reach that
+    holds them, at last from the whole text. A word that a reach cuts does not count."""
+    def within(chars: int | None) -> Column:
+        if after:
+            part = F.substring(text, s["stop"] + 1, F.length(text) if chars is None else F.lit(chars))
+            words = folded_words(part)
+            cut = F.lit(False) if chars is None else s["stop"] + chars < F.length(text)
+            whole = let(words, lambda w: F.when(cut, F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0)))).otherwise(w))
+            return F.slice(whole, 1, CONTEXT_WORDS)
+        begin = F.lit(0) if chars is None else F.greatest(s["start"] - chars, F.lit(0))
+        words = folded_words(F.substring(text, begin + 1, s["start"] - begin))
+        whole = let(words, lambda w: F.when(begin > 0, F.slice(w, 2, F.size(w))).otherwise(w))
+        return let(whole, lambda w: F.slice(w, F.greatest(F.size(w) - CONTEXT_WORDS + 1, F.lit(1)), CONTEXT_WORDS))
+    def enough(wider: Column):
+        return lambda near: F.when(F.size(near) >= CONTEXT_WORDS, near).otherwise(wider)
+    out = within(None)
+    for chars in reversed(CONTEXT_CHARS):
+        out = let(within(chars), enough(out))
+    return out
+
+
 def _contexts(text: Column, spans: Column) -> Column:
     """Array of (entity, words near it) without repeats."""
     def near(s: Column) -> Column:
         value = F.substring(text, s["start"] + 1, s["stop"] - s["start"])
         plain = F.when(s["kind"].isin("card", "phone"), _digits(value)).otherwise(fold_case(value))
-        before = F.greatest(s["start"] - CONTEXT_CHARS, F.lit(0))
-        left = folded_words(F.substring(text, before + 1, s["start"] - before))
-        right = folded_words(F.substring(text, s["stop"] + 1, F.lit(CONTEXT_CHARS)))
-        words = F.concat(let(left, lambda w: F.slice(w, F.greatest(F.size(w) - CONTEXT_WORDS + 1, F.lit(1)),
-                                                     CONTEXT_WORDS)),
-                         F.slice(right, 1, CONTEXT_WORDS))
-        return F.struct(F.concat_ws(":", s["kind"], plain).alias("entity"), words.alias("words"))
+        return F.struct(F.concat_ws(":", s["kind"], plain).alias("entity"),
+                        F.concat(_beside(text, s, False), _beside(text, s, True)).alias("words"))
     return F.array_distinct(F.transform(spans, near))
 
 
@@ -167,32 +185,37 @@ def _disclosure(n_term: str) -> Column:
 
 
 def _independent(contexts: DataFrame, support: int) -> DataFrame:
-    """(entity, term) of (entity, term, words) with ``support`` contexts of which no
-    two are alike: each round sets one context aside and drops those like it."""
-    key = ["entity", "term"]
-    left = scratch_table(contexts.select(*key, F.array_sort(F.array_distinct(F.array_remove(
+    """(entity, term) of (entity, term, key, words) with contexts in ``support`` texts of
+    which no two are alike: each round sets one context aside and drops those like it
+    and those of its text."""
+    pair = ["entity", "term"]
+    left = scratch_table(contexts.select(*pair, "key", F.array_sort(F.array_distinct(F.array_remove(
         F.col("words"), F.col("term")))).alias("words")).distinct(), "contexts")
     for _ in range(support - 1):
-        first = scratch_table(left.groupBy(key).agg(F.min("words").alias("first")), "first-contexts")
+        first = left.groupBy(pair).agg(F.min(F.struct("words", "key")).alias("first"))
+        first = scratch_table(first.select(*pair, F.col("first.words").alias("first"), F.col("first.key").alias("one")),
+                              "first-contexts")
         shared = F.size(F.array_intersect("words", "first"))
         alike = shared >= ALIKE * F.greatest(F.size("words"), F.size("first"))
-        left = scratch_table(left.join(first, key).where(~alike).drop("first"), "contexts")
-    return left.select(*key).distinct()
+        left = scratch_table(left.join(first, pair).where(~alike & (F.col("key") != F.col("one")))
+                                 .drop("first", "one"), "contexts")
+    return left.select(*pair).distinct()
 
 
 def disclosing_terms(docs: DataFrame, base: DataFrame, support: int = SUPPORT,
                      least: float = GENERALISE) -> tuple[DataFrame, DataFrame]:
     """((term, disclosure) of at least ``least``, (key, term) of the texts that hold them)."""
-    each = base.where("contexts is not null").select(F.explode("contexts").alias("c")).select(
-        "c.entity", "c.words")
-    entities = base.where("contexts is not null").select(
+    known = base.where("contexts is not null")
+    each = known.select("key", F.explode("contexts").alias("c")).select("key", "c.entity", "c.words")
+    entities = known.select(
         F.explode(F.array_distinct(F.transform("contexts", lambda c: c["entity"]))).alias("entity")
     ).groupBy("entity").agg(F.count("*").alias("n_entity"))
-    pairs = each.select("entity", F.xxhash64("words").alias("context"),
-                        F.explode(F.array_distinct("words")).alias("term"))
-    pairs = (pairs.groupBy("entity", "term", "context").agg(F.count("*").alias("n"))
-                  .groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("support"))
-                  .where(F.col("support") >= support))
+    # once for each document, however often the two stand together in it
+    beside = F.array_distinct(F.flatten(F.transform("contexts", lambda c: F.transform(
+        c["words"], lambda w: F.struct(c["entity"].alias("entity"), w.alias("term"))))))
+    pairs = known.select("key", F.explode(beside).alias("p")).groupBy("p.entity", "p.term", "key").agg(F.count("*").alias("n"))
+    pairs = (pairs.groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count("*").alias("texts"))
+                  .where(F.col("texts") >= support))
     total = base.agg(F.count("*").alias("n_all"))
     # documents with the word near any entity: at most n(t), so what fails with
     # this count fails with n(t) and need not be counted in the corpus
@@ -201,7 +224,7 @@ def disclosing_terms(docs: DataFrame, base: DataFrame, support: int = SUPPORT,
         F.count("*").alias("n_near"))
     pairs = pairs.join(entities, "entity").withColumn("n_all", total.scalar())
     pairs = scratch_table(pairs.join(near, "term").where(_disclosure("n_near") >= least), "pairs")
-    contexts = each.select("entity", "words", F.explode(F.array_distinct("words")).alias("term")).join(
+    contexts = each.select("key", "entity", "words", F.explode(F.array_distinct("words")).alias("term")).join(
         pairs.select("entity", "term"), ["entity", "term"])
     pairs = scratch_table(pairs.join(_independent(contexts, support), ["entity", "term"]), "supported")
     terms = scratch_table(pairs.select("term").distinct(), "terms")
@@ -219,8 +242,7 @@ def disclosing_terms(docs: DataFrame, base: DataFrame, support: int = SUPPORT,
 
 def _term_spans(text: Column, terms: Column) -> Column:
     """(start, stop) of the words ``terms`` in a text."""
-    pattern = F.concat(F.lit(f"(?<!{WORD_CHAR})(?:"), F.array_join(terms, "|"), F.lit(f")(?!{WORD_CHAR})"))
-    return F.coalesce(_found(fold_case(text), pattern, lambda m: F.lit(True)),
+    return F.coalesce(_found(fold_case(text), F.lit(f"{WORD_CHAR}++"), lambda word: F.array_contains(terms, word)),
                       F.array().cast("array<struct<start:int,stop:int>>"))
 
 

@@ -4,6 +4,8 @@ import hashlib
 import random
 import re
 
+import pytest
+
 from hypothesis import given, settings, strategies as st
 
 from aeris.llm import pii
@@ -101,6 +103,80 @@ def test_copies_add_no_evidence_and_take_none_away(spark):
     assert not any("term:" in got[2000 + i] for i in range(100))
 
 
+def test_one_document_is_no_evidence(spark):
+    rng = random.Random(8)
+    beside = [f"{frames.sentence(rng, 8)} zorblat k@x.org {frames.sentence(rng, 8)}" for _ in range(6)]
+    rows = [(1, " ".join(beside)), (2, " ".join(beside[:3])), (3, "zorblat alone")]
+    rows += [(100 + i, frames.sentence(rng, 40)) for i in range(300)]
+    terms, _ = pii.disclosing_terms(df := frames.documents(spark, rows), pii._with_spans(df))
+    assert terms.count() == 0
+    rows += [(10 + i, beside[i]) for i in range(6)]
+    terms, _ = pii.disclosing_terms(df := frames.documents(spark, rows), pii._with_spans(df))
+    assert [r["term"] for r in terms.collect()] == ["zorblat"]
+
+
+def test_long_tokens_do_not_hide_words(spark):
+    rng = random.Random(9)
+    for size in (130, 5000):
+        rows = [(i, f"{frames.sentence(rng, 8)} zorblat {'x' * size}{i} k@x.org") for i in range(6)]
+        rows += [(100 + i, frames.sentence(rng, 40)) for i in range(300)]
+        terms, _ = pii.disclosing_terms(df := frames.documents(spark, rows), pii._with_spans(df))
+        assert [r["term"] for r in terms.collect()] == ["zorblat"]
+
+
+def plain_disclosure(rows, least=0.75, support=3):
+    """The formula, counted document by document."""
+    import math
+    words_of = lambda t: re.findall("[0-9a-z\x80-\U0010ffff]+", t.lower())
+    near, holds, held = {}, {}, {}
+    for i, text in rows:
+        text = text or ""
+        for w in set(words_of(text)):
+            held[w] = held.get(w, 0) + 1
+        found = {}
+        for m in re.finditer(PLAIN["email"], text):
+            beside = words_of(text[:m.start()])[-5:] + words_of(text[m.end():])[:5]
+            found.setdefault(f"email:{m.group().lower()}", []).append(beside)
+        for e, contexts in found.items():
+            holds[e] = holds.get(e, 0) + 1
+            for t in {w for c in contexts for w in c}:
+                near.setdefault((e, t), {}).setdefault(text, []).extend(
+                    sorted({w for w in c if w != t}) for c in contexts if t in c)
+                near[e, t].setdefault(("n", i), []).append(1)
+    out = {}
+    for (e, t), kept in near.items():
+        n_both = sum(isinstance(k, tuple) for k in kept)
+        apart = [(c, k) for k, cs in kept.items() if isinstance(k, str) for c in cs]
+        unlike = 0
+        while apart:
+            first, key = min(apart)
+            unlike += 1
+            apart = [(c, k) for c, k in apart if k != key and
+                     len(set(c) & set(first)) < 2 / 3 * max(len(c), len(first))]
+        information = math.log2(len(rows) / holds[e])
+        if unlike >= support and information > 0:
+            score = 1 + math.log2(min(1, n_both / held[t])) / information
+            if score >= least:
+                out[t] = max(out.get(t, 0), score)
+    return out
+
+
+def test_disclosure_equals_the_plain_formula(spark):
+    rng = random.Random(11)
+    rows = []
+    for i in range(160):
+        text = frames.sentence(rng, rng.randrange(5, 40), 120)
+        for _ in range(rng.choice([0, 0, 1, 1, 3])):
+            e = rng.randrange(6)
+            text += f" {frames.sentence(rng, rng.randrange(6), 60)} tell{e if rng.random() < 0.9 else 9} p{e}@x.org {frames.sentence(rng, 4, 60)}"
+        rows.append((i, text))
+    rows += [(500 + i, rows[3][1]) for i in range(5)] + [(600, None), (601, "tell1 tell2")]
+    terms, _ = pii.disclosing_terms(df := frames.documents(spark, rows), pii._with_spans(df))
+    got = {r["term"]: r["disclosure"] for r in terms.collect()}
+    wanted = plain_disclosure(rows)
+    assert len(wanted) > 3 and got == {t: pytest.approx(x) for t, x in wanted.items()}
+
+
 def test_near_copies_are_one_context(spark):
     rng = random.Random(4)
     rows = []
