@@ -4,7 +4,8 @@ One Spark aggregate yields n, sums, X'X and X'y of the distances from the column
 means; only these p x p numbers reach the driver, where the (ridge) normal equations are solved. K-fold
 cross-validation takes one grouped aggregate (statistics per fold); the
 training statistics of fold f are total minus fold f, so all k fits come from
-the same pass, and one more pass scores every fold.
+the same pass, and one more pass scores every fold. Ridge and lasso, all folds and
+all strengths alike, are arithmetic on these numbers.
 """
 
 from __future__ import annotations
@@ -114,8 +115,44 @@ def solve(x: Moments, n_features: int, alpha: float = 0.0, fit_intercept: bool =
     return coef, mean[p:] - mean[:p] @ coef
 
 
-def _model(x: Moments, features, targets, alpha: float, fit_intercept: bool = True) -> LinearModel:
-    coef, b = solve(x, len(features), alpha, fit_intercept)
+# Sweeps over all coefficients at most, and the change (in units of a column's spread
+# of the target) below which a sweep has settled.
+SWEEPS, STILL = 100_000, 1e-13
+
+
+def solve_lasso(x: Moments, n_features: int, alpha: float):
+    """Least 1/(2n) ||y - Xw||^2 + alpha ||w||_1 for each target by coordinate descent;
+    intercept not penalised. A constant feature gets 0."""
+    p = n_features
+    mean = x.s / x.n
+    c = x.m / x.n - np.outer(mean, mean)
+    mean = mean + x.centre
+    sxx, sxy, spread = c[:p, :p], c[:p, p:], np.diag(c)
+    coef = np.zeros_like(sxy)
+    steady = spread[:p] > 1e-12 * max(spread[:p].max(initial=0.0), 1e-300)
+    for t in range(sxy.shape[1]):
+        w, scale = coef[:, t], np.sqrt(max(spread[p + t], 1e-300))
+        slope = sxy[:, t].copy()  # of the smooth part, negated: sxy - sxx w
+        for _ in range(SWEEPS):
+            moved = 0.0
+            for j in np.flatnonzero(steady):
+                aim = slope[j] + sxx[j, j] * w[j]
+                new = np.sign(aim) * max(abs(aim) - alpha, 0.0) / sxx[j, j]
+                if new != w[j]:
+                    slope -= sxx[:, j] * (new - w[j])
+                    moved = max(moved, abs(new - w[j]) * np.sqrt(sxx[j, j]) / scale)
+                    w[j] = new
+            if moved <= STILL:
+                break
+    return coef, mean[p:] - mean[:p] @ coef
+
+
+def _model(x: Moments, features, targets, alpha: float, fit_intercept: bool = True,
+           penalty: str = "ridge") -> LinearModel:
+    if penalty == "lasso":
+        coef, b = solve_lasso(x, len(features), alpha)
+    else:
+        coef, b = solve(x, len(features), alpha, fit_intercept)
     return LinearModel(list(features), list(targets), coef, b, alpha)
 
 
@@ -124,21 +161,29 @@ def fit_linear(df: DataFrame, features, targets, alpha: float = 0.0,
     return _model(sufficient_stats(df, features, targets), features, targets, alpha, fit_intercept)
 
 
-def fit_lasso(df: DataFrame, features, target: str, alpha: float):
-    """L1 fit with Spark ML (objective 1/(2n)||y - Xw||^2 + alpha ||w||_1)."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression
-    cc = complete_cases(df, list(features) + [target])
-    vec = VectorAssembler(inputCols=list(features), outputCol="_x").transform(cc)
-    lr = LinearRegression(featuresCol="_x", labelCol=target, elasticNetParam=1.0, regParam=alpha,
-                          standardization=False, maxIter=200, tol=1e-9)
-    return lr.fit(vec)
+def fit_lasso(df: DataFrame, features, targets, alpha: float) -> LinearModel:
+    """Lasso of every target from one aggregate."""
+    return _model(sufficient_stats(df, features, targets), features, targets, alpha, penalty="lasso")
+
+
+def lasso_conditions(df: DataFrame, model: LinearModel) -> DataFrame:
+    """(term, target, coef, slope): each feature's mean product with the residual, from
+    the rows themselves. At the optimum it is alpha times the sign of a coefficient that
+    is not 0, and at most alpha in size for one that is."""
+    cc = complete_cases(df, model.features + model.targets)
+    left = [(F.col(t).cast("double") - model.prediction(t)) for t in model.targets]
+    sums = cc.agg(*[F.avg(F.col(f).cast("double") * r).alias(f"g_{i}_{k}") for i, f in enumerate(model.features)
+                    for k, r in enumerate(left)])
+    return sums.select(F.inline(F.array(*[F.struct(
+        F.lit(f).alias("term"), F.lit(t).alias("target"), F.lit(float(model.coef[i, k])).alias("coef"),
+        F.col(f"g_{i}_{k}").alias("slope")) for i, f in enumerate(model.features)
+        for k, t in enumerate(model.targets)])))
 
 
-def fold_models(per_fold: dict, features, targets, alpha: float) -> dict:
+def fold_models(per_fold: dict, features, targets, alpha: float, penalty: str = "ridge") -> dict:
     """Per fold the model of all other folds (total minus the fold)."""
     whole = total(per_fold)
-    return {f: _model(whole.minus(x), features, targets, alpha) for f, x in per_fold.items()}
+    return {f: _model(whole.minus(x), features, targets, alpha, penalty=penalty) for f, x in per_fold.items()}
 
 
 def fold_scores(df: DataFrame, models: dict, features, targets, fold_col: str) -> DataFrame:
@@ -161,22 +206,24 @@ def fold_means(fold_metrics: DataFrame) -> DataFrame:
     return fold_metrics.agg(*[F.avg(c).alias(c) for c in ("mse", "rmse", "r2")])
 
 
-def cross_validate(df: DataFrame, features, targets, fold_col: str = "fold", alpha: float = 0.0):
+def cross_validate(df: DataFrame, features, targets, fold_col: str = "fold", alpha: float = 0.0,
+                   penalty: str = "ridge"):
     """k fits from one grouped aggregate; (per-fold metrics, still lazy, and models)."""
-    models = fold_models(sufficient_stats(df, features, targets, by=fold_col), features, targets, alpha)
+    models = fold_models(sufficient_stats(df, features, targets, by=fold_col), features, targets, alpha, penalty)
     return fold_scores(df, models, features, targets, fold_col), models
 
 
 def fit_with_cv(df: DataFrame, features, targets, fold_col: str = "fold", alpha: float = 0.0,
-                refit: str = "all"):
+                refit: str = "all", penalty: str = "ridge"):
     """Cross-validate, then return (model, fold metrics).
 
     ``refit='all'`` takes the model of every row, from the sum of the fold
     statistics; ``'last_fold'`` keeps the last fold's model, as the reference's
     linear script does."""
     per_fold = sufficient_stats(df, features, targets, by=fold_col)
-    models = fold_models(per_fold, features, targets, alpha)
-    chosen = models[max(models)] if refit == "last_fold" else _model(total(per_fold), features, targets, alpha)
+    models = fold_models(per_fold, features, targets, alpha, penalty)
+    chosen = models[max(models)] if refit == "last_fold" else _model(
+        total(per_fold), features, targets, alpha, penalty=penalty)
     return chosen, fold_scores(df, models, features, targets, fold_col)
 
 
@@ -192,23 +239,36 @@ def _residual_r2(x: Moments, model: LinearModel) -> np.ndarray:
     return np.array(out)
 
 
+# Ridge: beyond this many times the largest eigenvalue of X'X every coefficient is
+# below its millionth part, and a larger alpha cannot move the scores any more.
+SHRUNK = float(1 << 20)
+
+
 def overfit_search(train: DataFrame, test: DataFrame, features, targets, fold_col: str = "fold",
-                   alpha: float = 1.0, gap: float = 0.1, settled: float = 1e-4):
+                   alpha: float = 1.0, gap: float = 0.1, penalty: str = "ridge"):
     """While |R2_cv - R2_test| > gap, double alpha and refit.
 
     Only alpha changes, so the statistics are taken once and every round is
-    arithmetic on them. Doubling ends when the gap is met, or when a round moves the
-    difference by less than ``settled`` (all coefficients have shrunk away and no
-    alpha can meet it). Returns a list of (round, alpha, cv_r2, test_r2, converged)."""
+    arithmetic on them. Doubling ends when the gap is met, or when no alpha can meet
+    it: for ridge once alpha exceeds ``SHRUNK`` times the largest eigenvalue of the
+    training rows' X'X, for lasso once all coefficients are 0, without a penalty
+    (alpha 0) at once. Returns a list of (round, alpha, cv_r2, test_r2, converged)."""
     per_fold = sufficient_stats(train, features, targets, by=fold_col)
     unseen = sufficient_stats(test, features, targets)
-    history, before = [], None
+    whole, p = total(per_fold), len(features)
+    centred = whole.m - np.outer(whole.s, whole.s) / whole.n
+    largest = float(np.linalg.eigvalsh(centred[:p, :p])[-1])
+    history = []
     while True:
-        models = fold_models(per_fold, features, targets, alpha)
+        models = fold_models(per_fold, features, targets, alpha, penalty)
         cv = float(np.mean([_residual_r2(per_fold[f], m).mean() for f, m in models.items()]))
         held = float(_residual_r2(unseen, models[max(models)]).mean())
-        difference = abs(cv - held)
-        history.append((len(history), float(alpha), cv, held, difference <= gap))
-        if difference <= gap or (before is not None and abs(before - difference) < settled):
+        met = abs(cv - held) <= gap
+        history.append((len(history), float(alpha), cv, held, met))
+        if penalty == "lasso":
+            ended = not any(m.coef.any() for m in models.values())
+        else:
+            ended = alpha <= 0 or alpha > SHRUNK * largest
+        if met or ended:
             return history
-        before, alpha = difference, alpha * 2
+        alpha = alpha * 2

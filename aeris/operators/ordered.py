@@ -1,11 +1,12 @@
 """Ordered operators without un-partitioned windows over data rows.
 
-P1 ``row_index``: a dense global position 0..n-1 in a total order. The data is
-range-partitioned on the full sort key (Spark samples the whole key, so heavy
-ties on the first column are split by the later ones), sorted inside each
-partition and checkpointed to the reliable checkpoint directory, so partition
-ids and in-partition positions are fixed. Offsets come from a per-partition
-count table (one row per partition) broadcast back.
+P1 ``row_index``: a dense global position 0..n-1 in a total order. Bounds on the
+full sort key (so heavy ties on the first column are split by the later ones) are
+read off the rows of least key hash, a sample of bounded size that is the same in
+every run. A row's range is the number of bounds up to it; its position is its row
+number inside the range plus the rows of earlier ranges, from a table of one row
+per range broadcast back. All of it is one lazy plan: the data is not copied, and
+the sample and the counts read the key columns only.
 
 P2 ``blocked``: windows run per block of ``block_rows`` consecutive positions.
 A window reaching ``h`` rows back sees them because the last ``h`` rows of each
@@ -20,8 +21,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from aeris.session import ensure_checkpoint_dir
-
 ROW_ID = "row_id"
 DEFAULT_BLOCK_ROWS = 1 << 20
 _BLK, _HOME = "_blk", "_home"
@@ -35,47 +34,62 @@ def _cols(cols) -> list:
     return list(cols)
 
 
+# Sampled keys for each range: a range then rarely holds twice its share.
+SAMPLE_PER_RANGE = 32
+
+
+def _ranged(df: DataFrame, order, ranges: int | None) -> DataFrame:
+    """``df`` with ``_pid``, the range that a row's key falls into: at most ``ranges``
+    (default: the session's shuffle partitions) and contiguous in ``order``."""
+    ranges = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    key = F.struct(*[(F.col(c) if isinstance(c, str) else c).alias(f"c{i}") for i, c in enumerate(order)])
+    sample = (df.select(key.alias("key")).orderBy(F.xxhash64("key"), "key")
+                .limit(SAMPLE_PER_RANGE * ranges).agg(F.array_sort(F.collect_list("key")).alias("s")))
+    places = F.transform(F.sequence(F.lit(1), F.lit(ranges)), lambda i: F.floor(i * F.size("s") / ranges).cast("int"))
+    fine = F.array_distinct(F.filter(F.transform(places, lambda i: F.get("s", i)), lambda b: b.isNotNull()))
+    step = max(1, int(ranges ** 0.5))
+    bounds = sample.select(fine.alias("fine")).select(F.struct(
+        "fine", F.filter("fine", lambda b, i: i % step == step - 1).alias("coarse")).alias("b"))
+
+    def upto(some: Column) -> Column:
+        return F.aggregate(some, F.lit(0), lambda n, b: n + (b <= F.col("_key")).cast("int"))
+    # first among every step-th bound, then among the bounds of that step
+    out = df.withColumn("_bounds", bounds.scalar()).withColumn("_key", key)
+    out = out.withColumn("_coarse", upto(F.col("_bounds.coarse")) * step)
+    found = F.col("_coarse") + upto(F.slice("_bounds.fine", F.col("_coarse") + 1, F.lit(step)))
+    return out.withColumn("_pid", found).drop("_bounds", "_key", "_coarse")
+
+
 def row_index(df: DataFrame, order, id_col: str = ROW_ID,
               partitions: int | None = None) -> DataFrame:
     """Append ``id_col`` = position of the row in ``order`` (0-based, dense).
 
-    Rows that tie on all of ``order`` cannot be told apart and stay in one
-    range: ``order`` should end in a key that makes it total."""
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
+    ``order`` is ascending. Rows that tie on all of it cannot be told apart and stay
+    in one range: it should end in a key that makes it total."""
     order = _cols(order)
-    # without an explicit count AQE may coalesce neighbouring ranges (they stay
-    # contiguous and ordered)
-    ranged = (df.repartitionByRange(partitions, *order) if partitions
-              else df.repartitionByRange(*order))
-    ranged = (ranged.sortWithinPartitions(*order)
-                .select("*", F.spark_partition_id().alias("_pid"),
-                        F.monotonically_increasing_id().alias("_mid")))
-    ranged = ranged.checkpoint(eager=True)
-    counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
+    ranged = _ranged(df, order, partitions)
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offsets = counts.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
-    local = F.col("_mid") - F.shiftleft(F.col("_pid").cast("long"), 33)
-    # one row per range partition: at most the number of shuffle partitions
-    return (ranged.join(F.broadcast(offsets), "_pid")
-                  .withColumn(id_col, (F.col("_off") + local).cast("long"))
-                  .drop("_pid", "_mid", "_off"))
+    inside = F.row_number().over(Window.partitionBy("_pid").orderBy(*order))
+    # one row per range
+    return (ranged.withColumn("_at", inside).join(F.broadcast(offsets), "_pid")
+                  .withColumn(id_col, (F.col("_off") + F.col("_at") - 1).cast("long"))
+                  .drop("_pid", "_at", "_off"))
 
 
 def running_weight(df: DataFrame, order, weight: str, out: str) -> DataFrame:
     """Append ``out`` = sum of ``weight`` over the rows up to and including this
-    one in ``order`` (a total order): sums per range partition, then within."""
-    ensure_checkpoint_dir(df.sparkSession)
+    one in ``order`` (a total order): sums per range, then within."""
     order = _cols(order)
-    ranged = (df.repartitionByRange(*order).select("*", F.spark_partition_id().alias("_pid"))
-                .checkpoint(eager=True))
+    ranged = _ranged(df, order, None)
     totals = ranged.groupBy("_pid").agg(F.sum(weight).alias("_n"))
     before = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("_pid", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
     upto = Window.partitionBy("_pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    # one row per range partition
-    return (ranged.join(F.broadcast(offsets), "_pid")
-                  .withColumn(out, F.col("_off") + F.sum(weight).over(upto)).drop("_pid", "_off"))
+    # one row per range
+    return (ranged.withColumn("_sum", F.sum(weight).over(upto)).join(F.broadcast(offsets), "_pid")
+                  .withColumn(out, F.col("_off") + F.col("_sum")).drop("_pid", "_off", "_sum"))
 
 
 def _ensure_index(df: DataFrame, order, partition_by, id_col: str) -> DataFrame:
@@ -89,14 +103,12 @@ def blocked(df: DataFrame, halo: int, block_rows: int = DEFAULT_BLOCK_ROWS,
     """Rows tagged with ``_blk``; the last ``halo`` rows of a block are repeated
     in the next block with ``_home`` = false."""
     blk = F.floor(F.col(id_col) / F.lit(block_rows)).cast("long")
-    home = df.withColumn(_BLK, blk).withColumn(_HOME, F.lit(True))
-    # a row is repeated in every later block whose first row lies < halo rows after it
-    for j in range(1, -(-max(halo, 0) // block_rows) + 1):
-        start = (blk + j) * F.lit(block_rows)
-        copies = (df.where(F.col(id_col) >= start - F.lit(halo))
-                    .withColumn(_BLK, blk + j).withColumn(_HOME, F.lit(False)))
-        home = home.unionByName(copies)
-    return home
+    if halo <= 0:
+        return df.withColumn(_BLK, blk).withColumn(_HOME, F.lit(True))
+    # the row's own block, and every later one whose first row lies up to halo rows after it
+    last = F.floor((F.col(id_col) + F.lit(halo)) / F.lit(block_rows)).cast("long")
+    copies = df.withColumn("_own", blk).withColumn(_BLK, F.explode(F.sequence(blk, last)))
+    return copies.withColumn(_HOME, F.col(_BLK) == F.col("_own")).drop("_own")
 
 
 # Fills need an order, not positions. A caller whose table has one row per date

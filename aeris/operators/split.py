@@ -20,7 +20,7 @@ def _cut(n: Column, ratio: float) -> Column:
 
 def _indexed(df: DataFrame, order, id_col: str) -> tuple[DataFrame, Column]:
     indexed = df if id_col in df.columns else row_index(df, order, id_col)
-    n = indexed.select(F.count(F.lit(1))).scalar()
+    n = df.select(F.count(F.lit(1))).scalar()
     return indexed, n
 
 
@@ -106,15 +106,55 @@ def target_in_features(features, targets) -> list[str]:
     return [t for t in targets if t in set(features)]
 
 
-def fold_of(key, k: int = 5, seed: int = 42) -> Column:
-    """Deterministic shuffled fold: first 32 bits of md5('<seed>:<key>') mod k."""
-    h = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string") if isinstance(key, str)
-                       else key.cast("string")))
-    return (F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint") % k).cast("int")
+ROUNDS, WALK = 6, 64
 
 
-def with_folds(df: DataFrame, key: str, k: int = 5, seed: int = 42, out: str = "fold") -> DataFrame:
-    return df.withColumn(out, fold_of(key, k, seed))
+def shuffled_position(position: Column, n: Column, seed: int = 42) -> Column:
+    """A keyed bijection on [0, n): where a position goes in a shuffle.
+
+    A Feistel network over the pairs (x, y) with x < a = ceil(sqrt(n)) and y < b =
+    ceil(n / a): x and y take turns at adding a hash of the other, each turn can be
+    undone. What lands at n or beyond (fewer than a pairs) walks on until it lands
+    inside, so the map stays one to one; up to n = 4096 no walk has more than ``WALK``
+    steps, and beyond the chance of a longer one is below n^-32."""
+    def drawn(turn: Column, value: Column) -> Column:
+        text = F.md5(F.concat_ws(":", F.lit(str(seed)), turn.cast("string"), value.cast("string")))
+        return F.conv(F.substring(text, 1, 8), 16, 10).cast("long")
+
+    def network(value: Column, size: Column) -> Column:
+        def turn(s: Column, i: Column) -> Column:
+            return F.struct(F.when(i % 2 == 0, (s["x"] + drawn(i, s["y"])) % size["a"]).otherwise(s["x"]).alias("x"),
+                            F.when(i % 2 == 1, (s["y"] + drawn(i, s["x"])) % size["b"]).otherwise(s["y"]).alias("y"))
+        start = F.struct(F.floor(value / size["b"]).cast("long").alias("x"), (value % size["b"]).cast("long").alias("y"))
+        return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, turn, lambda s: s["x"] * size["b"] + s["y"])
+
+    def walk(size: Column) -> Column:
+        # the first step always counts, the later ones only as long as it has not landed
+        return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), F.lit(-1).cast("long"),
+                           lambda v, _: F.when((v >= 0) & (v < size["n"]), v).otherwise(
+                               network(F.when(v < 0, size["at"]).otherwise(v), size)))
+    # bound once for a row: the count is a subquery, which the expressions below mention often
+    given = F.array(F.struct(n.cast("long").alias("n"), position.cast("long").alias("at"),
+                             F.ceil(F.sqrt(n.cast("double"))).cast("long").alias("a")))
+    sized = F.transform(given, lambda s: F.struct(
+        s["n"].alias("n"), s["at"].alias("at"), F.greatest(s["a"], F.lit(1).cast("long")).alias("a"),
+        F.greatest(F.ceil(s["n"] / F.greatest(s["a"], F.lit(1).cast("long"))).cast("long"), F.lit(1).cast("long")).alias("b")))
+    return F.get(F.transform(sized, walk), F.lit(0))
+
+
+def fold_of(position: Column, n: Column, k: int = 5, seed: int = 42) -> Column:
+    """Shuffled fold of a row's position in [0, n): sizes differ by one at most."""
+    return F.floor(shuffled_position(position, n, seed) * k / n).cast("int")
+
+
+def with_folds(df: DataFrame, order, k: int = 5, seed: int = 42, out: str = "fold",
+               id_col: str = ROW_ID) -> DataFrame:
+    """Append the shuffled fold of every row; rows are numbered by ``order`` unless they
+    have a dense ``id_col``."""
+    indexed, n = _indexed(df, order, id_col)
+    # a column first: a subquery may not stand in a lambda
+    found = indexed.withColumn("_n", n).withColumn(out, fold_of(F.col(id_col), F.col("_n"), k, seed)).drop("_n")
+    return found if id_col in df.columns else found.drop(id_col)
 
 
 def reunion(*splits: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from aeris.functions import calendar as cal
 from aeris.functions import labels
 from aeris.operators import clean, daily, ordered
+from aeris.plans import model_sql as ms
 from aeris.plans import pipeline as pl
 from aeris.plans import sql_fixtures as q
 from aeris.sources import tables
@@ -414,13 +415,20 @@ def leak_report(spark, sf_dir):
                                 features=ENCODED_NUMERIC, targets=pl.TARGETS)
 
 
-@register("kfold_sizes", q.with_(q.BASE, """SELECT CAST(('0x' || substr(md5('42:' || CAST(date AS VARCHAR)), 1, 8))::BIGINT % 5 AS INTEGER) AS fold,
-  count(*) AS n FROM f GROUP BY 1"""))
+@register("kfold_sizes", q.with_(q.BASE + [q.S] + ms.fold_ctes("s", "SELECT row_id AS id FROM s", 5),
+                                 "SELECT fold, count(*) AS n FROM fold_s GROUP BY fold"))
 def kfold_sizes(spark, sf_dir):
     f = split.with_folds(pl.merged_daily(spark, sf_dir), "date", 5, 42)
     return f.groupBy("fold").agg(F.count(F.lit(1)).alias("n"))
 
 
+@register("kfold_members", q.with_(q.BASE + [q.S] + ms.fold_ctes("s", "SELECT row_id AS id FROM s", 3, 7),
+                                   "SELECT date, fold FROM s JOIN fold_s ON fold_s.id = s.row_id"))
+def kfold_members(spark, sf_dir):
+    """Which day is in which of three folds (seed 7)."""
+    return split.with_folds(pl.merged_daily(spark, sf_dir), "date", 3, 7).select("date", "fold")
+
+
 def _mm_sql():
     cols = []
     for c in FILLED_NUMERIC:
@@ -792,16 +800,26 @@ MODEL_FEATURES = [c for c in ENCODED_NUMERIC if c not in MODEL_TARGETS]
 
 
 def _model_columns(spark, sf_dir):
-    """Encode -> log1p of skewed columns -> 70/15/15 split -> min-max fitted on train."""
-    logged = stats.log1p_skewed(_encoded(spark, sf_dir), ENCODED_NUMERIC)
-    sp = split.chronological_split(logged, "date")
+    """Encode -> log1p of skewed columns -> 70/15/15 split -> min-max fitted on train.
+
+    Skews, positions and ranges each read the table again: it is written once before."""
+    encoded = _encoded(spark, sf_dir).checkpoint(eager=True)
+    indexed = ordered.row_index(stats.log1p_skewed(encoded, ENCODED_NUMERIC), "date").checkpoint(eager=True)
+    sp = split.chronological_split(indexed, "date")
     return scale.minmax_by_split(sp, ENCODED_NUMERIC, "split", fit_on="train")
 
 
+def _train_folds(table, k=5):
+    """Shuffled folds of the train rows, which come first; the others have none."""
+    n = table.where(F.col("split") == "train").select(F.count(F.lit(1))).scalar()
+    fold = split.fold_of(F.col(ordered.ROW_ID), F.col("_n"), k, 42)
+    return table.withColumn("_n", n).withColumn("fold", F.when(F.col("split") == "train", fold)).drop("_n")
+
+
 def _model_table(spark, sf_dir):
     # iterative fits read this many times: cut the lineage once (reliable
     # checkpoint in the shared checkpoint directory)
-    return split.with_folds(_model_columns(spark, sf_dir), "date", 5, 42).checkpoint(eager=True)
+    return _train_folds(_model_columns(spark, sf_dir).checkpoint(eager=True))
 
 
 def _model_ctes():
@@ -817,15 +835,15 @@ def _model_ctes():
         "mi AS (SELECT *, row_number() OVER (ORDER BY date) - 1 AS row_id, count(*) OVER () AS n_rows FROM lg1)",
         """ms AS MATERIALIZED (SELECT *, CASE WHEN row_id < floor(n_rows * 0.7) THEN 'train'
           WHEN row_id < floor(n_rows * 0.7) + floor(n_rows * 0.15) THEN 'val' ELSE 'test' END AS split FROM mi)""",
+        *ms.fold_ctes("mt", "SELECT row_id AS id FROM ms WHERE split = 'train'", 5),
         """mt AS MATERIALIZED (SELECT date, split, row_id, n_rows, """ + ", ".join(scaled) + """,
-          CAST(('0x' || substr(md5('42:' || CAST(date AS VARCHAR)), 1, 8))::BIGINT % 5 AS INTEGER) AS fold FROM ms)"""]
+          fold FROM ms LEFT JOIN fold_mt ON fold_mt.id = ms.row_id)"""]
 
 
 @register("model_table", q.with_(_model_ctes(), "SELECT date, split, fold, " + q.rnd(ENCODED_NUMERIC) + " FROM mt"))
 def model_table(spark, sf_dir):
     """The table that every model below is fitted on."""
-    m = split.with_folds(_model_columns(spark, sf_dir), "date", 5, 42)
-    return r6(m.select("date", "split", "fold", *ENCODED_NUMERIC))
+    return r6(_train_folds(_model_columns(spark, sf_dir)).select("date", "split", "fold", *ENCODED_NUMERIC))
 
 
 @register("cv_ridge")
@@ -897,15 +915,62 @@ def linear_eval_two(spark, sf_dir):
     return r6(cv.unionByName(scores.select(F.lit("test").alias("split"), "mse", "rmse", "r2")))
 
 
+LASSO_ALPHA = 0.001
+# Small enough for the two features to keep coefficients.
+TWO_ALPHA = 0.0001
+
+
 @register("lasso_fit")
 def lasso_fit(spark, sf_dir):
+    """Lasso of both targets on all features, from one aggregate."""
+    t = _model_table(spark, sf_dir).where(F.col("split") == "train")
+    return linear.fit_lasso(t, MODEL_FEATURES, MODEL_TARGETS, LASSO_ALPHA).coefficients(spark)
+
+
+@register("lasso_optimal", "SELECT term, target, true AS optimal FROM (VALUES " + ", ".join(
+    f"('{f}')" for f in MODEL_FEATURES) + ") a(term), (VALUES " + ", ".join(f"('{t}')" for t in MODEL_TARGETS) + ") b(target)")
+def lasso_optimal(spark, sf_dir):
+    """Whether each coefficient meets its optimality condition on the rows themselves:
+    the feature's mean product with the residual is alpha in size, with the
+    coefficient's sign, or at most alpha where the coefficient is 0."""
+    t = _model_table(spark, sf_dir).where(F.col("split") == "train")
+    found = linear.lasso_conditions(t, linear.fit_lasso(t, MODEL_FEATURES, MODEL_TARGETS, LASSO_ALPHA))
+    off = F.when(F.col("coef") != 0, F.abs(F.col("slope") - LASSO_ALPHA * F.signum("coef"))).otherwise(
+        F.greatest(F.abs("slope") - LASSO_ALPHA, F.lit(0.0)))
+    return found.select("term", "target", (off < 1e-9).alias("optimal"))
+
+
+# Means, variances and covariances of the two features and the target.
+_MOMENTS2 = """avg(x1) AS m1, avg(x2) AS m2, avg(y) AS my, var_pop(x1) AS c11, covar_pop(x1, x2) AS c12,
+  var_pop(x2) AS c22, covar_pop(x1, y) AS c1, covar_pop(x2, y) AS c2"""
+_LASSO2 = [f"lm2 AS (SELECT 0 AS one, {_MOMENTS2} FROM t2)",
+           "lw2 AS (" + ms.lasso2("SELECT * FROM lm2", "one", str(TWO_ALPHA)) + ")"]
+
+
+@register("lasso_two", q.with_(_two_ctes() + _LASSO2, f"""SELECT 'intercept' AS term, 'avg_o3' AS target, {q.rd('b0')} AS coef FROM lw2
+  UNION ALL SELECT '{TWO[0]}', 'avg_o3', {q.rd('w1')} FROM lw2 UNION ALL SELECT '{TWO[1]}', 'avg_o3', {q.rd('w2')} FROM lw2"""))
+def lasso_two(spark, sf_dir):
+    """The two-feature lasso, which SQL finds by trying all signs."""
     t = _model_table(spark, sf_dir).where(F.col("split") == "train")
-    rows = []
-    for y in MODEL_TARGETS:
-        m = linear.fit_lasso(t, MODEL_FEATURES, y, 0.001)
-        rows.append(("intercept", y, float(m.intercept)))
-        rows += [(f, y, float(c)) for f, c in zip(MODEL_FEATURES, m.coefficients.toArray())]
-    return spark.createDataFrame(rows, "term string, target string, coef double")
+    return r6(linear.fit_lasso(t, TWO, ["avg_o3"], TWO_ALPHA).coefficients(spark))
+
+
+_FOLD_MOMENTS2 = (f"fm2 AS MATERIALIZED (SELECT g.fold, count(*) AS n, {_MOMENTS2} FROM (SELECT DISTINCT fold FROM t2) g "
+                  "JOIN t2 ON t2.fold <> g.fold GROUP BY g.fold)")
+
+
+@register("cv_lasso_two", q.with_(_two_ctes() + [
+    _FOLD_MOMENTS2, "co2l AS (" + ms.lasso2("SELECT * FROM fm2", "fold", str(TWO_ALPHA)) + ")",
+    f"""cvl2 AS (SELECT fold, {_TWO_SCORES}, count(*) AS n FROM (
+    SELECT t2.fold, y, b0 + w1 * x1 + w2 * x2 AS p FROM t2 JOIN co2l USING (fold)) GROUP BY fold)"""],
+    "SELECT fold, " + q.rnd(["mse", "rmse", "r2"]) + ", n FROM cvl2"))
+def cv_lasso_two(spark, sf_dir):
+    """Cross-validated two-feature lasso."""
+    t = _model_table(spark, sf_dir).where(F.col("split") == "train")
+    return r6(linear.cross_validate(t, TWO, ["avg_o3"], "fold", TWO_ALPHA, "lasso")[0])
+
+
+_HISTORY = "round int, alpha double, cv_r2 double, test_r2 double, converged boolean"
 
 
 @register("overfit_loop")
@@ -913,37 +978,133 @@ def overfit_loop(spark, sf_dir):
     m = _model_table(spark, sf_dir)
     hist = linear.overfit_search(m.where(F.col("split") == "train"), m.where(F.col("split") == "test"),
                                  MODEL_FEATURES, MODEL_TARGETS, "fold", RIDGE_ALPHA, 0.1)
-    return spark.createDataFrame(hist, "round int, alpha double, cv_r2 double, test_r2 double, converged boolean")
+    return spark.createDataFrame(hist, _HISTORY)
+
+
+# A gap that takes the two-feature models several rounds.
+TWO_GAP = 0.006
+
 
+def _overfit_sql(start: float, models: str, ended: str) -> str:
+    """All rounds up to the first that meets the gap or cannot go on. ``models``: a
+    select of (round, alpha, fold, w1, w2, b0); ``ended``: a condition on a round."""
+    return q.with_(_two_ctes() + [
+        _FOLD_MOMENTS2,
+        f"al AS (SELECT CAST(i AS INTEGER) AS round, {start}::DOUBLE * (1::BIGINT << i) AS alpha FROM (SELECT unnest(range(60)) AS i))",
+        f"om AS MATERIALIZED ({models})",
+        f"""te2 AS (SELECT {TWO[0]} AS x1, {TWO[1]} AS x2, avg_o3 AS y FROM mt WHERE split = 'test'
+          AND {TWO[0]} IS NOT NULL AND {TWO[1]} IS NOT NULL AND avg_o3 IS NOT NULL)""",
+        f"""ocv AS (SELECT round, avg(r2) AS cv_r2 FROM (SELECT round, fold, {_r2_sql('y', 'p')} AS r2 FROM (
+          SELECT round, om.fold, y, b0 + w1 * x1 + w2 * x2 AS p FROM t2 JOIN om USING (fold)) GROUP BY round, fold) GROUP BY round)""",
+        f"""ote AS (SELECT round, {_r2_sql('y', 'p')} AS test_r2 FROM (SELECT round, y, b0 + w1 * x1 + w2 * x2 AS p
+          FROM te2, om WHERE fold = (SELECT max(fold) FROM om)) GROUP BY round)""",
+        f"""oh AS (SELECT round, alpha, cv_r2, test_r2, abs(cv_r2 - test_r2) <= {TWO_GAP} AS converged, {ended} AS ended
+          FROM al JOIN ocv USING (round) JOIN ote USING (round))"""],
+        f"""SELECT round, {q.rd('alpha')} AS alpha, {q.rd('cv_r2')} AS cv_r2, {q.rd('test_r2')} AS test_r2, converged FROM oh
+      WHERE round <= (SELECT min(round) FROM oh WHERE converged OR ended)""")
 
-def _forests(spark, sf_dir):
+
+def _overfit_two(spark, sf_dir, alpha, penalty):
     m = _model_table(spark, sf_dir)
-    models = forest.fit_forests(m.where(F.col("split") == "train"), MODEL_FEATURES, MODEL_TARGETS)
-    return m, models
+    hist = linear.overfit_search(m.where(F.col("split") == "train"), m.where(F.col("split") == "test"), TWO, ["avg_o3"],
+                                 "fold", alpha, TWO_GAP, penalty)
+    return r6(spark.createDataFrame(hist, _HISTORY))
+
+
+@register("overfit_two", _overfit_sql(RIDGE_ALPHA, """SELECT round, alpha, fold, w1, w2, my - w1 * m1 - w2 * m2 AS b0 FROM (
+    SELECT *, ((n * c22 + alpha) * n * c1 - n * c12 * n * c2) / ((n * c11 + alpha) * (n * c22 + alpha) - n * c12 * n * c12) AS w1,
+      ((n * c11 + alpha) * n * c2 - n * c12 * n * c1) / ((n * c11 + alpha) * (n * c22 + alpha) - n * c12 * n * c12) AS w2
+    FROM al, fm2)""", f"""alpha > {linear.SHRUNK} * (SELECT count(*) * ((var_pop(x1) + var_pop(x2)) / 2 + sqrt(
+      power((var_pop(x1) - var_pop(x2)) / 2, 2) + power(covar_pop(x1, x2), 2))) FROM t2)"""))
+def overfit_two(spark, sf_dir):
+    """Rounds of the overfit loop, two-feature ridge."""
+    return _overfit_two(spark, sf_dir, RIDGE_ALPHA, "ridge")
+
+
+@register("overfit_lasso_two", _overfit_sql(TWO_ALPHA, ms.lasso2("SELECT * FROM al, fm2", "round, alpha, fold", "alpha"),
+                                            "NOT EXISTS (SELECT 1 FROM om WHERE om.round = al.round AND (w1 <> 0 OR w2 <> 0))"))
+def overfit_lasso_two(spark, sf_dir):
+    """Rounds of the overfit loop, two-feature lasso."""
+    return _overfit_two(spark, sf_dir, TWO_ALPHA, "lasso")
+
+
+def _forest(spark, sf_dir, features=None, params=forest.BEST):
+    m = _model_table(spark, sf_dir)
+    return m, forest.fit_forest(m.where(F.col("split") == "train").drop("fold"), features or MODEL_FEATURES,
+                                MODEL_TARGETS, params=params)
 
 
 @register("forest_fit")
 def forest_fit(spark, sf_dir):
-    """Test-split predictions of the two forests (stored best parameters)."""
-    m, models = _forests(spark, sf_dir)
-    return forest.predict_forests(models, m.where(F.col("split") == "test"), MODEL_FEATURES)
+    """Test-split predictions of the forest (stored best parameters, both targets)."""
+    m, found = _forest(spark, sf_dir)
+    return forest.predict(found, m.where(F.col("split") == "test"))
 
 
 @register("forest_importance")
 def forest_importance(spark, sf_dir):
-    _, models = _forests(spark, sf_dir)
-    return forest.importances(models, MODEL_FEATURES, spark)
+    return forest.importances(_forest(spark, sf_dir)[1])
 
 
-# The query's own grid (a parameter; the operator's default is the full one).
-QUERY_GRID = {"maxDepth": [5, 7], "numTrees": [20, 50]}
+@register("forest_fold_mse")
+def forest_fold_mse(spark, sf_dir):
+    """Train and validation MSE of the forest of each of five folds."""
+    t = _model_table(spark, sf_dir).where(F.col("split") == "train")
+    return forest.fold_errors(t, MODEL_FEATURES, MODEL_TARGETS, folds=5)
 
 
 @register("grid_search")
 def grid_search(spark, sf_dir):
-    t = split.with_folds(_model_table(spark, sf_dir).drop("fold").where(F.col("split") == "train"),
-                         "date", 3, 42)
-    return forest.grid_search(t, MODEL_FEATURES, MODEL_TARGETS, "fold", QUERY_GRID)
+    """All 1200 points of the grid, three folds, both targets."""
+    m = _train_folds(_model_table(spark, sf_dir), 3)
+    return forest.grid_search(m.where(F.col("split") == "train"), MODEL_FEATURES, MODEL_TARGETS, folds=3)
+
+
+# A forest small enough to be grown in SQL.
+SMALL = ["temp", "humidity", "sin_1", "cos_1", "weekday"]
+SMALL_PARAMS = forest.Params(max_depth=3, n_estimators=4, max_features=3, min_samples_leaf=3, min_samples_split=8, bins=16)
+
+
+def _small_ctes(folds=None):
+    known = " AND ".join(f"{c} IS NOT NULL" for c in SMALL + MODEL_TARGETS)
+    return _model_ctes() + ms.forest_ctes("fo", f"SELECT CAST(date AS VARCHAR) AS k, fold, {', '.join(SMALL + MODEL_TARGETS)} "
+                                          f"FROM mt WHERE split = 'train' AND {known}", SMALL, MODEL_TARGETS, SMALL_PARAMS, folds)
+
+
+@register("forest_nodes_small", q.with_(_small_ctes(), "SELECT CAST(g AS INTEGER) AS tree, CAST(node AS INTEGER) AS node, n, w, "
+          "s0, s1, CAST(feature AS INTEGER) AS feature, CAST(bin AS INTEGER) AS bin, " + q.rd("gain / 1e12") + " AS gain FROM nodes_fo"))
+def forest_nodes_small(spark, sf_dir):
+    """Every node of a small forest: counts, weights, sums, split and gain."""
+    nodes = _forest(spark, sf_dir, SMALL, SMALL_PARAMS)[1].nodes
+    return r6(nodes.select(F.col("g").alias("tree"), "node", "n", "w", F.col("s")[0].alias("s0"), F.col("s")[1].alias("s1"),
+                           "feature", "bin", (F.col("gain") / 1e12).alias("gain")))
+
+
+@register("forest_fit_small", q.with_(_small_ctes() + [ms.predicted_cte(
+    "fo", "pf", f"SELECT CAST(date AS VARCHAR) AS k, 0 AS forest, {', '.join(SMALL)} FROM mt WHERE split = 'test' AND "
+    + " AND ".join(f"{c} IS NOT NULL" for c in SMALL), SMALL, MODEL_TARGETS, SMALL_PARAMS)],
+    "SELECT CAST(k AS DATE) AS date, " + ", ".join(f"{q.rd(f'p{i}')} AS pred_{t}" for i, t in enumerate(MODEL_TARGETS)) + " FROM pf"))
+def forest_fit_small(spark, sf_dir):
+    m, found = _forest(spark, sf_dir, SMALL, SMALL_PARAMS)
+    return r6(forest.predict(found, m.where(F.col("split") == "test")))
+
+
+@register("forest_importance_small", q.with_(_small_ctes(), "SELECT f.name AS feature, " + q.rd(
+    f"coalesce(sum(share), 0.0) / {SMALL_PARAMS.n_estimators}") + " AS importance FROM (VALUES " + ", ".join(
+    f"({i}, '{c}')" for i, c in enumerate(SMALL)) + """) f(id, name) LEFT JOIN (SELECT feature,
+    gain / sum(gain) OVER (PARTITION BY g) AS share FROM nodes_fo WHERE gain IS NOT NULL) s ON s.feature = f.id GROUP BY f.name"""))
+def forest_importance_small(spark, sf_dir):
+    return r6(forest.importances(_forest(spark, sf_dir, SMALL, SMALL_PARAMS)[1]))
+
+
+@register("forest_fold_mse_small", q.with_(_small_ctes(5) + [ms.predicted_cte(
+    "fo", "pf", f"SELECT k, forest, {', '.join(SMALL)} FROM tr_fo, (SELECT unnest(range(5)) AS forest)",
+    SMALL, MODEL_TARGETS, SMALL_PARAMS)], "SELECT CAST(forest AS INTEGER) AS fold, CASE WHEN fold = forest THEN 'val' "
+    "ELSE 'train' END AS part, " + q.rd("avg((power(avg_no2 - p0, 2) + power(avg_o3 - p1, 2)) / 2)") +
+    " AS mse FROM pf JOIN tr_fo USING (k) GROUP BY 1, 2"))
+def forest_fold_mse_small(spark, sf_dir):
+    t = _model_table(spark, sf_dir).where(F.col("split") == "train")
+    return r6(forest.fold_errors(t, SMALL, MODEL_TARGETS, params=SMALL_PARAMS, folds=5))
 
 
 def _seq_predictions(spark, sf_dir):
@@ -1060,14 +1221,10 @@ def single_target_metrics(spark, sf_dir):
     return r6(metrics.single_target_metrics(r, "avg_no2", "no2_week"))
 
 
-def _resplit_model_table(spark, sf_dir):
-    """Re-split 60/20/20 (2 % gaps, unseen = last 5 %) of the scaled model table."""
-    m = _model_table(spark, sf_dir).drop(ordered.ROW_ID, "split")
-    return split.resplit_with_gap(m, "date")
-
-
 def _linear_eval(spark, sf_dir):
-    rs = _resplit_model_table(spark, sf_dir)
+    """The scaled model table re-split 60/20/20 (2 % gaps, unseen = last 5 %), and the
+    ridge of the last of five folds of its train rows."""
+    rs = _train_folds(split.resplit_with_gap(_model_table(spark, sf_dir).drop("split", "fold"), "date"))
     train = rs.where(F.col("split") == "train")
     model, folds = linear.fit_with_cv(train, MODEL_FEATURES, MODEL_TARGETS, "fold", RIDGE_ALPHA,
                                       refit="last_fold")
@@ -1096,22 +1253,6 @@ def linear_predictions(spark, sf_dir):
     return model.predict(test).select("date", *[f"pred_{t}" for t in MODEL_TARGETS])
 
 
-@register("forest_fold_mse")
-def forest_fold_mse(spark, sf_dir):
-    """Train and validation MSE of each target's forest per fold (3 md5 folds of train)."""
-    t = split.with_folds(_model_table(spark, sf_dir).drop("fold").where(F.col("split") == "train"),
-                         "date", 3, 42).checkpoint(eager=True)
-    rows = []
-    for f in range(3):
-        fit_part, val_part = t.where(F.col("fold") != f), t.where(F.col("fold") == f)
-        models = forest.fit_forests(fit_part, MODEL_FEATURES, MODEL_TARGETS)
-        for name, part in (("train", fit_part), ("val", val_part)):
-            scored = forest.predict_forests(models, part, MODEL_FEATURES, keep=MODEL_TARGETS)
-            m = metrics.regression_metrics(scored, MODEL_TARGETS, [f"pred_{x}" for x in MODEL_TARGETS]).first()
-            rows.append((f, name, float(m["mse"])))
-    return spark.createDataFrame(rows, "fold int, part string, mse double")
-
-
 @register("describe_events", q.union_all([
     f"""SELECT '{c}' AS column, count({c}) AS count, {q.rd(f'avg(CAST({c} AS DOUBLE))')} AS mean,
       {q.rd(f'stddev_samp(CAST({c} AS DOUBLE))')} AS std, {q.rd(f'min(CAST({c} AS DOUBLE))')} AS min,

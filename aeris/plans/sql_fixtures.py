@@ -76,7 +76,8 @@ LABELLED = BASE + [YRS, EAS, HOL, L]
 
 
 def with_(ctes, select: str) -> str:
-    return "WITH " + ",\n".join(ctes) + "\n" + select
+    recursive = "RECURSIVE " if any(c.startswith("walk_") for c in ctes) else ""
+    return f"WITH {recursive}" + ",\n".join(ctes) + "\n" + select
 
 
 def rd(expr: str) -> str:

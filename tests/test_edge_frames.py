@@ -304,19 +304,72 @@ def test_empty_part_of_a_resplit_raises(spark):
         split.resplit_with_gap(spark.range(0, 2).withColumnRenamed("id", "k"), "k").collect()
 
 
-def test_overfit_search_ends_and_says_so(spark):
+def _line(spark, n, noise, sign, seed):
     import numpy as np
-    from aeris.operators import linear
-    rng = np.random.default_rng(5)
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=n)
+    return spark.createDataFrame([(float(a), float(sign * a + rng.normal(scale=noise)), int(i % 3))
+                                  for i, a in enumerate(x)], "x double, y double, fold int")
+
 
-    def frame(n, noise, sign):
-        x = rng.normal(size=n)
-        return spark.createDataFrame([(float(a), float(sign * a + rng.normal(scale=noise)), int(i % 3))
-                                      for i, a in enumerate(x)], "x double, y double, fold int")
-    good = linear.overfit_search(frame(90, 0.1, 1), frame(60, 0.1, 1), ["x"], ["y"])
+@pytest.mark.parametrize("penalty", ["ridge", "lasso"])
+def test_overfit_search_ends_and_says_so(spark, penalty):
+    from aeris.operators import linear
+    good = linear.overfit_search(_line(spark, 90, 0.1, 1, 5), _line(spark, 60, 0.1, 1, 6), ["x"], ["y"], penalty=penalty,
+                                 alpha=0.001)
     assert good[-1][4] is True
-    bad = linear.overfit_search(frame(90, 0.1, 1), frame(60, 0.1, -1), ["x"], ["y"], gap=1e-9)
+    bad = linear.overfit_search(_line(spark, 90, 0.1, 1, 5), _line(spark, 60, 0.1, -1, 6), ["x"], ["y"], gap=1e-9,
+                                penalty=penalty, alpha=0.001)
     assert bad[-1][4] is False and len(bad) > 3
+    assert len(linear.overfit_search(_line(spark, 90, 0.1, 1, 5), _line(spark, 60, 0.1, -1, 6), ["x"], ["y"], alpha=0.0)) == 1
+
+
+def test_overfit_search_goes_on_however_many_rows_there_are(spark):
+    """The first doublings of alpha move next to nothing on a large table."""
+    from aeris.operators import linear
+    for n in (300, 30_000):
+        found = linear.overfit_search(_line(spark, n, 0.05, 1, 1), _line(spark, n // 2, 0.8, 1, 2), ["x"], ["y"], gap=0.1)
+        assert found[-1][4] is True and found[-1][1] >= n / 8
+        assert all(abs(cv - test) > 0.1 for _, _, cv, test, _ in found[:-1])
+
+
+def test_lasso_meets_its_optimality_conditions(spark):
+    import numpy as np
+    from aeris.operators import linear
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(150, 5)) + 10
+    x[:, 4] = 3.0  # constant
+    x[:, 3] = x[:, 0] + rng.normal(scale=0.01, size=150)  # nearly the same as another
+    y = np.stack([x @ [1.0, -2, 0, 0, 5] + rng.normal(size=150), x[:, 1] * 0.05 + rng.normal(size=150)], axis=1)
+    names = ["a", "b", "c", "d", "e"]
+    df = spark.createDataFrame([tuple(map(float, [*r, *t])) for r, t in zip(x, y)], [*names, "y", "z"])
+    for alpha in (0.01, 0.3, 100.0):
+        model = linear.fit_lasso(df, names, ["y", "z"], alpha)
+        for r in linear.lasso_conditions(df, model).collect():
+            wanted = alpha * np.sign(r["coef"])
+            assert abs(r["slope"] - wanted) < 1e-8 if r["coef"] else abs(r["slope"]) <= alpha + 1e-8
+    assert not linear.fit_lasso(df, names, ["y", "z"], 100.0).coef.any()
+
+
+def test_folds_are_a_bijection_of_equal_parts(spark):
+    for n in (0, 1, 2, 6, 100, 1013):
+        df = spark.range(n).withColumnRenamed("id", "k")
+        place = df.withColumn("n", F.lit(n).cast("long")).select(split.shuffled_position(F.col("k"), F.col("n"), 3))
+        assert sorted(r[0] for r in place.collect()) == list(range(n))
+        sizes = [r["count"] for r in split.with_folds(df, "k", 5).groupBy("fold").count().collect()]
+        assert sum(sizes) == n and (n < 5 or len(sizes) == 5 and max(sizes) - min(sizes) <= 1)
+
+
+def test_row_index_is_lazy_and_splits_a_hot_value(spark):
+    df = spark.range(0, 6000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") % 50).alias("a"),
+                                     F.when(F.col("id") % 11 == 0, None).otherwise(F.col("id") % 5).alias("b"), "id")
+    out = ordered.row_index(df, ["a", "b", "id"], partitions=20)
+    assert "Scan ExistingRDD" not in out._jdf.queryExecution().toString()  # nothing was written
+    rows = out.orderBy("row_id").collect()
+    keys = [(r["a"], r["b"] is not None, r["b"] or 0, r["id"]) for r in rows]
+    assert [r["row_id"] for r in rows] == list(range(6000)) and keys == sorted(keys)
+    sizes = [r["count"] for r in ordered._ranged(df, ["a", "b", "id"], 20).groupBy("_pid").count().collect()]
+    assert len(sizes) > 15 and max(sizes) < 3 * 6000 / 20
 
 
 def test_overfit_scores_equal_metrics(spark):
@@ -332,13 +385,3 @@ def test_overfit_scores_equal_metrics(spark):
     scored = models[max(models)].predict(df)
     assert found[2] == pytest.approx(wanted, abs=1e-9)
     assert found[3] == pytest.approx(metrics.regression_metrics(scored, ["y"], ["pred_y"]).first()["r2"], abs=1e-9)
-
-
-def test_grid_search_takes_any_number_of_folds(spark):
-    import numpy as np
-    from aeris.operators import forest
-    rng = np.random.default_rng(9)
-    rows = [(float(a), float(b), float(a + b), int(i % 5)) for i, (a, b) in enumerate(rng.normal(size=(60, 2)))]
-    df = spark.createDataFrame(rows, "a double, b double, y double, fold int")
-    out = forest.grid_search(df, ["a", "b"], "y", "fold", {"maxDepth": [2], "numTrees": [3, 5]}).collect()
-    assert len(out) == 2 and all(r["mse"] >= 0 for r in out)
