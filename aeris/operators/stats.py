@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aeris.operators.clean import numeric_columns, one_row
+from aeris.session import ensure_checkpoint_dir
 
 
 def _d(c: str) -> Column:
@@ -109,57 +110,48 @@ def skew_table(df: DataFrame, cols=None, threshold: float = 0.75) -> DataFrame:
     return long.withColumn("is_skewed", F.coalesce(F.abs("skew") > threshold, F.lit(False)))
 
 
-def _pearson(a: str, b: str) -> Column:
-    x, y = _d(a), _d(b)
-    both = x.isNotNull() & y.isNotNull()
-    x, y = F.when(both, x), F.when(both, y)
-    den = F.stddev_pop(x) * F.stddev_pop(y)
-    return F.covar_pop(x, y) / F.when(den != 0, den)
+# Of a column's mean square, the part below which its variance is rounding.
+NO_VARIANCE = 1e-13
 
 
 def corr_long(df: DataFrame, cols=None, fill_zero: bool = True) -> DataFrame:
     """Pearson matrix as (col_a, col_b, idx_a, idx_b, r) for all ordered pairs.
 
-    ``fill_zero`` mirrors "nulls as 0": a first aggregate row holds the means, a
-    second pass sums the products of the distances from them, so columns far from
-    zero lose no digits. Otherwise pairwise-complete rows are used per pair.
-    Constant columns give NULL. The aggregate returns arrays; the long form is one
-    exploded index sequence.
+    ``fill_zero`` mirrors "nulls as 0", otherwise a pair is taken over the rows that
+    have both. Two reads: one row of means, then moments around them, so columns far
+    from zero lose no digits. The moments are summed by null pattern (which columns a
+    row has) and column, with one product sum for each other column; a pair adds up
+    the patterns that hold both. Constant columns give NULL.
     """
     cols = cols or numeric_columns(df)
     p = len(cols)
-    upper = [(i, j) for i in range(p) for j in range(i, p)]
-    q = F.col("_q")
-    i, j = F.floor(q / p).cast("int"), (q % p).cast("int")
-    lo, hi = F.least(i, j), F.greatest(i, j)
-    # position of (lo, hi) in the row-major upper triangle, 1-based
-    tri = (lo * p - (lo * (lo - 1) / 2).cast("int") + (hi - lo) + 1).cast("int")
-    if fill_zero:
-        src = df.select(*[F.coalesce(_d(c), F.lit(0.0)).alias(c) for c in cols])
-        row = one_row(src, **{f"m{i}": F.avg(c) for i, c in enumerate(cols)})
-        src = src.select(*[(F.col(c) - row.getField(f"m{i}")).alias(c) for i, c in enumerate(cols)])
-        wide = src.agg(F.count(F.lit(1)).cast("double").alias("_n"),
-                       F.array(*[F.sum(c) for c in cols]).alias("_s"),
-                       F.array(*[F.min(c) == F.max(c) for c in cols]).alias("_k"),
-                       F.array(*[F.sum(F.col(cols[a]) * F.col(cols[b])) for a, b in upper]).alias("_p"))
-        n = F.col("_n")
-
-        def cov(pos, a, b):
-            return F.element_at("_p", pos) / n - (F.element_at("_s", a + 1) / n) * (F.element_at("_s", b + 1) / n)
-
-        def diag(a):
-            return (a * p - (a * (a - 1) / 2).cast("int") + 1).cast("int")
-
-        den = F.sqrt(cov(diag(i), i, i) * cov(diag(j), j, j))
-        r = F.when(~F.element_at("_k", i + 1) & ~F.element_at("_k", j + 1) & (den > 0),
-                   cov(tri, i, j) / den)
-    else:
-        wide = df.agg(F.array(*[_pearson(cols[a], cols[b]) for a, b in upper]).alias("_r"))
-        r = F.element_at("_r", tri)
+    src = df.select(*[(F.coalesce(_d(c), F.lit(0.0)) if fill_zero else _d(c)).alias(f"_x{i}") for i, c in enumerate(cols)])
+    mean = one_row(src, **{f"m{i}": F.avg(f"_x{i}") for i in range(p)})
+    mask = F.concat(*[F.when(F.col(f"_x{i}").isNull(), "0").otherwise("1") for i in range(p)])
+    far = F.array(*[F.coalesce(F.col(f"_x{i}") - mean.getField(f"m{i}"), F.lit(0.0)) for i in range(p)])
+    rows = src.select(mask.alias("mask"), far.alias("x"))
+    each = rows.select("mask", "x", F.posexplode("x").alias("i", "v"))
+    sums = each.groupBy("mask", "i").agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("s"),
+                                         *[F.sum(F.col("v") * F.col("x")[j]).alias(f"p{j}") for j in range(p)])
+    # one row per null pattern, its columns in order
+    pattern = sums.groupBy("mask").agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct(
+        "i", "s", F.array(*[f"p{j}" for j in range(p)]).alias("p")))).alias("m"))
+    at = F.explode(F.sequence(F.lit(0), F.lit(p * p - 1))).alias("_q")
+    pairs = pattern.select("*", at).select("*", F.floor(F.col("_q") / p).cast("int").alias("a"), (F.col("_q") % p).cast("int").alias("b"))
+    both = (F.substr("mask", F.col("a") + 1, F.lit(1)) == "1") & (F.substr("mask", F.col("b") + 1, F.lit(1)) == "1")
+    m, a, b = F.col("m"), F.col("a"), F.col("b")
+    kept = {"n": F.col("n"), "sa": F.get(m, a)["s"], "sb": F.get(m, b)["s"], "aa": F.get(F.get(m, a)["p"], a),
+            "bb": F.get(F.get(m, b)["p"], b), "ab": F.get(F.get(m, F.least(a, b))["p"], F.greatest(a, b))}
+    total = pairs.groupBy("a", "b").agg(*[F.sum(F.when(both, x)).alias(k) for k, x in kept.items()])
+
+    def variance(square: str, s: str) -> Column:
+        v = F.col(square) / F.col("n") - (F.col(s) / F.col("n")) ** 2
+        return F.when(v > NO_VARIANCE * F.col(square) / F.col("n"), v)
+    cov = F.col("ab") / F.col("n") - F.col("sa") / F.col("n") * F.col("sb") / F.col("n")
+    r = cov / F.sqrt(variance("aa", "sa") * variance("bb", "sb"))
     names = F.array(*[F.lit(c) for c in cols])
-    return (wide.select("*", F.explode(F.sequence(F.lit(0), F.lit(p * p - 1))).alias("_q"))
-                .select(F.element_at(names, i + 1).alias("col_a"), F.element_at(names, j + 1).alias("col_b"),
-                        i.alias("idx_a"), j.alias("idx_b"), r.alias("r")))
+    return total.select(F.get(names, a).alias("col_a"), F.get(names, b).alias("col_b"),
+                        a.alias("idx_a"), b.alias("idx_b"), r.alias("r"))
 
 
 def corr_lower(corr: DataFrame) -> DataFrame:
@@ -170,12 +162,15 @@ def corr_lower(corr: DataFrame) -> DataFrame:
 def corr_with_targets(corr: DataFrame, targets, threshold: float = 0.5) -> DataFrame:
     """(feature, r_<t>...) for columns with |r| > threshold on any target, self
     excluded, ordered by the largest |r| descending."""
-    t0 = targets
-    per = (corr.where(F.col("col_b").isin(t0) & ~F.col("col_a").isin(t0))
-               .groupBy(F.col("col_a").alias("feature"))
-               .pivot("col_b", list(t0)).agg(F.first("r")))
-    strongest = F.greatest(*[F.abs(F.col(t)) for t in t0])
-    return (per.where(F.greatest(*[F.abs(F.col(t)) > threshold for t in t0]))
+    # a row for each pair of columns, written once: the planner would carry the matrix's
+    # expressions into the conditions below, which takes it minutes
+    ensure_checkpoint_dir(corr.sparkSession)
+    corr = corr.checkpoint(eager=True)
+    per = corr.groupBy(F.col("col_a").alias("feature")).agg(
+        *[F.max(F.when(F.col("col_b") == t, F.col("r"))).alias(t) for t in targets],
+        F.max(F.col("col_a").isin(list(targets))).alias("_self"))
+    strongest = F.greatest(*[F.abs(F.col(t)) for t in targets])
+    return (per.where(~F.col("_self") & F.greatest(*[F.abs(F.col(t)) > threshold for t in targets])).drop("_self")
                .withColumn("max_abs_r", strongest).orderBy(F.desc("max_abs_r"), "feature"))
 
 

@@ -763,10 +763,27 @@ def stream_ingest(spark, sf_dir):
     for delivery in (part, events.unionAll(part)):
         delivery.write.mode("append").parquet(f"{root}/inbox/events.parquet")
         arrived = tables.as_event_readings(stream.table_stream(spark, f"{root}/inbox", "events"))
-        kept = stream.run_to_table(stream.dedup_stream(arrived), root)
+        kept = stream.merge_by_day(arrived, root)
     return kept
 
 
+@register("stream_late_rows", """SELECT count(*) AS n_rows, count(DISTINCT event_id) AS n_keys,
+  (SELECT 2 * count(*) FROM events) AS n_sent, (SELECT count(*) FROM events) AS n_dropped FROM events""")
+def stream_late_rows(spark, sf_dir):
+    """The newest events first, the oldest ones weeks later, then all again: nothing is
+    lost as late, nothing is in twice, and what was dropped is counted."""
+    root = stream.stream_root(spark, "late")
+    events = tables.table(spark, sf_dir, "events")
+    late = F.col("ts") <= F.lit(EVENT_MARK).cast("timestamp_ntz")
+    for delivery in (events.where(~late), events.where(late | late.isNull()), events):
+        delivery.write.mode("append").parquet(f"{root}/inbox/events.parquet")
+        kept = stream.merge_by_day(stream.table_stream(spark, f"{root}/inbox", "events"), root)
+    counts = stream.merge_counts(spark, root)
+    return kept.agg(F.count(F.lit(1)).alias("n_rows"), F.count_distinct("event_id").alias("n_keys")).select(
+        "n_rows", "n_keys", counts.agg(F.sum("n_rows")).scalar().alias("n_sent"),
+        counts.agg(F.sum(F.col("n_rows") - F.col("n_new"))).scalar().alias("n_dropped"))
+
+
 _SD_SQL = [q.R, q.K, q.IMP, q.D, """sd AS (SELECT d.*, n_readings FROM d JOIN
   (SELECT CAST(ts AS DATE) AS date, count(*) AS n_readings FROM k GROUP BY 1) USING (date))"""]
 
@@ -1327,6 +1344,18 @@ def csv_roundtrip(spark, sf_dir):
     return files.read_csv(spark, path, "event_id bigint, user_id bigint, event_type string, value double")
 
 
+@register("nan_ingest", """SELECT event_id, CASE WHEN event_id % 7 <> 0 THEN value END AS value,
+  (SELECT count(value) FROM events WHERE event_id % 7 <> 0) AS n_values FROM events""")
+def nan_ingest(spark, sf_dir):
+    """Missing values that a CSV holds as NaN are NULL once read, and do not count."""
+    path = _folder(spark, "nan")
+    events = tables.table(spark, sf_dir, "events").select("event_id", F.when(
+        F.col("event_id") % 7 == 0, F.lit(float("nan"))).otherwise(F.col("value")).alias("value"))
+    files.write_table(events, path, "csv")
+    read = files.read_csv(spark, path, "event_id bigint, value double")
+    return read.withColumn("n_values", read.select(F.count("value")).scalar())
+
+
 @register("promoted_header", """SELECT CAST(event_id AS VARCHAR) AS event_id,
   CASE WHEN event_type = 'click' THEN 'tap' ELSE event_type END AS event_type FROM events""")
 def promoted_header(spark, sf_dir):

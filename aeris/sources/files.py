@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from aeris.functions.coerce import nan_to_null
 
 # The columns of the readings and weather files.
 READINGS_SCHEMA = "station_number string, pollutant string, value double, begin timestamp_ntz, end timestamp_ntz"
@@ -17,15 +18,16 @@ WEATHER_SCHEMA = ("name string, datetime date, temp double, humidity double, pre
 
 
 def read_csv(spark: SparkSession, path: str, schema=None, header: bool = True) -> DataFrame:
-    """CSV scan; with ``schema`` None the types are inferred (one extra pass)."""
+    """CSV scan; with ``schema`` None the types are inferred (one extra pass). NaN
+    counts as missing."""
     r = spark.read.option("header", header)
     r = r.schema(schema) if schema is not None else r.option("inferSchema", True)
-    return r.csv(path)
+    return nan_to_null(r.csv(path))
 
 
 def read_table(spark: SparkSession, path: str, fmt: str = "parquet", schema=None) -> DataFrame:
     r = spark.read.format(fmt)
-    return (r.schema(schema) if schema is not None else r).load(path)
+    return nan_to_null((r.schema(schema) if schema is not None else r).load(path))
 
 
 def promote_header(spark: SparkSession, path: str, rename_values: dict | None = None,

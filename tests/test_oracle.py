@@ -13,7 +13,7 @@ import __spark_entry__ as entry
 from aeris.plans import catalogue
 
 SQL = catalogue.ORACLE
-SKIP = {"stream_ingest", "stream_daily_avg", "stream_advice"}  # covered in test_streaming
+SKIP = {"stream_ingest", "stream_late_rows", "stream_daily_avg", "stream_advice"}  # covered in test_streaming
 
 
 @pytest.fixture(scope="module")

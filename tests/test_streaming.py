@@ -14,7 +14,7 @@ def test_streams_match_batch_oracle(spark):
     con = duckdb.connect()
     for t in ("lineitem", "events"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{SMOKE_DIR}/{t}.parquet')")
-    for name in ("stream_ingest", "stream_daily_avg", "stream_advice"):
+    for name in ("stream_ingest", "stream_late_rows", "stream_daily_avg", "stream_advice"):
         df = entry.queries()[name](spark, SMOKE_DIR)
         rel = con.sql(entry.oracle_sql()[name])
         assert canon(df.columns, [tuple(r) for r in df.collect()]) == canon(rel.columns, rel.fetchall())
@@ -41,3 +41,48 @@ def test_missing_table_raises(spark, tmp_path):
     import pytest
     with pytest.raises(Exception, match="PATH_NOT_FOUND"):
         stream.table_stream(spark, str(tmp_path), "absent")
+
+
+def _stats(spark, day, n):
+    return spark.createDataFrame([(day, n)], "d string, n long")
+
+
+def test_parts_are_logarithmic_and_survive_kills(spark, tmp_path, monkeypatch):
+    from pyspark.sql import functions as F
+    monkeypatch.setattr(stream, "added_stats", lambda df: df.groupBy("d").agg(F.sum("n").alias("n")))
+    monkeypatch.setattr(stream, "FAN", 3)
+    parts = stream.Parts(spark, f"{tmp_path}/state")
+    total = {}
+    for batch in range(14):
+        if batch in (5, 8, 9):  # killed before the manifest was written, once inside a compaction
+            with monkeypatch.context() as m:
+                m.setattr(stream.Parts, "_versions", lambda self, f=stream.Parts._versions, c=[]: (
+                    f(self) if len(c) < 1 and not c.append(1) else (_ for _ in ()).throw(RuntimeError("killed"))))
+                try:
+                    parts.add(_stats(spark, f"d{batch % 3}", batch), batch)
+                except RuntimeError:
+                    pass
+        for _ in range(2):  # a batch may be run again
+            parts.add(_stats(spark, f"d{batch % 3}", batch), batch)
+        total[f"d{batch % 3}"] = total.get(f"d{batch % 3}", 0) + batch
+        got = parts.read("d string, n long").groupBy("d").agg(F.sum("n").alias("n")).collect()
+        assert {r["d"]: r["n"] for r in got} == total
+        live = parts.live()
+        assert len(live) <= 2 * 3 and live[0][0] == 0 and live[-1][1] == batch
+        assert all(a[1] + 1 == b[0] for a, b in zip(live, live[1:]))
+    import os
+    assert len(os.listdir(f"{tmp_path}/state/stats")) <= 10 and len(os.listdir(f"{tmp_path}/state/manifest")) <= 2
+
+
+def test_merge_by_day_takes_null_times_and_late_rows(spark, tmp_path):
+    import datetime as dt
+    kinds = "event_id long, ts timestamp_ntz, v long"
+    root, inbox = f"{tmp_path}/state", f"{tmp_path}/in"
+    deliveries = [[(1, dt.datetime(2024, 5, 9), 1), (2, None, 2)], [(3, dt.datetime(2024, 1, 1), 3), (2, None, 2)],
+                  [(1, dt.datetime(2024, 5, 9), 1), (4, dt.datetime(2024, 5, 9, 1), 4), (4, dt.datetime(2024, 5, 9, 1), 4)]]
+    for rows in deliveries:
+        spark.createDataFrame(rows, kinds).coalesce(1).write.mode("append").parquet(f"{inbox}/t.parquet")
+        kept = stream.merge_by_day(stream.table_stream(spark, inbox, "t"), root)
+    assert sorted(r["event_id"] for r in kept.collect()) == [1, 2, 3, 4] and kept.columns == ["event_id", "ts", "v"]
+    counts = stream.merge_counts(spark, root).orderBy("batch_id").collect()
+    assert [(r["n_rows"], r["n_new"]) for r in counts] == [(2, 2), (2, 1), (3, 1)]
