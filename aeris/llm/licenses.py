@@ -86,7 +86,12 @@ TITLES = {
     "MPL-2.0": ["Mozilla Public License 2.0", "Mozilla Public License, Version 2.0", "Mozilla Public License, v. 2.0"],
     "Unlicense": ["The Unlicense"],
 }
-WORDINGS = ("licensed under", "released under", "distributed under", "available under", "under the terms of")
+WORDINGS = ("licensed under", "released under", "distributed under", "available under", "under the terms of",
+            "covered by", "uses")
+# Words of the shortest notice: fewer are too likely to stand together by chance.
+LEAST_WORDS = 4
+# How a source file names its license by identifier.
+IDENTIFIER = "SPDX-License-Identifier: {0}"
 HEADER = ("This {0} is free software{1} you can redistribute it and/or modify it under the terms of the GNU {2}General "
           "Public License as published by the Free Software Foundation, either version {3} of the License, or (at "
           "your option) any later version.")
@@ -103,7 +108,8 @@ def _folded(text: str) -> list[str]:
 
 
 def notices() -> dict[str, str]:
-    """Usual wordings by name; of the same words once, and none that ``TEMPLATES`` has."""
+    """Usual wordings and identifiers by name; of the same words once, and none that
+    ``TEMPLATES`` has."""
     out, seen = dict(HEADERS), {" ".join(_folded(body)) for body in TEMPLATES.values()}
     for license_id, titles in TITLES.items():
         k = 0
@@ -112,10 +118,11 @@ def notices() -> dict[str, str]:
                 for article in ("", "the ") if not title.startswith("The ") else ("",):
                     body = f"{wording} {article}{title}"
                     words = _folded(body)
-                    if len(words) >= SHINGLE and " ".join(words) not in seen:
+                    if len(words) >= LEAST_WORDS and " ".join(words) not in seen:
                         seen.add(" ".join(words))
                         k += 1
                         out[f"{license_id}-notice{k}"] = body
+        out[f"{license_id}-identifier"] = IDENTIFIER.format(license_id)
     return out
 
 
@@ -162,12 +169,13 @@ def _literal(grams) -> Column:
 
 
 def _license_of(name: str) -> str:
-    return re.sub("-(?:text|header|grant|notice[0-9]+)$", "", name)
+    return re.sub("-(?:text|header|grant|identifier|notice[0-9]+)$", "", name)
 
 
 def _yielding(signed) -> tuple[list[str], list[str]]:
-    """Pairs "a>b": notices and whole texts a of which b holds ``SIMILARITY``. The
-    first list yields to a greater share of b, the second (one license) to the same."""
+    """Pairs "a>b": notices, headers and whole texts a of which b holds ``SIMILARITY``.
+    The first list yields to a greater share of b, the second (one license, the ten of
+    ``TEMPLATES`` left out) to the same."""
     own = {t["name"]: set(t["grams"]) for t in signed}
     where: dict[str, list[str]] = {}
     for name, grams in own.items():
@@ -175,7 +183,7 @@ def _yielding(signed) -> tuple[list[str], list[str]]:
             where.setdefault(gram, []).append(name)
     greater, same = [], []
     for name, grams in own.items():
-        if re.search("-(?:text|notice[0-9]+)$", name) or name in HEADERS:
+        if re.search("-(?:text|header|notice[0-9]+)$", name):
             shared: dict[str, int] = {}
             for gram in grams:
                 for other in where[gram]:
@@ -184,7 +192,7 @@ def _yielding(signed) -> tuple[list[str], list[str]]:
                 if other != name and n >= SIMILARITY * len(grams):
                     greater.append(f"{name}>{other}")
                     larger = (len(own[other]), other) > (len(grams), name)
-                    if larger and _license_of(other) == _license_of(name):
+                    if larger and _license_of(other) == _license_of(name) and name not in TEMPLATES:
                         same.append(f"{name}>{other}")
     return greater, same
 

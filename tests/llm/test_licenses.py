@@ -93,6 +93,23 @@ def test_whole_license_texts_and_usual_wordings(spark):
     assert got[906] == ["GPL-3.0"] and got[907] == []
 
 
+def test_headers_of_one_license_do_not_name_another(spark):
+    table = licenses.default_templates()
+    rows = [(i, f"some words before {table[n]} and some after it") for i, n in enumerate(
+        ["GPL-2.0-header", "AGPL-3.0-header", "LGPL-3.0-header", "LGPL-2.1-header", "GPL-3.0-header", "Apache-2.0-header"])]
+    got = dict(names(spark, rows))
+    assert [{licenses._license_of(n) for n in got[i]} for i in range(6)] == [
+        {"GPL-2.0"}, {"AGPL-3.0"}, {"LGPL-3.0"}, {"LGPL-2.1"}, {"GPL-3.0"}, {"Apache-2.0"}]
+
+
+def test_identifiers_and_further_wordings(spark):
+    rows = [(1, "// SPDX-License-Identifier: MIT\nint main"), (2, "# SPDX-License-Identifier: GPL-3.0"),
+            (3, "This project uses the MIT License."), (4, "covered by the MIT license"), (5, "spdx identifier of a license"),
+            (6, "/* SPDX-License-Identifier: Apache-2.0 */"), (7, "SPDX-License-Identifier: LGPL-3.0")]
+    got = {i: {licenses._license_of(n) for n in found} for i, found in names(spark, rows)}
+    assert got == {1: {"MIT"}, 2: {"GPL-3.0"}, 3: {"MIT"}, 4: {"MIT"}, 5: set(), 6: {"Apache-2.0"}, 7: {"LGPL-3.0"}}
+
+
 @pytest.mark.parametrize("n,size", [(1, 1), (2, 2), (3, 3), (5, 6), (7, 8), (9, 12), (13, 16), (25, 32), (33, 48)])
 def test_window_classes(n, size):
     assert licenses.window_class(n) == size
