@@ -13,7 +13,6 @@ from tests.llm import frames
 PATH = public_tokenizers.path(packing.TOKENIZER)
 RANKS = packing.merge_ranks(PATH)
 WHOLE = Tokenizer.from_file(PATH)
-WHOLE.encode_special_tokens = True
 ENCODER = packing._Encoder(PATH, RANKS)
 
 
