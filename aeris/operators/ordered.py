@@ -99,15 +99,18 @@ def _ensure_index(df: DataFrame, order, partition_by, id_col: str) -> DataFrame:
 
 
 def blocked(df: DataFrame, halo: int, block_rows: int = DEFAULT_BLOCK_ROWS,
-            id_col: str = ROW_ID) -> DataFrame:
+            id_col: str = ROW_ID, ahead: int = 0) -> DataFrame:
     """Rows tagged with ``_blk``; the last ``halo`` rows of a block are repeated
-    in the next block with ``_home`` = false."""
+    in the next block, and its first ``ahead`` rows in the one before, with ``_home``
+    = false."""
     blk = F.floor(F.col(id_col) / F.lit(block_rows)).cast("long")
-    if halo <= 0:
+    if halo <= 0 and ahead <= 0:
         return df.withColumn(_BLK, blk).withColumn(_HOME, F.lit(True))
-    # the row's own block, and every later one whose first row lies up to halo rows after it
+    # the row's own block, every later one whose first row lies up to halo rows after it,
+    # and every earlier one whose last row lies up to ahead rows before it
     last = F.floor((F.col(id_col) + F.lit(halo)) / F.lit(block_rows)).cast("long")
-    copies = df.withColumn("_own", blk).withColumn(_BLK, F.explode(F.sequence(blk, last)))
+    first = F.floor((F.col(id_col) - F.lit(ahead)) / F.lit(block_rows)).cast("long") if ahead > 0 else blk
+    copies = df.withColumn("_own", blk).withColumn(_BLK, F.explode(F.sequence(first, last)))
     return copies.withColumn(_HOME, F.col(_BLK) == F.col("_own")).drop("_own")
 
 

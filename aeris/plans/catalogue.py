@@ -1124,24 +1124,78 @@ def forest_fold_mse_small(spark, sf_dir):
     return r6(forest.fold_errors(t, SMALL, MODEL_TARGETS, params=SMALL_PARAMS, folds=5))
 
 
+SEQ_LABELS = ["no2_week", "o3_week"]
+SEQ_REG = 0.1
+_SEQ_CELLS = SEQ_LEN * len(SEQ_FEATURES)
+
+
+def _seq_ctes():
+    """Windows written out (oldest day first), their covariances over train, and the
+    ridge solved by elimination: cell i of a label in ``seq_w``."""
+    cells = ", ".join(f"coalesce(CAST(b.{c} AS DOUBLE), 0.0)" for c in SEQ_FEATURES)
+    labels = ", ".join(f"({k}, {c})" for k, c in enumerate(SEQ_LABELS))
+    return q.BASE + [q.S, q.SP, _ROLL_SQL, f"""sw AS MATERIALIZED (SELECT date, split, {", ".join(SEQ_LABELS)}, flatten(steps) AS x
+      FROM (SELECT b.date, b.split, r.no2_week, r.o3_week, list([{cells}]) OVER (PARTITION BY b.split ORDER BY b.row_id
+        ROWS BETWEEN {SEQ_LEN} PRECEDING AND 1 PRECEDING) AS steps FROM sp b JOIN rb r USING (date)) WHERE len(steps) = {SEQ_LEN})""",
+      f"""sy AS MATERIALIZED (SELECT date, t.k, t.y, x FROM sw, LATERAL (VALUES {labels}) t(k, y)
+        WHERE split = 'train' AND t.y IS NOT NULL)""",
+      f"""sl AS MATERIALIZED (SELECT date, k, unnest(list_append(x, y)) AS v, unnest(range(1, {_SEQ_CELLS + 2})) AS i FROM sy)""",
+      """sc AS MATERIALIZED (SELECT a.k, a.i, b.i AS j, covar_pop(a.v, b.v) AS cov FROM sl a JOIN sl b USING (k, date)
+        GROUP BY a.k, a.i, b.i)""",
+      f"""sr AS (SELECT k, i, list(cov + CASE WHEN i = j THEN cov * {SEQ_REG} / sd ELSE 0 END ORDER BY j) AS r FROM sc JOIN
+        (SELECT k, sqrt(cov) AS sd FROM sc WHERE i = {_SEQ_CELLS + 1} AND j = i) USING (k) WHERE i <= {_SEQ_CELLS} GROUP BY k, i)""",
+      f"""walk_sq(step, k, i, r) AS (SELECT CAST(1 AS BIGINT), k, i, r FROM sr UNION ALL SELECT a.step + 1, a.k, a.i,
+        CASE WHEN a.i = a.step THEN list_transform(a.r, lambda v: v / a.r[a.step])
+             ELSE list_transform(range(1, {_SEQ_CELLS + 2}), lambda j: a.r[j] - a.r[a.step] / b.r[a.step] * b.r[j]) END
+        FROM walk_sq a JOIN walk_sq b ON b.k = a.k AND b.i = a.step WHERE a.step <= {_SEQ_CELLS})""",
+      f"""seq_w AS (SELECT k, i, r[{_SEQ_CELLS + 1}] AS w FROM walk_sq WHERE step = {_SEQ_CELLS + 1})""",
+      f"""seq_b AS (SELECT k, max(CASE WHEN i = {_SEQ_CELLS + 1} THEN m END) - sum(CASE WHEN i <= {_SEQ_CELLS} THEN m * w ELSE 0 END) AS b
+        FROM (SELECT k, i, avg(v) AS m FROM sl GROUP BY k, i) LEFT JOIN seq_w USING (k, i) GROUP BY k)""",
+      """seq_p AS (SELECT date, no2_week, o3_week, """ + ", ".join(
+          f"list_dot_product(x, (SELECT list(w ORDER BY i) FROM seq_w WHERE k = {k})) + (SELECT b FROM seq_b WHERE k = {k}) AS pred_{c}"
+          for k, c in enumerate(SEQ_LABELS)) + " FROM sw WHERE split = 'test')"]
+
+
+_SEQ_OUT = "SELECT date, " + q.rnd([*SEQ_LABELS, *[f"pred_{c}" for c in SEQ_LABELS]]) + " FROM seq_p"
+
+
+@register("seq_moments", q.with_(_seq_ctes(), f"""SELECT label, CAST(CASE WHEN i > {_SEQ_CELLS} THEN 0 ELSE {SEQ_LEN} - (i - 1) // {len(SEQ_FEATURES)} END AS INTEGER) AS lag,
+  coalesce(fi.name, label) AS feature, CAST(CASE WHEN j > {_SEQ_CELLS} THEN 0 ELSE {SEQ_LEN} - (j - 1) // {len(SEQ_FEATURES)} END AS INTEGER) AS lag_2,
+  coalesce(fj.name, label) AS feature_2, {q.rd("cov")} AS cov FROM sc
+  JOIN (VALUES {", ".join(f"({k}, '{c}')" for k, c in enumerate(SEQ_LABELS))}) l(k, label) USING (k)
+  LEFT JOIN (VALUES {", ".join(f"({k}, '{c}')" for k, c in enumerate(SEQ_FEATURES))}) fi(n, name)
+    ON i <= {_SEQ_CELLS} AND fi.n = (i - 1) % {len(SEQ_FEATURES)}
+  LEFT JOIN (VALUES {", ".join(f"({k}, '{c}')" for k, c in enumerate(SEQ_FEATURES))}) fj(n, name)
+    ON j <= {_SEQ_CELLS} AND fj.n = (j - 1) % {len(SEQ_FEATURES)}
+  WHERE j > {_SEQ_CELLS} OR (i <= {_SEQ_CELLS} AND ({SEQ_LEN} - (i - 1) // {len(SEQ_FEATURES)}, fi.n) <= ({SEQ_LEN} - (j - 1) // {len(SEQ_FEATURES)}, fj.n))"""))
+def seq_moments(spark, sf_dir):
+    """Covariances of the cells of all 14-day windows of train and of their labels."""
+    # read twice: means, products
+    train = _rolled(spark, sf_dir).checkpoint(eager=True).where(F.col("split") == "train")
+    found = forecast.window_moments(train, SEQ_FEATURES, SEQ_LABELS, SEQ_LEN, partition_by=["split"])
+    return r6(spark.createDataFrame(forecast.covariances(found, SEQ_FEATURES, SEQ_LEN),
+                                    "label string, lag int, feature string, lag_2 int, feature_2 string, cov double"))
+
+
 def _seq_predictions(spark, sf_dir):
-    r = _rolled(spark, sf_dir)
-    seq = ordered.sequence_windows(r, SEQ_FEATURES, SEQ_LEN, "date", partition_by=["split"])
-    seq = seq.checkpoint(eager=True)
-    models = forecast.fit_sequence_models(seq.where(F.col("split") == "train"), ["no2_week", "o3_week"])
-    return forecast.predict_sequences(models, seq.where(F.col("split") == "test"), ("date", "no2_week", "o3_week"))
+    # the fit reads the table twice (means, products), the forecasts once more
+    r = _rolled(spark, sf_dir).checkpoint(eager=True)
+    models = forecast.fit_sequence_models(r.where(F.col("split") == "train"), SEQ_FEATURES, SEQ_LABELS, SEQ_LEN,
+                                          partition_by=["split"], reg=SEQ_REG)
+    return forecast.predict_sequences(models, r.where(F.col("split") == "test"), partition_by=["split"],
+                                      keep=("date", *SEQ_LABELS))
 
 
-@register("seq_forecast")
+@register("seq_forecast", q.with_(_seq_ctes(), _SEQ_OUT))
 def seq_forecast(spark, sf_dir):
     """Test-split forecasts of the 7-day means from 14-day windows."""
-    return _seq_predictions(spark, sf_dir)
+    return r6(_seq_predictions(spark, sf_dir))
 
 
-@register("next_forecast")
+@register("next_forecast", q.with_(_seq_ctes(), _SEQ_OUT + " ORDER BY date LIMIT 3"))
 def next_forecast(spark, sf_dir):
     """The first three forecast days of the test split."""
-    return forecast.next_days(_seq_predictions(spark, sf_dir), 3)
+    return r6(forecast.next_days(_seq_predictions(spark, sf_dir), 3))
 
 
 # --- small inventory items ----------------------------------------------------------

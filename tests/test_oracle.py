@@ -43,7 +43,7 @@ def test_entry_smoke(spark):
 def test_every_query_has_oracle_or_is_model():
     from aeris.plans import catalogue
     rows_only = set(catalogue.QUERIES) - set(catalogue.ORACLE)
-    # each but the forecasts has a twin with an oracle: *_two, *_small, lasso_optimal
+    # each has a twin with an oracle: *_two, *_small, lasso_optimal
     assert rows_only <= {"cv_ridge", "lasso_fit", "overfit_loop", "forest_fit", "forest_importance",
-                         "grid_search", "seq_forecast", "next_forecast", "linear_eval",
+                         "grid_search", "linear_eval",
                          "linear_predictions", "forest_fold_mse"}
