@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from aeris.sources import storage
+
 METRICS = ["mse", "rmse", "r2"]
 
 
@@ -56,8 +60,77 @@ def test_view(metrics: DataFrame, model: str) -> DataFrame:
                    for m in METRICS])
 
 
+METRICS_SCHEMA = "model string, split string, metric string, value double, version int"
+
+
+class MetricsStore:
+    """Snapshots of the metrics table behind a manifest.
+
+    A snapshot is a folder of JSON lines that is written once and never changed. Then a
+    manifest ``manifest/<version>`` is written that names it and its number of rows; the
+    greatest version written to its end counts. A write that dies before that leaves the
+    version before as it was, and its number is not used again. Of the versions the last
+    ``keep`` stay. Writers take turns: of two at a time with one number the later fails."""
+
+    def __init__(self, spark: SparkSession, root: str, keep: int = 10):
+        self.spark, self.root, self.keep = spark, root.rstrip("/"), max(1, keep)
+
+    def _numbers(self) -> list[int]:
+        return sorted(int(n) for n in storage.names(self.spark, f"{self.root}/manifest"))
+
+    def versions(self) -> list[int]:
+        """Versions that can be read, oldest first."""
+        return [n for n in self._numbers()
+                if storage.exists(self.spark, f"{self.root}/manifest/{n}/_SUCCESS")]
+
+    def _manifest(self, version: int):
+        return self.spark.read.schema("folder string, n_rows long").json(
+            f"{self.root}/manifest/{version}").first()
+
+    def read(self, version: int | None = None) -> DataFrame:
+        """The table at ``version`` (the newest one); empty before the first write. A
+        snapshot that does not hold the rows its manifest counts raises."""
+        versions = self.versions()
+        if version is None and not versions:
+            return self.spark.createDataFrame([], METRICS_SCHEMA)
+        version = versions[-1] if version is None else version
+        if version not in versions:
+            raise ValueError(f"no version {version} of the metrics; there are {versions}")
+        named = self._manifest(version)
+        rows = self.spark.read.schema(METRICS_SCHEMA).json(f"{self.root}/data/{named['folder']}")
+        if rows.count() != named["n_rows"]:
+            raise ValueError(f"version {version} of the metrics is damaged: {named['n_rows']} rows expected")
+        return rows
+
+    def write(self, metrics_long: DataFrame) -> int:
+        """Write the whole table as the next version and return its number."""
+        number = max(self._numbers(), default=0) + 1
+        folder = uuid.uuid4().hex
+        where = f"{self.root}/data/{folder}"
+        metrics_long.select("model", "split", "metric", "value", "version").write.json(where)
+        n_rows = self.spark.read.schema(METRICS_SCHEMA).json(where).count()
+        self.spark.createDataFrame([(folder, n_rows)], "folder string, n_rows long").coalesce(1).write.json(
+            f"{self.root}/manifest/{number}")
+        self._retire()
+        return number
+
+    def upsert(self, new: DataFrame) -> int:
+        """The newest version with ``new`` taken in: the later version wins per key."""
+        return self.write(upsert(self.read(), new))
+
+    def _retire(self) -> None:
+        versions = self.versions()
+        kept, gone = versions[-self.keep:], versions[:-self.keep]
+        for number in gone:  # the manifest first: a snapshot without one is not read
+            folder = self._manifest(number)["folder"]
+            storage.remove(self.spark, f"{self.root}/manifest/{number}")
+            if folder not in {self._manifest(n)["folder"] for n in kept}:
+                storage.remove(self.spark, f"{self.root}/data/{folder}")
+
+
 def write_metrics_json(metrics_long: DataFrame, path: str) -> None:
-    """Persist the long metrics table as JSON lines (overwrite of the whole table)."""
+    """Export the long metrics table as JSON lines, in the place of what is there. A table
+    that must outlive a killed write belongs in a ``MetricsStore``."""
     metrics_long.write.mode("overwrite").json(path)
 
 
@@ -66,7 +139,7 @@ def read_metrics_json(spark, path: str) -> DataFrame:
     gives an empty table, and lines that are no metrics records are left out (a
     corrupt file starts empty); any other error, such as a forbidden read, is raised."""
     from pyspark.errors import AnalysisException
-    schema = "model string, split string, metric string, value double, version int"
+    schema = METRICS_SCHEMA
     try:
         rows = spark.read.schema(schema + ", _bad string").option(
             "columnNameOfCorruptRecord", "_bad").json(path)

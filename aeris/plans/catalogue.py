@@ -1444,6 +1444,32 @@ def metrics_json(spark, sf_dir):
     return r6(metrics.read_metrics_json(spark, path))
 
 
+@register("metrics_store", _upsert_sql())
+def metrics_store(spark, sf_dir):
+    """Version 1 of the store holds the first scores, version 2 the upsert; then a write
+    dies before its manifest, and version 2 is still what is read (A10)."""
+    sp = _split_daily(spark, sf_dir)
+    store = metrics.MetricsStore(spark, _folder(spark, "metrics-store"))
+    store.write(metrics.to_long(_scored(spark, sf_dir, True, sp), "split", 0, "rolling7"))
+    newer = metrics.to_long(_scored(spark, sf_dir, False, sp).where(F.col("split") == "test"), "split", 1, "rolling7")
+    store.upsert(newer)
+    store.read().limit(1).write.json(f"{store.root}/data/unfinished")
+    return r6(store.read())
+
+
+@register("table_append", q.with_([q.EV], f"""SELECT event_id, station, pollutant, concentration, ts, CAST(ts AS DATE) AS date,
+  (SELECT max(ts) FROM ev WHERE ts <= TIMESTAMP '{EVENT_MARK}') AS mark FROM ev"""))
+def table_append(spark, sf_dir):
+    """A table partitioned by day takes the readings up to the mark, then all of them
+    again: the mark is read from the newest day alone, and every reading is there once (A5, A8)."""
+    batch, existing = _event_parts(spark, sf_dir)
+    path = _folder(spark, "table")
+    ingest.append_to_table(existing, path)
+    mark = ingest.append_to_table(batch, path)
+    return spark.read.parquet(path).select("event_id", "station", "pollutant", "concentration", "ts", "date",
+                                           F.lit(mark).cast("timestamp_ntz").alias("mark"))
+
+
 @register("dropped_columns", q.with_(q.BASE, "SELECT date, " + q.rnd(["avg_no2", "avg_o3"]) + " FROM f"))
 def dropped_columns(spark, sf_dir):
     """Unwanted columns dropped, absent names ignored (B2)."""

@@ -6,9 +6,11 @@ and is appended; the mark is the maximum end timestamp of the target.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from aeris.sources import storage
+
 
 def high_water_mark(df: DataFrame, ts: str = "ts"):
     """The mark as a scalar-subquery column (max of ``ts``)."""
@@ -36,6 +38,37 @@ def write_append(df: DataFrame, path: str, partition_by=("date",), fmt: str = "p
     df.write.mode("append").partitionBy(*partition_by).format(fmt).save(path)
 
 
+def table_mark(spark: SparkSession, path: str, ts: str = "ts", day: str = "date"):
+    """The mark of a table that ``write_append`` partitioned by the day of ``ts``: the
+    newest day from the folder names, then the maximum inside it, so one day is read
+    whatever the table's size. A day without rows, or without a time, leads on to the day
+    before. None without any mark or table."""
+    prefix = f"{day}="
+    # rows without a day have no time either: their folder's name is no date
+    days = [n for n in storage.names(spark, path) if n.startswith(prefix) and n[len(prefix):][:1].isdigit()]
+    for name in sorted(days, reverse=True):
+        if storage.names(spark, f"{path}/{name}"):
+            mark = day_rows(spark, path, name).agg(F.max(ts).alias("mark")).first()["mark"]
+            if mark is not None:
+                return mark
+    return None
+
+
+def day_rows(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """The rows of one partition folder; no other folder is listed."""
+    return spark.read.option("basePath", path).parquet(f"{path}/{name}")
+
+
+def append_to_table(batch: DataFrame, path: str, ts: str = "ts", day: str = "date"):
+    """Append the rows of ``batch`` after the table's mark under the day of ``ts``; returns
+    the mark that was found. A table that is not there yet takes the whole batch."""
+    mark = table_mark(batch.sparkSession, path, ts, day)
+    # a literal of the column's own type
+    fresh = new_rows(batch, F.lit(mark).cast(batch.schema[ts].dataType), ts)
+    write_append(fresh.withColumn(day, F.to_date(ts)), path, (day,))
+    return mark
+
+
 def last_available_date(df: DataFrame, col: str):
     """max of the column parsed leniently, formatted yyyy-MM-dd (one row)."""
     parsed = F.try_to_timestamp(F.col(col).cast("string"))

@@ -27,6 +27,7 @@ from aeris.functions.advisory import aqi_band, health_advice
 from aeris.operators.clean import station_filter
 from aeris.operators.daily import added_stats, daily_stats, imputed_means
 from aeris.session import ensure_checkpoint_dir
+from aeris.sources.storage import exists as _exists, file_system as _files
 from aeris.sources.tables import KEPT_STATIONS, as_readings
 
 
@@ -110,17 +111,6 @@ def stream_root(spark: SparkSession, name: str) -> str:
     return ensure_checkpoint_dir(spark).rstrip("/") + f"/streams/{name}-{uuid.uuid4().hex}"
 
 
-def _files(spark: SparkSession, path: str):
-    """(file system, path) of the cluster's storage."""
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    fs, at = _files(spark, path)
-    return fs.exists(at)
-
-
 # Parts of one size that become one part of the next.
 FAN = 8
 

@@ -92,3 +92,71 @@ def test_metrics_json_roundtrip_and_upsert(spark, tmp_path):
     merged = metrics.upsert(metrics.read_metrics_json(spark, path), new)
     got = {(r["split"], r["value"]) for r in merged.collect()}
     assert got == {("test", 0.5), ("cv", 2.0)}
+
+
+def _stamped(spark, *stamps):
+    return spark.createDataFrame([(i, s) for i, s in enumerate(stamps)], "id int, ts timestamp_ntz")
+
+
+def test_table_mark_reads_the_newest_day_with_rows(spark, tmp_path):
+    from aeris.sources import ingest
+    path = str(tmp_path / "table")
+    assert ingest.table_mark(spark, path) is None
+    first = _stamped(spark, dt.datetime(2024, 1, 1, 5), dt.datetime(2024, 1, 2, 7), dt.datetime(2024, 1, 2, 6), None)
+    assert ingest.append_to_table(first, path) is None
+    assert ingest.table_mark(spark, path) == dt.datetime(2024, 1, 2, 7)
+    # newer days that hold no row, no file, or no time
+    first.where("false").drop("date").write.parquet(f"{path}/date=2024-01-03")
+    (tmp_path / "table" / "date=2024-01-04").mkdir()
+    first.withColumn("ts", F.lit(None).cast("timestamp_ntz")).write.parquet(f"{path}/date=2024-01-05")
+    assert ingest.table_mark(spark, path) == dt.datetime(2024, 1, 2, 7)
+    # only the part after the mark comes in, and a second delivery adds nothing
+    before = spark.read.parquet(path).count()
+    second = _stamped(spark, dt.datetime(2024, 1, 2, 7), dt.datetime(2024, 1, 2, 8), dt.datetime(2024, 1, 9))
+    assert ingest.append_to_table(second, path) == dt.datetime(2024, 1, 2, 7)
+    assert spark.read.parquet(path).count() == before + 2
+    assert ingest.append_to_table(second, path) == dt.datetime(2024, 1, 9)
+    assert spark.read.parquet(path).count() == before + 2
+
+
+def test_table_mark_lists_one_day(spark, tmp_path):
+    from aeris.sources import ingest
+    path = str(tmp_path / "table")
+    ingest.append_to_table(_stamped(spark, dt.datetime(2024, 1, 1), dt.datetime(2024, 1, 2)), path)
+    read = ingest.day_rows(spark, path, "date=2024-01-02")
+    assert all("date=2024-01-02" in f for f in read.inputFiles()) and read.first()["date"] == dt.date(2024, 1, 2)
+
+
+def _metric(spark, value, version, split="test"):
+    from aeris.operators import metrics
+    return spark.createDataFrame([("lin", split, "mse", value, version)], metrics.METRICS_SCHEMA)
+
+
+def test_killed_write_leaves_the_last_version(spark, tmp_path, monkeypatch):
+    from aeris.operators import metrics
+    store = metrics.MetricsStore(spark, str(tmp_path / "store"))
+    assert store.versions() == [] and store.read().count() == 0
+    assert store.write(_metric(spark, 1.0, 0).unionAll(_metric(spark, 4.0, 0, "cv"))) == 1
+    broken = _metric(spark, 2.0, 1).withColumn("value", F.raise_error(F.lit("killed")).cast("double"))
+    with pytest.raises(Exception, match="killed"):
+        store.write(broken)  # while the snapshot is written
+    (tmp_path / "store" / "manifest" / "2").mkdir()  # while its manifest is written
+    assert store.versions() == [1]
+    assert sorted(r["value"] for r in store.read().collect()) == [1.0, 4.0]
+    assert store.upsert(_metric(spark, 0.5, 1)) == 3
+    assert {(r["split"], r["value"]) for r in store.read().collect()} == {("test", 0.5), ("cv", 4.0)}
+    assert sorted(r["value"] for r in store.read(1).collect()) == [1.0, 4.0]
+    with pytest.raises(ValueError, match="no version 2"):
+        store.read(2)
+
+
+def test_store_retires_old_versions_and_tells_damage(spark, tmp_path):
+    from aeris.operators import metrics
+    store = metrics.MetricsStore(spark, str(tmp_path / "store"), keep=2)
+    for i in range(4):
+        store.write(_metric(spark, float(i), i))
+    assert store.versions() == [3, 4] and len(list((tmp_path / "store" / "data").iterdir())) == 2
+    for part in (tmp_path / "store" / "data").glob("*/*.json"):
+        part.unlink()
+    with pytest.raises(ValueError, match="damaged"):
+        store.read()
