@@ -8,14 +8,20 @@ and the error is at most
 
     norm * |q| * sqrt(1 - cosine^2) / cosine * EPSILON / sqrt(dimension - 1)
 
-but for a small probability that EPSILON sets. Per query and block the best
-estimates are computed exactly first; their k-th score is a bar, and all
-vectors whose estimate plus error reaches the bar are computed exactly too.
+but for a small probability that EPSILON sets. The codes stay packed: for a block of
+queries the 256 possible bytes of eight dimensions have their inner products in a
+table, and an estimate adds one entry a byte.
 
-Vectors and queries move in blocks. A lane holds a share of the vector blocks;
-each query block is copied to every lane. Each pair of blocks yields at most k
-rows a query, and the best k of these remain. No index is fitted on a sample:
-the rotation depends on the dimension alone.
+A query's bar is its exact k-th best score in a sample of the vectors (``SAMPLE`` rows
+of least id hash, fewer beyond ``SAMPLE_BYTES``, the same for all queries). The k nearest
+reach it, so of every block only the vectors whose estimate plus error does are computed
+exactly; where these are many, the best of them raise the bar for that block first. The
+sample sets the cost alone: a low bar means more exact scores, never other results.
+
+Vectors and queries move in blocks. A lane holds a vector block or a few, so their
+number grows with the table; each query block is copied to every lane. Each pair of blocks
+yields at most k rows a query, and the best k of these remain. No index is fitted: the
+rotation depends on the dimension alone.
 
 Defined results: rows with a null id take no part, nor do vectors that are
 null, zero, or hold null or non-finite components, nor those of another
@@ -38,14 +44,15 @@ from aeris.llm.common import scratch_table, table
 
 NEAREST = 20
 QUERY_EVERY = 20
-EPSILON = 1.9
+EPSILON = 2.5
 VECTOR_BLOCK = 4096
 QUERY_BLOCK = 512
-LANES = 64
+SAMPLE = 4096
+SAMPLE_BYTES = 8 << 20
 SEED = 20240521
 
 VECTOR_SCHEMA = "lane int, ids binary, bits binary, norms binary, cosines binary, vectors binary"
-QUERY_SCHEMA = "query_ids binary, queries binary"
+QUERY_SCHEMA = "query_ids binary, queries binary, bars binary"
 FOUND_SCHEMA = "query_id long, vec_id long, score double"
 
 
@@ -70,30 +77,52 @@ def _best(ids: np.ndarray, scores: np.ndarray, k: int) -> np.ndarray:
     return np.lexsort((ids, -scores))[:k]
 
 
-def search_block(ids, bits, norms, cosines, vectors, query_ids, queries, k: int, epsilon: float):
-    """(query row, vector row, score) of the k best of a vector block per query."""
+def estimates(bits, norms, cosines, queries) -> np.ndarray:
+    """Estimated inner products of packed codes (rows) with queries (columns)."""
+    dim = queries.shape[1]
+    turned = np.zeros((bits.shape[1] * 8, len(queries)), dtype=np.float32)
+    turned[:dim] = ((queries.astype(np.float64) @ rotation(dim)) / np.sqrt(dim)).T
+    signs = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float32) * 2 - 1
+    total = np.zeros((len(bits), len(queries)), dtype=np.float32)
+    for byte in range(bits.shape[1]):
+        total += (signs @ turned[8 * byte:8 * byte + 8])[bits[:, byte]]
+    return total * (norms / cosines)[:, None]
+
+
+def bars(ids, vectors, query_ids, queries, k: int) -> np.ndarray:
+    """Each query's k-th best score among ``vectors``, itself left out, less what rounding
+    may take; minus infinity if there are fewer."""
+    if len(ids) <= k:
+        return np.full(len(query_ids), -np.inf)
+    doubles, wide = vectors.astype(np.float64), queries.astype(np.float64)
+    scores = wide @ doubles.T
+    scores[query_ids[:, None] == ids] = -np.inf
+    found = np.partition(scores, len(ids) - k, axis=1)[:, len(ids) - k]
+    reach = np.sqrt((wide ** 2).sum(axis=1)) * np.sqrt((doubles ** 2).sum(axis=1).max())
+    found = found - 1e-9 * reach
+    return np.where(np.isfinite(found), found, -np.inf)
+
+
+def search_block(ids, bits, norms, cosines, vectors, query_ids, queries, lowest, k: int, epsilon: float):
+    """(query row, vector row, score) of the k best of a vector block per query; vectors
+    that cannot reach the query's bar ``lowest`` are left out."""
     dim = vectors.shape[1]
-    signs = (np.unpackbits(bits, axis=1, count=dim).astype(np.float32) * 2 - 1) / np.sqrt(dim)
     wide = queries.astype(np.float64)
-    turned = wide @ rotation(dim)
     lengths = np.sqrt((wide ** 2).sum(axis=1))
-    estimates = (signs @ turned.T.astype(np.float32)).astype(np.float64)
-    estimates *= (norms / cosines)[:, None]
+    guesses = np.ascontiguousarray(estimates(bits, norms, cosines, queries).T)
     spread = norms * np.sqrt(np.maximum(0, 1 - cosines ** 2)) / cosines
     spread = spread * epsilon / np.sqrt(max(1, dim - 1))
     doubles = vectors.astype(np.float64)
-    first = min(len(ids), 2 * k + 1)
     for j in range(len(query_ids)):
-        guess, query = estimates[:, j], wide[j]
-        tried = np.argpartition(-guess, first - 1)[:first]
-        tried = tried[ids[tried] != query_ids[j]]
-        scores = (doubles[tried] * query).sum(axis=1)
-        if len(tried) < k:
-            rows = np.flatnonzero(ids != query_ids[j])
-        else:
-            bar = np.partition(scores, len(scores) - k)[len(scores) - k]
-            rows = np.flatnonzero(guess + spread * lengths[j] >= bar)
-            rows = np.union1d(rows[ids[rows] != query_ids[j]], tried)
+        query, most = wide[j], guesses[j] + spread * lengths[j]
+        # a number that overflowed is no reason to leave a vector out
+        rows = np.flatnonzero(~(most < lowest[j]))
+        rows = rows[ids[rows] != query_ids[j]]
+        if len(rows) > 4 * k:
+            tried = rows[np.argpartition(-guesses[j][rows], 2 * k)[:2 * k]]
+            scores = (doubles[tried] * query).sum(axis=1)
+            bar = np.partition(scores, k)[k]
+            rows = np.union1d(rows[~(most[rows] < bar)], tried)
         scores = (doubles[rows] * query).sum(axis=1)
         best = _best(ids[rows], scores, k)
         yield j, rows[best], scores[best]
@@ -128,11 +157,15 @@ def _vector_blocks(lanes: int):
     return run
 
 
-def _query_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for ids, vectors in _blocks(batches, QUERY_BLOCK):
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([ids.astype("<i8").tobytes()], pa.binary()),
-             pa.array([vectors.tobytes()], pa.binary())], ["query_ids", "queries"])
+def _query_blocks(ids: np.ndarray, vectors: np.ndarray, k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for query_ids, queries in _blocks(batches, QUERY_BLOCK):
+            lowest = bars(ids, vectors, query_ids, queries, k)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([x], pa.binary()) for x in (query_ids.astype("<i8").tobytes(), queries.tobytes(),
+                                                      lowest.astype("<f8").tobytes())],
+                ["query_ids", "queries", "bars"])
+    return run
 
 
 def _search(dim: int, dtype: str, k: int, epsilon: float):
@@ -140,14 +173,16 @@ def _search(dim: int, dtype: str, k: int, epsilon: float):
         for batch in batches:
             for row in range(batch.num_rows):
                 got = {f: batch.column(f)[row].as_buffer() for f in
-                       ("ids", "bits", "norms", "cosines", "vectors", "query_ids", "queries")}
+                       ("ids", "bits", "norms", "cosines", "vectors", "query_ids", "queries",
+                        "bars")}
                 ids = np.frombuffer(got["ids"], "<i8")
                 query_ids = np.frombuffer(got["query_ids"], "<i8")
                 found = search_block(
                     ids, np.frombuffer(got["bits"], np.uint8).reshape(len(ids), -1),
                     np.frombuffer(got["norms"], "<f8"), np.frombuffer(got["cosines"], "<f8"),
                     np.frombuffer(got["vectors"], dtype).reshape(-1, dim), query_ids,
-                    np.frombuffer(got["queries"], dtype).reshape(-1, dim), k, epsilon)
+                    np.frombuffer(got["queries"], dtype).reshape(-1, dim),
+                    np.frombuffer(got["bars"], "<f8"), k, epsilon)
                 out = [(np.full(len(r), query_ids[j]), ids[r], s) for j, r, s in found]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate([o[c] for o in out])) for c in range(3)],
@@ -167,16 +202,27 @@ def usable(vectors: DataFrame) -> DataFrame:
     return rows.where(F.size("embedding") == common.select("dim").scalar())
 
 
+def _sample(rows: DataFrame, dim: int, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ids, vectors) of ``size`` rows by least hash of the id, at most SAMPLE_BYTES."""
+    size = min(size, max(1, SAMPLE_BYTES // (8 * dim)))
+    found = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(size).toArrow()
+    ids = found.column(0).to_numpy()
+    flat = found.column(1).combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    return ids, flat.reshape(len(ids), dim)
+
+
 def nearest(vectors: DataFrame, k: int = NEAREST, query_every: int = QUERY_EVERY,
-            epsilon: float = EPSILON, lanes: int = LANES) -> DataFrame:
+            epsilon: float = EPSILON, sample: int = SAMPLE) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest by inner product of every
     row whose vec_id is divisible by ``query_every``, among all other rows."""
     rows = usable(vectors)
-    dim = rows.select(F.size("embedding").alias("dim")).limit(1).collect()
-    dim = dim[0]["dim"] if dim else 1
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("dim")).collect()[0]
+    dim = size["dim"] or 1
+    lanes = -(-size["n"] // VECTOR_BLOCK) + 1
     dtype = "<f4" if rows.schema["embedding"].dataType.elementType.simpleString() == "float" else "<f8"
     blocks = scratch_table(rows.mapInArrow(_vector_blocks(lanes), VECTOR_SCHEMA), "vector-blocks")
-    asked = rows.where(F.col("vec_id") % query_every == 0).mapInArrow(_query_blocks, QUERY_SCHEMA)
+    asked = rows.where(F.col("vec_id") % query_every == 0).mapInArrow(
+        _query_blocks(*_sample(rows, dim, sample), k), QUERY_SCHEMA)
     asked = scratch_table(asked, "query-blocks").withColumn(
         "lane", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))))
     found = blocks.join(asked, "lane").drop("lane").mapInArrow(

@@ -62,12 +62,39 @@ def test_ties_and_fewer_candidates_than_asked(spark):
     assert ann.nearest(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("dim", [3, 64, 70])
+def test_estimates_from_packed_bytes(dim):
+    rng = np.random.default_rng(1)
+    vectors = rng.normal(size=(2000, dim)).astype(np.float32)
+    bits, norms, cosines = ann.encode(vectors)
+    queries = rng.normal(size=(5, dim))
+    signs = (np.unpackbits(bits, axis=1, count=dim).astype(float) * 2 - 1) / np.sqrt(dim)
+    plain = (norms / cosines)[:, None] * (signs @ (queries @ ann.rotation(dim)).T)
+    np.testing.assert_allclose(ann.estimates(bits, norms, cosines, queries), plain, rtol=1e-4, atol=1e-4)
+
+
 def test_error_bound_holds():
     rng = np.random.default_rng(1)
     vectors = rng.normal(size=(2000, 64)).astype(np.float32)
     bits, norms, cosines = ann.encode(vectors)
-    query = rng.normal(size=64)
-    signs = (np.unpackbits(bits, axis=1).astype(float) * 2 - 1) / 8
-    estimate = norms / cosines * (signs @ (query @ ann.rotation(64)))
-    spread = norms * np.sqrt(1 - cosines ** 2) / cosines * ann.EPSILON / np.sqrt(63) * np.linalg.norm(query)
-    assert (np.abs(estimate - vectors @ query) <= spread).mean() > 0.9
+    queries = rng.normal(size=(5, 64))
+    spread = norms * np.sqrt(1 - cosines ** 2) / cosines * ann.EPSILON / np.sqrt(63)
+    error = np.abs(ann.estimates(bits, norms, cosines, queries) - vectors @ queries.T)
+    assert (error <= spread[:, None] * np.linalg.norm(queries, axis=1)).mean() > 0.98
+
+
+def test_the_sample_sets_the_cost_and_not_the_result(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(size=16) * (1 + i % 7)]) for i in range(900)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    wanted = brute(rows, 10, 20)
+    for size in (5, 100, 900):
+        got = collected(ann.nearest(df, k=10, sample=size, epsilon=8.0))  # a bound that no error exceeds
+        assert {q: [i for i, _ in v] for q, v in got.items()} == {q: [i for i, _ in v] for q, v in wanted.items()}
+
+
+def test_a_bar_that_overflows_leaves_nothing_out():
+    huge = np.full((30, 4), 1e200)
+    ids = np.arange(30)
+    assert (ann.bars(ids, huge, ids[:2], huge[:2], 5) == -np.inf).all()
+    assert (ann.bars(ids[:3], huge[:3], ids[:2], huge[:2], 5) == -np.inf).all()
