@@ -4,11 +4,14 @@ A window is ``SPAN`` words in a row. Every window has a key: the least hash of
 its ``GRAM``-word grams, so equal windows have equal keys and neighbours mostly
 share one; a document counts each of its keys once.
 
-1. Every partition adds its keys to a count-min sketch of two rows; the partial
-   sketches are merged by addition. A sketch is a table (row, cell, count) and
-   its width follows the number of keys, so it never has to fit in one task. The
-   estimate of a key, the least of its cells, is at least the number of documents
-   with the window.
+1. The count-min sketch has two rows of cells. Its width follows the number of keys, so
+   it is kept in slices of at most ``SLICE_BITS`` bits of cells; a hash puts both cells
+   of a key into one slice. Every block of a partition's keys gives a partial sketch of
+   the slices that it touches; the partial sketches of a slice are added up, one slice
+   at a time in an array of fixed size, and the merged slice keeps one bit a cell: two or
+   more. The blocks then meet the merged slices. The estimate of a key, the least of its
+   cells, is at least the number of documents with the window; a narrower sketch lets more
+   windows through to the exact step, it never loses one.
 2. Windows whose key is estimated at two or more are grouped exactly by a 128-bit
    hash of their words; one that also starts in a document of smaller doc_id
    removes its words. A task first compares the windows it has itself: those with
@@ -40,6 +43,13 @@ from aeris.llm.common import scratch_table, table
 SPAN = 50
 GRAM = 8
 CELLS_PER_KEY = 4
+# Cells of a slice: at least 2^20 (fewer if the sketch is smaller), and as many as keep the
+# number of slices at 4096, up to 2^26 (two byte arrays of 64 MB in the task that merges).
+SLICE_BITS = (20, 26)
+# Keys of a block.
+BLOCK_KEYS = 1 << 20
+# Tasks that share the blocks of a slice, which a key of very many documents makes large.
+SALTS = 4
 # Windows that a task compares at a time.
 CHUNK = 1 << 20
 # An odd base: it has an inverse modulo 2^64.
@@ -47,6 +57,9 @@ BASE = 0x9E3779B97F4A7C15
 NOTHING = hashlib.sha256(b"").hexdigest()
 
 SUMMARY_SCHEMA = "doc_id long, h1 long, h2 long, n_words long, sha string, keys array<long>"
+BLOCK_SCHEMA = "slice int, salt int, keys binary, docs binary"
+PARTIAL_SCHEMA = "slice int, row int, cells binary, counts binary"
+MERGED_SCHEMA = "slice int, often binary"
 WINDOW_SCHEMA = "w1 long, w2 long, doc_id long, h1 long, start int, decided boolean"
 
 _POWERS: dict[str, np.ndarray] = {}
@@ -198,19 +211,138 @@ def _removals(span: int):
     return run
 
 
+def sketch_size(n_keys: int, cells_per_key: int = CELLS_PER_KEY) -> tuple[int, int]:
+    """(bits of a slice's number, bits of a cell's number in its slice)."""
+    width = max(16, int(n_keys * cells_per_key).bit_length())
+    low, high = SLICE_BITS
+    inner = min(width, max(low, min(high, width - 12)))
+    return width - inner, inner
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def places(keys: np.ndarray, outer: int, inner: int) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """(slice, cells in the two rows) of each key."""
+    first = _mixed(keys.view(np.uint64) + np.uint64(BASE))
+    second = _mixed(first + np.uint64(BASE))
+    mask = np.uint64((1 << inner) - 1)
+    part = second >> np.uint64(64 - outer) if outer else np.zeros(len(keys), dtype=np.uint64)
+    return part.astype(np.int32), ((first & mask).astype(np.uint32), (second & mask).astype(np.uint32))
+
+
+def _key_blocks(outer: int, inner: int):
+    """(slice, keys, documents) of blocks of keys."""
+    def rows(keys: np.ndarray, docs: np.ndarray) -> pa.RecordBatch:
+        part = places(keys, outer, inner)[0]
+        order = np.argsort(part, kind="stable")
+        numbers, first = np.unique(part[order], return_index=True)
+        ends = [*first[1:].tolist(), len(keys)]
+        cut = [order[a:b] for a, b in zip(first.tolist(), ends)]
+        salts = pa.array([int(docs[at[0]]) % SALTS for at in cut], pa.int32())
+        return pa.RecordBatch.from_arrays(
+            [pa.array(numbers, pa.int32()), salts, *[pa.array([x[at].astype("<i8").tobytes() for at in cut], pa.binary())
+                                                     for x in (keys, docs)]],
+            ["slice", "salt", "keys", "docs"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 1024):
+                part = batch.slice(lo, 1024)
+                keys = part.column(1).flatten().to_numpy()
+                lengths = part.column(1).value_lengths().to_numpy()
+                held.append((keys, np.repeat(part.column(0).to_numpy(), lengths)))
+                n += len(keys)
+                if n >= BLOCK_KEYS:
+                    yield rows(*(np.concatenate([h[i] for h in held]) for i in range(2)))
+                    held, n = [], 0
+        if n:
+            yield rows(*(np.concatenate([h[i] for h in held]) for i in range(2)))
+    return run
+
+
+def _partial_sketches(outer: int, inner: int):
+    """The touched cells of a block's own sketch; a count over 255 counts as 255."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, keys in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                out: list[list] = [[], [], [], []]
+                for row, cells in enumerate(places(np.frombuffer(keys, "<i8"), outer, inner)[1]):
+                    cells, counts = np.unique(cells, return_counts=True)
+                    for column, value in zip(out, (number, row, cells.astype("<u4").tobytes(),
+                                                   np.minimum(counts, 255).astype(np.uint8).tobytes())):
+                        column.append(value)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, k) for c, k in zip(out, (pa.int32(), pa.int32(), pa.binary(), pa.binary()))],
+                    ["slice", "row", "cells", "counts"])
+    return run
+
+
+def _merged_sketches(inner: int):
+    """Adds up partial sketches that come slice by slice; one bit a cell remains."""
+    def row(number: int, sketch: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array([number], pa.int32()), pa.array([np.packbits(sketch >= 2, axis=1).tobytes()], pa.binary())],
+            ["slice", "often"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, sketch = None, np.zeros((2, 1 << inner), dtype=np.uint8)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                number, which = batch.column(0)[i].as_py(), batch.column(1)[i].as_py()
+                if number != now:
+                    if now is not None:
+                        yield row(now, sketch)
+                    now = number
+                    sketch[:] = 0
+                cells = np.frombuffer(batch.column(2)[i].as_buffer(), "<u4")
+                counts = np.frombuffer(batch.column(3)[i].as_buffer(), np.uint8)
+                added = sketch[which, cells].astype(np.uint16) + counts
+                sketch[which, cells] = np.minimum(added, 255)
+        if now is not None:
+            yield row(now, sketch)
+    return run
+
+
+def _often(outer: int, inner: int):
+    """(document, key) of the keys whose cells both hold two or more. A merged slice comes
+    before the blocks that it decides."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = None
+        for batch in batches:
+            for i in range(batch.num_rows):
+                if batch.column(2)[i].is_valid:
+                    bits = np.frombuffer(batch.column(2)[i].as_py(), np.uint8).reshape(2, -1)
+                    continue
+                keys, docs = (np.frombuffer(batch.column(c)[i].as_buffer(), "<i8") for c in range(2))
+                kept = np.ones(len(keys), dtype=bool)
+                for row, cells in enumerate(places(keys, outer, inner)[1]):
+                    kept &= (bits[row, cells >> 3] >> (7 - (cells & 7)).astype(np.uint8) & 1).astype(bool)
+                yield pa.RecordBatch.from_arrays([pa.array(docs[kept]), pa.array(keys[kept])], ["first_id", "key"])
+    return run
+
+
 def repeated_keys(sources: DataFrame, cells_per_key: int = CELLS_PER_KEY) -> DataFrame:
     """(first_id, keys) with the keys of each document that a count-min sketch over
     all documents estimates at two or more."""
     total = sources.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0)).alias("n")).collect()[0]["n"]
-    width = 1 << max(16, int(total * cells_per_key).bit_length())
-    keys = sources.select("first_id", F.explode("keys").alias("key"))
-    for row in range(2):
-        cell = F.pmod(F.xxhash64("key", F.lit(row)), F.lit(width)).alias("cell")
-        sketch = sources.select(F.explode("keys").alias("key")).select(cell).groupBy("cell").agg(
-            F.count("*").alias("n"))
-        often = sketch.where("n >= 2").select("cell")
-        keys = keys.withColumn("cell", cell).join(often, "cell", "left_semi").drop("cell")
-    return keys.groupBy("first_id").agg(F.collect_set("key").alias("keys"))
+    outer, inner = sketch_size(total, cells_per_key)
+    blocks = scratch_table(sources.select("first_id", "keys").mapInArrow(_key_blocks(outer, inner), BLOCK_SCHEMA),
+                           "key-blocks")
+    partial = blocks.select("slice", "keys").mapInArrow(_partial_sketches(outer, inner), PARTIAL_SCHEMA)
+    merged = partial.repartition("slice").sortWithinPartitions("slice").mapInArrow(
+        _merged_sketches(inner), MERGED_SCHEMA)
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    merged = scratch_table(merged, "sketch").select("slice", salts.alias("salt"), F.lit(None).cast("binary").alias("keys"),
+                                                    F.lit(None).cast("binary").alias("docs"), "often")
+    together = blocks.withColumn("often", F.lit(None).cast("binary")).unionByName(merged)
+    together = together.repartition("slice", "salt").sortWithinPartitions("slice", "salt", F.col("keys").isNotNull())
+    often = together.select("keys", "docs", "often").mapInArrow(_often(outer, inner), "first_id long, key long")
+    return often.groupBy("first_id").agg(F.collect_set("key").alias("keys"))
 
 
 def deduplicated(docs: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+from collections import Counter
 
 import numpy as np
 from hypothesis import given, settings, strategies as st
@@ -93,3 +94,35 @@ def test_sketch_never_underestimates(spark):
 def test_kept_words():
     assert substrings.kept_words(b"a b c d e f", [1, 2, 2], 2) == (3, b"a e f")
     assert substrings.kept_words(b"a b", [0], 2) == (2, b"")
+
+
+def _counted(spark, lists, cells_per_key, monkeypatch, block, inner):
+    monkeypatch.setattr(substrings, "BLOCK_KEYS", block)
+    monkeypatch.setattr(substrings, "SLICE_BITS", inner)
+    df = spark.createDataFrame(lists, "first_id long, keys array<long>").repartition(5)
+    return {r["first_id"]: set(r["keys"]) for r in substrings.repeated_keys(df, cells_per_key).collect()}
+
+
+def test_merged_partial_sketches_lose_no_repeated_key(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    lists = [(d, [int(k) for k in {7, *rng.integers(-(1 << 62), 1 << 62, 30), *rng.integers(0, 4000, 10)}])
+             for d in range(400)]
+    count = Counter(k for _, keys in lists for k in keys)
+    wanted = {d: {k for k in keys if count[k] >= 2} for d, keys in lists}
+    for cells, inner in ((4, (8, 9)), (4, (20, 26)), (0, (20, 26))):  # many slices, one, and far too narrow
+        got = _counted(spark, lists, cells, monkeypatch, 1000, inner)
+        assert all(wanted[d] <= got.get(d, set()) for d in wanted)
+        assert all(got[d] <= set(keys) for d, keys in lists)
+        extra = sum(len(got[d] - wanted[d]) for d in wanted)
+        assert extra < 0.2 * 400 * 30
+
+
+def test_places_of_a_key():
+    keys = np.random.default_rng(4).integers(-(1 << 62), 1 << 62, 100_000)
+    for outer, inner in ((0, 16), (4, 20), (12, 26)):
+        part, cells = substrings.places(keys, outer, inner)
+        assert part.min() >= 0 and part.max() < 1 << outer
+        assert all(c.max() < 1 << inner for c in cells) and (cells[0] != cells[1]).mean() > 0.99
+        assert np.bincount(part, minlength=1 << outer).max() < 2 * len(keys) / (1 << outer) + 60
+    assert substrings.sketch_size(0) == (0, 16) and substrings.sketch_size(1 << 22) == (5, 20)
+    assert substrings.sketch_size(1 << 36)[1] == 26
