@@ -331,8 +331,8 @@ def repeated_keys(sources: DataFrame, cells_per_key: int = CELLS_PER_KEY) -> Dat
     all documents estimates at two or more."""
     total = sources.agg(F.coalesce(F.sum(F.size("keys")), F.lit(0)).alias("n")).collect()[0]["n"]
     outer, inner = sketch_size(total, cells_per_key)
-    blocks = scratch_table(sources.select("first_id", "keys").mapInArrow(_key_blocks(outer, inner), BLOCK_SCHEMA),
-                           "key-blocks")
+    # made twice from the written sources, which costs less than a copy of all keys
+    blocks = sources.select("first_id", "keys").mapInArrow(_key_blocks(outer, inner), BLOCK_SCHEMA)
     partial = blocks.select("slice", "keys").mapInArrow(_partial_sketches(outer, inner), PARTIAL_SCHEMA)
     merged = partial.repartition("slice").sortWithinPartitions("slice").mapInArrow(
         _merged_sketches(inner), MERGED_SCHEMA)
