@@ -126,7 +126,9 @@ def corr_long(df: DataFrame, cols=None, fill_zero: bool = True) -> DataFrame:
     cols = cols or numeric_columns(df)
     p = len(cols)
     src = df.select(*[(F.coalesce(_d(c), F.lit(0.0)) if fill_zero else _d(c)).alias(f"_x{i}") for i, c in enumerate(cols)])
-    mean = one_row(src, **{f"m{i}": F.avg(f"_x{i}") for i in range(p)})
+    # one row beside every row: in a scalar subquery, each use of a mean below would plan all of ``df`` again
+    means = src.agg(F.struct(*[F.avg(f"_x{i}").alias(f"m{i}") for i in range(p)]).alias("_mean"))
+    src, mean = src.crossJoin(F.broadcast(means)), F.col("_mean")
     mask = F.concat(*[F.when(F.col(f"_x{i}").isNull(), "0").otherwise("1") for i in range(p)])
     far = F.array(*[F.coalesce(F.col(f"_x{i}") - mean.getField(f"m{i}"), F.lit(0.0)) for i in range(p)])
     rows = src.select(mask.alias("mask"), far.alias("x"))

@@ -266,6 +266,25 @@ def test_large_mean_columns_keep_their_digits(spark):
     assert m.coef[0, 0] == pytest.approx(slope, abs=1e-6)
 
 
+def test_a_matrix_plans_its_input_twice(spark):
+    import numpy as np
+    import pandas as pd
+    rng = np.random.default_rng(5)
+    values = pd.DataFrame(rng.normal(size=(60, 10)) + 1e3, columns=[f"c{i}" for i in range(10)])
+    values = values.mask(rng.random(values.shape) < 0.2)
+    cells = [tuple(None if math.isnan(v) else v for v in row) for row in values.itertuples(index=False)]
+    df = spark.createDataFrame(cells, ", ".join(f"{c} double" for c in values))
+    for fill_zero in (False, True):
+        corr = stats.corr_long(df, list(values), fill_zero)
+        # once for the means, once for the moments, however many columns there are
+        assert corr._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 2
+        expected = (values.fillna(0.0) if fill_zero else values).corr()
+        rows = corr.collect()
+        assert len(rows) == 100
+        for r in rows:
+            assert r["r"] == pytest.approx(expected.loc[r["col_a"], r["col_b"]], abs=1e-9)
+
+
 def test_hot_value_is_one_row_of_the_quantile_sort(spark):
     df = spark.range(0, 30000).select(F.when(F.col("id") % 3 == 0, 7.0).otherwise(F.col("id").cast("double")).alias("x"))
     counted = df.groupBy("x").count()
